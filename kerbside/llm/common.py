@@ -90,3 +90,17 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
 def fold(text_id: str) -> F.Column:
     """crc32 of an id as text."""
     return F.crc32(F.col(text_id).cast("string").cast("binary"))
+
+
+#: Ids that a semi-join may broadcast; a long takes some 16 bytes there.
+BROADCAST_IDS = 4_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of `df` whose long `column` is in `ids` (a written table of distinct ids).
+
+    The ids are counted first: up to BROADCAST_IDS of them are broadcast, so
+    that the wide side isn't shuffled; more are joined by a shuffle.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, column, "left_semi")

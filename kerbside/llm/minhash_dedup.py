@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, with_ids
 from .components import components
 from .hashing import mix, shingles
 
@@ -197,7 +197,8 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> D
     score = shared.groupBy("id").agg(F.sum("size").alias("score"))
     shared = materialize(shared.join(score, "id").select("id", "key", "score"), "scored")
     hub = shared.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("at"))).alias("hub")).select("key", (-F.col("hub.at")).alias("hub"))
-    wanted = materialize(map_arrow(docs.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), _pack("text", shingle), "id long, items binary", "text"), "sets")
+    near = materialize(shared.select("id").distinct(), "near")
+    wanted = materialize(map_arrow(with_ids(docs.withColumn("id", F.col("id").cast("long")), near, "id").dropDuplicates(["id"]), _pack("text", shingle), "id long, items binary", "text"), "sets")
     spokes = shared.join(hub, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     sets = wanted.select("id", "items")
     tested = spokes.join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
