@@ -1,23 +1,63 @@
-"""Documents to training sequences, in stages."""
+"""Documents to training sequences: language ID, near duplicates, benchmark, personal data, packing.
+
+`run` applies STAGES to the table documents.  Each stage works on all that the
+one before it kept, and its decisions take effect.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import materialize, table
+from kerbside.llm.decontaminate import contaminated
+from kerbside.llm.language_id import identify, learn
 from kerbside.llm.minhash_dedup import near_duplicates
+from kerbside.llm.packing import pack
+from kerbside.llm.pii import mask_pii
 
+#: The columns of documents, which every stage but the last returns.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned; text that is null or has no letter goes.  A null lang is filled with the prediction."""
+    found = identify(docs, learn(docs), keep=("text", "lang", "source", "n_chars"))
+    return found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document, that of the smallest id, of each group of near duplicates; one row of each id; null ids go."""
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    leaks = contaminated(docs, table(spark, sf_dir, "benchmark"), keep=("text", "lang", "source", "n_chars"))
+    return leaks.where("not leaked").select(*COLUMNS)
+
+
+def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    return mask_pii(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their places in sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
+STAGES = [
+    ("language ID", language),
+    ("minhash near-dedup", dedup),
+    ("benchmark decontamination", decontaminate),
+    ("pii", privacy),
+    ("best-fit packing", packing),
+]
 
-STAGES = [("minhash near-dedup", dedup)]
+#: No stage of these can be written in SQL; tests/llm/test_pipeline.py holds each against a plain version.
 ORACLE_SQL = None
 
 
