@@ -10,7 +10,7 @@ import numpy as np
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
@@ -23,7 +23,7 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
     if not plain or model.get("dropout") or model.get("ignore_merges") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
         return None
-    byte_of, special = _byte_of(), {t["content"] for t in spec.get("added_tokens", ())}
+    byte_of, special = byte_of(), {t["content"] for t in spec.get("added_tokens", ())}
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     ids = [model["vocab"].get(a + b) for a, b in pairs]
     if None in ids or ids != sorted(ids) or any(c not in byte_of for t in model["vocab"] if t not in special for c in t):

@@ -12,6 +12,25 @@ from .language_id import held_out, identify, learn
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .pii import KINDS, find_pii
+from .token_counts import token_counts
+from .url_filter import Rule, judge, mine
+
+
+#: The hand-written rules of the contract.
+URL_RULES = [
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    judged = judge(pages, URL_RULES, mine(pages.join(labels, "page_id")))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +46,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _joined(spans: str) -> F.Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
@@ -43,9 +66,11 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
     "op4_decontaminate": op4_decontaminate,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
