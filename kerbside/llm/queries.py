@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated
+from .html_extract import extract
 from .language_id import held_out, identify, learn
 from .minhash_dedup import near_duplicates
 from .packing import pack
@@ -38,6 +39,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs.where("not held_out")), keep=("held_out",))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +73,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
+    "op3_html_extract": op3_html_extract,
     "op4_decontaminate": op4_decontaminate,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_token_counts": op8_token_counts,
