@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated
+from .fingerprints import compare_with_edits, lexicon
 from .html_extract import extract
 from .language_id import held_out, identify, learn
 from .minhash_dedup import near_duplicates
@@ -17,6 +18,11 @@ from .token_counts import token_counts
 from .url_filter import Rule, judge, mine
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compare_with_edits(docs, lexicon(docs))
+
+
 #: The hand-written rules of the contract.
 URL_RULES = [
     Rule("com", "/", "allow"),
@@ -76,6 +82,7 @@ QUERIES = {
     "op3_html_extract": op3_html_extract,
     "op4_decontaminate": op4_decontaminate,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_fingerprints": op7_fingerprints,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_minhash_dedup": op10_minhash_dedup,
