@@ -6,18 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 from .decontaminate import contaminated
 from .fingerprints import compare_with_edits, lexicon
 from .html_extract import extract
 from .language_id import held_out, identify, learn
 from .minhash_dedup import near_duplicates
+from .ngram_lm import score_texts
 from .packing import pack
 from .pii import KINDS, find_pii
 from .token_counts import token_counts
 from .url_filter import Rule, judge, mine
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id") % 7 == 2)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return compare_with_edits(docs, lexicon(docs))
@@ -82,6 +87,7 @@ QUERIES = {
     "op3_html_extract": op3_html_extract,
     "op4_decontaminate": op4_decontaminate,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_fingerprints": op7_fingerprints,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
