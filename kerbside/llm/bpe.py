@@ -23,12 +23,12 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
     if not plain or model.get("dropout") or model.get("ignore_merges") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
         return None
-    byte_of, special = byte_of(), {t["content"] for t in spec.get("added_tokens", ())}
+    bytes_, special = byte_of(), {t["content"] for t in spec.get("added_tokens", ())}
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     ids = [model["vocab"].get(a + b) for a, b in pairs]
-    if None in ids or ids != sorted(ids) or any(c not in byte_of for t in model["vocab"] if t not in special for c in t):
+    if None in ids or ids != sorted(ids) or any(c not in bytes_ for t in model["vocab"] if t not in special for c in t):
         return None
-    return {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    return {bytes(bytes_[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
 
 
 class Encoder:
