@@ -1,7 +1,6 @@
 """URL filtering by association rules.
 
-A URL becomes a set of tokens: labels and words of its host, its registered
-name, words of its path, keys of its query.  FP-growth mines the token
+A URL becomes a set of tokens: words of its host, its registered name, words of its path, keys of its query.  FP-growth mines the token
 combinations that occur together with a class (block or allow) in labelled URLs.  Rules that
 conclude `block` are pruned by confidence, support and lift, and a rule is
 dropped if one with fewer tokens is as confident.  An inverted index from token
@@ -76,7 +75,7 @@ def tokens(url: Column) -> Column:
     def tagged(tag: str, values: Column) -> Column:
         return F.transform(F.filter(values, lambda x: x != ""), lambda x: F.concat(F.lit(tag + "="), x))
 
-    own = F.concat(tagged("label", labels), tagged("name", F.array(name)), tagged("word", words), tagged("path", parts), tagged("key", keys))
+    own = F.concat(tagged("name", F.array(name)), tagged("word", words), tagged("path", parts), tagged("key", keys))
     return F.array_sort(F.array_distinct(F.coalesce(own, F.array().cast("array<string>"))))
 
 
@@ -102,21 +101,27 @@ def prune(rules: list[Mined]) -> list[Mined]:
     return sorted(kept, key=lambda r: (-r.confidence, -r.support, r.tokens))
 
 
-def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", *, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.2, max_rules: int = 20_000) -> list[Mined]:
+def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", *, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.6, min_lift: float = 1.2, max_rules: int = 20_000) -> list[Mined]:
     """Pruned rules from all labelled URLs.
 
     Rows with a null label teach nothing; a null url has the class token alone.
-    A rule needs `min_support` of all labelled rows, so that the number of
-    single tokens in rules is at most (tokens of a URL) / min_support whatever
-    the input; more than `max_rules` rules before pruning raise an error that
-    asks for a higher support, none are dropped silently.
+    A rule needs `min_support` of all labelled rows and `min_count` of them, so
+    that the number of tokens in rules is at most (tokens of a URL) /
+    min_support whatever the input.  If more than `max_rules` rules are found
+    before pruning, the support is doubled until they are not more.
     """
     rows = labelled.where(F.col(blocked).isNotNull()).select(F.concat(tokens(F.col(url)), F.array(F.when(F.col(blocked), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.col("lift") >= min_lift) & (F.col("support") >= min_support))
-    first = found.limit(max_rules + 1).collect()
-    if len(first) > max_rules:
-        raise ValueError(f"more than {max_rules} rules; raise min_support or min_confidence")
+    n = rows.count()
+    support = max(min_support, min(1.0, min_count / max(n, 1)))
+    while n:
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
+        found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.col("lift") >= min_lift) & (F.col("support") >= support))
+        first = found.limit(max_rules + 1).collect()
+        if len(first) <= max_rules:
+            break
+        support *= 2
+    else:
+        first = []
     return prune([Mined(tuple(sorted(r.antecedent)), r.confidence, r.support, r.lift) for r in first])
 
 
