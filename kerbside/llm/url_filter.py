@@ -2,8 +2,8 @@
 
 A URL becomes a set of tokens: words of its host, its registered name, words of its path, keys of its query.  FP-growth mines the token
 combinations that occur together with a class (block or allow) in labelled URLs.  Rules that
-conclude `block` are pruned by confidence, support and lift, and a rule is
-dropped if one with fewer tokens is as confident.  An inverted index from token
+conclude a class are pruned by confidence, support and lift, and a rule is
+dropped if a part of it is as confident.  An inverted index from token
 to rules matches them: a rule fires when as many of a URL's tokens point to it
 as it has.  Hand-written rules (host, path) go before mined ones.
 
@@ -81,8 +81,9 @@ def tokens(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mined:
-    """A mined rule: these tokens conclude block."""
+    """A mined rule: these tokens conclude the verdict."""
 
+    verdict: str
     tokens: tuple[str, ...]
     confidence: float
     support: float
@@ -90,18 +91,19 @@ class Mined:
 
 
 def prune(rules: list[Mined]) -> list[Mined]:
-    """The rules of which no part alone is as confident, most confident first."""
-    best: dict[frozenset[str], float] = {}
+    """The rules of which no part alone is as confident of the same verdict; those that raise its share most come first."""
+    best: dict[tuple[str, frozenset[str]], float] = {}
     kept = []
-    for r in sorted(rules, key=lambda r: (len(r.tokens), r.tokens)):
+    for r in sorted(rules, key=lambda r: (len(r.tokens), r.tokens, r.verdict)):
         items = frozenset(r.tokens)
-        if all(items.isdisjoint({t}) or best.get(items - {t}, 0.0) < r.confidence for t in items):
+        part = max((best.get((r.verdict, items - {t}), 0.0) for t in items), default=0.0)
+        if part < r.confidence:
             kept.append(r)
-        best[items] = max(r.confidence, *(best.get(items - {t}, 0.0) for t in items))
-    return sorted(kept, key=lambda r: (-r.confidence, -r.support, r.tokens))
+        best[r.verdict, items] = max(r.confidence, part)
+    return sorted(kept, key=lambda r: (-r.lift, -r.confidence, -r.support, r.tokens, r.verdict))
 
 
-def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", *, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.6, min_lift: float = 1.2, max_rules: int = 20_000) -> list[Mined]:
+def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", *, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.6, min_lift: float = 1.02, max_rules: int = 20_000) -> list[Mined]:
     """Pruned rules from all labelled URLs.
 
     Rows with a null label teach nothing; a null url has the class token alone.
@@ -115,18 +117,18 @@ def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", *, min
     support = max(min_support, min(1.0, min_count / max(n, 1)))
     while n:
         model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
-        found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.col("lift") >= min_lift) & (F.col("support") >= support))
+        found = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW) & (F.col("lift") >= min_lift) & (F.col("support") >= support))
         first = found.limit(max_rules + 1).collect()
         if len(first) <= max_rules:
             break
         support *= 2
     else:
         first = []
-    return prune([Mined(tuple(sorted(r.antecedent)), r.confidence, r.support, r.lift) for r in first])
+    return prune([Mined(r.consequent[0].partition("=")[2], tuple(sorted(r.antecedent)), r.confidence, r.support, r.lift) for r in first])
 
 
 def fired(url_tokens: Column, rules: list[Mined]) -> Column:
-    """The most confident mined rule that fires, as struct<confidence:double, rule:int>; null if none does.
+    """The number of the first mined rule that fires, with its confidence, as struct<confidence:double, rule:int>; null if none does.
 
     The index is one literal map from token to the rules that have it.
     """
@@ -139,7 +141,7 @@ def fired(url_tokens: Column, rules: list[Mined]) -> Column:
     index = F.from_json(F.lit(json.dumps(postings)), "map<string,array<struct<r:int,n:int,c:double>>>")
     hits = F.flatten(F.transform(url_tokens, lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast("array<struct<r:int,n:int,c:double>>"))))
     whole = F.filter(F.array_distinct(hits), lambda h: F.size(F.filter(hits, lambda x: x["r"] == h["r"])) == h["n"])
-    # rules are numbered by falling confidence, so the least number is the best
+    # rules are numbered by falling lift, so the least number is the best
     best = F.array_min(F.transform(whole, lambda h: F.struct(h["r"].alias("rule"), h["c"].alias("confidence"))))
     return F.when(best.isNotNull(), F.struct(best["confidence"].alias("confidence"), best["rule"].alias("rule")))
 
@@ -147,14 +149,15 @@ def fired(url_tokens: Column, rules: list[Mined]) -> Column:
 def judge(pages: DataFrame, rules: list[Rule], mined: list[Mined], url: str = "url") -> DataFrame:
     """`pages` with host, path, rule, verdict, mined_rule and confidence.
 
-    The verdict is that of the longest hand-written rule that fits, else block
-    if a mined rule fires, else allow.  A null url, or one without `://`, has an
+    The verdict is that of the longest hand-written rule that fits, else that
+    of the mined rule that fires and raises its verdict's share most, else allow.  A null url, or one without `://`, has an
     empty host and path and is judged by its tokens, none, as allowed.
     Columns of these names in `pages` are replaced; all else stays.
     """
+    verdicts = F.array(*(F.lit(r.verdict) for r in mined)) if mined else F.array().cast("array<string>")
     names = F.array(*(F.lit(" ".join(r.tokens)) for r in mined)) if mined else F.array().cast("array<string>")
     out = pages.drop("host", "path", "rule", "verdict", "mined_rule", "confidence", "_hand", "_mined")
     out = out.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     out = out.withColumn("_hand", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("_mined", fired(tokens(F.col(url)), mined))
-    verdict = F.coalesce("_hand.verdict", F.when(F.col("_mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce("_hand.verdict", F.get(verdicts, F.col("_mined.rule")), F.lit("allow"))
     return out.withColumns({"rule": F.col("_hand.rule"), "verdict": verdict, "mined_rule": F.get(names, F.col("_mined.rule")), "confidence": F.col("_mined.confidence")}).drop("_hand", "_mined")
