@@ -298,7 +298,7 @@ def score_texts(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", tex
     are those of add-one smoothing of nothing.
     """
     spark = docs.sparkSession
-    shards = shards or max(24, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("text"))
     kind = docs.schema[id_col].dataType
     counted = materialize(rows.where("not held").mapInArrow(_count_words(shards), _SENT).groupBy("shard").applyInArrow(_merge_words, "words long, tokens long, hot array<long>, hot_n array<long>"), "words")
