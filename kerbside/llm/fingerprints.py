@@ -7,7 +7,7 @@ document over that share, whatever the number of documents.  Randomised subsets
 of the lexicon are drawn by hashing: one holds all terms, and five levels of
 sixteen subsets hold each term with a chance of 1/8, 1/32, ... 1/2048, so that
 texts of any length have subsets of which they hold one or two terms.  A text's
-distinct terms in a subset are sorted and hashed; the codes of all subsets make
+distinct terms in a subset are hashed as a set; the codes of all subsets make
 the fingerprint.
 
 Everything is DataFrame functions.
@@ -57,16 +57,19 @@ def lexicon(docs: DataFrame, text: str = "text", *, least: float = 0.001, most:
     return materialize(kept.select("term", bits(0, 41).alias("low"), bits(41, SUBSETS).alias("high")), "lexicon")
 
 
-def code(found: Column, whole: Column) -> Column:
-    """The fingerprint from array<struct<term, low, high>> of the text's lexicon terms; without any, from the identity of the whole text."""
-    ordered = F.sort_array(found)
+def subset_hashes() -> list[Column]:
+    """Aggregates over a text's distinct lexicon terms (term, low, high): for each subset the exclusive or of the hashes of
+    its terms, null where it has none.  It depends on the set alone, as does the hash of the terms in sorted order, and it
+    needs no list of the terms."""
+    held = [F.getbit("low" if k < 41 else "high", F.lit(k if k < 41 else k - 41)) == 1 for k in range(SUBSETS)]
+    return [F.bit_xor(F.when(on, F.col("term"))).alias(f"_x{k}") for k, on in enumerate(held)]
 
-    def subset(k: Column) -> Column:
-        mine = F.filter(ordered, lambda t: F.when(k < 41, F.getbit(t["low"], F.when(k < 41, k).otherwise(F.lit(0)))).otherwise(F.getbit(t["high"], F.when(k < 41, F.lit(0)).otherwise(k - 41))) == 1)
-        return F.when(F.size(mine) == 0, F.lit(ABSENT)).otherwise(F.lpad(F.hex(F.pmod(F.xxhash64(F.transform(mine, lambda t: t["term"])), F.lit(16**CODE))), CODE, "0"))
 
-    parts = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), subset)
-    return F.when(F.size(found) == 0, F.concat(F.lit("="), F.lower(F.hex(whole)))).otherwise(F.lower(F.array_join(parts, "")))
+def code(whole: Column) -> Column:
+    """The fingerprint from the subset hashes; without any term, from the identity of the whole text."""
+    parts = [F.when(F.col(f"_x{k}").isNull(), F.lit(ABSENT)).otherwise(F.lpad(F.hex(F.pmod(F.xxhash64(f"_x{k}"), F.lit(16**CODE))), CODE, "0")) for k in range(SUBSETS)]
+    # the first subset has all terms
+    return F.when(F.col("_x0").isNull(), F.concat(F.lit("="), F.lower(F.hex(whole)))).otherwise(F.lower(F.concat(*parts)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -102,13 +105,12 @@ def _coded(rows: DataFrame, keys: list[str], texts: dict[str, str], known: DataF
     and that only if it is too large to broadcast.
     """
     marks = F.concat(*(_marked(F.col(c), k) for k, c in enumerate(texts.values())))
-    wholes = [f"_whole{k}" for k in range(len(texts))]
-    long = rows.select(*keys, *(F.xxhash64(c).alias(w) for c, w in zip(texts.values(), wholes, strict=True)), F.explode(marks).alias("m")).select(*keys, *wholes, "m.side", "m.term")
+    whole = F.array(*(F.xxhash64(c) for c in texts.values()))
+    long = rows.select(*keys, whole.alias("_whole"), F.explode(marks).alias("m")).select(*keys, F.get("_whole", F.col("m.side")).alias("_whole"), "m.side", "m.term")
     table = known if known.count() > BROADCAST_TERMS else F.broadcast(known)
     got = long.join(table, "term", "inner")
-    sets = [F.collect_list(F.when((F.col("side") == k) & (F.col("low") + F.col("high") != 0), F.struct("term", "low", "high"))).alias(f"_set{k}") for k in range(len(texts))]
-    grouped = got.groupBy(*keys, *wholes).agg(*sets)
-    return grouped.select(*keys, *(code(F.col(f"_set{k}"), F.col(wholes[k])).alias(name) for k, name in enumerate(texts)))
+    coded = got.groupBy(*keys, "side", "_whole").agg(*subset_hashes()).select(*keys, "side", code(F.col("_whole")).alias("_code"))
+    return coded.groupBy(*keys).agg(*(F.max(F.when(F.col("side") == k, F.col("_code"))).alias(name) for k, name in enumerate(texts)))
 
 
 def _marked(text: Column, side: int) -> Column:
@@ -147,14 +149,14 @@ def with_next(docs: DataFrame, id_col: str, text: str, rows_each: int = 2000) ->
 
     def stretched(frame: DataFrame) -> DataFrame:
         d = frame.withColumn("d", F.col("k").cast("double"))
-        return cut.transform(d).drop("d") if cut else d.withColumn("b", F.lit(0.0)).drop("d")
+        return (cut.transform(d) if cut else d.withColumn("b", F.lit(0.0))).withColumn("b", F.col("b").cast("int")).drop("d")
 
     rows = stretched(rows)
     tops = {r.b: r.k for r in stretched(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("k"))).groupBy("b").agg(F.max("k").alias("k")).collect()}
     order = sorted(tops, reverse=True)  # stretches by falling id
     after = [(tops[order[(i + 1) % len(order)]], b) for i, b in enumerate(order)]
     # at most STRETCHES rows
-    targets = F.broadcast(docs.sparkSession.createDataFrame(after, "k long, to double"))
+    targets = F.broadcast(docs.sparkSession.createDataFrame(after, "k long, to int"))
     best = Window.partitionBy("to").orderBy(F.xxhash64("text"), "text")
     heads = rows.join(targets, "k").withColumn("r", F.row_number().over(best)).where("r = 1").select("id", "text", "k", F.col("to").alias("b"), F.lit(True).alias("last"))
     both = rows.select("id", "text", "k", "b", F.lit(False).alias("last")).unionByName(heads)
