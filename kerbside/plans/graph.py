@@ -1,0 +1,49 @@
+"""Iterative plans over edge tables."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` without its lineage: a checkpoint in spark.checkpoint.dir, or in a folder of our own where that is unset."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kerbside-"))
+    return df.checkpoint()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Rows (id, component) of edges (a, b): the smallest id reachable, by label passing with jumps."""
+    both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
+    both = cut(both.union(both.select("b", "a")).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("component")).select(F.col("a").alias("id"), "component"))
+    while True:
+        seen = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
+        near = labels.join(seen, "id").select("id", F.col("component").alias("was"), F.least("component", "other").alias("component"))
+        up = near.select(F.col("id").alias("component"), F.col("component").alias("up"))
+        after = cut(near.join(up, "component", "left").select("id", "was", F.least("component", F.coalesce("up", "component")).alias("component")))
+        labels = after.select("id", "component")
+        if not after.where("was <> component").limit(1).count():
+            return labels
+
+
+def shortest(edges: DataFrame, limit: float, hops: int = 64) -> DataFrame:
+    """Rows (src, dst, cost): least cost of every pair within `limit` over edges (src, dst, cost), by relaxation.
+
+    Each round extends the pairs that improved in the round before by one edge.
+    """
+    best = cut(edges.where(F.col("cost") <= limit).groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("cost").alias("more"))
+    fresh = best
+    for _ in range(hops):
+        longer = fresh.join(step, "dst").where((F.col("cost") + F.col("more") <= limit) & (F.col("src") != F.col("to"))).select("src", F.col("to").alias("dst"), (F.col("cost") + F.col("more")).alias("cost"))
+        longer = longer.groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+        merged = cut(best.withColumnRenamed("cost", "old").join(longer.withColumnRenamed("cost", "new"), ["src", "dst"], "full").select("src", "dst", F.least("old", "new").alias("cost"), (F.col("old").isNull() | (F.col("new") < F.col("old"))).alias("improved")))
+        best, fresh = merged.select("src", "dst", "cost"), merged.where("improved").select("src", "dst", "cost")
+        if not fresh.limit(1).count():
+            break
+    return best
