@@ -1 +1,6 @@
-"""See the README for what this part holds."""
+"""Queries over the driver's tables, with the SQL that gives the same rows."""
+
+from . import core_queries
+
+QUERIES = dict(core_queries.QUERIES)
+ORACLE_SQL = dict(core_queries.ORACLE_SQL)
