@@ -4,8 +4,8 @@ A URL becomes a set of tokens: words of its host, its registered name, words of
 combinations that occur together with a class (block or allow) in labelled URLs.  Rules that
 conclude a class are pruned by confidence, support and lift, and a rule is
 dropped if a part of it is as confident.  An inverted index from token
-to rules matches them: a rule fires when as many of a URL's tokens point to it
-as it has.  Hand-written rules (host, path) go before mined ones.
+to rules matches them: a URL's tokens lead to rules, and a rule fires when the
+URL has all its tokens.  Hand-written rules (host, path) go before mined ones.
 
 Everything is DataFrame functions; judging needs no shuffle.
 """
@@ -13,6 +13,7 @@ Everything is DataFrame functions; judging needs no shuffle.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -130,17 +131,21 @@ def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", *, min
 def fired(url_tokens: Column, rules: list[Mined]) -> Column:
     """The number of the first mined rule that fires, with its confidence, as struct<confidence:double, rule:int>; null if none does.
 
-    The index is one literal map from token to the rules that have it.
+    The index is one literal map from token to rules.  A rule stands under the
+    one of its tokens that fewest rules have, with its other tokens, so that a
+    URL meets few rules that don't fire.
     """
     if not rules:
         return F.lit(None).cast("struct<confidence:double,rule:int>")
+    common = Counter(t for r in rules for t in r.tokens)
     postings: dict[str, list[dict]] = {}
     for k, r in enumerate(rules):
-        for t in r.tokens:
-            postings.setdefault(t, []).append({"r": k, "n": len(r.tokens), "c": r.confidence})
-    index = F.from_json(F.lit(json.dumps(postings)), "map<string,array<struct<r:int,n:int,c:double>>>")
-    hits = F.flatten(F.transform(url_tokens, lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast("array<struct<r:int,n:int,c:double>>"))))
-    whole = F.filter(F.array_distinct(hits), lambda h: F.size(F.filter(hits, lambda x: x["r"] == h["r"])) == h["n"])
+        first = min(r.tokens, key=lambda t: (common[t], t))
+        postings.setdefault(first, []).append({"r": k, "c": r.confidence, "t": [t for t in r.tokens if t != first]})
+    kind = "array<struct<r:int,c:double,t:array<string>>>"
+    index = F.from_json(F.lit(json.dumps(postings)), f"map<string,{kind}>")
+    met = F.flatten(F.transform(url_tokens, lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast(kind))))
+    whole = F.filter(met, lambda h: F.forall(h["t"], lambda t: F.array_contains(url_tokens, t)))
     # rules are numbered by falling lift, so the least number is the best
     best = F.array_min(F.transform(whole, lambda h: F.struct(h["r"].alias("rule"), h["c"].alias("confidence"))))
     return F.when(best.isNotNull(), F.struct(best["confidence"].alias("confidence"), best["rule"].alias("rule")))
@@ -156,8 +161,9 @@ def judge(pages: DataFrame, rules: list[Rule], mined: list[Mined], url: str = "u
     """
     verdicts = F.array(*(F.lit(r.verdict) for r in mined)) if mined else F.array().cast("array<string>")
     names = F.array(*(F.lit(" ".join(r.tokens)) for r in mined)) if mined else F.array().cast("array<string>")
-    out = pages.drop("host", "path", "rule", "verdict", "mined_rule", "confidence", "_hand", "_mined")
+    out = pages.drop("host", "path", "rule", "verdict", "mined_rule", "confidence", "_hand", "_mined", "_tokens")
     out = out.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    out = out.withColumn("_hand", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("_mined", fired(tokens(F.col(url)), mined))
+    out = out.withColumn("_hand", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("_tokens", tokens(F.col(url)))
+    out = out.withColumn("_mined", fired(F.col("_tokens"), mined)).drop("_tokens")
     verdict = F.coalesce("_hand.verdict", F.get(verdicts, F.col("_mined.rule")), F.lit("allow"))
     return out.withColumns({"rule": F.col("_hand.rule"), "verdict": verdict, "mined_rule": F.get(names, F.col("_mined.rule")), "confidence": F.col("_mined.confidence")}).drop("_hand", "_mined")
