@@ -146,7 +146,7 @@ def identity_f1(matches: DataFrame, truths: int, predicted: int, most_tracks: in
     Only tracks that meet need one assignment, so the counts are cut into
     components and each is solved in its own task.
     """
-    from ..plans.graph import components
+    from .graph import components
 
     counts = identity_counts(matches)
     edges = counts.select((F.col("track_id") * 2).alias("a"), (F.col("tracked_id") * 2 + 1).alias("b"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.graph import shortest
+from .graph import shortest
 from .spatial_join import within_distance
 
 #: Links end and begin at one junction within this distance; gaps are looked for up to LIMIT metres; a step back of BACK metres on one link is noise.

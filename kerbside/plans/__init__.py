@@ -1,6 +1,6 @@
 """Queries over the driver's tables, with the SQL that gives the same rows."""
 
-from . import core_queries
+from . import core_queries, geometry_queries, track_queries
 
-QUERIES = dict(core_queries.QUERIES)
-ORACLE_SQL = dict(core_queries.ORACLE_SQL)
+QUERIES = core_queries.QUERIES | geometry_queries.QUERIES | track_queries.QUERIES
+ORACLE_SQL = core_queries.ORACLE_SQL | geometry_queries.ORACLE_SQL
