@@ -203,8 +203,8 @@ def _send(shards: int, hot: np.ndarray, hot_n: np.ndarray, total: float, mu: flo
         owner = np.repeat(np.arange(texts), count)
         at = np.searchsorted(hot, w[is_hot])
         n = hot_n[at] if len(hot) else np.zeros(0)
-        base = np.bincount(owner[is_hot], np.log10((n + 1.0) / total), texts)
-        score = base + np.bincount(owner[is_hot], np.log10(mu / (n + mu)), texts)
+        base = np.bincount(owner[is_hot], np.log10((n + 1.0) / total), texts).astype(float)
+        score = base + np.bincount(owner[is_hot], np.log10(mu / (n + mu)), texts).astype(float)
         head = {"ids": ids, "held": held, "count": count.astype(np.uint32), "base": base, "score": score, "known": np.bincount(owner[is_hot], minlength=texts).astype(np.uint32)}
         order = np.argsort(shard.astype(np.uint16) if shards <= 65535 else shard, kind="stable")
         ends = np.cumsum(np.bincount(shard, minlength=shards))
