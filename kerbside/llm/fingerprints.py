@@ -4,9 +4,9 @@ Terms are runs of letters and digits in lower case.  The lexicon holds the terms
 whose inverse document frequency lies in a band; the share of documents that a
 term must reach bounds the lexicon's size by the mean number of terms of a
 document over that share, whatever the number of documents.  Randomised subsets
-of the lexicon are drawn by hashing: one holds all terms, and five levels of
-sixteen subsets hold each term with a chance of 1/8, 1/32, ... 1/2048, so that
-texts of any length have subsets of which they hold one or two terms.  A text's
+of the lexicon are drawn by hashing: five levels of sixteen subsets hold each
+term with a chance of 1/16, 1/64, ... 1/4096, so that texts of any length have
+subsets of which they hold one or two terms.  A text's
 distinct terms in a subset are hashed as a set; the codes of all subsets make
 the fingerprint.
 
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: (subsets, one in so many terms) of each level.
-LEVELS = ((1, 1), (16, 8), (16, 32), (16, 128), (16, 512), (16, 2048))
-SUBSETS = sum(n for n, _ in LEVELS)
+#: Levels of subsets; level k shares one in 4**k of the lexicon's terms out among its subsets.
+LEVELS, PER_LEVEL = 5, 16
+SUBSETS = LEVELS * PER_LEVEL
 CODE = 4
 ABSENT = "-" * CODE
 #: Terms that a broadcast may hold; a larger lexicon is joined by a shuffle.
@@ -40,61 +40,51 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", *, least: float = 0.001, most: float = 0.2) -> DataFrame:
-    """Rows (term, low, high): terms in `least` to `most` of all documents and in two at least, and their subsets as bits."""
+    """Rows (term, level, slot): terms in `least` to `most` of all documents and in two at least, one row for each subset that holds them; each is in one of level 0."""
     n = docs.count()
     counts = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     kept = counts.where((F.col("df") >= 2) & (F.col("df") >= least * n) & (F.col("df") <= most * n)).select("term")
 
-    def bits(first: int, last: int) -> Column:
-        out, k = F.lit(0).cast("long"), 0
-        for subsets, one_in in LEVELS:
-            for _ in range(subsets):
-                if first <= k < last:
-                    out = out.bitwiseOR(F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(one_in)) == 0, F.lit(1 << (k - first))).otherwise(F.lit(0)).cast("long"))
-                k += 1
-        return out
-
-    return materialize(kept.select("term", bits(0, 41).alias("low"), bits(41, SUBSETS).alias("high")), "lexicon")
+    # one draw for a term and level, so that a term is in one subset of a level at most
+    draw = [F.pmod(F.xxhash64("term", F.lit(k)), F.lit(PER_LEVEL * 4**k)) for k in range(LEVELS)]
+    held = F.filter(F.array(*(F.struct(F.lit(k).alias("level"), d.cast("int").alias("slot")) for k, d in enumerate(draw))), lambda x: x["slot"] < PER_LEVEL)
+    return materialize(kept.select("term", F.explode(held).alias("s")).select("term", "s.level", "s.slot"), "lexicon")
 
 
 def subset_hashes() -> list[Column]:
-    """Aggregates over a text's distinct lexicon terms (term, low, high): for each subset the exclusive or of the hashes of
-    its terms, null where it has none.  It depends on the set alone, as does the hash of the terms in sorted order, and it
-    needs no list of the terms."""
-    held = [F.getbit("low" if k < 41 else "high", F.lit(k if k < 41 else k - 41)) == 1 for k in range(SUBSETS)]
-    return [F.bit_xor(F.when(on, F.col("term"))).alias(f"_x{k}") for k, on in enumerate(held)]
-
-
-def code(whole: Column) -> Column:
-    """The fingerprint from the subset hashes; without any term, from the identity of the whole text."""
-    parts = [F.when(F.col(f"_x{k}").isNull(), F.lit(ABSENT)).otherwise(F.lpad(F.hex(F.pmod(F.xxhash64(f"_x{k}"), F.lit(16**CODE))), CODE, "0")) for k in range(SUBSETS)]
-    # the first subset has all terms
-    return F.when(F.col("_x0").isNull(), F.concat(F.lit("="), F.lower(F.hex(whole)))).otherwise(F.lower(F.concat(*parts)))
+    """Aggregates over a text's distinct lexicon terms (term, slot) of one level: for each subset the exclusive or of the
+    hashes of its terms, null where it has none.  It depends on the set alone, as does the hash of the terms in sorted
+    order, and it needs no list of the terms."""
+    return [F.bit_xor(F.when(F.col("slot") == k, F.col("term"))).alias(f"_x{k}") for k in range(PER_LEVEL)]
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the share of subsets with equal codes among those of which either text has a term, over all levels that are
-    not full; 1 for equal fingerprints, 0 where one of two different ones has no lexicon term."""
+def level_code() -> Column:
+    """The part of a fingerprint for one level, from its subset hashes."""
+    parts = [F.when(F.col(f"_x{k}").isNull(), F.lit(ABSENT)).otherwise(F.lpad(F.hex(F.pmod(F.xxhash64(f"_x{k}"), F.lit(16**CODE))), CODE, "0")) for k in range(PER_LEVEL)]
+    return F.lower(F.concat(*parts))
 
-    def counts(first: int, n: int) -> Column:
-        places = F.sequence(F.lit(first), F.lit(first + n - 1))
 
-        def at(x: Column, k: Column) -> Column:
-            return F.substring(x, k * CODE + 1, F.lit(CODE))
+def codes(fingerprint: Column) -> Column:
+    """The codes of all subsets."""
+    return F.array(*(F.substring(fingerprint, 1 + k * CODE, CODE) for k in range(SUBSETS)))
 
-        any_ = F.size(F.filter(places, lambda k: (at(a, k) != ABSENT) | (at(b, k) != ABSENT)))
-        same = F.size(F.filter(places, lambda k: (at(a, k) == at(b, k)) & (at(a, k) != ABSENT)))
-        return F.struct(any_.alias("any"), same.alias("same"), F.lit(n).alias("n"))
 
-    first, levels = 0, []
-    for n, _ in LEVELS:
-        levels.append(counts(first, n))
-        first += n
-    open_ = F.filter(F.array(*levels[1:]), lambda x: x["any"] < x["n"])
-    total = F.aggregate(open_, F.lit(0), lambda s, x: s + x["any"])
-    same = F.aggregate(open_, F.lit(0), lambda s, x: s + x["same"])
-    share = F.when(total > 0, same / total).otherwise(F.lit(0.0))
-    return F.when(a == b, F.lit(1.0)).when(F.startswith(a, F.lit("=")) | F.startswith(b, F.lit("=")), F.lit(0.0)).otherwise(share)
+def with_likeness(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """`rows` with, for each name, how alike two fingerprint columns are, from 0 to 1: the share of subsets with equal codes
+    among those of which either text has a term, over all levels that are not full; 1 for equal fingerprints, 0 where one of
+    two different ones has no lexicon term."""
+    columns = sorted({c for p in pairs.values() for c in p})
+    out = rows.withColumns({f"_c_{c}": codes(F.col(c)) for c in columns})
+    out = out.withColumns({f"_z_{n}": F.zip_with(f"_c_{a}", f"_c_{b}", lambda x, y: F.when((x == ABSENT) & (y == ABSENT), 0).when(x == y, 257).otherwise(256)) for n, (a, b) in pairs.items()})
+    # of each level in one sum: 256 for each subset that either has, 1 more for each that is equal
+    out = out.withColumns({f"_s_{n}": F.array(*(F.aggregate(F.slice(f"_z_{n}", 1 + k * PER_LEVEL, PER_LEVEL), F.lit(0), lambda s, x: s + x) for k in range(LEVELS))) for n in pairs})
+    out = out.withColumns({f"_t_{n}": F.aggregate(F.filter(f"_s_{n}", lambda s: s < 256 * PER_LEVEL), F.lit(0), lambda t, s: t + s) for n in pairs})
+    for n, (a, b) in pairs.items():
+        total = F.floor(F.col(f"_t_{n}") / 256)
+        share = F.when(total > 0, (F.col(f"_t_{n}") % 256) / total).otherwise(F.lit(0.0))
+        bare = F.startswith(F.col(a), F.lit("=")) | F.startswith(F.col(b), F.lit("="))
+        out = out.withColumn(n, F.when(F.col(a) == F.col(b), F.lit(1.0)).when(bare, F.lit(0.0)).otherwise(share))
+    return out.select(*rows.columns, *pairs)
 
 
 def _coded(rows: DataFrame, keys: list[str], texts: dict[str, str], known: DataFrame) -> DataFrame:
@@ -109,8 +99,14 @@ def _coded(rows: DataFrame, keys: list[str], texts: dict[str, str], known: DataF
     long = rows.select(*keys, whole.alias("_whole"), F.explode(marks).alias("m")).select(*keys, F.get("_whole", F.col("m.side")).alias("_whole"), "m.side", "m.term")
     table = known if known.count() > BROADCAST_TERMS else F.broadcast(known)
     got = long.join(table, "term", "inner")
-    coded = got.groupBy(*keys, "side", "_whole").agg(*subset_hashes()).select(*keys, "side", code(F.col("_whole")).alias("_code"))
-    return coded.groupBy(*keys).agg(*(F.max(F.when(F.col("side") == k, F.col("_code"))).alias(name) for k, name in enumerate(texts)))
+    parts = got.groupBy(*keys, "side", "_whole", "level").agg(*subset_hashes()).select(*keys, "side", "_whole", "level", level_code().alias("_code"))
+    out = []
+    for k, name in enumerate(texts):
+        levels = [F.max(F.when((F.col("side") == k) & (F.col("level") == v), F.col("_code"))) for v in range(LEVELS)]
+        bare = F.concat(F.lit("="), F.lower(F.hex(F.max(F.when(F.col("side") == k, F.col("_whole"))))))
+        # a text with any term has one in level 0
+        out.append(F.when(levels[0].isNull(), bare).otherwise(F.concat(*(F.coalesce(v, F.lit(ABSENT * PER_LEVEL)) for v in levels))).alias(name))
+    return parts.groupBy(*keys).agg(*out)
 
 
 def _marked(text: Column, side: int) -> Column:
@@ -119,8 +115,8 @@ def _marked(text: Column, side: int) -> Column:
 
 
 def _with_marker(known: DataFrame) -> DataFrame:
-    """The lexicon and term 0, in no subset, so that a text without lexicon terms keeps its row."""
-    marker = known.sparkSession.createDataFrame([(0, 0, 0)], known.schema)
+    """The lexicon and term 0, in no level, so that a text without lexicon terms keeps its row."""
+    marker = known.sparkSession.createDataFrame([(0, -1, -1)], known.schema)
     return known.where("term <> 0").unionByName(marker)
 
 
@@ -145,23 +141,23 @@ def with_next(docs: DataFrame, id_col: str, text: str, rows_each: int = 2000) ->
     n = docs.count()
     parts = max(1, min(STRETCHES, n // rows_each))
     splits = sorted({float(x) for x in docs.select(F.percentile_approx(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)), [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or ()}) if parts > 1 and n else []
-    cut = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="d", outputCol="b") if splits else None
+    cut = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="d", outputCol="stretch") if splits else None
 
     def stretched(frame: DataFrame) -> DataFrame:
         d = frame.withColumn("d", F.col("k").cast("double"))
-        return (cut.transform(d) if cut else d.withColumn("b", F.lit(0.0))).withColumn("b", F.col("b").cast("int")).drop("d")
+        return (cut.transform(d) if cut else d.withColumn("stretch", F.lit(0.0))).withColumn("stretch", F.col("stretch").cast("int")).drop("d")
 
     rows = stretched(rows)
-    tops = {r.b: r.k for r in stretched(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("k"))).groupBy("b").agg(F.max("k").alias("k")).collect()}
+    tops = {r.stretch: r.k for r in stretched(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("k"))).groupBy("stretch").agg(F.max("k").alias("k")).collect()}
     order = sorted(tops, reverse=True)  # stretches by falling id
     after = [(tops[order[(i + 1) % len(order)]], b) for i, b in enumerate(order)]
     # at most STRETCHES rows
     targets = F.broadcast(docs.sparkSession.createDataFrame(after, "k long, to int"))
     best = Window.partitionBy("to").orderBy(F.xxhash64("text"), "text")
-    heads = rows.join(targets, "k").withColumn("r", F.row_number().over(best)).where("r = 1").select("id", "text", "k", F.col("to").alias("b"), F.lit(True).alias("last"))
-    both = rows.select("id", "text", "k", "b", F.lit(False).alias("last")).unionByName(heads)
-    falling = Window.partitionBy("b").orderBy("last", F.col("k").desc(), F.xxhash64("text"), "text")
-    return both.select(F.col("b").alias("stretch"), F.row_number().over(falling).alias("place"), "last", "id", "text", F.lead("text").over(falling).alias("next"))
+    heads = rows.join(targets, "k").withColumn("r", F.row_number().over(best)).where("r = 1").select("id", "text", "k", F.col("to").alias("stretch"), F.lit(True).alias("last"))
+    both = rows.select("id", "text", "k", "stretch", F.lit(False).alias("last")).unionByName(heads)
+    falling = Window.partitionBy("stretch").orderBy("last", F.col("k").desc(), F.xxhash64("text"), "text")
+    return both.select("stretch", F.row_number().over(falling).alias("place"), "last", "id", "text", F.lead("text").over(falling).alias("next"))
 
 
 def compare_with_edits(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,7 +175,5 @@ def compare_with_edits(docs: DataFrame, known: DataFrame, id_col: str = "doc_id"
     coded = _coded(rows, ["stretch", "place", "last", "id", "n_chars", "sha"], {"fingerprint": "text", "edited_fingerprint": "edited"}, _with_marker(known))
     falling = Window.partitionBy("stretch").orderBy("place")
     coded = coded.withColumn("next_fingerprint", F.lead("fingerprint").over(falling)).where(~F.col("last"))
-    return coded.select(
-        F.col("id").alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-    )
+    alike = with_likeness(coded, {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")})
+    return alike.select(F.col("id").alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
