@@ -39,23 +39,49 @@ def _frames(truth: DataFrame, found: DataFrame, by: tuple[str, ...]) -> DataFram
     return t.unionByName(p)
 
 
+def _by_frame(truth: DataFrame, found: DataFrame, by: tuple[str, ...], match, columns: str) -> DataFrame:
+    """Applies `match` to the numpy rows of each frame.
+
+    Frames are dealt over buckets, many to a group, as a frame has few boxes; a
+    bucket's size is the data's over the number of shuffle partitions.
+    """
+    parts = int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    kinds = ", ".join(f"{c} {truth.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*by, "side", "id", *BOX], kind="stable")
+        keys, side = rows[list(by)], rows.side.to_numpy()
+        new = (keys != keys.shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(new)
+        ids, confidence, boxes = rows.id.to_numpy(), rows.confidence.to_numpy(), rows[list(BOX)].to_numpy()
+        out = []
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            m = a + int(np.searchsorted(side[a:b], 1))
+            out += [(a, *x) for x in match(ids[a:m], boxes[a:m], ids[m:b], boxes[m:b], confidence[m:b])]
+        names = [c.split()[0] for c in columns.split(", ")]
+        cells = list(zip(*out, strict=True)) or [()] * (1 + len(names))
+        frame = keys.iloc[list(cells[0])].reset_index(drop=True)
+        return frame.assign(**{n: pd.array(c, dtype={"boolean": "bool", "double": "float64", "long": "Int64"}[k]) for n, k, c in zip(names, [c.split()[1] for c in columns.split(", ")], cells[1:], strict=True)})
+
+    dealt = _frames(truth, found, by).withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(parts)))
+    return dealt.groupBy("_bucket").applyInPandas(run, f"{kinds}, {columns}")
+
+
 def greedy_matches(truth: DataFrame, found: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ("frame",)) -> DataFrame:
     """Rows (by, confidence, tp) for each prediction: the most confident first takes the best box that is free."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t, p = rows[rows.side == 0], rows[rows.side == 1].sort_values(["confidence", "id", *BOX], ascending=[False, True, True, True, True, True], kind="stable")
-        over = _iou_matrix(p[list(BOX)].to_numpy(), t[list(BOX)].to_numpy())
-        free, hit = np.ones(len(t), bool), np.zeros(len(p), bool)
-        for i in range(len(p)):
-            if len(t):
+    def match(t_ids, t_boxes, p_ids, p_boxes, confidence):
+        over, free = _iou_matrix(p_boxes, t_boxes), np.ones(len(t_ids), bool)
+        for i in np.argsort(-confidence, kind="stable"):
+            hit = False
+            if len(t_ids):
                 o = np.where(free, over[i], -1.0)
                 j = int(np.argmax(o))
                 if o[j] >= threshold:
-                    free[j], hit[i] = False, True
-        return p[list(by)].assign(confidence=p.confidence.to_numpy(), tp=hit)
+                    free[j], hit = False, True
+            yield float(confidence[i]), hit
 
-    kinds = ", ".join(f"{c} {truth.schema[c].dataType.simpleString()}" for c in by)
-    return _frames(truth, found, by).groupBy(*by).applyInPandas(run, f"{kinds}, confidence double, tp boolean")
+    return _by_frame(truth, found, by, match, "confidence double, tp boolean")
 
 
 def precision_recall(matches: DataFrame, truths: int, order: list | None = None) -> DataFrame:
@@ -104,17 +130,13 @@ def detection_metrics(truth: DataFrame, found: DataFrame, threshold: float = 0.5
 def frame_matches(truth: DataFrame, found: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ("frame",)) -> DataFrame:
     """Rows (by, track_id, tracked_id) for each true box: the assignment of most overlap in its frame, null where that is below the threshold."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t, p = rows[rows.side == 0].sort_values("id", kind="stable"), rows[rows.side == 1].sort_values("id", kind="stable")
-        over = _iou_matrix(t[list(BOX)].to_numpy(), p[list(BOX)].to_numpy())
-        got = pd.array([None] * len(t), dtype="Int64")
-        for i, j in assign(-over):
-            if over[i, j] >= threshold:
-                got[i] = p.id.iloc[j]
-        return t[list(by)].assign(track_id=t.id.to_numpy(), tracked_id=got)
+    def match(t_ids, t_boxes, p_ids, p_boxes, confidence):
+        over = _iou_matrix(t_boxes, p_boxes)
+        got = {i: int(p_ids[j]) for i, j in assign(-over) if over[i, j] >= threshold}
+        for i in range(len(t_ids)):
+            yield int(t_ids[i]), got.get(i)
 
-    kinds = ", ".join(f"{c} {truth.schema[c].dataType.simpleString()}" for c in by)
-    return _frames(truth, found, by).groupBy(*by).applyInPandas(run, f"{kinds}, track_id long, tracked_id long")
+    return _by_frame(truth, found, by, match, "track_id long, tracked_id long")
 
 
 def switches(matches: DataFrame, clip: tuple[str, ...] = (), frame: str = "frame") -> DataFrame:
