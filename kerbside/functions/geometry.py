@@ -46,12 +46,16 @@ def undistort(k: Sequence[float], d: Sequence[float], u: Column, v: Column, roun
         return u, v
     d = [*d, 0.0, 0.0, 0.0, 0.0, 0.0][:5]
     x0, y0 = (u - k[2]) / k[0], (v - k[5]) / k[4]
-    x, y = x0, y0
-    for _ in range(rounds):
+
+    def step(q: Column, _: Column) -> Column:
+        x, y = q["x"], q["y"]
         r = x * x + y * y
         radial = 1.0 + r * (d[0] + r * (d[1] + r * d[4]))
-        x, y = (x0 - (2.0 * d[2] * x * y + d[3] * (r + 2.0 * x * x))) / radial, (y0 - (d[2] * (r + 2.0 * y * y) + 2.0 * d[3] * x * y)) / radial
-    return x * k[0] + k[2], y * k[4] + k[5]
+        return F.struct(((x0 - (2.0 * d[2] * x * y + d[3] * (r + 2.0 * x * x))) / radial).alias("x"), ((y0 - (d[2] * (r + 2.0 * y * y) + 2.0 * d[3] * x * y)) / radial).alias("y"))
+
+    # a fold, as an unrolled expression would double with each round
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(x0.alias("x"), y0.alias("y")), step)
+    return out["x"] * k[0] + k[2], out["y"] * k[4] + k[5]
 
 
 def distort(k: Sequence[float], d: Sequence[float], u: Column, v: Column) -> Point:

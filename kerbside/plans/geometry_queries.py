@@ -317,13 +317,13 @@ def gcp_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 4).cast("string").alias("cctv_id"), F.col("s_suppkey").alias("n"), (F.col("s_nationkey") * 40.0).alias("u"), (F.col("s_acctbal") / 20.0 + 100.0).alias("v"))
+    p = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 2).cast("string").alias("cctv_id"), F.col("s_suppkey").alias("n"), (F.col("s_nationkey") * 40.0).alias("u"), (F.col("s_acctbal") / 20.0 + 100.0).alias("v"))
     x, y = geometry.project(H, F.col("u"), F.col("v"))
     return calibrate.homographies(p.withColumn("x", x).withColumn("y", y))
 
 
 @query()
 def leave_one_out_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 4).cast("string").alias("cctv_id"), F.col("s_suppkey").alias("n"), (F.col("s_nationkey") * 40.0).alias("u"), (F.col("s_acctbal") / 20.0 + 100.0).alias("v"))
+    p = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 2).cast("string").alias("cctv_id"), F.col("s_suppkey").alias("n"), (F.col("s_nationkey") * 40.0).alias("u"), (F.col("s_acctbal") / 20.0 + 100.0).alias("v"))
     x, y = geometry.project(H, F.col("u"), F.col("v"))
     return calibrate.loo_rms(calibrate.point_errors(p.withColumn("x", x + F.col("n") % 3 * 0.1).withColumn("y", y)))
