@@ -45,18 +45,14 @@ def reproject(objects: DataFrame, calibrations: DataFrame, dimensions: DataFrame
     """All that follows from boxes anew: ground points, speeds and headings by track, floor boxes.  Objects without a track or a ground point keep nulls."""
     placed = reject_far(place(objects, calibrations, dimensions))
     plain = placed.drop("heading", "speed_kmh", "meta")
-    known = plain.where("tracked_id is not null and x is not null")
-    rest = plain.where("tracked_id is null or x is null").withColumn("speed_kmh", F.lit(None).cast("double")).withColumn("heading", F.lit(None).cast("double"))
-    return with_box(smoother.smooth(known, ["cctv_id", "tracked_id"], fps, settings).unionByName(rest))
+    return with_box(smoother.smooth(plain, ["cctv_id", "tracked_id"], fps, settings))
 
 
 def retrack(objects: DataFrame, calibrations: DataFrame, dimensions: DataFrame, fps: float, settings: tracking.Settings | None = None, graph: Graph | None = None) -> DataFrame:
     """Objects tracked anew on the ground (track_id), then smoothed and boxed."""
     placed = reject_far(place(objects, calibrations, dimensions, DEFAULT_HEIGHT_M))
     tracked = tracking.track(placed.drop("track_id", "heading", "speed_kmh"), fps, settings, graph)
-    known = tracked.where("track_id is not null")
-    rest = tracked.where("track_id is null").withColumn("speed_kmh", F.lit(None).cast("double")).withColumn("heading", F.lit(None).cast("double"))
-    return with_box(smoother.smooth(known, ["cctv_id", "track_id"], fps).unionByName(rest))
+    return with_box(smoother.smooth(tracked, ["cctv_id", "track_id"], fps))
 
 
 def to_detections(rows: DataFrame, calibrations: DataFrame, zone: int, fps: float) -> DataFrame:

@@ -111,15 +111,19 @@ def smooth_rows(rows: Iterator[tuple], fps: float, smoother: Smoother, last_fram
 
 
 def smooth(rows: DataFrame, by: list[str], fps: float, settings: Settings | None = None) -> DataFrame:
-    """`rows` (by, frame, x, y, optionally guide) with speed_kmh and heading; a track in one task."""
+    """`rows` (by, frame, x, y, optionally guide) with speed_kmh and heading; a track in one task.  Rows without a point, and those without a track, have nulls."""
     has_guide = "guide" in rows.columns
 
     def run(track: pd.DataFrame) -> pd.DataFrame:
         track = track.sort_values("frame", kind="stable").reset_index(drop=True)
-        guides = [None if pd.isna(g) else float(g) for g in track.guide] if has_guide else [None] * len(track)
-        out = list(smooth_rows(zip(track.frame, track.x, track.y, guides, strict=True), fps, Smoother(settings)))
-        track["speed_kmh"] = [o[0] for o in out]
-        track["heading"] = [o[1] for o in out]
+        known = (track.x.notna() & track.y.notna() & track[by].notna().all(axis=1)).to_numpy()
+        some = track[known]
+        guides = [None if pd.isna(g) else float(g) for g in some.guide] if has_guide else [None] * len(some)
+        out = list(smooth_rows(zip(some.frame, some.x, some.y, guides, strict=True), fps, Smoother(settings)))
+        for k, name in enumerate(("speed_kmh", "heading")):
+            values = np.full(len(track), np.nan)
+            values[known] = [np.nan if o[k] is None else o[k] for o in out]
+            track[name] = pd.array([None if np.isnan(v) else v for v in values], dtype="Float64")
         return track
 
     kept = rows.drop("speed_kmh", "heading")

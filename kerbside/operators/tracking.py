@@ -211,23 +211,22 @@ def track(rows: DataFrame, fps: float, settings: Settings | None = None, graph:
     Detections without a ground point keep a null id.
     """
     s = settings or Settings()
-    placed = rows.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
     gap = F.col("frame") - F.lag("frame").over(Window.partitionBy(by).orderBy("frame")) > s.max_age
-    pieces = islands(placed, [by], ["frame"], F.coalesce(gap, F.lit(False)), "_piece")
+    pieces = islands(rows.drop("track_id"), [by], ["frame"], F.coalesce(gap, F.lit(False)), "_piece")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["frame", "x", "y"], kind="stable").reset_index(drop=True)
-        tracker, ids = Tracker(1.0 / fps, s, graph), []
-        for frame, now in part.groupby("frame", sort=True):
-            ids += tracker.step(int(frame), _detections(now, s.noise))
+        tracker, ids = Tracker(1.0 / fps, s, graph), [None] * len(part)
+        placed = part[part.x.notna() & part.y.notna()]
+        for frame, now in placed.groupby("frame", sort=True):
+            for at, ident in zip(now.index, tracker.step(int(frame), _detections(now, s.noise)), strict=True):
+                ids[at] = ident
         part["track_id"] = [None if i is None else f"{part._piece.iloc[0]}-{i}" for i in ids]
         return part.drop(columns="_piece")
 
     kept = rows.drop("track_id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    out = pieces.drop("track_id").groupBy(by, "_piece").applyInPandas(run, f"{fields}, track_id string")
-    rest = kept.where("x is null or y is null or isnan(x) or isnan(y)").withColumn("track_id", F.lit(None).cast("string"))
-    return out.unionByName(rest)
+    return pieces.groupBy(by, "_piece").applyInPandas(run, f"{fields}, track_id string")
 
 
 def track_by_overlap(rows: DataFrame, threshold: float = 0.3, max_age: int = 30, by: str = "cctv_id") -> DataFrame:
