@@ -75,7 +75,7 @@ def spread(points: DataFrame, height: float) -> DataFrame:
 
 
 def drop_outliers(points: DataFrame, target: float = 1.5, least: int = 6) -> DataFrame:
-    """Points that stay: while the left-out error is over `target` and more than `least` remain, the worst goes, if that makes the error less."""
+    """Points that stay: while the left-out error is over `target` and more than `least` remain, the one without which it is least goes, if that makes it less."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n").reset_index(drop=True)
@@ -84,11 +84,12 @@ def drop_outliers(points: DataFrame, target: float = 1.5, least: int = 6) -> Dat
             rms = float(np.sqrt((e**2).mean()))
             if rms <= target:
                 break
-            fewer = rows.drop(index=int(np.argmax(e))).reset_index(drop=True)
-            after = leave_one_out(fewer[["u", "v"]].to_numpy(), fewer[["x", "y"]].to_numpy())
-            if after is None or float(np.sqrt((after**2).mean())) >= rms:
+            fewer = [rows.drop(index=i).reset_index(drop=True) for i in rows.index]
+            left = [leave_one_out(f[["u", "v"]].to_numpy(), f[["x", "y"]].to_numpy()) for f in fewer]
+            after = [float(np.sqrt((e**2).mean())) if e is not None else np.inf for e in left]
+            if min(after) >= rms:
                 break
-            rows = fewer
+            rows = fewer[int(np.argmin(after))]
         return rows
 
     return points.groupBy("cctv_id").applyInPandas(run, points.schema)
@@ -164,12 +165,13 @@ def focal(v1: tuple[float, float], v2: tuple[float, float], width: int, height:
 
 def ground_matrix(vp: tuple[float, float], f: float, width: int, height: int, camera_height: float) -> np.ndarray:
     """Homography from pixels to ground metres (x to the right, y along the road), camera above the origin."""
-    pitch, yaw = np.arctan2(height / 2 - vp[1], f), np.arctan2(vp[0] - width / 2, f)
+    pitch = np.arctan2(height / 2 - vp[1], f)
+    yaw = np.arctan2((vp[0] - width / 2) * np.cos(pitch), f)
     cp, sp, cy, sy = np.cos(pitch), np.sin(pitch), np.cos(yaw), np.sin(yaw)
     ray = np.array([[1 / f, 0, -width / 2 / f], [0, 1 / f, -height / 2 / f], [0, 0, 1.0]])
     # camera axes (right, down, forward) tipped by the pitch, then turned by the yaw
     tip = np.array([[1, 0, 0], [0, cp, sp], [0, -sp, cp]])
-    level = tip.T @ ray
+    level = tip @ ray
     turn = np.array([[cy, 0, -sy], [0, 1, 0], [sy, 0, cy]])
     level = turn @ level
     return np.vstack([camera_height * level[0], camera_height * level[2], level[1]])

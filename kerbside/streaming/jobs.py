@@ -25,8 +25,8 @@ def event_time(rows: DataFrame, column: str = "ts") -> DataFrame:
     return rows.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def smooth(rows: DataFrame, fps: float, settings: smoother.Settings | None = None, idle_ms: int = 60_000) -> DataFrame:
-    """Rows (cctv_id, track_id, frame, x, y, speed_kmh, heading) of a stream (cctv_id, track_id, frame, x, y); a track's state goes after `idle_ms` without rows."""
+def smooth(rows: DataFrame, fps: float, settings: smoother.Settings | None = None, idle_ms: int | None = 60_000) -> DataFrame:
+    """Rows (cctv_id, track_id, frame, x, y, speed_kmh, heading) of a stream (cctv_id, track_id, frame, x, y); a track's state goes after `idle_ms` without rows, or never if that is None."""
     s = settings or smoother.Settings()
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -40,12 +40,13 @@ def smooth(rows: DataFrame, fps: float, settings: smoother.Settings | None = Non
             now = now[now.frame > old["last"]]
         out = list(smoother.smooth_rows(((int(f), float(x), float(y), None) for f, x, y in zip(now.frame, now.x, now.y, strict=True)), fps, machine, old["last"]))
         state.update((json.dumps({"last": out[-1][2] if out else old["last"], "smoother": machine.state}),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame({"cctv_id": key[0], "track_id": key[1], "frame": [o[2] for o in out], "x": now.x.to_numpy(float), "y": now.y.to_numpy(float), "speed_kmh": [o[0] for o in out], "heading": [o[1] for o in out]})
 
     schema = "cctv_id string, track_id string, frame long, x double, y double, speed_kmh double, heading double"
-    return rows.groupBy("cctv_id", "track_id").applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("cctv_id", "track_id").applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def _freeze(t: tracking.Tracker) -> str:
@@ -58,7 +59,7 @@ def _thaw(t: tracking.Tracker, text: str) -> None:
     t.tracks = [tracking.Track(k["ident"], np.array(k["x"]), np.array(k["p"]), k["frame"], k["kind"], k["confidence"], k["hits"], k["age"], k["missed"], [tuple(o) for o in k["seen"]]) for k in d["tracks"]]
 
 
-def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None, idle_ms: int = 60_000) -> DataFrame:
+def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None, idle_ms: int | None = 60_000) -> DataFrame:
     """Rows (cctv_id, frame, x, y, track_id) of a stream (cctv_id, frame, x, y, confidence, class), keyed by camera.
 
     Tracks expire `max_age` frames after their last detection, and are confirmed
@@ -80,11 +81,12 @@ def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None
         for frame, some in now.groupby("frame", sort=True):
             ids += machine.step(int(frame), tracking._detections(some, s.noise))
         state.update((_freeze(machine),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if len(now):
             yield pd.DataFrame({"cctv_id": key[0], "frame": now.frame.to_numpy(), "x": now.x.to_numpy(float), "y": now.y.to_numpy(float), "track_id": [None if i is None else str(i) for i in ids]})
 
-    return rows.groupBy("cctv_id").applyInPandasWithState(step, "cctv_id string, frame long, x double, y double, track_id string", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("cctv_id").applyInPandasWithState(step, "cctv_id string, frame long, x double, y double, track_id string", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def counts(rows: DataFrame, length: str = "1 minute", late: str = "10 minutes", by: str = "class") -> DataFrame:
