@@ -183,12 +183,11 @@ def jitter_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.tracks(spark, sf_dir).select("track_id", "frame", F.round(sequences.jitter_radius("x", "y", sequences.window(["track_id"], ["frame"])), 6).alias("r"))
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS i FROM ({TRACKS}) WHERE track_id < 20),
+@query(f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS i FROM ({TRACKS})),
  e AS (SELECT track_id, frame, i, x AS v FROM d WHERE i = 1 UNION ALL SELECT d.track_id, d.frame, d.i, 0.4 * d.x + 0.6 * e.v FROM e JOIN d ON d.track_id = e.track_id AND d.i = e.i + 1)
  SELECT track_id, frame, round(v, 6) AS ema FROM e""")
 def speed_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.tracks(spark, sf_dir).where("track_id < 20")  # the tracks that the recursion of the SQL check can follow
-    return sequences.ema(rows, ["track_id"], "frame", "x", 0.4).withColumn("ema", F.round("ema", 6))
+    return sequences.ema(tables.tracks(spark, sf_dir), ["track_id"], "frame", "x", 0.4).withColumn("ema", F.round("ema", 6))
 
 
 @query(f"""WITH d AS ({TRACKS}), k AS (SELECT track_id, frame, CASE WHEN frame % 3 = 0 THEN x END AS v FROM d),
@@ -349,11 +348,11 @@ def semi_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.predictions(read(spark, sf_dir, "orders").withColumn("frame", F.col("o_orderkey")), frames).select("o_orderkey")
 
 
-@query("""WITH q AS (SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 3 = 0 THEN 'please show nation _' || (o_orderkey % 25) ELSE 'count of NATION_1' END AS text FROM orders WHERE o_orderkey < 500),
+@query("""WITH q AS (SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 3 = 0 THEN 'please show nation _' || (o_orderkey % 25) ELSE 'count of NATION_1' END AS text FROM orders),
  h AS (SELECT question_id, n_nationkey::VARCHAR AS cctv_id, n_name FROM q JOIN nation ON contains(replace(lower(text), ' ', ''), lower(n_name)) WHERE regexp_matches(lower(text), '\\b(show|find)\\b'))
  SELECT question_id, arg_min(cctv_id, n_name) AS cctv_id FROM h GROUP BY 1""")
 def map_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey < 500")
+    o = read(spark, sf_dir, "orders")
     q = o.select(F.col("o_orderkey").alias("question_id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("please show nation _"), (F.col("o_orderkey") % 25).cast("string"))).otherwise(F.lit("count of NATION_1")).alias("text"))
     c = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("cctv_id"), F.col("n_name").alias("name"))
     return map_command(q, c)
@@ -368,7 +367,7 @@ def shift_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n", *(F.round(c, 6).alias(c) for c in ("mean", "median", "p95")), "max", "l_returnflag")
 
 
-_STATES = "SELECT 'L' || (l_partkey % 40) AS link_id, l_suppkey AS track_id, l_orderkey AS frame, l_quantity * 2.0 AS s FROM lineitem WHERE l_linenumber = 1"
+_STATES = "SELECT 'L' || (min(l_partkey) % 40) AS link_id, l_suppkey AS track_id, l_orderkey AS frame, max(l_quantity) * 2.0 AS s FROM lineitem GROUP BY l_suppkey, l_orderkey"
 _PAIRS = f"""p AS (SELECT *, lag(link_id) OVER w AS pl, lag(s) OVER w AS ps, lag(frame) OVER w AS pf FROM ({_STATES}) WINDOW w AS (PARTITION BY track_id ORDER BY frame)),
  v AS (SELECT track_id, link_id, floor((s + ps) / 2.0 / 10.0)::INT AS bin, (s - ps) / ((frame - pf) / 30.0::DOUBLE) * 3.6 AS v FROM p WHERE pl = link_id AND (frame - pf) / 30.0 > 1e-6), k AS (SELECT * FROM v WHERE v BETWEEN 0 AND 160),
  h AS (SELECT track_id, link_id, bin, count(*) AS n, quantile_cont(v, 0.5) AS m FROM k GROUP BY 1, 2, 3), t AS (SELECT track_id, link_id, count(*) AS tn, quantile_cont(v, 0.5) AS tm FROM k GROUP BY 1, 2),
@@ -376,8 +375,8 @@ _PAIRS = f"""p AS (SELECT *, lag(link_id) OVER w AS pl, lag(s) OVER w AS ps, lag
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return li.select(F.concat(F.lit("L"), (F.col("l_partkey") % 40).cast("string")).alias("link_id"), F.col("l_suppkey").alias("track_id"), F.col("l_orderkey").alias("frame"), (F.col("l_quantity") * 2.0).alias("s"))
+    li = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("track_id"), F.col("l_orderkey").alias("frame")).agg(F.min("l_partkey").alias("p"), F.max("l_quantity").alias("q"))
+    return li.select(F.concat(F.lit("L"), (F.col("p") % 40).cast("string")).alias("link_id"), "track_id", "frame", (F.col("q") * 2.0).alias("s"))
 
 
 def _per_track(spark: SparkSession, sf_dir: str) -> DataFrame:

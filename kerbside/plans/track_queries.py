@@ -46,7 +46,7 @@ def ground_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def overlap_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = tables.boxes(spark, sf_dir).withColumn("frame", F.col("l_orderkey"))
-    return tracking.track_by_overlap(b.where("l_linenumber = 1").select("cctv_id", "frame", "x1", "y1", "x2", "y2"))
+    return tracking.track_by_overlap(b.groupBy("cctv_id", "frame").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")))
 
 
 @query
@@ -87,6 +87,6 @@ def identity_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def detection_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = tables.boxes(spark, sf_dir)
-    truth = b.where("l_linenumber = 1").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("track_id"), "x1", "y1", "x2", "y2")
-    found = b.where("l_linenumber = 1").select(F.col("l_orderkey").alias("frame"), F.col("l_orderkey").alias("tracked_id"), (F.col("l_orderkey") % 90 / 100.0).alias("confidence"), (F.col("x1") + F.col("l_orderkey") % 30).alias("x1"), "y1", (F.col("x2") + F.col("l_orderkey") % 30).alias("x2"), "y2")
+    truth = b.select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("track_id"), "x1", "y1", "x2", "y2")
+    found = b.select(F.col("l_orderkey").alias("frame"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("tracked_id"), (F.col("l_orderkey") % 90 / 100.0).alias("confidence"), (F.col("x1") + F.col("l_orderkey") % 30).alias("x1"), "y1", (F.col("x2") + F.col("l_orderkey") % 30).alias("x2"), "y2")
     return evaluation.greedy_matches(truth, found)
