@@ -6,12 +6,13 @@ to each node on it how the node is laid out (the sequence of its children) and
 what it says (all text of the branch).  A node's composite importance weighs the
 entropy of its layouts and of its contents over the host's pages: a branch that
 looks and reads alike on all pages has importance 0, one that differs on each
-page has 1.  Branches of low importance are removed from each page.
+each page has 1.  The text of branches of low importance is removed from each page.
 
-Few pages say little about a site, so a host needs MIN_PAGES pages that have a
-node before the node can be found unimportant.  What elements mean comes in as a
-prior: navigation, forms, adverts and their kin have importance 0, and plain
-text blocks of an article are never removed for what the tree says.
+Copies say nothing about what a site repeats, so pages that look the same to the
+tree count once.  Few pages say little about a site, so a host needs MIN_PAGES
+different pages that have a node before the node can be found unimportant.  What elements mean comes in as a
+prior: navigation, forms, adverts and their kin have importance 0, and the
+page, its body and articles, and plain text blocks of an article, are never removed for what the tree says.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ _IMPLIED = {
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox banner banners breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus footer form gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices alert alerts overlay pager pagination popup popups privacy promo promos promotion related recommended recommendations replies reply respond search share sharing sidebar sidebars signup skip skiplink social sponsor sponsored sponsors subscribe subscription tagcloud toolbar topbar trending warning widget widgets".split()
 )
+# Elements that are never removed for what the tree says.
+_KEPT = frozenset("#page html body article main".split())
 _SPLIT_NAME = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -176,9 +179,10 @@ def features(root: Node) -> list[tuple[int, int, int, int]]:
 
 
 def blocks(root: Node, removed: frozenset[int] = frozenset()) -> list[str]:
-    """The text blocks of the page, without unwanted elements and removed branches.
+    """The text blocks of the page, without unwanted elements and without the text that stands in removed branches.
 
-    Where a page has article or main elements only they are read.
+    A branch below a removed one stays if it was not removed itself.  Where a
+    page has article or main elements only they are read.
     """
     wanted = any(n.tag in ("article", "main") and n.prior for n in _walk(root))
     out: list[str] = []
@@ -190,30 +194,32 @@ def blocks(root: Node, removed: frozenset[int] = frozenset()) -> list[str]:
         if text:
             out.append(text)
 
-    # (node or text or None for the end of a block, whether within an article)
-    todo: list[tuple[Node | str | None, bool]] = [(root, False)]
+    # (node or text or None for the end of a block, whether within an article, whether below a removed branch, whether text here is removed)
+    todo: list[tuple[Node | str | None, bool, bool, bool]] = [(root, False, False, False)]
     while todo:
-        item, inside = todo.pop()
+        item, inside, below, gone = todo.pop()
         if item is None:
             flush()
         elif isinstance(item, str):
-            if inside or not wanted:
+            if (inside or not wanted) and not gone:
                 part.append(item)
         else:
-            inside = inside or item.tag in ("article", "main")
-            plain = inside and not item.named
-            if not item.prior or item.tag == "header" and not inside or item.key in removed and not plain:
+            article = item.tag in ("article", "main")
+            inside, below = inside or article, below and not article
+            plain = inside and not item.named and not below
+            if not item.prior or item.tag == "header" and not inside:
                 if item.tag in _BLOCKS:
                     flush()
                 continue
             if item.tag == "br":
                 part.append(" ")
                 continue
+            gone = item.key in removed and not plain and item.tag not in _KEPT
             block = item.tag in _BLOCKS
             if block:
                 flush()
-                todo.append((None, inside))
-            todo += [(x, inside) for x in reversed(item.items)]
+                todo.append((None, inside, below, gone))
+            todo += [(x, inside, below or gone, gone) for x in reversed(item.items)]
     flush()
     return out
 
@@ -223,15 +229,17 @@ def _signed(x: int) -> int:
 
 
 def style_tree(pages: DataFrame, url: str, source: str) -> DataFrame:
-    """Rows (host, path, pages, importance): the merged tree of every host."""
+    """Rows (host, path, pages, importance, contents): the merged tree of every host, over its different pages."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(h, *map(_signed, f[:3]), f[3]) for h, s in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True) for f in features(parse(s or ""))]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["host", "path", "layout", "contents", "children"])
-
-    seen = map_arrow(pages.select(host_key(url).alias("host"), F.col(source).alias("html")), run, "host string, path long, layout long, contents long, children int", "html")
-    pairs = seen.groupBy("host", "path", "layout", "contents").agg(F.count(F.lit(1)).alias("n"), F.max("children").alias("children"))
+        seen = [features(parse(s or "")) for s in batch.column("html").to_pylist()]
+        page = [_signed(xxhash.xxh3_64_intdigest(repr(nodes))) for nodes in seen]
+        lists = [pa.array([[_signed(f[k]) for f in nodes] for nodes in seen], pa.list_(pa.int64())) for k in range(4)]
+        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(page, pa.int64()), *lists], names=["host", "page", "path", "layout", "contents", "children"])
+
+    seen = map_arrow(pages.select(host_key(url).alias("host"), F.col(source).alias("html")), run, "host string, page long, path array<long>, layout array<long>, contents array<long>, children array<long>", "html")
+    nodes = seen.dropDuplicates(["host", "page"]).select("host", F.explode(F.arrays_zip("path", "layout", "contents", "children")).alias("node")).select("host", "node.*")
+    pairs = nodes.groupBy("host", "path", "layout", "contents").agg(F.count(F.lit(1)).alias("n"), F.max("children").alias("children"))
 
     def entropy(by: str) -> DataFrame:
         counts = pairs.groupBy("host", "path", by).agg(F.sum("n").alias("n"), F.max("children").alias("children"))

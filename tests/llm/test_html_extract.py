@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from kerbside.llm.html_extract import blocks, extract, parse
+from kerbside.llm.html_extract import _walk, blocks, extract, parse
 
 
 @pytest.mark.parametrize(
@@ -53,5 +53,29 @@ def test_the_style_tree_removes_what_a_site_repeats(spark):
     assert out[200].startswith("Welcome") and out[201] == out[202] == ""
 
 
+def test_copies_do_not_blank_a_host(spark):
+    """Pages of hosts full of copies keep their text; what different pages repeat still goes."""
+    def page(k, note=""):
+        return f"<html><!-- {note} --><body><div class='x1'>Welcome to our site</div><div class='x2'><p>story {k} of its own {k * 7}</p></div></body></html>"
+
+    rows = [(k, "http://alike.example.com/a", page(0, f"served {k}")) for k in range(12)]
+    rows += [(100 + k, "http://copies.example.com/a", page(max(0, k - 179))) for k in range(200)]
+    rows += [(400 + k, "http://six.example.com/a", page(k % 6)) for k in range(600)]
+    out = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == "Welcome to our site\n\nstory 0 of its own 0" for k in range(12))
+    assert all(out[100 + k] == f"story {max(0, k - 179)} of its own {max(0, k - 179) * 7}" for k in range(200))
+    assert all(out[400 + k] == f"Welcome to our site\n\nstory {k % 6} of its own {k % 6 * 7}" for k in range(600))
+
+
+def test_what_holds_kept_text_is_not_removed():
+    root = parse("<body>a<div class='w'>b<div class='s'>c</div><article>d<p>e</p><div class='n'>f<p>g</p></div></article></div></body>")
+    assert blocks(root) == ["d", "e", "f", "g"]
+    every = frozenset(n.key for n in _walk(root))
+    assert blocks(root, every) == ["d", "e"]
+    root = parse("<body>a<div class='w'>b<div class='s'>c</div></div></body>")
+    node = {n.look: n.key for n in _walk(root)}
+    assert blocks(root, frozenset([node["#page"], node["body"], node["div class=w"]])) == ["a", "c"]
+
+
 def test_empty(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
