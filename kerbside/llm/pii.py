@@ -67,16 +67,27 @@ _PART = re.compile(rf"{_WORD}|[0-9]", re.IGNORECASE)
 
 
 _BRACKETED = re.compile(rf"{_OPEN}\s{{0,3}}(?:at|arroba|@|dot|punkt|punto|point|\.)\s{{0,3}}{_CLOSE}", re.IGNORECASE)
+_WORDED = re.compile(rf"\s(?:dot|punkt|punto)\s|\s(?:at|arroba)\s{{1,3}}[A-Za-z0-9-]{{1,63}}\s{{0,3}}(?:{_OPEN}\s{{0,3}})?(?:dot|punkt|punto|point)\b", re.IGNORECASE)
+_PLUS = re.compile(r"\bplus\s", re.IGNORECASE)
+_TOKENS = re.compile(r"\w+")
 
 
 def _disguised(text: str) -> bool:
-    """Whether `text` may hold a disguise other than a look-alike character; a cheap look before the transducer runs."""
-    low = text.lower()
-    if any(w in low for w in (" dot", "\tdot", "\ndot", " punkt", "\tpunkt", "\npunkt", " punto", "\tpunto", "\npunto")) or any(c in text for c in _UNSEEN):
+    """Whether `text` may hold a disguise other than a look-alike character; a cheap look before the transducer runs.
+
+    True wherever _DISGUISE matches: each of its alternatives has a wider look here.
+    """
+    if any(c in text for c in _UNSEEN):
         return True
     if any(c in text for c in "[({<") and _BRACKETED.search(text):
         return True
-    return not _DIGIT.keys().isdisjoint(low.replace(",", " ").replace("-", " ").replace(".", " ").split())
+    # the four characters beyond lower() that the patterns take for ASCII letters
+    low = text.lower() if text.isascii() else text.replace("İ", "i").replace("ı", "i").replace("ſ", "s").replace("K", "k").lower()
+    if any(w in low for w in ("dot", "punkt", "punto", "point")) and _WORDED.search(text):
+        return True
+    if "plus" in low and _PLUS.search(text):
+        return True
+    return not _DIGIT.keys().isdisjoint(_TOKENS.findall(low))
 
 
 class _Look(dict):

@@ -3,7 +3,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kerbside.llm.pii import KINDS, find_pii, hide, luhn, mask_pii, plain_spans, spans
+from kerbside.llm.pii import _DISGUISE, _LOOK, KINDS, _disguised, find_pii, hide, luhn, mask_pii, plain_spans, spans
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -47,6 +47,31 @@ def test_disguises_map_back_to_the_source():
     assert found("４１１１ １１１１ １１１１ １１１１") == [("card", "４１１１ １１１１ １１１１ １１１１")]
 
 
+def test_a_disguise_needs_no_other_to_be_seen():
+    assert found("call plus 49 30 1234 5678") == [("phone", "plus 49 30 1234 5678")]
+    assert found("card:four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1") == [("card", "four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1")]
+    assert found("(four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1; next") == [("card", "four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1")]
+    assert hide("joe [at] example\xa0dot\xa0com, joe@example\rdot\rcom") == "[EMAIL], [EMAIL]"
+    assert hide("joe@example\rdot\rcom") == "[EMAIL]"
+
+
+PARTS = ["plus", "PLUS", "at", "arroba", "@", "dot", "Punkt", "punto", "point", "one", "fünf", "FİVE", "ſix", "sıx", "zéro", "OH", "acht", "7", "42", "joe", "com", "é", "_", "\u200b"] + list(" \t\n\r\xa0\u2003,-.:;[](){}<>+'")
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=9).map("".join))
+def test_the_look_sees_all_that_the_transducer_would(text):
+    for seen in (text, text.translate(_LOOK)):
+        assert _disguised(seen) or not _DISGUISE.search(seen)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(["plus 4", "plus  one", "(one 2", "joe at a point", "a dot c", "[ at ]", "seven-7", "a\xa0punkt\xa0b"]), st.text(max_size=5), st.text(max_size=5))
+def test_the_look_sees_disguises_in_any_surroundings(core, before, after):
+    for seen in (before + core + after, (before + core + after).translate(_LOOK)):
+        assert _disguised(seen) or not _DISGUISE.search(seen)
+
+
 def test_clean_text_has_none():
     for t in ("look at the dots at ease", "we met at noon. Dot matrix printers are loud", "one two three", "1.2.3", "a@b", "4111 1111 1111 1112"):
         assert found(t) == []
