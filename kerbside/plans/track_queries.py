@@ -39,14 +39,18 @@ def track_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ground_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _points(spark, sf_dir).groupBy("cctv_id", "frame").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.max("confidence").alias("confidence"), F.first("class").alias("class"))
-    return tracking.track(rows, 10.0)
+    """Every event is a detection.  A camera sees five users, so that a frame holds at most five of them, each at a speed of its own."""
+    rows = _points(spark, sf_dir).withColumn("cctv_id", F.concat(F.lit("cam-"), F.floor(F.col("track_id") / 5)))
+    # the rows are few bytes but much work: as many tasks as there are shuffle partitions, not as few as their size asks for
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cctv_id")
+    return tracking.track(rows.select("cctv_id", "frame", "x", "y", "confidence", "class"), 10.0)
 
 
 @query
 def overlap_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every box is a detection; the boxes of an order are a frame of each camera that sees some of them."""
     b = tables.boxes(spark, sf_dir).withColumn("frame", F.col("l_orderkey"))
-    return tracking.track_by_overlap(b.groupBy("cctv_id", "frame").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")))
+    return tracking.track_by_overlap(b.select("cctv_id", "frame", "x1", "y1", "x2", "y2"))
 
 
 @query

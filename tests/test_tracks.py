@@ -11,6 +11,7 @@ from kerbside.operators import evaluation, matching, sequences, smoother, tracki
 from kerbside.operators.assignment import assign, assign_within
 from kerbside.operators.graph import components, shortest
 from kerbside.operators.lane_graph import Graph, gaps
+from kerbside.plans import track_queries
 
 
 @settings(max_examples=150, deadline=None)
@@ -112,6 +113,18 @@ def test_tracker_follows_objects(spark):
     assert share.mean() > 0.8 and nearest.track_id.nunique() <= 12
 
 
+@pytest.mark.parametrize("name,table,most", [("ground_tracker", "events", 5), ("overlap_tracker", "lineitem", 7)])
+def test_tracker_queries_track_every_detection(spark, name, table, most):
+    """No detection is merged with another, and no two of a camera's frame have one track."""
+    out = track_queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    assert len(out) == spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").count()
+    held = out.groupby(["cctv_id", "frame"]).size()
+    assert 1 < held.max() <= most
+    tracked = out[out.track_id.notna()]
+    assert not tracked.duplicated(["cctv_id", "frame", "track_id"]).any()
+    assert tracked.groupby(["cctv_id", "track_id"]).size().max() > 1 and tracked.groupby(["cctv_id", "frame"]).size().max() > 1
+
+
 def test_tracker_expires_and_confirms():
     t = tracking.Tracker(0.1, tracking.Settings(max_age=2))
     d = lambda x, c=0.9: {"z": np.array([x, 0.0]), "r": np.eye(2) * 0.25, "confidence": c, "class": "car"}
