@@ -15,11 +15,14 @@ from __future__ import annotations
 import json
 from collections import Counter
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Class tokens; no URL has a token with this beginning.
 BLOCK, ALLOW = "class=block", "class=allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,39 +96,64 @@ class Mined:
 
 def prune(rules: list[Mined]) -> list[Mined]:
     """The rules of which no part alone is as confident of the same verdict; those that raise its share most come first."""
-    best: dict[tuple[str, frozenset[str]], float] = {}
-    kept = []
+    kept: list[Mined] = []
+    parts: dict[tuple[str, str], list[tuple[frozenset[str], float]]] = {}  # by verdict and first token
     for r in sorted(rules, key=lambda r: (len(r.tokens), r.tokens, r.verdict)):
         items = frozenset(r.tokens)
-        part = max((best.get((r.verdict, items - {t}), 0.0) for t in items), default=0.0)
-        if part < r.confidence:
+        if not any(c >= r.confidence and p < items for t in r.tokens for p, c in parts.get((r.verdict, t), ())):
             kept.append(r)
-        best[r.verdict, items] = max(r.confidence, part)
+            parts.setdefault((r.verdict, min(r.tokens)), []).append((items, r.confidence))
     return sorted(kept, key=lambda r: (-r.lift, -r.confidence, -r.support, r.tokens, r.verdict))
 
 
-def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", *, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.6, min_lift: float = 1.02, max_rules: int = 20_000) -> list[Mined]:
+def together(rows: DataFrame, least: float) -> list[list[str]]:
+    """Groups of tokens that always occur together, among those in `least` rows of `rows` (items) or more.
+
+    Tokens are told apart by two sums of hashes of the rows that have them.
+    """
+    hashes = [F.xxhash64("items", F.lit(k)).cast("decimal(20,0)").alias(f"h{k}") for k in (0, 1)]
+    each = rows.select(*hashes, F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1"))
+    found = each.where((F.col("n") >= least) & ~F.col("token").isin(BLOCK, ALLOW)).groupBy("n", "h0", "h1").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    return [r.tokens for r in found.where(F.size("tokens") > 1).collect()]
+
+
+def undominated(rules: DataFrame) -> DataFrame:
+    """Rules (tokens, verdict, confidence, ...) without those of which a part, one token shorter, is as confident of the same verdict."""
+    shorter = rules.where(F.size("tokens") > 1).select("tokens", "verdict", "confidence", F.explode("tokens").alias("gone"))
+    shorter = shorter.select(F.col("tokens").alias("whole"), "verdict", "confidence", F.array_except("tokens", F.array("gone")).alias("tokens"))
+    part = rules.select("tokens", "verdict", F.col("confidence").alias("part"))
+    worse = shorter.join(part, ["tokens", "verdict"]).where("part >= confidence").select(F.col("whole").alias("tokens"), "verdict").distinct()
+    return rules.join(worse, ["tokens", "verdict"], "left_anti")
+
+
+def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", *, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.6, min_lift: float = 1.02) -> list[Mined]:
     """Pruned rules from all labelled URLs.
 
     Rows with a null label teach nothing; a null url has the class token alone.
     A rule needs `min_support` of all labelled rows and `min_count` of them, so
     that the number of tokens in rules is at most (tokens of a URL) /
-    min_support whatever the input.  If more than `max_rules` rules are found
-    before pruning, the support is doubled until they are not more.
+    min_support whatever the input.
+
+    Tokens that always occur together are mined as one, since all combinations
+    of them are as confident as one alone, and each of them stands in for that
+    one in the rules found.  Rules that a part makes redundant go before the
+    driver reads any.
     """
     rows = labelled.where(F.col(blocked).isNotNull()).select(F.concat(tokens(F.col(url)), F.array(F.when(F.col(blocked), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items"))
     n = rows.count()
-    support = max(min_support, min(1.0, min_count / max(n, 1)))
-    while n:
-        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
-        found = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW) & (F.col("lift") >= min_lift) & (F.col("support") >= support))
-        first = found.limit(max_rules + 1).collect()
-        if len(first) <= max_rules:
-            break
-        support *= 2
-    else:
-        first = []
-    return prune([Mined(r.consequent[0].partition("=")[2], tuple(sorted(r.antecedent)), r.confidence, r.support, r.lift) for r in first])
+    if not n:
+        return []
+    support = max(min_support, min(1.0, min_count / n))
+    groups = {g[0]: g for g in together(rows, support * n * (1 - 1e-9))}
+    others = [t for g in groups.values() for t in g[1:]]
+    if others:
+        rows = rows.select(F.filter("items", lambda t: ~t.isin(others)).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
+    rules = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW) & (F.col("lift") >= min_lift) & (F.col("support") >= support))
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.col("consequent")[0].alias("verdict"), "confidence", "support", "lift")
+    rules = materialize(rules, "rules")
+    found = [Mined(r.verdict.partition("=")[2], tuple(sorted(t)), r.confidence, r.support, r.lift) for r in undominated(rules).collect() for t in product(*(groups.get(t, [t]) for t in r.tokens))]
+    return prune(found)
 
 
 def fired(url_tokens: Column, rules: list[Mined]) -> Column:

@@ -59,6 +59,20 @@ def test_mined_rules_find_what_the_labels_say(spark):
     assert all(len(r.tokens) == 1 for r in rules if r.verdict == "block")
 
 
+def test_fixed_tokens_of_one_host_cost_no_other_its_rules(spark):
+    """A third of the rows are of a host with many tokens that are the same in each of its URLs; the rules of small hosts stay."""
+    path = "/".join(f"part{chr(97 + k)}" for k in range(12))
+    rows = [(k, f"http://hot.example.org/{path}/{k}", k % 10 != 0) for k in range(2000)]
+    rows += [(2000 + k, f"http://s{'abcdefghij'[k % 10]}.example.net/{k}", k % 10 == 3) for k in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    rules = mine(df)
+    assert ("block", ("word=sd",)) in {(r.verdict, r.tokens) for r in rules}
+    assert {r.tokens[0] for r in rules if r.verdict == "block" and len(r.tokens) == 1} >= {f"path=part{chr(97 + k)}" for k in range(12)}
+    assert len(rules) < 200
+    out = {r.page_id: r.verdict for r in judge(df, [], rules).collect()}
+    assert all(out[k] == ("block" if k < 2000 or k % 10 == 3 else "allow") for k in range(6000))
+
+
 def test_matching_is_that_of_the_sets(spark):
     rules = [Mined("block", ("a", "b"), 0.9, 0.1, 3.0), Mined("block", ("c",), 0.8, 0.1, 2.0), Mined("allow", ("a",), 0.7, 0.1, 1.1)]
     sets = [[], ["a"], ["a", "b"], ["b"], ["b", "c"], ["a", "b", "c"]]
