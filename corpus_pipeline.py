@@ -22,9 +22,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; text that is null or has no letter goes.  A null lang is filled with the prediction."""
-    found = identify(docs, learn(docs), keep=("text", "lang", "source", "n_chars"))
-    return found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    """Documents in a language that was learned; text that is null or has no letter goes.  A null lang is filled with the prediction.  Where nothing was learned all text with a letter stays, as `und`."""
+    model = learn(docs)
+    found = identify(docs, model, keep=("text", "lang", "source", "n_chars"))
+    return found.where(F.col("lang_pred") != "und" if model.languages else F.col("text").rlike(r"\p{L}")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

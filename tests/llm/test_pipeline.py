@@ -41,3 +41,10 @@ def test_rows_with_nulls_and_repeats(spark):
         docs = stage(spark, docs, sf)
     out = {r.doc_id: r.text for r in docs.collect()}
     assert set(out) == {1, 4} and out[4].startswith("Write to [EMAIL]")
+
+
+def test_documents_stay_where_no_language_was_learned(spark):
+    rows = [(1, "A plain text without a label.", None, "s", 29), (2, "éß", None, None, None), (3, "12 34 !", None, "s", 7), (4, None, "en", "s", None), (5, "", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language(spark, docs, "/root/testdata/sf0.001").collect()
+    assert {(r.doc_id, r.text, r.lang) for r in out} == {(1, rows[0][1], "und"), (2, "éß", "und")}
