@@ -13,16 +13,21 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.sql import NAMES, register
 
-# Rows for the summary, rows returned, rows shown, and words that no query needs.
+# Rows for the summary, rows returned, rows shown.
 SUMMARY_ROWS, RETURN_ROWS, SHOWN_ROWS = 20, 50, 10
-_WRITES = re.compile(r"\b(insert|update|delete|drop|alter|create|truncate|attach|copy|grant|revoke|merge|replace\s+into|set|use|refresh|cache|load|add\s+jar)\b", re.I)
-#: Logical plans that only read.
-_READS = frozenset("Project Filter Sort GlobalLimit LocalLimit Offset Aggregate Distinct Union Intersect Except UnresolvedWith WithCTE Join SubqueryAlias UnresolvedRelation UnresolvedHaving Deduplicate LateralJoin Generate Window WithWindowDefinition UnresolvedInlineTable UnresolvedSubqueryColumnAliases Pivot Unpivot UnresolvedPivot OneRowRelation View Expand ResolvedHint UnresolvedHint Sample TableSample RepartitionByExpression UnresolvedTableValuedFunction Range PlanWithUnresolvedIdentifier LocalRelation CTERelationDef CTERelationRef ResolvedInlineTable".split())
+#: Logical plans that only read, as the parser makes them.
+_READS = frozenset("Project Filter Sort GlobalLimit LocalLimit Offset Aggregate Distinct Union Intersect Except UnresolvedWith Join SubqueryAlias UnresolvedRelation UnresolvedHaving LateralJoin Generate WithWindowDefinition UnresolvedInlineTable UnresolvedSubqueryColumnAliases Pivot Unpivot OneRowRelation UnresolvedHint Sample UnresolvedTableValuedFunction LocalRelation ResolvedInlineTable".split())
+#: Groups of built-in functions, as the catalog names them, that compute from their arguments alone, and such functions of other groups.
+_GROUPS = frozenset("agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs map_funcs math_funcs predicate_funcs string_funcs struct_funcs window_funcs".split())
+_FUNCTIONS = frozenset(("typeof", "equal_null", *NAMES))
+#: Table functions that make rows from their arguments alone.
+_TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
 
 
 class Refused(ValueError):
@@ -30,38 +35,120 @@ class Refused(ValueError):
 
 
 def extract_sql(answer: str) -> str:
-    """The SQL of a generator's answer: thoughts and code fences go, text before the first SELECT or WITH goes, as does a last semicolon."""
-    text = re.sub(r"<think>.*?</think>", "", answer, flags=re.S | re.I)
-    if m := re.search(r"```(?:sql)?\s*(.*?)```", text, re.S | re.I):
-        text = m[1]
-    m = re.search(r"\b(with|select)\b", text, re.I)
-    return (text[m.start() :] if m else text).strip().rstrip(";").strip()
+    """The SQL of a generator's answer.
 
-
-def _nodes(plan) -> list[str]:
-    names = [plan.nodeName()]
-    children = plan.children()
-    for i in range(children.size()):
-        names += _nodes(children.apply(i))
-    return names
+    Read line by line: what stands between thought marks goes, the first fenced block is
+    taken where there is one, and lines before the one on which the query begins go.
+    """
+    kept: list[str] = []
+    fenced: list[str] | None = None
+    thinking = False
+    for line in answer.replace("<think>", "\n<think>\n").replace("</think>", "\n</think>\n").splitlines():
+        bare = line.strip()
+        if bare in ("<think>", "</think>"):
+            thinking = bare == "<think>"
+        elif thinking:
+            continue
+        elif bare.startswith("```"):
+            if fenced is not None:
+                break
+            # a fence may hold the query on its own line
+            inner = bare.strip("`").strip()
+            fenced = [inner.removeprefix("sql").strip()]
+            if bare.endswith("```") and len(bare) > 3:
+                break
+        else:
+            (kept if fenced is None else fenced).append(line)
+    text = "\n".join(fenced if fenced is not None else kept)
+    begins = re.search(r"(?<![\w'])\(*\s*(?:with\s+(?:recursive\s+)?\w+\s*(?:\([^)]*\)\s*)?as\s*\(|select\b)", text, re.I)
+    return text[begins.start() if begins else 0 :].strip().removesuffix(";").rstrip()
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+class _Gate:
+    """Walks a parsed query, its expressions and the queries in them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.state = spark._jsparkSession.sessionState()
+        self.gateway = spark.sparkContext._gateway
+        self.identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+
+    def plan(self, node, scope: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind not in _READS:
+            raise Refused(f"plans {kind}")
+        if kind == "UnresolvedRelation":
+            self.relation(_items(node.multipartIdentifier()), scope)
+        elif kind == "UnresolvedTableValuedFunction":
+            self.known(_items(node.name()), _TABLE_FUNCTIONS)
+        elif kind == "UnresolvedWith":
+            for named in _items(node.cteRelations()):
+                name = named._1().lower()
+                self.plan(named._2(), scope | {name} if node.allowRecursion() else scope)
+                scope |= {name}
+        elif kind == "WithWindowDefinition":
+            for definition in _items(node.windowDefinitions().values().toSeq()):
+                self.expression(definition, scope)
+        for x in _items(node.expressions()):
+            self.expression(x, scope)
+        for x in _items(node.children()):
+            self.plan(x, scope)
+
+    def expression(self, node, scope: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            self.function(_items(node.nameParts()))
+        elif kind == "UnresolvedGenerator":
+            if node.name().database().isDefined():
+                raise Refused(f"uses {node.name()}")
+            self.known([node.name().funcName()], _TABLE_FUNCTIONS)
+        elif kind == "ExpressionWithUnresolvedIdentifier":
+            raise Refused(f"uses {kind}")
+        if is_instance_of(self.gateway, node, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+            self.plan(node.plan(), scope)
+        for x in _items(node.children()):
+            self.expression(x, scope)
+
+    def relation(self, parts: list[str], scope: frozenset[str]) -> None:
+        if len(parts) != 1 or parts[0].lower() not in scope and not self.state.catalog().getTempView(parts[0]).isDefined():
+            raise Refused(f"reads {'.'.join(parts)}, which is no view of this session")
+
+    def known(self, parts: list[str], names: frozenset[str]) -> None:
+        if len(parts) != 1 or parts[0].lower() not in names:
+            raise Refused(f"uses {'.'.join(parts)}")
+
+    def function(self, parts: list[str]) -> None:
+        name = parts[0].lower()
+        if len(parts) == 1 and name in _FUNCTIONS:
+            return
+        try:
+            info = self.state.catalog().lookupFunctionInfo(self.identifier(name)) if len(parts) == 1 else None
+        except Exception:  # noqa: BLE001  the catalog throws for names it doesn't know
+            info = None
+        if info is None or info.getGroup() not in _GROUPS or info.getSource() != "built-in":
+            raise Refused(f"uses {'.'.join(parts)}")
 
 
 def check(spark: SparkSession, sql: str) -> None:
-    """Raises Refused unless the text is one statement, begins as a query, has no writing word outside of quotes, and parses to a reading plan."""
-    bare = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)
-    if not re.match(r"\s*\(*\s*(select|with)\b", bare, re.I):
+    """Raises Refused unless the text is one query over the session's temporary views.
+
+    The parsed plan decides, with its expressions, subqueries, common tables
+    and named windows: only nodes that read, only temporary views and common
+    tables in scope, only built-in functions that compute from their arguments
+    and this engine's own.  Reflection, files, catalogs and what tells of the
+    system are out.  Nothing is analysed or run before.
+    """
+    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)
+    if not re.match(r"[\s(]*(select|with)\b", bare, re.I):
         raise Refused("not a SELECT")
-    if ";" in bare:
-        raise Refused("more than one statement")
-    if m := _WRITES.search(bare):
-        raise Refused(f"the word {m[0]} is not allowed")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise Refused(f"does not parse: {str(e).splitlines()[0][:200]}") from None
-    other = [n for n in _nodes(plan) if n.split("(")[0].strip() not in _READS and not n.endswith(("Join", "Hint"))]
-    if other:
-        raise Refused(f"plans {other[0]}")
+    _Gate(spark).plan(plan, frozenset())
 
 
 def run(spark: SparkSession, sql: str) -> DataFrame:
@@ -87,12 +174,12 @@ def plain(value):
     return value if isinstance(value, (str, int, float, bool, type(None))) else str(value)
 
 
-# Example questions and their SQL.
-EXAMPLES = (
-    ("Which camera has most objects?", "SELECT name, n_objects FROM cctv_summary ORDER BY n_objects DESC, name LIMIT 1"),
-    ("How many distinct objects of each class?", "SELECT class, COUNT(DISTINCT track_id) AS n FROM detection GROUP BY class ORDER BY n DESC"),
-    ("How fast do objects move by camera?", "SELECT name, avg_speed_kmh FROM cctv_summary ORDER BY avg_speed_kmh DESC"),
-)
+#: Questions with queries that show joins, windows and this engine's functions.
+EXAMPLES = {
+    "Rank the cameras within each class by the number of tracks that they see.": "SELECT class, cctv_id, n, rank() OVER (PARTITION BY class ORDER BY n DESC) AS place FROM (SELECT class, cctv_id, count(DISTINCT track_id) AS n FROM detection GROUP BY class, cctv_id)",
+    "What is the 90th percentile of speed where a camera has a name?": "SELECT c.name, percentile(d.speed_kmh, 0.9) AS p90 FROM detection d JOIN cctv c USING (cctv_id) WHERE c.name IS NOT NULL GROUP BY c.name",
+    "How many detections lie within 30 m of the point 100, 200?": "SELECT count(*) AS n FROM detection WHERE st_dwithin(st_makepoint(easting, northing), st_makepoint(100D, 200D), 30D)",
+}
 
 
 @dataclass
@@ -112,8 +199,9 @@ class QueryService:
         return "\n".join([*lines, "functions: " + ", ".join(NAMES)])
 
     def prompt(self, question: str) -> str:
-        shots = "\n".join(f"Q: {q}\nSQL: {s}" for q, s in EXAMPLES)
-        return f"Write one Spark SQL query that answers the question. Tables:\n{self.schema_text()}\n{shots}\nQ: {question}\nSQL:"
+        parts = ["Write one Spark SQL query, and no more than that, for the last question.", "-- views", self.schema_text(), "-- examples"]
+        parts += [f"/* {asked} */\n{sql};" for asked, sql in EXAMPLES.items()]
+        return "\n".join([*parts, "-- question", f"/* {question.replace('*/', '* /')} */"])
 
     def sql(self, text: str) -> dict:
         """{backend, sql, columns, rows, truncated}, or {backend, sql, error}."""
@@ -142,12 +230,14 @@ _MAP_WORDS = "show|find|where|go to|zoom|fly|move"
 def map_command(questions: DataFrame, cameras: DataFrame) -> DataFrame:
     """Rows (question_id, cctv_id): questions (question_id, text) that ask for a place and name a camera, white space and case aside; the first name in order on several.
 
-    cameras is a directory of names.
+    Pieces of a question as long as some name meet the names by an equi-join.
     """
-    q = questions.where(F.lower("text").rlike(rf"\b({_MAP_WORDS})\b")).withColumn("_t", F.lower(F.regexp_replace("text", r"\s+", "")))
-    c = cameras.where("name is not null and trim(name) <> ''").select("cctv_id", "name", F.lower(F.regexp_replace("name", r"\s+", "")).alias("_n"))
-    hit = q.join(F.broadcast(c), F.contains(F.col("_t"), F.col("_n")))
-    return hit.groupBy("question_id").agg(F.min_by("cctv_id", F.struct("name", "cctv_id")).alias("cctv_id"))
+    c = cameras.where("name is not null and trim(name) <> ''").select("cctv_id", "name", F.lower(F.regexp_replace("name", r"\s+", "")).alias("_n")).where("_n <> ''")
+    sizes = sorted(r[0] for r in c.select(F.length("_n")).distinct().collect())  # as many as the longest name has characters, at most
+    q = questions.where(F.lower("text").rlike(rf"\b({_MAP_WORDS})\b")).select("question_id", F.lower(F.regexp_replace("text", r"\s+", "")).alias("_t"))
+    places = q.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).where(F.col("_size") <= F.length("_t"))
+    places = places.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_t") - F.col("_size") + 1))).select("question_id", F.col("_t").substr(F.col("_at"), F.col("_size")).alias("_n"))
+    return places.distinct().join(c, "_n").groupBy("question_id").agg(F.min_by("cctv_id", F.struct("name", "cctv_id")).alias("cctv_id"))
 
 
 def views(detections: DataFrame, cameras: DataFrame, links: DataFrame | None = None) -> list[str]:
