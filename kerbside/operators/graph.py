@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` without its lineage: a checkpoint in spark.checkpoint.dir, or in a folder of our own where that is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kerbside-"))
+    """`df` without its lineage: a checkpoint in spark.checkpoint.dir.
+
+    Where that is unset a local session gets a folder of its own; a cluster's
+    machines share none, so there it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kerbside-"))
     return df.checkpoint()
 
 
@@ -31,19 +38,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def shortest(edges: DataFrame, limit: float, hops: int = 64) -> DataFrame:
-    """Rows (src, dst, cost): least cost of every pair within `limit` over edges (src, dst, cost), by relaxation.
+def shortest(edges: DataFrame, limit: float) -> DataFrame:
+    """Rows (src, dst, cost): least cost of every pair of different ends within `limit` over edges (src, dst, cost).
 
-    Each round extends the pairs that improved in the round before by one edge.
+    Each round joins the ways found so far end to end, so that their number of
+    edges doubles; the rounds end when no cost falls.  Costs below 0 are an error.
     """
-    best = cut(edges.where(F.col("cost") <= limit).groupBy("src", "dst").agg(F.min("cost").alias("cost")))
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("cost").alias("more"))
-    fresh = best
-    for _ in range(hops):
-        longer = fresh.join(step, "dst").where((F.col("cost") + F.col("more") <= limit) & (F.col("src") != F.col("to"))).select("src", F.col("to").alias("dst"), (F.col("cost") + F.col("more")).alias("cost"))
-        longer = longer.groupBy("src", "dst").agg(F.min("cost").alias("cost"))
-        merged = cut(best.withColumnRenamed("cost", "old").join(longer.withColumnRenamed("cost", "new"), ["src", "dst"], "full").select("src", "dst", F.least("old", "new").alias("cost"), (F.col("old").isNull() | (F.col("new") < F.col("old"))).alias("improved")))
-        best, fresh = merged.select("src", "dst", "cost"), merged.where("improved").select("src", "dst", "cost")
-        if not fresh.limit(1).count():
-            break
-    return best
+    best = cut(edges.where((F.col("cost") <= limit) & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    if best.where("cost < 0").limit(1).count():
+        raise ValueError("a cost below 0")
+    while True:
+        first, second = best.select("src", F.col("dst").alias("via"), F.col("cost").alias("a")), best.select(F.col("src").alias("via"), "dst", F.col("cost").alias("b"))
+        longer = first.join(second, "via").where((F.col("a") + F.col("b") <= limit) & (F.col("src") != F.col("dst"))).select("src", "dst", (F.col("a") + F.col("b")).alias("cost"), F.lit(None).cast("double").alias("old"))
+        merged = cut(longer.unionByName(best.withColumn("old", F.col("cost"))).groupBy("src", "dst").agg(F.min("cost").alias("cost"), F.min("old").alias("old")))
+        best = merged.select("src", "dst", "cost")
+        if not merged.where("old is null or cost < old").limit(1).count():
+            return best

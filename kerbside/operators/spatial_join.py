@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import on_segment
+from .graph import cut
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -34,12 +35,12 @@ def within_distance(left: DataFrame, right: DataFrame, distance: float, *, inclu
     return pairs.where(F.col("distance") <= distance if inclusive else F.col("distance") < distance)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, *, distance: float | None = None, first: float = 1.0, widest: float = 1e9) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, *, distance: float | None = None) -> DataFrame:
     """For each row of `left` (by key) the nearest row of `right`: key, r_<right_key>, distance; the smaller right key on ties.
 
-    With `distance`, only neighbours within it; without, rings grow fourfold
-    from `first` for the rows that have none yet, up to `widest`.  Rows without
-    a neighbour have nulls.
+    With `distance`, only neighbours within it; without, rings grow fourfold for
+    the rows that have none yet, from the mean distance of the right side's
+    points.  Rows without a neighbour have nulls.
     """
 
     def best(rows: DataFrame, reach: float) -> DataFrame:
@@ -49,16 +50,19 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, *, dist
     points = left.select(key, "x", "y")
     if distance is not None:
         return left.select(key).join(best(points, distance), key, "left")
-    found, reach, rest = None, first, points.where("x is not null and y is not null")
-    if right.where("x is not null and y is not null").limit(1).count():
-        while reach < widest:
-            part = best(rest, reach)
-            found = part if found is None else found.unionByName(part)
-            rest = rest.join(part.select(key), key, "left_anti")
-            if not rest.limit(1).count():
-                break
-            reach *= 4.0
-    return left.select(key).join(found, key, "left") if found is not None else left.select(key, F.lit(None).cast(right.schema[right_key].dataType).alias(f"r_{right_key}"), F.lit(None).cast("double").alias("distance"))
+    box = right.agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    none = left.select(key, F.lit(None).cast(right.schema[right_key].dataType).alias(f"r_{right_key}"), F.lit(None).cast("double").alias("distance"))
+    if not box.n:
+        return none
+    # the mean distance of points spread evenly over the box, or along its longer side
+    reach = max((float(box.w) * float(box.h) / box.n) ** 0.5, max(float(box.w), float(box.h)) / box.n, 1e-6)
+    found, rest = None, cut(points.where("x is not null and y is not null"))
+    while rest.limit(1).count():
+        part = cut(best(rest, reach))
+        found = part if found is None else found.unionByName(part)
+        rest = cut(rest.join(part.select(key), key, "left_anti"))
+        reach *= 4.0
+    return left.select(key).join(found, key, "left") if found is not None else none
 
 
 def top_k(pairs: DataFrame, key: str, order: list, k: int) -> DataFrame:
