@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Point = tuple[Column, Column]
@@ -126,14 +126,19 @@ def box_3d(floor: Column, height: Column, h_inverse: Matrix, cx, cy, z) -> Colum
     return F.concat(F.transform(floor, lambda p: lift(p, False)), F.transform(floor, lambda p: lift(p, True)))
 
 
-def ground_covariance(h: Matrix, u: Column, v: Column, height: Column, cx, cy, z, sigma: float = 3.0) -> tuple[Column, Column, Column]:
-    """(xx, xy, yy) on the ground of `sigma` pixels of noise, by finite differences of one pixel."""
-    x0, y0 = pixel_to_ground(h, u, v, height, cx, cy, z)
-    x1, y1 = pixel_to_ground(h, u + 1.0, v, height, cx, cy, z)
-    x2, y2 = pixel_to_ground(h, u, v + 1.0, height, cx, cy, z)
-    a, b, c, d = x1 - x0, x2 - x0, y1 - y0, y2 - y0
+def with_ground_covariance(rows: DataFrame, h: Matrix, u: Column, v: Column, height: Column, cx, cy, z, sigma: float = 3.0) -> DataFrame:
+    """`rows` with c_xx, c_xy, c_yy: the covariance on the ground of `sigma` pixels of noise, by finite differences of one pixel.
+
+    In stages, so that each projection is computed once.
+    """
+    at = {"_0": (u, v), "_1": (u + 1.0, v), "_2": (u, v + 1.0)}
+    places = {f"{c}{k}": p for k, uv in at.items() for c, p in zip("xy", pixel_to_ground(h, *uv, height, cx, cy, z), strict=True)}
+    out = rows.withColumns(places)
+    steps = {f"_d{c}{k}": F.col(f"{c}_{k}") - F.col(f"{c}_0") for c in "xy" for k in (1, 2)}
+    out = out.withColumns(steps)
     s = sigma * sigma
-    return s * (a * a + b * b), s * (a * c + b * d), s * (c * c + d * d)
+    a, b, c, d = (F.col(n) for n in ("_dx1", "_dx2", "_dy1", "_dy2"))
+    return out.withColumns({"c_xx": s * (a * a + b * b), "c_xy": s * (a * c + b * d), "c_yy": s * (c * c + d * d)}).drop(*places, *steps)
 
 
 def largest_sigma(xx: Column, xy: Column, yy: Column) -> Column:

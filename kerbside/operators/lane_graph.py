@@ -16,8 +16,9 @@ JUNCTION_M, LIMIT_M, BACK_M = 3.0, 300.0, 1.0
 
 
 def ends(links: DataFrame) -> DataFrame:
-    """Rows (link_id, directed, from_node, to_node, length, ax, ay, bx, by): first and last point."""
+    """Rows (link_id, directed, from_node, to_node, length, ax, ay, bx, by): first and last point.  Maps without nodes have nulls there."""
     p = F.col("pts")
+    links = links.select("link_id", "directed", "pts", *(c if c in links.columns else F.lit(None).cast("string").alias(c) for c in ("from_node", "to_node")))
     steps = F.zip_with(F.expr("slice(pts, 1, size(pts) - 1)"), F.expr("slice(pts, 2, size(pts) - 1)"), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
     length = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
     return links.where("size(pts) >= 2").select("link_id", "directed", "from_node", "to_node", length.alias("length"), p[0]["x"].alias("ax"), p[0]["y"].alias("ay"), F.element_at(p, -1)["x"].alias("bx"), F.element_at(p, -1)["y"].alias("by"))
@@ -188,9 +189,9 @@ class Graph:
         return out if out <= limit else None
 
     def advance(self, link: str, s: float, ds: float, toward: np.ndarray | None = None, most: int = 8) -> tuple[str, float]:
-        """(link, s) after ds metres, over at most `most` links, each time the straightest successor (or the one most toward a direction)."""
+        """(link, s) after ds metres, over at most `most` links, each time the straightest successor (or the one most toward a direction); a way back ends with the link."""
         s += ds
-        for _ in range(most):
+        for _ in range(most if ds > 0 else 0):
             if s <= self.length(link) or not self.successors[link]:
                 break
             t = self.tangent(link, self.length(link)) if toward is None else toward

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lane_graph import LIMIT_M, Graph
-from .spatial_join import project_onto
+from .lane_graph import BACK_M, LIMIT_M, ends, gaps, topology
+from .spatial_join import candidates, project_onto
 
 # Noise across the lane and along routes in metres, reach, links kept, weight of a wrong direction, least speed whose heading is trusted.
 SIGMA, BETA, REACH, KEEP, WEIGHT, TRUST_KMH = 2.0, 4.0, 25.0, 6, 2.0, 5.0
@@ -35,16 +34,14 @@ def smooth_progress(s: np.ndarray, width: int = 9) -> np.ndarray:
     if len(s) < 3:
         return s.copy()
     step = np.clip(np.diff(s), 0.0, None)
-    width = max(3, min(width | 1, len(step) if len(step) % 2 else len(step) - 1))
-    half = width // 2
-    if half:
-        padded = np.concatenate([np.full(half, step[0]), step, np.full(half, step[-1])])
-        smooth = np.convolve(padded, np.full(width, 1.0 / width), "valid")
-    else:
-        smooth = step
-    if smooth.sum() > 0:
-        smooth = smooth * (step.sum() / smooth.sum())
-    return np.concatenate([[s[0]], s[0] + np.cumsum(smooth)])
+    width = max(3, width | 1)
+    # a sum of `width` steps around, those beyond the ends being the first and the last
+    held = np.arange(-(width // 2), len(step) + width // 2).clip(0, len(step) - 1)
+    total = np.concatenate([[0.0], np.cumsum(step[held])])
+    smooth = (total[width:] - total[:-width]) / width
+    if step.sum() > 1e-9 and smooth.sum() > 1e-9:
+        smooth *= step.sum() / smooth.sum()
+    return s[0] + np.concatenate([[0.0], np.cumsum(smooth)])
 
 
 def smooth_lateral(d: np.ndarray, width: int = 5) -> np.ndarray:
@@ -53,132 +50,196 @@ def smooth_lateral(d: np.ndarray, width: int = 5) -> np.ndarray:
     return np.array([np.median(d[max(0, i - half) : i + half + 1]) for i in range(len(d))])
 
 
-def penalty(tangent: np.ndarray, direction: np.ndarray | None, directed: bool) -> float:
-    """0 along the lane, 1 against it (across it, where it has no direction); 0 without a direction."""
-    if direction is None:
-        return 0.0
-    c = float(tangent @ direction)
-    return (1.0 - c) / 2.0 if directed else (1.0 - abs(c)) / 2.0
+def directions(rows: DataFrame, by: list[str], trust_kmh: float = TRUST_KMH) -> DataFrame:
+    """`rows` with _dir in radians: the row's own heading if it moves, else the mean heading of the track's moving rows, else null."""
+    moving = F.col("heading").isNotNull() & ~F.isnan("heading") & (F.coalesce("speed_kmh", F.lit(0.0)) >= trust_kmh)
+    track = Window.partitionBy(*by)
+    east, north = (F.sum(F.when(moving, f(F.radians("heading")))).over(track) for f in (F.cos, F.sin))
+    mean = F.when(F.hypot("_east", "_north") > 1e-9, F.atan2("_north", "_east"))
+    return rows.withColumns({"_east": east, "_north": north}).withColumn("_dir", F.when(moving, F.radians("heading")).otherwise(mean)).drop("_east", "_north")
 
 
-def greedy(graph: Graph, points: np.ndarray, directions: list, reach: float = REACH, k: int = KEEP, weight: float = 8.0) -> list:
-    """(link, s, d) of each point on its own: least |d| plus weighted penalty; None without a link."""
-    out = []
-    for p, u in zip(points, directions, strict=True):
-        found = graph.near(p, reach, k)
-        best = min(found, key=lambda c: (abs(c[2]) + weight * penalty(graph.tangent(c[0], c[1]), u, graph.directed[c[0]]), c[0]), default=None)
-        out.append(best[:3] if best else None)
-    return out
+def wrongness(bearing: Column, direction: Column, directed: Column) -> Column:
+    """0 along the lane, 1 against it (across it, where the lane has no direction); 0 without a direction.  bearing in degrees, direction in radians."""
+    c = F.cos(F.radians(bearing) - direction)
+    return F.coalesce(F.when(F.coalesce(directed, F.lit(True)), (1.0 - c) / 2.0).otherwise((1.0 - F.abs(c)) / 2.0), F.lit(0.0))
 
 
-def viterbi(graph: Graph, points: np.ndarray, directions: list, *, sigma: float = SIGMA, beta: float = BETA, reach: float = REACH, k: int = KEEP, limit: float = LIMIT_M, weight: float = WEIGHT) -> list:
-    """(link, s, d) of each point on the most likely path; None without a link.
+def with_options(rows: DataFrame, links: DataFrame, reach: float = REACH, k: int = KEEP) -> DataFrame:
+    """`rows` (x, y) with options: up to k links in reach, least |d| first, as structs (link_id, s, d, bearing, directed, length); null where there are none.
 
-    Emission: Gauss in d, less the weighted penalty.  Transition: exponential
-    in the difference of straight and route distance; no route, no transition.
-    If no transition is left the path begins anew.
+    Each place is looked up once, however many rows stand on it.
     """
-    out: list = [None] * len(points)
-    layers = []  # (index, candidates, scores, back pointers or None)
-    for i, p in enumerate(points):
-        found = graph.near(p, reach, k)
-        if not found:
-            continue
-        emit = np.array([-0.5 * (c[2] / sigma) ** 2 - np.log(np.sqrt(2 * np.pi) * sigma) - weight * penalty(graph.tangent(c[0], c[1]), directions[i], graph.directed[c[0]]) for c in found])
-        back = None
-        score = emit
-        if layers:
-            j, old, before, _ = layers[-1]
-            straight = float(np.hypot(*(points[i] - points[j])))
-            move = np.full((len(old), len(found)), -np.inf)
-            for a, x in enumerate(old):
-                for b, y in enumerate(found):
-                    route = graph.route((x[0], x[1]), (y[0], y[1]), limit)
-                    if route is not None:
-                        move[a, b] = before[a] - abs(straight - route) / beta - np.log(beta)
-            if np.isfinite(move).any():
-                back = np.argmax(move, axis=0)
-                score = emit + move.max(axis=0)
-        layers.append((i, found, score, back))
-    pick = -1
-    for t in range(len(layers) - 1, -1, -1):
-        i, found, score, back = layers[t]
-        if pick < 0:
-            pick = int(np.argmax(score))
-        out[i] = found[pick][:3]
-        pick = int(back[pick]) if back is not None and np.isfinite(score[pick]) else -1
-    return out
-
-
-def lane_lock(graph: Graph, points: np.ndarray, states: list, limit: float = LIMIT_M, width: int = 9) -> list:
-    """States on the longest connected chain of links, with positions that never fall back and a smoothed speed."""
-    seen = [i for i, s in enumerate(states) if s is not None]
-    if not seen:
-        return list(states)
-    chain: list[str] = []
-    for i in seen:
-        if not chain or chain[-1] != states[i][0]:
-            chain.append(states[i][0])
-    runs = [[chain[0]]]
-    for a, b in zip(chain[:-1], chain[1:], strict=True):
-        if graph.gap(a, b, limit) is not None:
-            runs[-1].append(b)
+    places = rows.where("x is not null and y is not null").select("x", "y").distinct().withColumn("_place", F.struct("x", "y"))
+    about = ends(links).select("link_id", "directed", "length")
+    found = candidates(places, links, "_place", reach, k).join(about, "link_id")
+    listed = found.groupBy("_place").agg(F.sort_array(F.collect_list(F.struct("rank", "link_id", "s", "d", "bearing", "directed", "length"))).alias("options"))
+    return rows.join(listed.select("_place.x", "_place.y", "options"), ["x", "y"], "left")
+
+
+def greedy(rows: DataFrame, links: DataFrame, by: list[str], *, reach: float = REACH, k: int = KEEP, weight: float = 8.0, trust_kmh: float = TRUST_KMH) -> DataFrame:
+    """`rows` with link_id, s, d: of the links in reach, that with the least |d| plus weighted wrongness of direction, each row on its own; nulls without a link."""
+    options = with_options(directions(rows.drop("link_id", "s", "d"), by, trust_kmh), links, reach, k)
+    cost = F.transform("options", lambda o: F.struct(F.round(F.abs(o["d"]) + weight * wrongness(o["bearing"], F.col("_dir"), o["directed"]), 9).alias("cost"), o["link_id"].alias("link_id"), o["s"].alias("s"), o["d"].alias("d")))
+    return options.withColumn("_best", F.array_min(cost)).select(*(c for c in rows.columns if c not in ("link_id", "s", "d")), "_best.link_id", "_best.s", "_best.d")
+
+
+def _ways(rows: DataFrame, links: DataFrame, by: list[str], edges: DataFrame | None, limit: float) -> DataFrame:
+    """Rows (by, src, dst, gap, px, py): for each track the gaps between links that follow each other among its options, and the points of its links on rows where src = dst."""
+    before = Window.partitionBy(*by).orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+    steps = rows.where("options is not null").select(*by, "frame", F.col("options.link_id").alias("_to"))
+    steps = steps.withColumn("_from", F.last("_to").over(before)).select(*by, "_from", "_to").distinct()
+    pairs = steps.where("_from is not null").withColumn("src", F.explode("_from")).withColumn("dst", F.explode("_to")).where("src <> dst").select(*by, "src", "dst").distinct()
+    lengths = ends(links).select("link_id", "length")
+    reach = gaps(topology(links) if edges is None else edges, lengths, limit).where("src <> dst")
+    none = F.lit(None).cast("array<double>")
+    routes = pairs.join(reach, ["src", "dst"]).select(*by, "src", "dst", "gap", none.alias("px"), none.alias("py"))
+    own = steps.select(*by, F.explode("_to").alias("link_id")).distinct().join(links.select("link_id", "pts"), "link_id")
+    return routes.unionByName(own.select(*by, F.col("link_id").alias("src"), F.col("link_id").alias("dst"), F.lit(0.0).alias("gap"), F.col("pts.x").alias("px"), F.col("pts.y").alias("py")))
+
+
+class Ways:
+    """The links that one track may be on, numbered: the gaps between them and their points."""
+
+    def __init__(self, src: list, dst: list, gap: np.ndarray, px: list, py: list) -> None:
+        self.ids = sorted({a for a, b in zip(src, dst, strict=True) if a == b})
+        self.code = {link: k for k, link in enumerate(self.ids)}
+        n = len(self.ids)
+        at = {a: k for k, (a, b) in enumerate(zip(src, dst, strict=True)) if a == b}
+        self.points = [np.column_stack([np.asarray(px[at[link]], float), np.asarray(py[at[link]], float)]) for link in self.ids]
+        self.length = np.array([np.hypot(*np.diff(p, axis=0).T).sum() for p in self.points])
+        key = np.array([self.code[a] * n + self.code[b] for a, b in zip(src, dst, strict=True)], np.int64)
+        order = np.argsort(key)
+        self._key, self._gap = key[order], np.asarray(gap, float)[order]
+
+    def gap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Metres between the end of a and the start of b, by numbers of links; infinite out of reach."""
+        want = np.asarray(a, np.int64) * len(self.ids) + b
+        at = np.searchsorted(self._key, want).clip(0, len(self._key) - 1)
+        return np.where(self._key[at] == want, self._gap[at], np.inf)
+
+    def onto(self, link: int, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(s, d, distance) of the nearest place on a link for each point."""
+        p = self.points[link]
+        v = np.diff(p, axis=0)
+        w = np.hypot(*v.T)
+        q = points[:, None, :] - p[None, :-1]
+        t = ((q * v).sum(2) / np.maximum(w**2, 1e-12)).clip(0.0, 1.0)
+        off = q - t[:, :, None] * v
+        r = np.hypot(off[..., 0], off[..., 1])
+        i = np.argmin(r, axis=1)
+        row = np.arange(len(points))
+        s = np.concatenate([[0.0], np.cumsum(w)])[i] + t[row, i] * w[i]
+        n = v[i] / np.maximum(w[i], 1e-12)[:, None]
+        o = off[row, i]
+        return s, n[:, 0] * o[:, 1] - n[:, 1] * o[:, 0], r[row, i]
+
+
+def viterbi(ways: Ways, points: np.ndarray, link: np.ndarray, s: np.ndarray, emit: np.ndarray, *, beta: float = BETA, limit: float = LIMIT_M) -> np.ndarray:
+    """Which option of each point lies on the most likely path.
+
+    link, s and emit hold the options of a point in a row, -1 and -inf standing
+    for none.  A transition is exponential in the difference of straight and
+    route distance; no route, no transition.  If none is left the path begins anew.
+    """
+    n, k = link.shape
+    if not n:
+        return np.zeros(0, int)
+    straight = np.hypot(*np.diff(points, axis=0).T)[:, None, None]
+    a, b, sa, sb = link[:-1, :, None], link[1:, None, :], s[:-1, :, None], s[1:, None, :]
+    ahead = sb - sa
+    route = np.maximum(0.0, ways.length[a] - sa) + ways.gap(a, b) + sb
+    route = np.where(a == b, np.where(ahead >= -BACK_M, np.abs(ahead), np.inf), np.where(route <= limit, route, np.inf))
+    move = np.where((a < 0) | (b < 0) | ~np.isfinite(route), -np.inf, -np.abs(straight - np.where(np.isfinite(route), route, 0.0)) / beta - np.log(beta))
+    score, back = emit[0], np.full((n, k), -1)
+    scores = [score]
+    for t in range(1, n):
+        total = score[:, None] + move[t - 1]
+        best = total.max(axis=0)
+        if np.isfinite(best).any():
+            back[t] = np.where(np.isfinite(best), total.argmax(axis=0), -1)
+            score = best + emit[t]
         else:
-            runs.append([b])
-    links = list(dict.fromkeys(max(runs, key=len)))
-    offset, total = {}, 0.0
-    for n, link in enumerate(links):
-        if n:
-            total += graph.gap(links[n - 1], link, limit) or 0.0
-        offset[link] = total
-        total += graph.length(link)
-    along, lateral = [], []
-    for i in seen:
-        link, (s, d, _) = min(((x, graph.onto(x, points[i])) for x in links), key=lambda c: abs(c[1][1]))
-        along.append(offset[link] + s)
-        lateral.append(d)
-    along = smooth_progress(isotonic(np.array(along)), width)
-    lateral = smooth_lateral(np.array(lateral))
-    out: list = [None] * len(states)
-    for i, position, d in zip(seen, along, lateral, strict=True):
-        link = next((x for x in reversed(links) if offset[x] <= position), links[0])
-        out[i] = (link, float(min(position - offset[link], graph.length(link))), float(d))
+            score = emit[t]
+        scores.append(score)
+    pick, out = -1, np.zeros(n, int)
+    for t in range(n - 1, -1, -1):
+        out[t] = pick if pick >= 0 else int(np.argmax(scores[t]))
+        pick = back[t, out[t]]
     return out
 
 
-def directions(track: pd.DataFrame, trust_kmh: float = TRUST_KMH) -> list:
-    """Unit direction of each row: its own heading if it moves, else the track's mean direction, else None."""
-    heading, speed = track.heading.to_numpy(float), np.nan_to_num(track.speed_kmh.to_numpy(float))
-    own = np.isfinite(heading) & (speed >= trust_kmh)
-    unit = np.column_stack([np.cos(np.radians(heading)), np.sin(np.radians(heading))])
-    mean = unit[own].sum(0) if own.any() else np.zeros(2)
-    n = np.hypot(*mean)
-    common = mean / n if n > 1e-9 else None
-    return [unit[i] if own[i] else common for i in range(len(track))]
-
-
-def match_tracks(rows: DataFrame, graph: Graph, by: list[str], method: str = "lock", **settings) -> DataFrame:
-    """`rows` (by, frame, x, y, heading, speed_kmh) with link_id, s, d; each track in one task.
-
-    method: `greedy`, `viterbi`, or `lock` (Viterbi, then the chain).  The
-    graph is the map around a camera and goes to every task.
+def lane_lock(ways: Ways, points: np.ndarray, link: np.ndarray, s: np.ndarray, d: np.ndarray, width: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(link, s, d) on the longest connected chain of the links passed, with positions that never fall back and a smoothed speed."""
+    if len(link) < 2:
+        return link, s, d
+    passed = link[np.concatenate([[True], link[1:] != link[:-1]])]
+    cuts = np.flatnonzero(~np.isfinite(ways.gap(passed[:-1], passed[1:]))) + 1
+    chain = list(dict.fromkeys(max(np.split(passed, cuts), key=len).tolist()))
+    offset = np.concatenate([[0.0], np.cumsum(ways.length[chain])])
+    feet = [ways.onto(x, points) for x in chain]
+    lateral, away = np.array([f[1] for f in feet]), np.array([f[2] for f in feet])
+    # the least lateral offset; of links in line, which share it, the nearest
+    best = np.lexsort((away, np.abs(lateral).round(6)), axis=0)[0]
+    row = np.arange(len(points))
+    along = smooth_progress(isotonic(offset[best] + np.array([f[0] for f in feet])[best, row]), width)
+    at = np.searchsorted(offset[1:-1], along, side="left")
+    return np.array(chain)[at], (along - offset[at]).clip(0.0, ways.length[chain][at]), lateral[best, row]
+
+
+def match_tracks(rows: DataFrame, links: DataFrame, by: list[str], method: str = "lock", *, edges: DataFrame | None = None, sigma: float = SIGMA, beta: float = BETA, reach: float = REACH, k: int = KEEP, limit: float = LIMIT_M, weight: float = WEIGHT, trust_kmh: float = TRUST_KMH) -> DataFrame:
+    """`rows` (by, frame, x, y, heading, speed_kmh) with link_id, s, d; nulls where no link is in reach.
+
+    method: `viterbi`, the most likely path (emission: Gauss in d, less the
+    weighted wrongness of direction), or `lock`, that path kept to its longest
+    chain; `greedy` needs no path, see there.  Links are found by cells and
+    routes by joins of the whole map; a track is one task, which gets its own
+    rows, their options and the gaps between them only.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(graph)
-
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("frame", kind="stable").reset_index(drop=True)
-        points = track[["x", "y"]].to_numpy(float)
-        where = directions(track)
-        states = greedy(shared.value, points, where, **settings) if method == "greedy" else viterbi(shared.value, points, where, **settings)
-        if method == "lock":
-            states = lane_lock(shared.value, points, states)
-        track["link_id"] = [s[0] if s else None for s in states]
-        track["s"] = [s[1] if s else None for s in states]
-        track["d"] = [s[2] if s else None for s in states]
-        return track
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("link_id", "s", "d"))
-    return rows.drop("link_id", "s", "d").groupBy(*by).applyInPandas(run, f"{fields}, {STATE}")
+    import pyarrow as pa
+
+    if method == "greedy":
+        return greedy(rows, links, by, reach=reach, k=k, trust_kmh=trust_kmh)
+    plain = rows.drop("link_id", "s", "d")
+    options = with_options(directions(plain, by, trust_kmh), links, reach, k)
+    emit = F.transform("options", lambda o: -0.5 * F.pow(o["d"] / sigma, F.lit(2.0)) - float(np.log(np.sqrt(2 * np.pi) * sigma)) - weight * wrongness(o["bearing"], F.col("_dir"), o["directed"]))
+    flat = options.select(*plain.columns, *(F.col(f"options.{c}").alias(f"_{c}") for c in ("link_id", "s", "d")), emit.alias("_emit"))
+    ways = _ways(options, links, by, edges, limit)
+    types = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
+    columns = plain.columns
+
+    def run(track: pa.Table, known: pa.Table) -> pa.Table:
+        track = track.sort_by("frame").combine_chunks()
+        out = track.select(columns)
+        lists = track.column("_link_id").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
+        size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0)
+        seen = np.flatnonzero(size)
+        names, s, d = [None] * len(track), [None] * len(track), [None] * len(track)
+        if len(seen):
+            w = Ways(*(known.column(c).to_pylist() for c in ("src", "dst", "gap", "px", "py")))
+            filled = np.arange(size.max()) < size[seen][:, None]
+            grid = {}
+            for c, empty in (("_link_id", -1), ("_s", 0.0), ("_d", 0.0), ("_emit", -np.inf)):
+                values = track.column(c).combine_chunks().flatten()
+                values = np.array([w.code[v] for v in values.to_pylist()]) if c == "_link_id" else values.to_numpy(zero_copy_only=False)
+                grid[c] = np.full(filled.shape, empty, values.dtype)
+                grid[c][filled] = values
+            points = np.column_stack([track.column(c).to_numpy() for c in ("x", "y")]).astype(float)[seen]
+            pick = (np.arange(len(seen)), viterbi(w, points, grid["_link_id"], grid["_s"], grid["_emit"], beta=beta, limit=limit))
+            state = grid["_link_id"][pick], grid["_s"][pick], grid["_d"][pick]
+            if method == "lock":
+                state = lane_lock(w, points, *state)
+            for i, a, b, c in zip(seen.tolist(), *(v.tolist() for v in state), strict=True):
+                names[i], s[i], d[i] = w.ids[a], b, c
+        for name, values, kind in (("link_id", names, pa.string()), ("s", s, pa.float64()), ("d", d, pa.float64())):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in types.items())
+    # columns of one origin on both sides would be ambiguous
+    ways = ways.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    return flat.groupBy(*by).cogroup(ways.groupBy(*(f"_of_{c}" for c in by))).applyInArrow(run, f"{fields}, {STATE}")
 
 
 def snap(rows: DataFrame, links: DataFrame, by: list[str], *, reach: float = 20.0, k: int = 6, weight: float = 8.0, lane_width: float = 0.0, lanes_per_side: int = 4, wrong_cos: float = -0.3, trust_kmh: float = TRUST_KMH) -> DataFrame:
@@ -189,15 +250,12 @@ def snap(rows: DataFrame, links: DataFrame, by: list[str], *, reach: float = 20.
     middle of a lane on the row's side.  A track whose directed rows mostly run
     against their links is on the wrong way as a whole.
     """
-    moving = F.col("heading").isNotNull() & (F.coalesce("speed_kmh", F.lit(0.0)) >= trust_kmh)
     track = Window.partitionBy(*by)
-    mean = F.atan2(F.sum(F.when(moving, F.sin(F.radians("heading")))).over(track), F.sum(F.when(moving, F.cos(F.radians("heading")))).over(track))
-    pointed = rows.withColumn("_dir", F.when(moving, F.radians("heading")).otherwise(mean))
-    found = project_onto(pointed, links.select("link_id", "pts"), "row_id", reach).join(links.select("link_id", "directed"), "link_id")
+    found = project_onto(directions(rows, by, trust_kmh), links.select("link_id", "pts"), "row_id", reach).join(links.select("link_id", "directed"), "link_id")
     c = F.cos(F.radians("bearing") - F.col("_dir"))
-    wrong = F.coalesce(F.when(F.coalesce("directed", F.lit(True)), (1.0 - c) / 2.0).otherwise((1.0 - F.abs(c)) / 2.0), F.lit(0.0))
+    wrong = wrongness(F.col("bearing"), F.col("_dir"), F.col("directed"))
     near = found.withColumn("_r", F.row_number().over(Window.partitionBy("row_id").orderBy("distance", "link_id"))).where(F.col("_r") <= k)
-    best = near.groupBy("row_id").agg(F.min_by(F.struct("link_id", "d", "foot_x", "foot_y", "bearing", "directed", c.alias("cos")), F.struct(F.col("distance") + weight * wrong, "link_id")).alias("b"))
+    best = near.groupBy("row_id").agg(F.min_by(F.struct("link_id", "d", "foot_x", "foot_y", "bearing", "directed", c.alias("cos")), F.struct(F.round(F.col("distance") + weight * wrong, 9), "link_id")).alias("b"))
     rest = rows.join(best, "row_id", "left")
     d = F.col("b.d")
     side = F.when(d < 0, F.lit(-1.0)).otherwise(F.lit(1.0))

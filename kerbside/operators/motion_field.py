@@ -56,18 +56,18 @@ def build(per_track: DataFrame, links: DataFrame, *, bin_m: float = BIN_M, min_n
 
 
 def lookup(points: DataFrame, field: DataFrame, bin_m: float = BIN_M) -> DataFrame:
-    """`points` (link_id, s) with v_kmh, linear between bin centres and level beyond the outer ones, and the source of the bin."""
-    last = field.groupBy("link_id").agg(F.max("bin").alias("_last"))
-    f = field.select("link_id", F.col("bin").alias("_bin"), F.col("v_kmh").alias("_v"), F.col("src").alias("_src"))
+    """`points` (link_id, s) with v_kmh, linear between bin centres and level beyond the outer ones, and the source of the bin.
+
+    A link's bins are one row of arrays, so that points meet them once.
+    """
+    bins = field.groupBy("link_id").agg(F.max("bin").alias("_last"), F.map_from_entries(F.collect_list(F.struct(F.col("bin"), F.struct("v_kmh", "src")))).alias("_m"))
+    dense = bins.select("link_id", "_last", F.transform(F.sequence(F.lit(0), F.col("_last").cast("int")), lambda b: F.col("_m")[b]).alias("_f"))
+    rows = points.join(dense, "link_id", "left")
     x = F.greatest(F.lit(0.0), F.least(F.col("_last").cast("double"), F.col("s") / bin_m - 0.5))
-    rows = points.join(last, "link_id", "left").withColumn("_x", x).withColumn("_i", F.floor("_x").cast("int")).withColumn("_j", F.least(F.col("_i") + 1, F.col("_last")))
     own = F.greatest(F.lit(0), F.least(F.col("_last"), F.floor(F.col("s") / bin_m).cast("int")))
-    rows = rows.withColumn("_own", own)
-    a = f.select("link_id", F.col("_bin").alias("_i"), F.col("_v").alias("_va"))
-    b = f.select("link_id", F.col("_bin").alias("_j"), F.col("_v").alias("_vb"))
-    c = f.select("link_id", F.col("_bin").alias("_own"), F.col("_src").alias("src"))
-    out = rows.join(a, ["link_id", "_i"], "left").join(b, ["link_id", "_j"], "left").join(c, ["link_id", "_own"], "left")
-    return out.withColumn("v_kmh", F.col("_va") + (F.col("_x") - F.col("_i")) * (F.col("_vb") - F.col("_va"))).drop("_last", "_x", "_i", "_j", "_own", "_va", "_vb")
+    rows = rows.withColumn("_x", x).withColumn("_i", F.floor("_x").cast("int"))
+    a, b = F.get("_f", F.col("_i"))["v_kmh"], F.get("_f", F.least(F.col("_i") + 1, F.col("_last")))["v_kmh"]
+    return rows.withColumns({"v_kmh": a + (F.col("_x") - F.col("_i")) * (b - a), "src": F.get("_f", own)["src"]}).drop("_last", "_x", "_i", "_f")
 
 
 def provenance(field: DataFrame) -> DataFrame:

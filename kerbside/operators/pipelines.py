@@ -23,8 +23,8 @@ def place(objects: DataFrame, calibrations: DataFrame, dimensions: DataFrame, mi
     box = tuple(F.col("bbox_2d")[k] for k in range(4))
     h = [F.col(c) for c in _H]
     x, y = geometry.contact_point(box, F.col("height"), h, F.col("cam_x"), F.col("cam_y"), F.col("cam_z"))
-    xx, xy, yy = geometry.ground_covariance(h, (box[0] + box[2]) / 2.0, box[3], F.col("height"), F.col("cam_x"), F.col("cam_y"), F.col("cam_z"), sigma_px)
-    return rows.withColumns({"x": x, "y": y, "c_xx": xx, "c_xy": xy, "c_yy": yy})
+    placed = geometry.with_ground_covariance(rows, h, (box[0] + box[2]) / 2.0, box[3], F.col("height"), F.col("cam_x"), F.col("cam_y"), F.col("cam_z"), sigma_px)
+    return placed.withColumns({"x": x, "y": y})
 
 
 def reject_far(rows: DataFrame, most_range: float = MAX_RANGE_M, most_sigma: float = MAX_SIGMA_M) -> DataFrame:

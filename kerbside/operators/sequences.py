@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -64,11 +68,6 @@ def moving_average(value: str, by: list[str], order: list[str], half: int) -> Co
     return total / float(2 * half + 1)
 
 
-def arc_length(x: Column, y: Column, w: WindowSpec) -> Column:
-    """Distance along the rows from the first; call it on rows that have `_step`, see with_arc_length."""
-    return F.sum(F.coalesce(F.hypot(x - F.lag(x).over(w), y - F.lag(y).over(w)), F.lit(0.0))).over(w)
-
-
 def with_arc_length(rows: DataFrame, by: list[str], order: list[str], name: str = "s") -> DataFrame:
     """`rows` (x, y) with the distance from the track's first row."""
     w = window(by, order)
@@ -124,36 +123,85 @@ def jitter_radius(x: str, y: str, w: WindowSpec, last: int = 8) -> Column:
 
 
 def ema(rows: DataFrame, by: list[str], order: str, value: str, alpha: float, name: str = "ema") -> DataFrame:
-    """Exponential mean over each track's rows in order, starting at its first value: rows (by, order, name).
+    """Exponential mean over each track's rows in order, starting at its first value: rows (by, order, name).  A null leaves the mean as it was.
 
-    A track is folded in one array, so its rows must fit a task.
+    The mean is a weighted sum of the values so far.  Values are numbered in
+    stretches long enough for the weight of all before the last two stretches
+    to vanish in a double, so windows of running sums do, however long a track is.
+    """
+    if not 0.0 < alpha < 1.0:
+        raise ValueError("alpha must be between 0 and 1")
+    keep = 1.0 - alpha
+    length = math.ceil(18.0 * math.log(10.0) / -math.log(keep))
+    w = window(by, [order])
+    k = F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    numbered = rows.select(*by, order, F.col(value).cast("double").alias("_v"), k.alias("_k"))
+    at = F.col("_k") % length
+    # the first value has weight 1, not alpha; within a stretch weights grow from 1 on
+    gain = F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(alpha) * F.pow(F.lit(keep), (-at).cast("double")) * F.col("_v")
+    staged = numbered.withColumn("_part", F.when(F.col("_k") >= 0, F.floor(F.col("_k") / length))).withColumn("_gain", gain)
+    inside = window([*by, "_part"], [order]).rowsBetween(Window.unboundedPreceding, 0)
+    staged = staged.withColumn("_own", F.sum("_gain").over(inside) * F.pow(F.lit(keep), at.cast("double")))
+    ends = staged.where("_part is not null").groupBy(*by, "_part").agg(F.max_by("_own", "_k").alias("_end"))
+    before = window(by, ["_part"])
+    carried = ends.select(*by, "_part", (F.lag("_end", 1, 0.0).over(before) + F.lag("_end", 2, 0.0).over(before) * keep**length).alias("_carried"))
+    nulls = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_part"]]
+    joined = staged.alias("l").join(carried.alias("r"), nulls, "left")
+    return joined.select(*(F.col(f"l.{c}").alias(c) for c in [*by, order]), (F.col("_own") + F.coalesce("_carried", F.lit(0.0)) * F.pow(F.lit(keep), (at + 1).cast("double"))).alias(name))
+
+
+def _first_wide(x: np.ndarray, y: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
+    """For each of `rows` the smallest k for which the box around rows i - k to i + k has a diagonal of `least`; the number of rows if there is none.
+
+    A chord within a smaller box is shorter, so none needs a look before.
     """
-    tracks = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("a"))
-    empty = F.array().cast("array<struct<o:" + rows.schema[order].dataType.simpleString() + ",v:double>>")
-    folded = F.aggregate("a", empty, lambda acc, e: F.concat(acc, F.array(F.struct(e["o"].alias("o"), F.when(F.size(acc) == 0, e["v"]).otherwise(alpha * e["v"] + (1 - alpha) * F.element_at(acc, -1)["v"]).alias("v")))))
-    return tracks.select(*by, F.explode(folded).alias("e")).select(*by, F.col("e.o").alias(order), F.col("e.v").alias(name))
+    n = len(x)
+    tables = []  # least and largest of x and y over 2**j rows from each on
+    for v, f in ((x, np.minimum), (x, np.maximum), (y, np.minimum), (y, np.maximum)):
+        levels = [v]
+        while 2 ** len(levels) <= n:
+            half = 2 ** (len(levels) - 1)
+            levels.append(f(levels[-1][:-half], levels[-1][half:]))
+        tables.append((f, levels))
+
+    def wide(k: np.ndarray) -> np.ndarray:
+        a, b = np.maximum(0, rows - k), np.minimum(n - 1, rows + k)
+        level = np.floor(np.log2(b - a + 1)).astype(int)
+        side = np.empty((4, len(rows)))
+        for j in np.unique(level):
+            at = level == j
+            for m, (f, levels) in enumerate(tables):
+                side[m, at] = f(levels[j][a[at]], levels[j][b[at] - 2**j + 1])
+        return np.hypot(side[1] - side[0], side[3] - side[2]) >= least * (1 - 1e-12)
+
+    low, high = np.ones(len(rows), int), np.full(len(rows), n)
+    while (low < high).any():
+        middle = (low + high) // 2
+        ok = wide(middle)
+        high, low = np.where(ok, middle, high), np.where(ok, low, np.minimum(middle + 1, high))
+    return np.where(wide(low), low, n)
 
 
 def headings(rows: DataFrame, by: list[str], order: list[str], least: float = 0.6) -> DataFrame:
     """`rows` (x, y, heading) with missing headings filled from the chord of a symmetric stretch around the row, grown until it is `least` metres long; else the track's mean direction.
 
-    One pass over a track in one task.
+    One pass over a track in one task; stretches too small for such a chord are
+    passed over by halving, so a track that stands costs no more than one that moves.
     """
-    import numpy as np
-    import pandas as pd
 
     def fill(track: pd.DataFrame) -> pd.DataFrame:
         track = track.sort_values(order, kind="stable").reset_index(drop=True)
         x, y, h = (track[c].to_numpy(float).copy() for c in ("x", "y", "heading"))
         n = len(x)
-        for i in np.flatnonzero(np.isnan(h)):
-            for k in range(1, n):
-                a, b = max(0, i - k), min(n - 1, i + k)
-                if np.hypot(x[b] - x[a], y[b] - y[a]) >= least:
-                    h[i] = np.degrees(np.arctan2(y[b] - y[a], x[b] - x[a]))
-                    break
-                if a == 0 and b == n - 1:
-                    break
+        todo = np.flatnonzero(np.isnan(h))
+        k = _first_wide(x, y, todo, least) if n > 1 and len(todo) else np.full(len(todo), n)
+        while len(todo):
+            a, b = np.maximum(0, todo - k), np.minimum(n - 1, todo + k)
+            dx, dy = x[b] - x[a], y[b] - y[a]
+            done = (np.hypot(dx, dy) >= least) & (k < n)
+            h[todo[done]] = np.degrees(np.arctan2(dy[done], dx[done]))
+            left = ~done & ((a > 0) | (b < n - 1))
+            todo, k = todo[left], k[left] + 1
         known = np.radians(h[~np.isnan(h)])
         if len(known):
             h[np.isnan(h)] = np.degrees(np.arctan2(np.sin(known).sum(), np.cos(known).sum()))

@@ -40,8 +40,12 @@ class Settings:
     reset_gap: int = 3
     noise: float = 0.5
     coast_only: bool = True
-    lane_reach: float = 20.0
+    lane_reach: float = 15.0
     off_route: float = 6.0
+    lane_limit: float = 150.0
+    least_move: float = 0.3
+    start_speed: float = 5.0
+    reset_speed: float = 3.0
 
 
 @dataclass
@@ -55,46 +59,49 @@ class Track:
     kind: str | None
     confidence: float
     hits: int = 1
-    age: int = 1
+    age: int = 0
     missed: int = 0
     seen: list = field(default_factory=list)  # (frame, x, y)
     lane: tuple | None = None
 
     @classmethod
-    def born(cls, ident: int, z: np.ndarray, frame: int, kind: str | None, confidence: float) -> Track:
-        return cls(ident, np.array([z[0], z[1], 0.0, 0.0]), np.diag([1.0, 1.0, 100.0, 100.0]), frame, kind, confidence, seen=[(frame, float(z[0]), float(z[1]))])
+    def born(cls, ident: int, z: np.ndarray, frame: int, kind: str | None, confidence: float, s: Settings) -> Track:
+        return cls(ident, np.array([z[0], z[1], 0.0, 0.0]), np.diag([1.0, 1.0, s.start_speed**2, s.start_speed**2]), frame, kind, confidence, seen=[(frame, float(z[0]), float(z[1]))])
 
     def predict(self, dt: float, s: Settings, graph: Graph | None = None) -> None:
-        """One step on: straight ahead, or along the lane where there is one (only while unseen, if so set)."""
+        """One step on.
+
+        On a lane the noise is that of the lane's direction, small across it.
+        The place follows the lane at the offset it has, in whichever direction
+        the object moves, while it is unseen (or always, if `coast_only` is off).
+        """
         f = np.eye(4)
         f[0, 2] = f[1, 3] = dt
         g = np.array([[dt * dt / 2, 0], [0, dt * dt / 2], [dt, 0], [0, dt]])
-        along = np.eye(2)
-        spread = np.diag([s.q, s.q])
-        if graph is not None and self.lane and (self.missed or not s.coast_only):
-            link, pos = self.lane
+        noise = np.eye(2) * s.q
+        moved = f @ self.x
+        if graph is not None and self.lane:
+            link, pos, d = self.lane
             t = graph.tangent(link, pos)
-            speed = float(self.x[2:] @ t)
-            self.lane = graph.advance(link, pos, speed * dt)
-            to = graph.tangent(*self.lane)
-            self.x = np.concatenate([graph.at(*self.lane) if self.missed else self.x[:2] + self.x[2:] * dt, speed * to])
-            along = np.column_stack([to, [-to[1], to[0]]])
-            spread = np.diag([s.q, s.q * s.q_lateral])
-        else:
-            self.x = f @ self.x
-        noise = g @ (along @ spread @ along.T) @ g.T
-        self.p = f @ self.p @ f.T + noise
+            speed = float(np.hypot(*self.x[2:]))
+            way = 1.0 if float(self.x[2:] @ t) >= 0 else -1.0
+            link, pos = graph.advance(link, pos, way * speed * dt, t * way)
+            to = graph.tangent(link, pos)
+            self.lane = (link, pos, d)
+            if self.missed or not s.coast_only:
+                moved = np.concatenate([graph.at(link, pos, d), way * speed * to])
+            noise = s.q * (np.outer(to, to) + s.q_lateral * (np.eye(2) - np.outer(to, to)))
+        self.x = moved
+        self.p = f @ self.p @ f.T + g @ noise @ g.T
         self.age += 1
         self.missed += 1
 
-    def on_lane(self, graph: Graph, s: Settings, k: int = 4) -> None:
-        """The lane below: least distance, plus a cost for lanes out of reach of the one before."""
-        best = None
-        for link, pos, d, _ in graph.near(self.x[:2], s.lane_reach, k):
-            cost = abs(d) + (s.off_route if self.lane and graph.route(self.lane, (link, pos)) is None else 0.0)
-            if best is None or cost < best[0]:
-                best = (cost, link, pos)
-        self.lane = best[1:] if best else None
+    def on_lane(self, graph: Graph, z: np.ndarray, s: Settings, k: int = 4) -> None:
+        """The lane below a detection, as (link, s, d): least offset, plus a cost for lanes that the one before doesn't lead to; without any in reach the one before stays."""
+        found = graph.near(z, s.lane_reach, k)
+        if found:
+            cut_off = [s.off_route if self.lane and graph.route(self.lane[:2], c[:2], s.lane_limit) is None else 0.0 for c in found]
+            self.lane = min(zip(found, cut_off, strict=True), key=lambda c: abs(c[0][2]) + c[1])[0][:3]
 
     def update(self, z: np.ndarray, frame: int, dt: float, kind: str | None, confidence: float, r: np.ndarray, s: Settings) -> None:
         """A detection; after a gap of `reset_gap` frames position and speed come from the last two observations."""
@@ -102,7 +109,8 @@ class Track:
         if gap >= s.reset_gap:
             last = np.array(self.seen[-1][1:])
             self.x = np.concatenate([z, (z - last) / (gap * dt)])
-            self.p = np.diag([1.0, 1.0, 10.0, 10.0])
+            self.p = np.zeros((4, 4))
+            self.p[:2, :2], self.p[2:, 2:] = r, np.eye(2) * s.reset_speed**2
         else:
             innovation = z - self.x[:2]
             gain = self.p[:, :2] @ np.linalg.inv(self.p[:2, :2] + r)
@@ -133,21 +141,22 @@ class Tracker:
         self.frame: int | None = None
 
     def cost(self, track: Track, detection: dict, place: np.ndarray) -> float:
-        """Distance (in deviations, or metres) with costs for another direction or class; the gate beyond the bounds."""
+        """Distance (in deviations where the detection has a covariance, else in metres) with costs for another direction or class; the gate beyond the bounds."""
         s = self.settings
         off = detection["z"] - place
         metres = float(np.hypot(*off))
         if metres > s.max_dist:
             return GATE
         cost = metres
-        if s.mahalanobis:
+        if s.mahalanobis and detection.get("known", True):
             square = float(off @ np.linalg.solve(track.p[:2, :2] + detection["r"], off))
             if square > s.chi2:
                 return GATE
             cost = float(np.sqrt(square))
         u, move = track.direction(), detection["z"] - np.array(track.seen[-1][1:])
         n = np.hypot(*move)
-        if u is not None and n > 1e-6:
+        # what stands has no direction
+        if u is not None and n > s.least_move:
             cost += s.momentum * (1.0 - float(u @ move) / n) / 2.0
         if track.kind and detection["class"] and track.kind != detection["class"]:
             cost += s.class_cost
@@ -175,7 +184,7 @@ class Tracker:
                 owner[i] = t
                 t.update(rows[i]["z"], frame, self.dt, rows[i]["class"], rows[i]["confidence"], rows[i]["r"], s)
                 if self.graph is not None:
-                    t.on_lane(self.graph, s)
+                    t.on_lane(self.graph, rows[i]["z"], s)
 
         def left() -> list[Track]:
             busy = {id(t) for t in owner.values()}
@@ -186,10 +195,10 @@ class Tracker:
         take(self._match(left(), [i for i in strong + weak if i not in owner], rows, lambda t: np.array(t.seen[-1][1:])))
         for i in strong:
             if i not in owner:
-                t = Track.born(self.next, rows[i]["z"], frame, rows[i]["class"], rows[i]["confidence"])
+                t = Track.born(self.next, rows[i]["z"], frame, rows[i]["class"], rows[i]["confidence"], s)
                 self.next += 1
                 if self.graph is not None:
-                    t.on_lane(self.graph, s)
+                    t.on_lane(self.graph, rows[i]["z"], s)
                 self.tracks.append(t)
                 owner[i] = t
         self.tracks = [t for t in self.tracks if t.missed <= s.max_age]
@@ -200,19 +209,24 @@ def _detections(rows: pd.DataFrame, noise: float) -> list[dict]:
     cov = rows[["c_xx", "c_xy", "c_yy"]].to_numpy(float) if "c_xx" in rows else np.full((len(rows), 3), np.nan)
     out = []
     for (x, y), (a, b, c), conf, kind in zip(rows[["x", "y"]].to_numpy(float), cov, rows.confidence, rows["class"], strict=True):
-        r = np.array([[a, b], [b, c]]) if np.isfinite([a, b, c]).all() else np.eye(2) * noise**2
-        out.append({"z": np.array([x, y]), "r": r, "confidence": float(conf), "class": kind})
+        known = bool(np.isfinite([a, b, c]).all())
+        out.append({"z": np.array([x, y]), "r": np.array([[a, b], [b, c]]) if known else np.eye(2) * noise, "known": known, "confidence": float(conf), "class": kind})
     return out
 
 
+def cut_at_gaps(rows: DataFrame, by: str, max_age: int) -> DataFrame:
+    """`rows` with _piece, the number of the stretch of frames without a pause that no track survives."""
+    gap = F.col("frame") - F.lag("frame").over(Window.partitionBy(by).orderBy("frame")) > max_age
+    return islands(rows, [by], ["frame"], F.coalesce(gap, F.lit(False)), "_piece")
+
+
 def track(rows: DataFrame, fps: float, settings: Settings | None = None, graph: Graph | None = None, by: str = "cctv_id") -> DataFrame:
     """`rows` (by, frame, x, y, confidence, class; optionally c_xx, c_xy, c_yy) with track_id, a text unique for the camera.
 
     Detections without a ground point keep a null id.
     """
     s = settings or Settings()
-    gap = F.col("frame") - F.lag("frame").over(Window.partitionBy(by).orderBy("frame")) > s.max_age
-    pieces = islands(rows.drop("track_id"), [by], ["frame"], F.coalesce(gap, F.lit(False)), "_piece")
+    pieces = cut_at_gaps(rows.drop("track_id"), by, s.max_age)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["frame", "x", "y"], kind="stable").reset_index(drop=True)
@@ -230,7 +244,11 @@ def track(rows: DataFrame, fps: float, settings: Settings | None = None, graph:
 
 
 def track_by_overlap(rows: DataFrame, threshold: float = 0.3, max_age: int = 30, by: str = "cctv_id") -> DataFrame:
-    """A plain baseline in the image: each frame's boxes go to the tracks whose last box they overlap most, the best pair first."""
+    """A plain baseline in the image: each frame's boxes go to the tracks whose last box they overlap most, the best pair first.
+
+    A camera's frames are cut where no box comes for longer than `max_age`
+    frames, as in `track`; track_id is a text unique for the camera.
+    """
     from .evaluation import BOX, _iou_matrix
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -254,12 +272,13 @@ def track_by_overlap(rows: DataFrame, threshold: float = 0.3, max_age: int = 30,
                     got[j], fresh = fresh, fresh + 1
                 last[got[j]] = (int(frame), boxes[j])
                 ids.append(got[j])
-        part["track_id"] = [str(i) for i in ids]
-        return part
+        part["track_id"] = [f"{part._piece.iloc[0]}-{i}" for i in ids]
+        return part.drop(columns="_piece")
 
     kept = rows.drop("track_id")
+    pieces = cut_at_gaps(kept, by, max_age)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.groupBy(by).applyInPandas(run, f"{fields}, track_id string")
+    return pieces.groupBy(by, "_piece").applyInPandas(run, f"{fields}, track_id string")
 
 
 def simulate(seed: int, frames: int = 150, fps: float = 30.0, lanes: int = 2, vehicles: int = 3, jitter: float = 0.3, dropout: float = 0.2, false_rate: float = 0.05) -> tuple[pd.DataFrame, pd.DataFrame]:

@@ -3,4 +3,4 @@
 from . import core_queries, geometry_queries, track_queries
 
 QUERIES = core_queries.QUERIES | geometry_queries.QUERIES | track_queries.QUERIES
-ORACLE_SQL = core_queries.ORACLE_SQL | geometry_queries.ORACLE_SQL
+ORACLE_SQL = core_queries.ORACLE_SQL | geometry_queries.ORACLE_SQL | track_queries.ORACLE_SQL

@@ -212,7 +212,7 @@ def resample_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), F.lit(0.0).alias("y"))
     n = read(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 400.0).alias("x"), F.lit(0.0).alias("y"))
-    return spatial_join.nearest(s, n, "s_suppkey", "n_nationkey", first=200.0).withColumn("distance", F.round("distance", 6))
+    return spatial_join.nearest(s, n, "s_suppkey", "n_nationkey").withColumn("distance", F.round("distance", 6))
 
 
 @query("""WITH e AS (SELECT s_suppkey, n_nationkey, abs(s_acctbal - n_nationkey * 400.0) AS dist, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - n_nationkey * 400.0), n_nationkey) AS r FROM supplier, nation WHERE abs(s_acctbal - n_nationkey * 400.0) <= 120)

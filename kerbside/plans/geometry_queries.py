@@ -86,8 +86,9 @@ def _cov() -> str:
 @query(_cov() + " SELECT l_orderkey, l_linenumber, round(xx, 6) AS xx, round(xy, 6) AS xy, round(yy, 6) AS yy, round(sqrt((xx + yy) / 2 + sqrt(power(xx - yy, 2) / 4 + xy * xy)), 6) AS sigma FROM m")
 def ground_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = tables.boxes(spark, sf_dir)
-    xx, xy, yy = geometry.ground_covariance(H, (F.col("x1") + F.col("x2")) / 2.0, F.col("y2"), F.lit(0.0), CX, CY, CZ)
-    return b.select("l_orderkey", "l_linenumber", *(F.round(v, 6).alias(n) for v, n in ((xx, "xx"), (xy, "xy"), (yy, "yy"), (geometry.largest_sigma(xx, xy, yy), "sigma"))))
+    c = geometry.with_ground_covariance(b, H, (F.col("x1") + F.col("x2")) / 2.0, F.col("y2"), F.lit(0.0), CX, CY, CZ)
+    xx, xy, yy = (F.col(f"c_{n}") for n in ("xx", "xy", "yy"))
+    return c.select("l_orderkey", "l_linenumber", *(F.round(v, 6).alias(n) for v, n in ((xx, "xx"), (xy, "xy"), (yy, "yy"), (geometry.largest_sigma(xx, xy, yy), "sigma"))))
 
 
 @query(f"""WITH b AS (SELECT cctv_id, {_at(_RX, **(_UVH | {"h": "0.0"}))} AS x, {_at(_RY, **(_UVH | {"h": "0.0"}))} AS y FROM ({BOXES})) SELECT cctv_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE sqrt(power(x - 3.0, 2) + power(y + 4.0, 2)) > 25)::BIGINT AS rejected FROM b GROUP BY 1""")

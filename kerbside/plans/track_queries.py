@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, matching, sequences, smoother, tracking
-from ..operators.lane_graph import Graph
 from . import tables
-from .tables import read
+from .tables import DRIVES, ROADS, read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
+def query(sql):
+    """Registers a query, with its SQL where it is given."""
+    if callable(sql):
+        QUERIES[sql.__name__] = sql
+        return sql
+
+    def add(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +33,6 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("cctv_id"), F.col("user_id").alias("track_id"), k.alias("frame"), (k * (1.0 + F.col("user_id") % 5 * 0.2)).alias("x"), (F.col("value") % 7 - 3.0).alias("y"), F.lit("car").alias("class"), (0.2 + F.pmod("event_id", F.lit(80)) / 100.0).alias("confidence"), F.lit(0.0).alias("heading"), F.lit(20.0).alias("speed_kmh"))
 
 
-def _graph() -> Graph:
-    links = {f"R{i}": (np.array([[i * 60.0, 0.0], [i * 60.0 + 60.0, 0.0]]), True) for i in range(8)} | {f"S{i}": (np.array([[i * 60.0, 4.0], [i * 60.0 + 60.0, 4.0]]), True) for i in range(8)}
-    return Graph(links, {f"{s}{i}": [f"{s}{i + 1}"] for s in "RS" for i in range(7)})
-
-
 @query
 def track_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smoother.smooth(_points(spark, sf_dir).select("track_id", "frame", "x", "y"), ["track_id"], 10.0)
@@ -53,26 +54,40 @@ def overlap_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.track_by_overlap(b.select("cctv_id", "frame", "x1", "y1", "x2", "y2"))
 
 
-@query
+_DIRECTED = f"""d AS ({DRIVES}), l AS ({ROADS}), m AS (SELECT *, CASE WHEN speed_kmh >= 5 THEN radians(heading) WHEN sqrt(power(sc, 2) + power(ss, 2)) > 1e-9 THEN atan2(ss, sc) END AS dir FROM (
+  SELECT *, sum(CASE WHEN speed_kmh >= 5 THEN cos(radians(heading)) END) OVER (PARTITION BY track_id) AS sc, sum(CASE WHEN speed_kmh >= 5 THEN sin(radians(heading)) END) OVER (PARTITION BY track_id) AS ss FROM d)),
+ t AS (SELECT *, least(1.0, greatest(0.0, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / (len * len))) AS t FROM m, l),
+ f AS (SELECT *, ax + t * (bx - ax) AS fx, ay + t * (b_y - ay) AS fy, ((bx - ax) * (y - ay) - (b_y - ay) * (x - ax)) / len AS d FROM t),
+ g AS (SELECT *, sqrt(power(x - fx, 2) + power(y - fy, 2)) AS dist, CASE WHEN dir IS NULL THEN 0.0 WHEN directed THEN (1 - cos(atan2(b_y - ay, bx - ax) - dir)) / 2 ELSE (1 - abs(cos(atan2(b_y - ay, bx - ax) - dir))) / 2 END AS pen FROM f)"""
+
+
+@query(f"""WITH {_DIRECTED}, k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(d), link_id) AS r FROM g WHERE dist <= 25), b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(d) + 8.0 * pen, 9), link_id) AS r2 FROM k WHERE r <= 6)
+ SELECT m.event_id, b.link_id, round(t * len, 6) AS s, round(b.d, 6) AS d FROM m LEFT JOIN b ON b.event_id = m.event_id AND r2 = 1""")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_tracks(_points(spark, sf_dir), _graph(), ["track_id"], "greedy")
+    out = matching.match_tracks(tables.drives(spark, sf_dir), tables.roads(spark, sf_dir), ["track_id"], "greedy")
+    return out.select("event_id", "link_id", F.round("s", 6).alias("s"), F.round("d", 6).alias("d"))
 
 
 @query
 def viterbi_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_tracks(_points(spark, sf_dir), _graph(), ["track_id"], "viterbi")
+    return matching.match_tracks(tables.drives(spark, sf_dir), tables.roads(spark, sf_dir), ["track_id"], "viterbi")
 
 
 @query
 def lane_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_tracks(_points(spark, sf_dir), _graph(), ["track_id"], "lock")
+    return matching.match_tracks(tables.drives(spark, sf_dir), tables.roads(spark, sf_dir), ["track_id"], "lock")
 
 
-@query
+@query(f"""WITH {_DIRECTED}, k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist, link_id) AS r FROM g WHERE dist <= 20), b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(dist + 8.0 * pen, 9), link_id) AS r2 FROM k WHERE r <= 6),
+ j AS (SELECT m.event_id, m.track_id, b.link_id, b.directed, b.d, b.fx, b.fy, b.bx, b.ax, b.b_y, b.ay, cos(atan2(b.b_y - b.ay, b.bx - b.ax) - b.dir) AS c FROM m LEFT JOIN b ON b.event_id = m.event_id AND r2 = 1),
+ o AS (SELECT *, (CASE WHEN d < 0 THEN -1.0 ELSE 1.0 END) * (least(3.0, greatest(0.0, round_even((abs(d) - 1.75) / 3.5, 0))) * 3.5 + 1.75) AS off,
+  coalesce(2 * count(*) FILTER (WHERE directed) OVER w > count(link_id) OVER w AND avg(c) FILTER (WHERE directed) OVER w < -0.3, false) AS back, coalesce(sum(sign(c)) FILTER (WHERE NOT directed) OVER w < 0, false) AS votes FROM j WINDOW w AS (PARTITION BY track_id)),
+ h AS (SELECT *, degrees(atan2(b_y - ay, bx - ax)) + CASE WHEN CASE WHEN directed THEN back ELSE votes END THEN 180.0 ELSE 0.0 END AS head FROM o)
+ SELECT event_id, link_id, CASE WHEN d IS NOT NULL THEN off END AS lane_offset_m, round(fx - off * sin(atan2(b_y - ay, bx - ax)), 6) AS snap_x, round(fy + off * cos(atan2(b_y - ay, bx - ax)), 6) AS snap_y, round(head - 360.0 * floor((head + 180.0) / 360.0), 6) AS snap_heading, back AS wrong_way FROM h""")
 def lane_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _points(spark, sf_dir).withColumn("row_id", F.concat_ws("-", "track_id", "frame"))
-    links = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in g.tolist()], True) for k, g in ((k, _graph().points[k][[0, -1]]) for k in _graph().ids)], "link_id string, pts array<struct<x:double,y:double>>, directed boolean")
-    return matching.snap(rows, links, ["track_id"], lane_width=3.5)
+    rows = tables.drives(spark, sf_dir).withColumn("row_id", F.col("event_id"))
+    out = matching.snap(rows, tables.roads(spark, sf_dir), ["track_id"], lane_width=3.5)
+    return out.select("event_id", "link_id", "lane_offset_m", *(F.round(c, 6).alias(c) for c in ("snap_x", "snap_y", "snap_heading")), "wrong_way")
 
 
 @query

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import smoother, tracking
+from ..operators.lane_graph import Graph
 
 
 def event_time(rows: DataFrame, column: str = "ts") -> DataFrame:
@@ -50,17 +51,17 @@ def smooth(rows: DataFrame, fps: float, settings: smoother.Settings | None = Non
 
 
 def _freeze(t: tracking.Tracker) -> str:
-    return json.dumps({"next": t.next, "frame": t.frame, "tracks": [{"ident": k.ident, "x": k.x.tolist(), "p": k.p.tolist(), "frame": k.frame, "kind": k.kind, "confidence": k.confidence, "hits": k.hits, "age": k.age, "missed": k.missed, "seen": [[int(f), x, y] for f, x, y in k.seen]} for k in t.tracks]})
+    return json.dumps({"next": t.next, "frame": t.frame, "tracks": [{"ident": k.ident, "x": k.x.tolist(), "p": k.p.tolist(), "frame": k.frame, "kind": k.kind, "confidence": k.confidence, "hits": k.hits, "age": k.age, "missed": k.missed, "seen": [[int(f), x, y] for f, x, y in k.seen], "lane": k.lane} for k in t.tracks]})
 
 
 def _thaw(t: tracking.Tracker, text: str) -> None:
     d = json.loads(text)
     t.next, t.frame = d["next"], d["frame"]
-    t.tracks = [tracking.Track(k["ident"], np.array(k["x"]), np.array(k["p"]), k["frame"], k["kind"], k["confidence"], k["hits"], k["age"], k["missed"], [tuple(o) for o in k["seen"]]) for k in d["tracks"]]
+    t.tracks = [tracking.Track(k["ident"], np.array(k["x"]), np.array(k["p"]), k["frame"], k["kind"], k["confidence"], k["hits"], k["age"], k["missed"], [tuple(o) for o in k["seen"]], tuple(k["lane"]) if k["lane"] else None) for k in d["tracks"]]
 
 
-def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None, idle_ms: int | None = 60_000) -> DataFrame:
-    """Rows (cctv_id, frame, x, y, track_id) of a stream (cctv_id, frame, x, y, confidence, class), keyed by camera.
+def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None, idle_ms: int | None = 60_000, graph: Graph | None = None) -> DataFrame:
+    """Rows (cctv_id, frame, x, y, track_id) of a stream (cctv_id, frame, x, y, confidence, class), keyed by camera, on a lane graph where one is given.
 
     Tracks expire `max_age` frames after their last detection, and are confirmed
     by `min_hits`; a camera's state goes after `idle_ms` without rows.
@@ -71,7 +72,7 @@ def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None
         if state.hasTimedOut:
             state.remove()
             return
-        machine = tracking.Tracker(1.0 / fps, s)
+        machine = tracking.Tracker(1.0 / fps, s, graph)
         if state.exists:
             _thaw(machine, state.get[0])
         now = pd.concat(list(parts)).sort_values(["frame", "x", "y"], kind="stable")

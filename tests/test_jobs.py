@@ -308,6 +308,60 @@ def test_others_do_not(spark, sql):
         service.run(spark, sql)
 
 
+_REFLECT = "reflect('java.lang.System', 'getProperty', 'user.dir')"
+_FILE = "parquet.`/root/testdata/sf0.001/region.parquet`"
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        f"SELECT {_REFLECT}", "SELECT java_method('java.lang.System', 'getenv')", "SELECT try_reflect('java.lang.System', 'getenv')", f"SELECT * FROM {_FILE}",
+        f"SELECT * FROM gate_view WHERE load = {_REFLECT}", f"SELECT (SELECT {_REFLECT})", f"SELECT 1 WHERE EXISTS (SELECT 1 FROM {_FILE})", f"SELECT 1 WHERE 1 IN (SELECT r_regionkey FROM {_FILE})",
+        f"WITH a AS (SELECT {_REFLECT} AS x) SELECT * FROM a", f"WITH a AS (WITH b AS (SELECT * FROM {_FILE}) SELECT * FROM b) SELECT * FROM a", f"SELECT count(*) OVER w FROM gate_view WINDOW w AS (PARTITION BY {_REFLECT})",
+        f"SELECT sum(load) FILTER (WHERE {_REFLECT} = 'x') FROM gate_view", f"SELECT transform(array(1), x -> {_REFLECT})", f"SELECT * FROM gate_view LATERAL VIEW explode(array({_REFLECT})) t AS x", f"SELECT * FROM gate_view, LATERAL (SELECT {_REFLECT})",
+        f"SELECT * FROM VALUES ({_REFLECT})", f"SELECT load FROM gate_view GROUP BY load HAVING max({_REFLECT}) = 'x'", f"SELECT load FROM gate_view ORDER BY {_REFLECT}", f"SELECT * FROM gate_view JOIN gate_view b ON {_REFLECT} = 'x'",
+        "SELECT input_file_name() FROM gate_view", "SELECT * FROM gate_table_unknown", "SELECT * FROM default.gate_view", "SELECT * FROM sql_keywords()", "SELECT system.builtin.reflect('java.lang.System', 'getenv')", "SELECT current_database()", "SELECT IDENTIFIER('reflect')('java.lang.System', 'getenv')",
+        "SELECT * FROM IDENTIFIER('gate_view')", "SELECT TRANSFORM(load) USING 'cat' FROM gate_view", "SELECT gate_own(load) FROM gate_view", f"SELECT * FROM (WITH c AS (SELECT 1) SELECT * FROM c) JOIN (SELECT * FROM c)",
+        f"SELECT * FROM gate_view PIVOT (max({_REFLECT}) FOR load IN (1, 2))", f"SELECT * FROM range(length({_REFLECT}))", f"SELECT 1 LIMIT length({_REFLECT})", f"SELECT CASE WHEN {_REFLECT} = 'x' THEN 1 END", f"SELECT load FROM gate_view UNION ALL SELECT {_REFLECT}",
+    ],
+)
+def test_the_gate_sees_every_part_of_a_query(spark, sql):
+    gate_view(spark)
+    spark.udf.register("gate_own", lambda x: x, "long")
+    with pytest.raises(service.Refused):
+        service.check(spark, sql)
+
+
+def gate_view(spark):
+    spark.createDataFrame([(1, 2)], "load long, `set` long").createOrReplaceTempView("gate_view")
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT load, `set` AS use FROM gate_view", "SELECT 'DROP TABLE x; --' AS replace", "WITH a AS (SELECT load FROM gate_view), b AS (SELECT * FROM a) SELECT * FROM b", "SELECT sum(load) OVER w FROM gate_view WINDOW w AS (ORDER BY load)",
+        "SELECT * FROM gate_view WHERE load IN (SELECT load FROM gate_view) AND EXISTS (SELECT 1)", "SELECT transform(array(1, 2), x -> x + 1)", "SELECT * FROM gate_view LATERAL VIEW explode(array(1, 2)) t AS x", "SELECT * FROM range(3)", "/* a */ SELECT 1 -- b",
+        "SELECT st_distance(st_makepoint(0D, 0D), st_makepoint(3D, 4D))", "SELECT load FROM gate_view UNION SELECT 1 ORDER BY 1 LIMIT 3", "SELECT percentile(load, 0.5), stddev(load) FROM gate_view GROUP BY ROLLUP (`set`) HAVING count(*) > 0", "SELECT * FROM gate_view PIVOT (max(`set`) FOR load IN (1, 2))",
+        "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT max(n) FROM r",
+    ],
+)
+def test_reading_queries_pass(spark, sql):
+    gate_view(spark)
+    service.QueryService(spark)
+    assert service.run(spark, sql).collect()
+
+
+@pytest.mark.parametrize(
+    "answer,sql",
+    [
+        ("SELECT 1;", "SELECT 1"), ("Here it is:\n```sql\nSELECT 1\nFROM t;\n```\nand more SELECT", "SELECT 1\nFROM t"), ("```SELECT 2```", "SELECT 2"), ("<think>SELECT 0</think> with t as (select 1) select * from t", "with t as (select 1) select * from t"),
+        ("<think>a\nb</think>\nI go with this: SELECT 3", "SELECT 3"), ("no query", "no query"), ("", ""), ("```\n(SELECT 1) UNION (SELECT 2)\n```", "(SELECT 1) UNION (SELECT 2)"),
+    ],
+)
+def test_extract_sql(answer, sql):
+    assert service.extract_sql(answer) == sql
+
+
 def test_service(spark):
     d = spark.createDataFrame([("c", k % 3, "car", float(k), 100.0 + k, 5.0) for k in range(60)], "cctv_id string, track_id long, class string, speed_kmh double, easting double, northing double")
     links = spark.createDataFrame([("L", [(90.0, 0.0), (200.0, 0.0)], True)], "link_id string, pts array<struct<x:double,y:double>>, directed boolean")

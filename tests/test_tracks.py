@@ -11,6 +11,7 @@ from kerbside.operators import evaluation, matching, sequences, smoother, tracki
 from kerbside.operators.assignment import assign, assign_within
 from kerbside.operators.graph import components, shortest
 from kerbside.operators.lane_graph import Graph, gaps
+from kerbside.operators.lane_graph import topology as lane_topology
 from kerbside.plans import track_queries
 
 
@@ -62,22 +63,117 @@ def test_graph():
     assert GRAPH.at("a", 20.0, 1.5) == pytest.approx([20.0, 1.5])
 
 
-def test_matching_keeps_to_the_road():
-    x = np.arange(3.0, 98.0, 4.0)
-    y = np.where(np.arange(len(x)) % 5 == 2, 2.4, 0.3)  # now and then nearer the lane beside
-    points, ahead = np.column_stack([x, y]), [np.array([1.0, 0.0])] * len(x)
-    plain = [s[0] for s in matching.greedy(GRAPH, points, ahead)]
-    likely = [s[0] for s in matching.viterbi(GRAPH, points, ahead)]
-    assert "d" in plain and likely == ["a" if v < 50 else "b" for v in x]
-    locked = matching.lane_lock(GRAPH, points, matching.viterbi(GRAPH, points, ahead))
-    along = [s[1] + (50.0 if s[0] == "b" else 0.0) for s in locked]
-    assert (np.diff(along) >= 0).all() and max(abs(s[2]) for s in locked) < 1.0
+def links_of(spark, graph=GRAPH):
+    rows = [(k, [(float(x), float(y)) for x, y in graph.points[k][[0, -1]]], graph.directed[k]) for k in graph.ids]
+    edges = [(a, b) for a in graph.ids for b in graph.successors[a]] or [("-", "-")]
+    return spark.createDataFrame(rows, "link_id string, pts array<struct<x:double,y:double>>, directed boolean"), spark.createDataFrame(edges, "src string, dst string")
+
+
+def drive(spark, points, heading=0.0, speed=20.0, track="t"):
+    return spark.createDataFrame([(track, k, float(x), float(y), heading, speed) for k, (x, y) in enumerate(points)], "track string, frame long, x double, y double, heading double, speed_kmh double")
 
 
-def test_viterbi_begins_anew_where_no_route_leads():
-    points = np.array([[10.0, 0.0], [20.0, 0.0], [10.0, 4.0]])
-    assert [s[0] for s in matching.viterbi(GRAPH, points, [None] * 3)][0] == "a" and all(matching.viterbi(GRAPH, points, [None] * 3))
-    assert matching.viterbi(GRAPH, np.array([[500.0, 500.0]]), [None]) == [None]
+def matched(spark, rows, method, graph=GRAPH):
+    links, edges = links_of(spark, graph)
+    return matching.match_tracks(rows, links, ["track"], method, edges=edges).orderBy("track", "frame").collect()
+
+
+def test_matching_keeps_to_the_road(spark):
+    x = np.arange(3.0, 98.0, 4.0)
+    rows = drive(spark, np.column_stack([x, np.where(np.arange(len(x)) % 5 == 2, 2.4, 0.3)]))  # now and then nearer the lane beside
+    assert "d" in [r.link_id for r in matched(spark, rows, "greedy")]
+    assert [r.link_id for r in matched(spark, rows, "viterbi")] == ["a" if v < 50 else "b" for v in x]
+    locked = matched(spark, rows, "lock")
+    along = [r.s + (50.0 if r.link_id == "b" else 0.0) for r in locked]
+    assert (np.diff(along) >= 0).all() and max(abs(r.d) for r in locked) < 2.5 and along[-1] == pytest.approx(x[-1], abs=1.0)
+
+
+def test_viterbi_begins_anew_where_no_route_leads(spark):
+    rows = drive(spark, [(10.0, 0.0), (20.0, 0.0), (10.0, 4.0), (900.0, 900.0)], heading=None, speed=None).unionByName(drive(spark, [(500.0, 500.0)], track="far"))
+    out = matched(spark, rows, "viterbi")
+    assert [r.link_id is None for r in out] == [True, False, False, False, True] and out[1].link_id == "a"
+
+
+def plain_viterbi(graph, rows, sigma=2.0, beta=4.0):
+    """Loops over all options of all rows."""
+    moving = [r.heading is not None and (r.speed_kmh or 0) >= 5 for r in rows]
+    mean = sum((np.exp(1j * np.radians(r.heading)) for r, m in zip(rows, moving) if m), 0j)
+    best, path, last = {}, [None] * len(rows), None
+    trail = []
+    for i, r in enumerate(rows):
+        options = graph.near((r.x, r.y))
+        if not options:
+            continue
+        unit = np.exp(1j * np.radians(r.heading)) if moving[i] else mean / abs(mean) if abs(mean) > 1e-9 else None
+        score = []
+        for link, s, d, _ in options:
+            t = graph.tangent(link, s)
+            c = None if unit is None else t[0] * unit.real + t[1] * unit.imag
+            wrong = 0.0 if c is None else (1 - c) / 2 if graph.directed[link] else (1 - abs(c)) / 2
+            score.append(-0.5 * (d / sigma) ** 2 - np.log(np.sqrt(2 * np.pi) * sigma) - 2.0 * wrong)
+        back = [None] * len(options)
+        if trail:
+            j, old, before, _ = trail[-1]
+            straight = np.hypot(r.x - rows[j].x, r.y - rows[j].y)
+            move = [max(((before[a] - abs(straight - w) / beta - np.log(beta), -a) for a, o in enumerate(old) if before[a] > -np.inf and (w := graph.route(o[:2], n[:2])) is not None), default=None) for n in options]
+            if any(m is not None for m in move):
+                back = [None if m is None else -m[1] for m in move]
+                score = [-np.inf if m is None else e + m[0] for e, m in zip(score, move)]
+        trail.append((i, options, score, back))
+    pick = None
+    for i, options, score, back in reversed(trail):
+        pick = int(np.argmax(score)) if pick is None else pick
+        path[i] = options[pick][:3]
+        pick = back[pick]
+    return path
+
+
+def test_matching_equals_plain_versions_on_a_map_with_junctions(spark):
+    from kerbside.plans import tables
+
+    sf = "/root/testdata/sf0.001"
+    links = tables.roads(spark, sf)
+    edges = lane_topology(links)
+    graph = Graph.from_rows(links.collect(), edges.collect())
+    assert any(len(v) > 1 for v in graph.successors.values()) and not all(graph.directed.values())
+    rows = tables.drives(spark, sf)
+    got = {(r.track_id, r.frame): r for r in matching.match_tracks(rows, links, ["track_id"], "viterbi").collect()}
+    locked = {(r.track_id, r.frame): r for r in matching.match_tracks(rows, links, ["track_id"], "lock").collect()}
+    tracks = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.track_id, r.frame)):
+        tracks.setdefault(r.track_id, []).append(r)
+    assert len(got) == len(locked) == sum(map(len, tracks.values()))
+    same = 0
+    for t, track in tracks.items():
+        want = plain_viterbi(graph, track)
+        mine = [got[t, r.frame] for r in track]
+        for w, g in zip(want, mine, strict=True):
+            assert (w is None) == (g.link_id is None)
+            same += w is None or (w[0] == g.link_id and (w[1], w[2]) == pytest.approx((g.s, g.d), abs=1e-6))
+        lock = [locked[t, r.frame] for r in track]
+        chain = list(dict.fromkeys(x.link_id for x in lock if x.link_id))
+        assert set(chain) <= {x.link_id for x in mine} and all(graph.gap(a, b) is not None for a, b in zip(chain, chain[1:]))
+        assert all(0.0 <= x.s <= graph.length(x.link_id) + 1e-9 for x in lock if x.link_id)
+    assert same >= 0.99 * len(got)  # equal likelihoods may be decided by the last bit
+
+
+def test_matching_on_a_large_map(spark):
+    """1,600 links: each row meets the links near it only."""
+    n = 28
+    rows = [(f"e{i}-{j}", [(i * 50.0, j * 50.0), (i * 50.0 + 50.0, j * 50.0)], True) for i in range(n) for j in range(n + 1)] + [(f"n{i}-{j}", [(i * 50.0, j * 50.0), (i * 50.0, j * 50.0 + 50.0)], True) for i in range(n + 1) for j in range(n)]
+    links = spark.createDataFrame(rows, "link_id string, pts array<struct<x:double,y:double>>, directed boolean")
+    points = [(k * 10.0 + 3, 500.4) for k in range(60)] + [(600.3, 500.0 + k * 10.0) for k in range(1, 60)]
+    rows = drive(spark, points, heading=None, speed=None)
+    out = matching.match_tracks(rows, links, ["track"], "lock").orderBy("frame").collect()
+    assert [r.link_id[0] for r in out] == ["e"] * 60 + ["n"] * 59 and [r.link_id for r in out][0] == "e0-10" and out[-1].link_id == "n12-21"
+
+
+def test_progress_keeps_its_width_on_short_tracks():
+    s = np.array([0.0, 1.0, 1.0, 5.0])
+    step = np.array([1.0, 0.0, 4.0])
+    mean = np.convolve(np.pad(step, 4, mode="edge"), np.full(9, 1 / 9), "valid")
+    assert matching.smooth_progress(s, 9) == pytest.approx(np.concatenate([[0.0], np.cumsum(mean * 5.0 / mean.sum())]))
+    assert matching.smooth_progress(np.array([2.0, 2.0, 2.0])).tolist() == [2.0, 2.0, 2.0]
 
 
 def test_smoother_gate_and_heading():
@@ -153,6 +249,10 @@ def test_components_and_shortest_paths(spark):
     p = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 5.0), ("c", "a", 1.0)], "src string, dst string, cost double")
     got = {(r.src, r.dst): r.cost for r in shortest(p, 10.0).collect()}
     assert got["a", "c"] == 2.0 and got["b", "a"] == 2.0
+    line = spark.createDataFrame([(k, k + 1, 2.0) for k in range(200)] + [(5, 5, 0.0), (7, None, 1.0)], "src long, dst long, cost double")
+    assert {(r.src, r.dst): r.cost for r in shortest(line, 300.0).collect()} == {(a, b): 2.0 * (b - a) for a in range(201) for b in range(a + 1, min(200, a + 150) + 1)}
+    with pytest.raises(ValueError):
+        shortest(spark.createDataFrame([("a", "b", -1.0)], "src string, dst string, cost double"), 10.0)
 
 
 def test_gaps_equal_the_graph(spark):
