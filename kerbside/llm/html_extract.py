@@ -3,16 +3,18 @@
 All pages of a host are merged into one style tree: a node is a path of
 elements with their presentation (tag, class, id, role).  Each page contributes
 to each node on it how the node is laid out (the sequence of its children) and
-what it says (all text of the branch).  A node's composite importance weighs the
-entropy of its layouts and of its contents over the host's pages: a branch that
-looks and reads alike on all pages has importance 0, one that differs on each
-each page has 1.  The text of branches of low importance is removed from each page.
-
-Copies say nothing about what a site repeats, so pages that look the same to the
-tree count once.  Few pages say little about a site, so a host needs MIN_PAGES
-different pages that have a node before the node can be found unimportant.  What elements mean comes in as a
-prior: navigation, forms, adverts and their kin have importance 0, and the
-page, its body and articles, and plain text blocks of an article, are never removed for what the tree says.
+what it says (the pieces of text in it).  A node's composite importance weighs
+the entropy of its layouts and the importance of its contents: a piece of text
+that all of the host's pages have in a node counts 0, one that a single page has
+counts 1, by its entropy over the pages; pieces weigh by their length.
+
+What elements mean comes in as a prior that importance is multiplied by:
+navigation, asides, footers, forms, adverts and their kin have little, as has
+(less so) what stands outside of the article on a page that has one.  Text whose
+node's importance is under THRESHOLD is removed from each page.  Few pages say
+little about a site, so under MIN_PAGES different pages with a node its prior
+alone decides; copies count once.  Scripts, styles and hidden elements are no
+text at all.  Plain blocks inside an article are the article and always stay.
 """
 
 from __future__ import annotations
@@ -29,7 +31,11 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize
 
 MIN_PAGES = 8
-THRESHOLD = 0.2
+THRESHOLD = 0.3
+#: Prior importance of what its tag or name speaks against, and of text outside of a page's article; priors up to PLAUSIBLE don't suffice on their own.
+SUSPECT, OUTSIDE, PLAUSIBLE = 0.3, 0.5, 0.5
+#: The prior weighs as much as this number of pages.
+PRIOR_PAGES = 1.0
 #: Weight of the layout against the contents falls with this power of the number of children.
 DAMPING = 0.9
 #: Branches that a broadcast may hold; with more, pages are joined by a shuffle.
@@ -39,7 +45,8 @@ BROADCAST_BRANCHES = 1_000_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption".split())
-_UNWANTED = frozenset("head nav aside footer form script style textarea title xmp iframe noembed noframes noscript template button select dialog menu svg object canvas audio video math datalist".split())
+_UNWANTED = frozenset("head script style textarea title xmp iframe noembed noframes noscript template button select svg object canvas audio video math datalist".split())
+_SUSPECT = frozenset("nav aside footer form dialog menu".split())
 _ENDS_P = _BLOCKS - frozenset("body html head option optgroup caption tbody td tfoot th thead tr legend summary".split())
 # An opening tag ends an open element of these tags, up to one of those.
 _IMPLIED = {
@@ -52,8 +59,6 @@ _IMPLIED = {
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox banner banners breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus footer form gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices alert alerts overlay pager pagination popup popups privacy promo promos promotion related recommended recommendations replies reply respond search share sharing sidebar sidebars signup skip skiplink social sponsor sponsored sponsors subscribe subscription tagcloud toolbar topbar trending warning widget widgets".split()
 )
-# Elements that are never removed for what the tree says.
-_KEPT = frozenset("#page html body article main".split())
 _SPLIT_NAME = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -61,25 +66,30 @@ _GAP = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its tag, presentation, path key, children (nodes and texts) and what its names mean."""
+    """An element: its tag, presentation, path key, children (nodes and texts), prior (its own or its parent's, if less), and whether it is part of an article."""
 
-    __slots__ = ("tag", "look", "key", "items", "prior", "named")
+    __slots__ = ("tag", "look", "key", "items", "prior", "named", "inside")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.items = tag, []
-        self.prior, self.named, self.look = 1, False, tag
+        own, self.named, self.look = 1.0, False, tag
+        article = tag in ("article", "main")
         if "=" in attributes or "hidden" in attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             look = [f"{k}={found[k]}" for k in ("class", "id", "role") if k in found]
             if look:
-                self.look, self.named = f"{tag} {' '.join(look)}", True
+                self.look, self.named = f"{tag} {' '.join(look)}", not article
                 words = {w.lower() for k in ("class", "id", "role") if k in found for w in _SPLIT_NAME.split(found[k])}
-                if tag not in ("html", "body", "article", "main") and not words.isdisjoint(_NAMES) or "comment" in words or "comments" in words:
-                    self.prior = 0
+                if tag not in ("html", "body") and not article and not words.isdisjoint(_NAMES) or "comment" in words or "comments" in words:
+                    own = SUSPECT
             if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-                self.prior = 0
+                own = 0.0
         if tag in _UNWANTED:
-            self.prior = 0
+            own = 0.0
+        elif tag in _SUSPECT or tag == "header" and not (parent and parent.inside):
+            own = min(own, SUSPECT)
+        self.prior = min(own, parent.prior) if parent else own
+        self.inside = bool(parent and parent.inside) or article and self.prior == 1.0
         self.key = xxhash.xxh3_64_intdigest(self.look, parent.key if parent else 0)
 
 
@@ -152,39 +162,50 @@ def _walk(node: Node) -> Iterator[Node]:
         todo += [x for x in reversed(n.items) if isinstance(x, Node)]
 
 
-def features(root: Node) -> list[tuple[int, int, int, int]]:
-    """(path, layout, contents, children) of each node of the page's style tree; elements of one path are one node."""
+def _plain(node: Node) -> bool:
+    """Whether an element is the article itself, whatever the site's other pages say."""
+    return node.inside and node.prior == 1.0 and not node.named
+
+
+def features(root: Node) -> tuple[int, list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(page, nodes, pieces): a digest of the whole page; (path, layout, children) of each node that holds text whose place is open; (path, text, length) of each piece of such text.
+
+    Elements of one path are one node; each element is looked at once.
+    """
+    page = xxhash.xxh3_64()
     layout: dict[int, xxhash.xxh3_64] = {}
-    contents: dict[int, xxhash.xxh3_64] = {}
     children: dict[int, int] = {}
-    open_: list[tuple[Node, int]] = [(root, 0)]
-    chain: list[int] = []
-    while open_:
-        node, depth = open_.pop()
-        del chain[depth:]
-        if node.tag in _RAW:
-            continue
-        chain.append(node.key)
+    pieces: list[tuple[int, int, int]] = []
+    for node in _walk(root):
         nodes = [x for x in node.items if isinstance(x, Node)]
+        said = [t for x in node.items if isinstance(x, str) and (t := _GAP.sub(" ", html.unescape(x)).strip())] if node.tag not in _RAW else []
+        page.update(f"<{node.look}")
+        page.update("\x1f".join(said))
+        if not said or not node.prior or _plain(node):
+            continue
         if node.key not in layout:
-            layout[node.key], contents[node.key], children[node.key] = xxhash.xxh3_64(), xxhash.xxh3_64(), 0
+            layout[node.key], children[node.key] = xxhash.xxh3_64(), 0
         layout[node.key].update("|".join([x.look for x in nodes]) + ";")
         children[node.key] = max(children[node.key], len(nodes))
-        said = "".join(x for x in node.items if isinstance(x, str)).strip()
-        if said:
-            for key in set(chain):
-                contents[key].update(said)
-        open_ += [(x, depth + 1) for x in reversed(nodes)]
-    return [(k, layout[k].intdigest(), contents[k].intdigest(), children[k]) for k in layout]
+        pieces += [(node.key, xxhash.xxh3_64_intdigest(t), len(t)) for t in said]
+    return page.intdigest(), [(k, layout[k].intdigest(), children[k]) for k in layout], pieces
 
 
-def blocks(root: Node, removed: frozenset[int] = frozenset()) -> list[str]:
-    """The text blocks of the page, without unwanted elements and without the text that stands in removed branches.
+def stays(node: Node, measured: dict[int, tuple[int, float]], outside: bool, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> bool:
+    """Whether the text that stands in an element stays; `measured` has the pages and the importance of the host's nodes, `outside` says that the page has an article, which this is no part of."""
+    if not node.prior or _plain(node):
+        return bool(node.prior)
+    prior = node.prior * (OUTSIDE if outside and not node.inside else 1.0)
+    pages, importance = measured.get(node.key, (0, 1.0))
+    if pages < min_pages:
+        return prior > PLAUSIBLE
+    return prior * (pages * importance + PRIOR_PAGES * prior) / (pages + PRIOR_PAGES) >= threshold
 
-    A branch below a removed one stays if it was not removed itself.  Where a
-    page has article or main elements only they are read.
-    """
-    wanted = any(n.tag in ("article", "main") and n.prior for n in _walk(root))
+
+def blocks(root: Node, measured: dict[int, tuple[int, float]] | None = None, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> list[str]:
+    """The text blocks of the page; each element's own text stays or goes with the importance of its node, and what is below it with its own."""
+    measured = measured or {}
+    outside = any(n.inside and n.tag in ("article", "main") for n in _walk(root))
     out: list[str] = []
     part: list[str] = []
 
@@ -194,32 +215,26 @@ def blocks(root: Node, removed: frozenset[int] = frozenset()) -> list[str]:
         if text:
             out.append(text)
 
-    # (node or text or None for the end of a block, whether within an article, whether below a removed branch, whether text here is removed)
-    todo: list[tuple[Node | str | None, bool, bool, bool]] = [(root, False, False, False)]
+    # (node, or text and whether it stays, or None for the end of a block)
+    todo: list[Node | tuple[str, bool] | None] = [root]
     while todo:
-        item, inside, below, gone = todo.pop()
+        item = todo.pop()
         if item is None:
             flush()
-        elif isinstance(item, str):
-            if (inside or not wanted) and not gone:
-                part.append(item)
+        elif isinstance(item, tuple):
+            if item[1]:
+                part.append(item[0])
+        elif item.tag == "br":
+            part.append(" ")
         else:
-            article = item.tag in ("article", "main")
-            inside, below = inside or article, below and not article
-            plain = inside and not item.named and not below
-            if not item.prior or item.tag == "header" and not inside:
-                if item.tag in _BLOCKS:
-                    flush()
-                continue
-            if item.tag == "br":
-                part.append(" ")
-                continue
-            gone = item.key in removed and not plain and item.tag not in _KEPT
-            block = item.tag in _BLOCKS
-            if block:
+            if item.tag in _BLOCKS:
                 flush()
-                todo.append((None, inside, below, gone))
-            todo += [(x, inside, below or gone, gone) for x in reversed(item.items)]
+            if not item.prior:
+                continue
+            if item.tag in _BLOCKS:
+                todo.append(None)
+            keep = stays(item, measured, outside, threshold, min_pages)
+            todo += [(x, keep) if isinstance(x, str) else x for x in reversed(item.items)]
     flush()
     return out
 
@@ -229,33 +244,39 @@ def _signed(x: int) -> int:
 
 
 def style_tree(pages: DataFrame, url: str, source: str) -> DataFrame:
-    """Rows (host, path, pages, importance, contents): the merged tree of every host, over its different pages."""
+    """Rows (host, path, pages, importance): the merged tree of every host, over its different pages."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen = [features(parse(s or "")) for s in batch.column("html").to_pylist()]
-        page = [_signed(xxhash.xxh3_64_intdigest(repr(nodes))) for nodes in seen]
-        lists = [pa.array([[_signed(f[k]) for f in nodes] for nodes in seen], pa.list_(pa.int64())) for k in range(4)]
-        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(page, pa.int64()), *lists], names=["host", "page", "path", "layout", "contents", "children"])
-
-    seen = map_arrow(pages.select(host_key(url).alias("host"), F.col(source).alias("html")), run, "host string, page long, path array<long>, layout array<long>, contents array<long>, children array<long>", "html")
-    nodes = seen.dropDuplicates(["host", "page"]).select("host", F.explode(F.arrays_zip("path", "layout", "contents", "children")).alias("node")).select("host", "node.*")
-    pairs = nodes.groupBy("host", "path", "layout", "contents").agg(F.count(F.lit(1)).alias("n"), F.max("children").alias("children"))
-
-    def entropy(by: str) -> DataFrame:
-        counts = pairs.groupBy("host", "path", by).agg(F.sum("n").alias("n"), F.max("children").alias("children"))
-        sums = counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.max("children").alias("children"))
-        # 0 where all pages agree, 1 where no two do
-        bits = F.log2("pages") - F.col("s") / F.col("pages")
-        return sums.select("host", "path", "pages", "children", F.when(F.col("pages") > 1, bits / F.log2("pages")).otherwise(1.0).alias(by))
-
-    both = entropy("layout").join(entropy("contents").select("host", "path", "contents"), ["host", "path"])
+        lists = [pa.array([[_signed(f[k]) for f in page[part]] for page in seen], pa.list_(pa.int64())) for part in (1, 2) for k in range(3)]
+        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array([_signed(page[0]) for page in seen], pa.int64()), *lists], names=["host", "page", "path", "layout", "children", "at", "said", "length"])
+
+    fields = ", ".join(f"{c} array<long>" for c in ("path", "layout", "children", "at", "said", "length"))
+    seen = map_arrow(pages.select(host_key(url).alias("host"), F.col(source).alias("html")), run, f"host string, page long, {fields}", "html")
+    seen = seen.dropDuplicates(["host", "page"])
+    nodes = seen.select("host", F.inline(F.arrays_zip("path", "layout", "children")))
+    pieces = seen.select("host", "page", F.inline(F.arrays_zip(F.col("at").alias("path"), F.col("said").alias("said"), F.col("length").alias("length"))))
+
+    counts = nodes.groupBy("host", "path", "layout").agg(F.count(F.lit(1)).alias("n"), F.max("children").alias("children"))
+    layouts = counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.max("children").alias("children"))
+    # 0 where all pages agree, 1 where no two do
+    layouts = layouts.withColumn("layout", F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("pages") / F.log2("pages")).otherwise(1.0))
+
+    # how evenly a piece is spread over the pages: n of them, s = sum of n log n over pages
+    each = pieces.groupBy("host", "path", "said", "page").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("length"))
+    spread = each.groupBy("host", "path", "said").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.max("length").alias("length"))
+    bits = F.log2("n") - F.col("s") / F.col("n")
+    weighed = spread.groupBy("host", "path").agg(F.sum(F.col("n") * F.col("length")).alias("size"), F.sum(F.col("n") * F.col("length") * bits).alias("bits"))
+
     share = F.pow(F.lit(DAMPING), F.col("children"))
-    return both.select("host", "path", "pages", ((1 - share) * F.col("layout") + share * F.col("contents")).alias("importance"), "contents")
+    contents = F.when(F.col("pages") > 1, 1 - F.col("bits") / F.col("size") / F.log2("pages")).otherwise(1.0)
+    return layouts.join(weighed, ["host", "path"]).select("host", "path", "pages", ((1 - share) * F.col("layout") + share * contents).alias("importance"))
 
 
 def host_key(url: str) -> F.Column:
     """The host with A-Z lower-cased; empty for a null url or one without `://`."""
-    return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"://([^/?#]*)", 1)), F.lit(""))
+    found = F.regexp_extract(F.col(url), r"://([^/?#]*)", 1)
+    return F.coalesce(F.translate(found, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", source: str = "html", *, min_pages: int = MIN_PAGES, threshold: float = THRESHOLD) -> DataFrame:
@@ -263,19 +284,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", source:
 
     Character references are decoded, white space within a block is one space,
     blocks are joined by an empty line.  Null or empty html gives an empty
-    text; ids may be null or repeated; other columns are ignored.
+    text; ids may be null or repeated (a repeated page is one page of the tree);
+    very long and very deep pages are walked once; other columns are ignored.
     """
-    low = (F.col("pages") >= min_pages) & (F.col("importance") < threshold) & (F.col("contents") < threshold)
-    removed = materialize(style_tree(pages, url, source).where(low).groupBy("host").agg(F.collect_list("path").alias("removed"), F.count(F.lit(1)).alias("n")), "removed")
-    size = removed.agg(F.sum("n")).first()[0] or 0
-    branches = removed.select("host", "removed")
+    known = style_tree(pages, url, source).where(F.col("pages") >= min_pages)
+    tree = materialize(known.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "importance")).alias("nodes"), F.count(F.lit(1)).alias("n")), "tree")
+    size = tree.agg(F.sum("n")).first()[0] or 0
+    branches = tree.select("host", F.col("nodes.path").alias("path"), F.col("nodes.pages").alias("pages"), F.col("nodes.importance").alias("importance"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(source).alias("html"), host_key(url).alias("host"))
-    joined = rows.join(F.broadcast(branches) if size <= BROADCAST_BRANCHES else branches, "host", "left").select("id", "url", "removed", "html")
+    joined = rows.join(F.broadcast(branches) if size <= BROADCAST_BRANCHES else branches, "host", "left").select("id", "url", "path", "pages", "importance", "html")
     kinds = f"id {pages.schema[id_col].dataType.simpleString()}, url string"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        gone = [frozenset(x & (1 << 64) - 1 for x in r or ()) for r in batch.column("removed").to_pylist()]
-        texts = ["\n\n".join(blocks(parse(s or ""), g)) for s, g in zip(batch.column("html").to_pylist(), gone, strict=True)]
+        texts = []
+        for page, *nodes in zip(*(batch.column(c).to_pylist() for c in ("html", "path", "pages", "importance")), strict=True):
+            measured = {k & (1 << 64) - 1: (n, v) for k, n, v in zip(*(x or () for x in nodes), strict=True)}
+            texts.append("\n\n".join(blocks(parse(page or ""), measured, threshold, min_pages)))
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     out = map_arrow(joined, run, f"{kinds}, text string", "html")

@@ -1,9 +1,12 @@
 import html
+import math
 import re
+import time
+from collections import Counter
 
 import pytest
 
-from kerbside.llm.html_extract import _walk, blocks, extract, parse
+from kerbside.llm.html_extract import _walk, blocks, extract, features, host_key, parse, style_tree
 
 
 @pytest.mark.parametrize(
@@ -54,7 +57,7 @@ def test_the_style_tree_removes_what_a_site_repeats(spark):
 
 
 def test_copies_do_not_blank_a_host(spark):
-    """Pages of hosts full of copies keep their text; what different pages repeat still goes."""
+    """Copies count once, so hosts full of them keep their text; what different pages repeat goes."""
     def page(k, note=""):
         return f"<html><!-- {note} --><body><div class='x1'>Welcome to our site</div><div class='x2'><p>story {k} of its own {k * 7}</p></div></body></html>"
 
@@ -67,14 +70,75 @@ def test_copies_do_not_blank_a_host(spark):
     assert all(out[400 + k] == f"Welcome to our site\n\nstory {k % 6} of its own {k % 6 * 7}" for k in range(600))
 
 
-def test_what_holds_kept_text_is_not_removed():
-    root = parse("<body>a<div class='w'>b<div class='s'>c</div><article>d<p>e</p><div class='n'>f<p>g</p></div></article></div></body>")
-    assert blocks(root) == ["d", "e", "f", "g"]
-    every = frozenset(n.key for n in _walk(root))
-    assert blocks(root, every) == ["d", "e"]
-    root = parse("<body>a<div class='w'>b<div class='s'>c</div></div></body>")
-    node = {n.look: n.key for n in _walk(root)}
-    assert blocks(root, frozenset([node["#page"], node["body"], node["div class=w"]])) == ["a", "c"]
+def plain_tree(pages):
+    """{path: (pages, importance)} by loops over all pages of one host."""
+    different = {features(parse(p))[0]: features(parse(p))[1:] for p in pages}
+    paths = {f[0] for nodes, _ in different.values() for f in nodes}
+    out = {}
+    for path in paths:
+        having = [(next(f for f in nodes if f[0] == path), [(t, n) for q, t, n in pieces if q == path]) for nodes, pieces in different.values() if any(f[0] == path for f in nodes)]
+        m = len(having)
+        shares = [c / m for c in Counter(f[1] for f, _ in having).values()]
+        layout = -sum(s * math.log(s, m) for s in shares) if m > 1 else 1.0
+        total = value = 0.0
+        for text, n in {t for _, said in having for t in said}:
+            on = [c for _, said in having if (c := said.count((text, n)))]
+            spread = -sum(c / sum(on) * math.log(c / sum(on), m) for c in on) if m > 1 else 0.0
+            total, value = total + sum(on) * n, value + sum(on) * n * (1.0 - spread)
+        share = 0.9 ** max(f[2] for f, _ in having)
+        out[path] = (m, (1.0 - share) * layout + share * value / total)
+    return out
+
+
+def shop(k):
+    """A page of a site whose names tell nothing: a slogan and a notice on all pages, a teaser on half of them, links that differ, and a story."""
+    teaser = f"<div class='q2'>Read our other story, part {k % 2}</div>"
+    return f"<body><div class='q1'>We deliver everywhere<b>fast</b></div>{teaser}<div class='q3'><i>{k}</i> visitors {k * 13 % 7}</div><div class='q4'><p>story {k} tells of {k * k}</p><p class='q5'>All prices include tax</p></div></body>"
+
+
+def test_importance_equals_plain_entropies(spark):
+    pages = [shop(k) for k in range(30)] + [shop(3)] * 4
+    tree = style_tree(spark.createDataFrame([("http://a.example.com/x", p) for p in pages], "url string, html string"), "url", "html").collect()
+    want = plain_tree(pages)
+    assert {r.path & (1 << 64) - 1: r.pages for r in tree} == {k: v[0] for k, v in want.items()} and max(v[0] for v in want.values()) == 30
+    for r in tree:
+        assert r.importance == pytest.approx(want[r.path & (1 << 64) - 1][1], abs=1e-9)
+
+
+def test_the_tree_decides_on_every_page_of_a_site(spark):
+    """With the tree, what the site repeats goes from each page; without it, it stays."""
+    rows = [(k, "http://a.example.com/x", shop(k)) for k in range(40)]
+    out = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, _, source in rows:
+        off = "\n\n".join(blocks(parse(source)))
+        assert "We deliver everywhere" in off and "All prices include tax" in off and out[k] != off
+        assert f"story {k} tells of {k * k}" in out[k] and "deliver" not in out[k] and "tax" not in out[k] and "fast" not in out[k] and "Read our" not in out[k]
+
+
+def test_on_pages_with_an_article_the_tree_decides_what_stands_beside_it():
+    page = parse("<body><div class='w'>beside</div><article>d<p>e</p><div class='n'>f<p>g</p></div></article></body>")
+    key = {n.look: n.key for n in _walk(page)}
+    assert blocks(page) == ["d", "e", "f", "g"]  # nothing known of the site: its prior is too small
+    assert blocks(page, {key["div class=w"]: (50, 1.0)}) == ["beside", "d", "e", "f", "g"]
+    assert blocks(page, {key["div class=w"]: (50, 0.4)}) == ["d", "e", "f", "g"]
+    # of an article only named branches can go
+    assert blocks(page, {n.key: (50, 0.0) for n in _walk(page)}) == ["d", "e", "g"]
+    menu = parse("<body><nav><a>m</a></nav><p>x")
+    assert all(blocks(menu, {n.key: (50, v) for n in _walk(menu) if n.tag != "p"}) == ["x"] for v in (0.0, 0.5, 1.0))
+
+
+def test_deep_pages_take_time_in_proportion():
+    deep = "<div>x" * 40_000
+    began = time.time()
+    page, nodes, pieces = features(parse(deep))
+    assert len(nodes) == len(pieces) == 40_000 and len(blocks(parse(deep))) == 40_000 and time.time() - began < 20
+
+
+def test_extra_columns_and_repeated_rows(spark):
+    rows = [(1, "HTTP://É.Example.COM/", "<p>x", "h", "t", 5)] * 2 + [(None, None, None, None, None, None)]
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, text string, pages long")).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in out) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
+    assert spark.createDataFrame(rows, "page_id long, url string, html string, host string, text string, pages long").select(host_key("url")).first()[0] == "É.example.com"
 
 
 def test_empty(spark):
