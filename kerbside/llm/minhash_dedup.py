@@ -13,8 +13,10 @@ How hot groups are kept cheap and whole:
 * In each bucket of a band all members are compared with one hub only, the
   member that shares most buckets.  That is linear in the bucket's size.
 * Members that did not reach the hub's component may still be linked to another
-  member.  They, and only they, are compared with the rest of the bucket, in
-  blocks of bounded bytes by one vectorised pass; pairs are never rows.
+  member.  In REHUBS further rounds one of them is the hub of its bucket, for
+  all members of other components.
+* Those still outside, and only they, are compared with the rest of the bucket,
+  in blocks of bounded bytes by one vectorised pass; pairs are never rows.
 
 With 32 bands of 4 rows a pair at similarity 0.75 is proposed with probability
 1 - 5e-6, and a pair above it with more.
@@ -32,7 +34,9 @@ from .components import components
 from .hashing import mix, shingles
 
 #: Shingles, together, of the texts of one side of a block.
-BLOCK_SHINGLES = 1 << 19
+BLOCK_SHINGLES = 1 << 18
+#: Rounds with another hub before blocks are compared.
+REHUBS = 2
 _CHUNK = 1 << 14
 
 
@@ -77,7 +81,7 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
         return (total[first[1:]] - total[first[:-1]]).view(np.int64)
 
 
-def _sign(id_col: str, text: str, size: int, bands: int, rows: int):
+def _sign(text: str, size: int, bands: int, rows: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, first = _distinct(*shingles(batch.column(text).to_pylist(), size))
         sig = signatures(ids, first, bands * rows).astype(np.uint64).reshape(len(first) - 1, bands, rows)
@@ -86,18 +90,27 @@ def _sign(id_col: str, text: str, size: int, bands: int, rows: int):
             for r in range(rows):
                 keys = mix(keys ^ sig[:, :, r])
             keys = keys.view(np.int64)
-        n = np.diff(first)
-        band = pa.ListArray.from_arrays(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1)))
-        return pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(n), pa.array(_sums(ids, first)), pa.array(_sums(mix(ids ^ np.uint64(0xA5A5A5A5)), first)), band], names=["id", "n", "k1", "k2", "bands"])
+        band = pa.ListArray.from_arrays(np.arange(0, (len(first) - 1) * bands + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1)))
+        at = batch.schema.get_field_index(text)
+        kept = [(c, n) for k, (c, n) in enumerate(zip(batch.columns, batch.schema.names, strict=True)) if k != at]
+        return pa.RecordBatch.from_arrays([*(c for c, _ in kept), *_identity(ids, first), band], names=[*(n for _, n in kept), *IDENTITY, "bands"])
 
     return run
 
 
+#: What equal sets have in common: their size and two sums.
+IDENTITY = ("n", "k1", "k2")
+
+
+def _identity(ids: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.diff(first)), pa.array(_sums(ids, first)), pa.array(_sums(mix(ids ^ np.uint64(0xA5A5A5A5)), first))]
+
+
 def _pack(text: str, size: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, first = _distinct(*shingles(batch.column(text).to_pylist(), size))
         sets = [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(sets, pa.binary())], names=["id", "items"])
+        return pa.RecordBatch.from_arrays([*_identity(ids, first), pa.array(sets, pa.binary())], names=[*IDENTITY, "items"])
 
     return run
 
@@ -171,49 +184,81 @@ def _blocks(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
-    """Rows (id_col, n_shingles, component_id, kept), one for each row of `docs`.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id_col, *keep, n_shingles, component_id, kept, group_id), one for each row of `docs`.
 
-    component_id is the smallest id reachable over links of at least `percent`
-    hundredths Jaccard similarity; kept says that it is the row's own id.
-    Null or blank texts have n_shingles 0 and are linked with nothing; repeated
-    ids count as one document; a null id has a null component and is not kept.
-    Further columns of `docs` are ignored.  An empty table gives no rows.
+    Texts whose sets have a similarity of at least `percent` hundredths are
+    linked; texts that links join are a group, group_id its number in this
+    result.  component_id is the smallest id of the group, null if none of its
+    rows has one; kept says that it is the row's own id.  Null or blank texts
+    have n_shingles 0, no group, are linked with nothing and have their own id
+    as component.  Each row counts with its own text: rows of one id with
+    different texts may be in different groups, rows without an id take part.
+    Texts of any length are compared whole.  Other columns are ignored.  An
+    empty table gives no rows.
     """
-    signed = materialize(map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), _sign("id", "text", shingle, bands, rows), "id long, n long, k1 long, k2 long, bands array<long>", "text"), "signed")
-    classes = materialize(signed.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "bands")).alias("first")).select("n", "k1", "k2", "first.id", "first.bands"), "classes")
-    linked = components(_links(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), classes, shingle, percent))
-    named = classes.drop("bands").join(linked, "id", "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("component"))
-    out = signed.drop("bands").join(named, ["n", "k1", "k2"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    named = {f"_keep{k}": F.col(c) for k, c in enumerate(keep)}
+    source = docs.select(F.col(id_col).cast("long").alias("id"), *(c.alias(n) for n, c in named.items()), F.col(text).alias("text"))
+    kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(named, keep, strict=True))
+    signed = materialize(map_arrow(source, _sign("text", shingle, bands, rows), f"id long, {kinds}n long, k1 long, k2 long, bands array<long>", "text"), "signed")
+    classes = signed.where("n > 0").groupBy(*IDENTITY).agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    linked = components(_links(source.select("id", "text"), classes, shingle, percent)).select(F.col("id").alias("class"), F.col("component").alias("found"))
+    group = materialize(classes.drop("bands").join(linked, "class", "left").withColumn("group", F.coalesce("found", "class")), "groups")
+    least = group.groupBy("group").agg(F.min("id").alias("component"))
+    of_class = group.select(*IDENTITY, "group").join(least, "group")
+    out = signed.drop("bands").join(of_class, list(IDENTITY), "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    return out.select(
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *(F.col(n).alias(c) for n, c in zip(named, keep, strict=True)),
+        F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"), F.col("group").alias("group_id"),
+    )
 
 
 def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Rows (a, b): links between class representatives that span their components."""
-    banded = classes.select("id", F.explode("bands").alias("key"))
+    """Rows (a, b): links between classes that span their groups."""
+    banded = classes.select(F.col("class").alias("id"), F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialize(banded.join(crowded, "key"), "shared")
     score = shared.groupBy("id").agg(F.sum("size").alias("score"))
     shared = materialize(shared.join(score, "id").select("id", "key", "score"), "scored")
-    hub = shared.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("at"))).alias("hub")).select("key", (-F.col("hub.at")).alias("hub"))
-    near = materialize(shared.select("id").distinct(), "near")
-    wanted = materialize(map_arrow(with_ids(docs.withColumn("id", F.col("id").cast("long")), near, "id").dropDuplicates(["id"]), _pack("text", shingle), "id long, items binary", "text"), "sets")
-    spokes = shared.join(hub, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    sets = wanted.select("id", "items")
-    tested = spokes.join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
-    close = materialize(tested.mapInArrow(_confirm(percent), "a long, b long"), "close")
-    labels = components(close)
-    return close.unionByName(_rest(shared.select("id", "key"), labels, sets, percent))
-
-
-def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of members of a bucket that are not in the component of most of it."""
-    labelled = shared.join(labels, "id", "left").select("id", "key", F.coalesce("component", "id").alias("label"))
+    near = materialize(classes.join(shared.select(F.col("id").alias("class")).distinct(), "class", "left_semi").select(*IDENTITY, "class", "id"), "near")
+    holders = with_ids(docs, near.where("id is not null").select("id").distinct(), "id").unionByName(docs.where("id is null"))
+    packed = map_arrow(holders.select("text"), _pack("text", shingle), "n long, k1 long, k2 long, items binary", "text")
+    sets = materialize(packed.join(near.select(*IDENTITY, F.col("class").alias("id")), list(IDENTITY)).select("id", "items").dropDuplicates(["id"]), "sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        tested = pairs.distinct().join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
+        return materialize(tested.mapInArrow(_confirm(percent), "a long, b long"), "close")
+
+    best = F.max(F.struct("score", (-F.col("id")).alias("at")))
+    hub = shared.groupBy("key").agg(best.alias("hub")).select("key", (-F.col("hub.at")).alias("hub"))
+    links = confirmed(shared.join(hub, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    labels = components(links)
+    for _ in range(REHUBS):
+        labelled = materialize(_mixed(shared.join(labels, "id", "left").select("id", "key", "score", F.coalesce("component", "id").alias("label"))), "labelled")
+        if not labelled.limit(1).count():
+            return links
+        hub = labelled.where("label <> main").groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("at"), "label")).alias("hub")).select("key", (-F.col("hub.at")).alias("hub"), F.col("hub.label").alias("hub_label"))
+        found = confirmed(labelled.join(hub, "key").where("label <> hub_label").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            labels = components(links)
+    labelled = _mixed(shared.join(labels, "id", "left").select("id", "key", F.coalesce("component", "id").alias("label")))
+    return links.unionByName(_rest(labelled, sets, percent))
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Rows (..., key, label) of buckets with several labels, with main, the label that most of the bucket has."""
     counted = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     main = counted.groupBy("key").agg(F.max(F.struct("n", (-F.col("label")).alias("at"))).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", (-F.col("top.at")).alias("main"))
+    return labelled.join(main, "key")
+
+
+def _rest(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of members of a bucket that are not in the component of most of it."""
     # side 0: members outside the main component; side 1: all members
-    member = materialize(labelled.join(main, "key").select("main", "id", "label").distinct(), "mixed")
+    member = materialize(labelled.select("main", "id", "label").distinct(), "mixed")
     sized = member.join(sets.select("id", (F.length("items") / 8).cast("long").alias("n")), "id")
     parts = sized.groupBy("main").agg(
         F.ceil(F.sum(F.when(F.col("label") != F.col("main"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES).cast("int").alias("left_parts"),

@@ -1,9 +1,11 @@
 import itertools
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from kerbside.llm import minhash_dedup
 from kerbside.llm.hashing import shingles, words
 from kerbside.llm.minhash_dedup import block_links, near_duplicates, signatures
 
@@ -57,21 +59,40 @@ def test_signature_estimates_similarity():
     assert abs((sig[0] == sig[1]).mean() - 3000 / 4000) < 0.12
 
 
+def rows_of(docs, **settings):
+    return {tuple(r) for r in near_duplicates(docs, **settings).drop("group_id").collect()}
+
+
 def test_edge_cases(spark, docs):
-    got = {tuple(r) for r in near_duplicates(docs).collect() if r[0] is not None}
-    want = brute([(r.doc_id, r.text) for r in docs.collect()])
-    assert got == want
-    assert sum(r[0] is None and not r[3] for r in near_duplicates(docs).collect()) == 2
+    assert {r for r in rows_of(docs) if r[0] is not None} == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert sum(r.doc_id is None and not r.kept and r.component_id is None for r in near_duplicates(docs).collect()) == 2
     assert near_duplicates(docs).count() == docs.count()
 
 
+def test_repeated_and_null_ids(spark):
+    """Each row counts with its own text."""
+    a, b = "the first text has more than five words in it", "quite another text that is like no other one here"
+    rows = [(2, a), (2, b), (1, a), (5, b), (None, b), (None, "no row with an id has this text at all"), (2, a), (7, None), (None, " ")]
+    out = near_duplicates(spark.createDataFrame([(i, t, f"k{k}", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, mark string, n long"), keep=("mark",)).collect()
+    got = {r.mark: (r.doc_id, r.component_id, r.kept) for r in out}
+    assert got == {"k0": (2, 1, False), "k1": (2, 2, True), "k2": (1, 1, True), "k3": (5, 2, False), "k4": (None, 2, False), "k5": (None, None, False), "k6": (2, 1, False), "k7": (7, 7, True), "k8": (None, None, False)}
+    group = {r.mark: r.group_id for r in out}
+    assert group["k0"] == group["k2"] == group["k6"] != group["k1"] == group["k3"] == group["k4"] != group["k5"] is not None and group["k7"] is None
+
+
 def test_empty(empty):
     assert near_duplicates(empty).collect() == []
 
 
 def test_whole_sample_against_brute_force(sample):
-    got = {tuple(r) for r in near_duplicates(sample).collect()}
-    assert got == brute([(r.doc_id, r.text) for r in sample.select("doc_id", "text").collect()])
+    assert rows_of(sample) == brute([(r.doc_id, r.text) for r in sample.select("doc_id", "text").collect()])
+
+
+@pytest.mark.parametrize("rehubs", [0, 1, 3])
+def test_rounds_with_other_hubs_change_no_result(sample, monkeypatch, rehubs):
+    monkeypatch.setattr(minhash_dedup, "REHUBS", rehubs)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", 500)
+    assert rows_of(sample) == brute([(r.doc_id, r.text) for r in sample.select("doc_id", "text").collect()])
 
 
 def test_a_group_of_near_copies_of_near_copies(spark):
@@ -84,8 +105,7 @@ def test_a_group_of_near_copies_of_near_copies(spark):
         for k in rng.choice(120, int(rng.integers(0, 12)), replace=False):
             t[k] = f"x{i}_{k}"
         rows.append((i, " ".join(t)))
-    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute(rows)
+    assert rows_of(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
 def test_block_links_join_what_pairs_join():
