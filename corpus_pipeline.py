@@ -29,9 +29,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; one row of each id; null ids go."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near duplicates, that of the smallest id (a document without an id only where none of its group has one).
+
+    Documents count with their own texts, so those of one id with unlike texts
+    all stay; of rows equal in id and text one stays.
+    """
+    key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))))
+    keyed = docs.select(*COLUMNS, key.alias("_key"))
+    found = near_duplicates(keyed, keep=("_key",))
+    first = found.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "_key")).alias("first"))
+    kept = first.select("first._key").unionByName(found.where("group_id is null").select("_key"))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
