@@ -253,7 +253,7 @@ def style_tree(pages: DataFrame, url: str, source: str) -> DataFrame:
 
     fields = ", ".join(f"{c} array<long>" for c in ("path", "layout", "children", "at", "said", "length"))
     seen = map_arrow(pages.select(host_key(url).alias("host"), F.col(source).alias("html")), run, f"host string, page long, {fields}", "html")
-    seen = seen.dropDuplicates(["host", "page"])
+    seen = materialize(seen.dropDuplicates(["host", "page"]), "seen")  # read twice below
     nodes = seen.select("host", F.inline(F.arrays_zip("path", "layout", "children")))
     pieces = seen.select("host", "page", F.inline(F.arrays_zip(F.col("at").alias("path"), F.col("said").alias("said"), F.col("length").alias("length"))))
 
