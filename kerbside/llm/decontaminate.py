@@ -5,7 +5,8 @@ become one space.  A test item of m characters may differ by
 k = floor(m * error_rate) edits.  It is cut into k + 1 pieces; k edits leave at
 least one piece untouched, so every occurrence within the budget shows an exact
 piece.  One automaton finds all pieces of all items in one pass over a text, and
-Myers' bit-parallel distance checks the window around each find.
+Myers' bit-parallel distance checks the window around each find.  Items shorter
+than MIN_CHARS have no budget and count where they stand as whole words.
 """
 
 from __future__ import annotations
@@ -17,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, materialize
 
 #: Characters of items in one automaton.  More items are handled in several passes over the documents.
 BLOCK_CHARS = 4_000_000
+#: Normalised characters from which an item may differ by edits.
+MIN_CHARS = 20
+#: Documents with finds that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_FINDS = 500_000
 
 
 def normal(text: str | None) -> str:
@@ -78,8 +83,9 @@ class Pattern:
 class Matcher:
     """Finds items (id, text) in documents, each within its edit budget."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
-        self.items = [(i, Pattern(t), budget(len(t), error_rate)) for i, t in items]
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, min_chars: int = MIN_CHARS) -> None:
+        self.items = [(i, Pattern(t), budget(len(t), error_rate) if len(t) >= min_chars else 0) for i, t in items]
+        self.whole = [len(t) < min_chars for _, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, p, edits) in enumerate(self.items):
             for place, piece in pieces(p.item, edits):
@@ -97,6 +103,8 @@ class Matcher:
             for k, place in where:
                 _, p, edits = self.items[k]
                 start = end + 1 - length - place
+                if self.whole[k] and (text[max(0, start - 1) : start].isalnum() or text[end + 1 : end + 2].isalnum()):
+                    continue
                 a, b = start - edits, start + p.length + edits
                 old = near.get(k)
                 if old is None:
@@ -109,63 +117,81 @@ class Matcher:
         for k, (a, b) in near.items():
             yield k, a, b
 
-    def find(self, text: str) -> list[tuple[int, int]]:
-        """(item's id, least distance found) for each item that is in `text`; sorted."""
-        best: dict[int, int] = {}
+    def find(self, text: str) -> list[tuple[int | None, int]]:
+        """(item's id, least distance found) for each item that is in `text`, by id, None first."""
+        best: dict[int | None, int] = {}
         if not len(self.automaton):  # no items
             return []
         for k, a, b in self._windows(text):
             i, p, edits = self.items[k]
             if best.get(i, edits + 1) and (d := p.distance(text[max(0, a) : max(0, b)])) <= min(edits, best.get(i, edits)):
                 best[i] = d
-        return sorted(best.items())
+        return sorted(best.items(), key=lambda x: (x[0] is not None, x[0] or 0))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", *, item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, min_chars: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id_col, *keep, n_items, item_ids, distances, leaked), one for each row of `docs`.
+def _item_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int | None, str]]]:
+    """The items, normalised, in lists of about BLOCK_CHARS characters; the driver holds one at a time."""
+    block: list[tuple[int | None, str]] = []
+    size = 0
+    for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").sort("i", "t").toLocalIterator():
+        item = normal(r.t)
+        if block and size + len(item) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        if item:
+            block.append((r.i, item))
+            size += len(item)
+    if block:
+        yield block
 
-    item_ids are the items that occur in the document within their edit budget,
-    ascending, distances their edit distances there.  Items that are null or
-    shorter than `min_chars` when normalised match nothing; equal items all
-    match.  Null or empty texts match nothing; ids may be null or repeated;
-    other columns are ignored; an empty benchmark leaks nowhere.
 
-    The items are read on the driver in blocks of BLOCK_CHARS characters, each
-    of which makes one pass over the documents; nothing larger is broadcast.
-    """
-    spark = docs.sparkSession
-    fields = [docs.schema[c] for c in (id_col, *keep)]
-    names = [f"c{k}" for k in range(len(fields))]
-    ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=True))
-    out = docs.select(*(F.col(f.name).alias(n) for n, f in zip(names, fields, strict=True)), F.col(text).alias("text"), F.lit(None).cast("array<struct<item:long,distance:int>>").alias("found"))
-    found_arrow = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32())]))
-    block: list[tuple[int, str]] = []
-    size = 0
-    rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null")
+def _finds(texts: DataFrame, items: list[tuple[int | None, str]], error_rate: float, min_chars: int) -> DataFrame:
+    """Rows (_key, item, distance) of the items found in rows (_key, text), written; the items' broadcast is gone by then."""
+    shared = texts.sparkSession.sparkContext.broadcast(items)
+    made: list[Matcher] = []
 
-    def apply(frame: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
-        made: list[Matcher] = []
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not made:
+            made.append(Matcher(shared.value, error_rate, min_chars))
+        found = [(k, i, d) for k, t in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, d in made[0].find(normal(t))]
+        keys, ids, distances = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64()), pa.array(distances, pa.int32())], names=["_key", "item", "distance"])
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if not made:
-                made.append(Matcher(shared.value, error_rate))
-            old = batch.column("found").to_pylist()
-            new = [(had or []) + [{"item": i, "distance": d} for i, d in made[0].find(normal(t))] for t, had in zip(batch.column("text").to_pylist(), old, strict=True)]
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, found_arrow)], names=[*names, "text", "found"])
+    out = materialize(map_arrow(texts, run, "_key string, item long, distance int", "text"), "finds")
+    shared.destroy()
+    return out
 
-        return map_arrow(frame, run, f"{ddl}, text string, found array<struct<item:long,distance:int>>", "text")
 
-    for r in rows.sort("i", "t").toLocalIterator():
-        item = normal(r.t)
-        if len(item) < min_chars:
-            continue
-        if block and size + len(item) > BLOCK_CHARS:
-            out, block, size = apply(out, block), [], 0
-        block.append((r.i, item))
-        size += len(item)
-    if block:
-        out = apply(out, block)
-    found = F.array_sort(F.coalesce("found", F.expr("array()").cast("array<struct<item:long,distance:int>>")))
-    out = out.select(*(F.col(n).alias(f.name) for n, f in zip(names, fields, strict=True)), found.alias("found"))
-    return out.select(*(f.name for f in fields), F.size("found").cast("long").alias("n_items"), F.col("found.item").alias("item_ids"), F.col("found.distance").alias("distances"), (F.size("found") > 0).alias("leaked"))
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", *, item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id_col, *keep, n_items, item_ids, distances, leaked), one for each row of `docs`.
+
+    item_ids are the items that occur in the document within their edit budget,
+    ascending, distances their edit distances there.  Items shorter than
+    `min_chars` when normalised must occur exactly, as whole words; null and
+    blank items match nothing.  Items of one id count as one, with the least
+    distance; those without an id count as an item whose id is null, first.
+    Null or empty texts match nothing, texts of any length are read whole; ids
+    may be null or repeated; other columns are ignored; an empty benchmark leaks
+    nowhere.
+
+    The items are read on the driver in blocks of BLOCK_CHARS characters.  Each
+    block makes one pass over the documents, after which its broadcast goes.
+    """
+    fields = [docs.schema[c] for c in (id_col, *keep)]
+    # a row's finds depend on its text alone
+    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    texts = docs.select(key.alias("_key"), F.col(text).alias("text"))
+    found = None
+    for block in _item_blocks(benchmark, item_id, item_text):
+        part = _finds(texts, block, error_rate, min_chars)
+        found = part if found is None else found.unionByName(part)
+    named = docs.select(*(F.col(f.name).alias(f"_c{k}") for k, f in enumerate(fields)), key.alias("_key"))
+    empty = F.expr("array()").cast("array<struct<item:long,distance:int>>")
+    if found is None:
+        joined = named.withColumn("_found", empty)
+    else:
+        lists = found.groupBy("_key", "item").agg(F.min("distance").alias("distance")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("item", "distance"))).alias("_found"))
+        lists = materialize(lists, "lists")
+        joined = named.join(F.broadcast(lists) if lists.count() <= BROADCAST_FINDS else lists, "_key", "left").withColumn("_found", F.coalesce("_found", empty))
+    out = joined.select(*(F.col(f"_c{k}").alias(f.name) for k, f in enumerate(fields)), F.col("_found"))
+    return out.select(*(f.name for f in fields), F.size("_found").cast("long").alias("n_items"), F.col("_found.item").alias("item_ids"), F.col("_found.distance").alias("distances"), (F.size("_found") > 0).alias("leaked"))
