@@ -44,6 +44,27 @@ def smooth_progress(s: np.ndarray, width: int = 9) -> np.ndarray:
     return s[0] + np.concatenate([[0.0], np.cumsum(smooth)])
 
 
+def _along(rows: DataFrame, by: list[str], order: str, value: str, smooth) -> DataFrame:
+    """`rows` with `value` replaced by what `smooth` makes of a track's values in order."""
+    import pandas as pd
+
+    def run(track: pd.DataFrame) -> pd.DataFrame:
+        track = track.sort_values(order, kind="stable")
+        return track.assign(**{value: smooth(track[value].to_numpy(float))})
+
+    return rows.groupBy(*by).applyInPandas(run, rows.schema)
+
+
+def monotone(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """`rows` with `value` (a double) made non-decreasing along each track, see `isotonic`."""
+    return _along(rows, by, order, value, isotonic)
+
+
+def progress(rows: DataFrame, by: list[str], order: str, value: str, width: int = 9) -> DataFrame:
+    """`rows` with positions (a double) of a smoothed speed along each track, see `smooth_progress`."""
+    return _along(rows, by, order, value, lambda s: smooth_progress(s, width))
+
+
 def smooth_lateral(d: np.ndarray, width: int = 5) -> np.ndarray:
     """Median of the values around, fewer at the ends."""
     half = width // 2

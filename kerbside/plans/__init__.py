@@ -1,6 +1,7 @@
 """Queries over the driver's tables, with the SQL that gives the same rows."""
 
-from . import core_queries, geometry_queries, track_queries
+from . import core_queries, geometry_queries, operator_queries, track_queries
 
-QUERIES = core_queries.QUERIES | geometry_queries.QUERIES | track_queries.QUERIES
-ORACLE_SQL = core_queries.ORACLE_SQL | geometry_queries.ORACLE_SQL | track_queries.ORACLE_SQL
+_MODULES = (core_queries, geometry_queries, track_queries, operator_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

@@ -93,7 +93,7 @@ def write_labels(files: DataFrame, path: str) -> None:
 
 def write_replays(objects: DataFrame, path: str, columns: list[str]) -> None:
     """Objects nested into gzipped documents, one for each camera."""
-    replay.write(replay.nest(objects, "cctv_id", "frame", columns), path)
+    replay.write(replay.nest(objects, "cctv_id", "frame", columns).withColumnRenamed("cctv_id", "location_code"), path)
 
 
 def guard(spark: SparkSession, path: str, taxonomy: list[str]) -> None:

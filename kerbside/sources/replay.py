@@ -82,8 +82,8 @@ def choose(files: DataFrame, camera: str = "cctv_id") -> DataFrame:
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """Documents as gzipped JSON, one line each."""
-    rows.write.mode("overwrite").option("compression", "gzip").json(path)
+    """Documents as gzipped JSON, one in each file, as `read` takes a file for one document."""
+    rows.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", 1).json(path)
 
 
 def parse(text: str) -> dict:
