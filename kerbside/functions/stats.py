@@ -22,7 +22,3 @@ def dirichlet(n: Column, total: Column, kinds: Column, alpha: float = 0.5) -> Co
     """Share smoothed by a symmetric prior over `kinds` outcomes."""
     return (n + alpha) / (total + alpha * kinds)
 
-
-def quartiles(x: Column) -> Column:
-    """Aggregate: median, lower and upper quartile, linearly interpolated."""
-    return F.percentile(x, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))

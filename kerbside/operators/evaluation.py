@@ -162,7 +162,7 @@ def identity_counts(matches: DataFrame) -> DataFrame:
     return matches.where("tracked_id is not null").groupBy("track_id", "tracked_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def identity_f1(matches: DataFrame, truths: int, predicted: int, most_tracks: int = 20_000) -> float:
+def identity_f1(matches: DataFrame, truths: int, predicted: int) -> float:
     """IDF1 by the assignment of tracks with most matched frames.
 
     Only tracks that meet need one assignment, so the counts are cut into

@@ -82,6 +82,11 @@ def temporal_deviation(samples: DataFrame, by: str = "cctv_id") -> DataFrame:
     return samples.groupBy(by, "x", "y").agg(F.stddev_pop("value").alias("std"))
 
 
+def median_frame(samples: DataFrame, by: str = "cctv_id") -> DataFrame:
+    """Rows (by, x, y, value): the median of each pixel (by, frame, x, y, value) over time, what stands still in the picture."""
+    return samples.groupBy(by, "x", "y").agg(F.percentile("value", F.lit(0.5)).alias("value"))
+
+
 def regions(mask: DataFrame, least: int = 1, by: str = "cctv_id") -> DataFrame:
     """Rows (by, region, area, x1, y1, x2, y2): pixels (by, x, y) that touch at sides or corners, largest first from 0; smaller ones than `least` go."""
     m = mask.select(by, "x", "y").distinct().withColumn("id", F.xxhash64(by, "x", "y"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, geometry
@@ -80,6 +80,29 @@ def round_coordinates(points: DataFrame, column: str = "coordinates", digits: in
     return points.withColumn(column, F.transform(column, lambda p: F.transform(F.slice(p, 1, 2), lambda v: F.bround(v, digits))))
 
 
+def tiles_of(spark: SparkSession, box: tuple[float, float, float, float], zoom: int, most: int = 1200) -> DataFrame:
+    """Rows (z, x, y, left, top): the tiles that cover (west, south, east, north) and where each goes in a mosaic, in pixels; more than `most` are an error."""
+    one = spark.range(1).select(*geodesy.tile(F.lit(box[0]), F.lit(box[3]), zoom), *geodesy.tile(F.lit(box[2]), F.lit(box[1]), zoom)).first()
+    x0, y0, x1, y1 = (int(v) for v in one)
+    wide, high = x1 - x0 + 1, y1 - y0 + 1
+    if wide * high > most:
+        raise ValueError(f"{wide * high} tiles; take a smaller zoom or box")
+    i, j = (F.col("id") % wide).cast("int"), F.floor(F.col("id") / wide).cast("int")
+    return spark.range(wide * high).select(F.lit(zoom).alias("z"), (i + x0).alias("x"), (j + y0).alias("y"), (i * 256).alias("left"), (j * 256).alias("top"))
+
+
+def cached_tiles(tiles: DataFrame, get, path: str, least_bytes: int = 100) -> DataFrame:
+    """As `fetch_tiles`, keeping answers of `least_bytes` or more in a table at `path`, from which tiles seen before are taken."""
+    from ..sinks import exists
+
+    spark = tiles.sparkSession
+    key = ["z", "x", "y"]
+    known = spark.read.parquet(path) if exists(spark, path) else None
+    todo = tiles.select(*key) if known is None else tiles.select(*key).join(known.select(*key), key, "left_anti")
+    fetch_tiles(todo, get).where(F.octet_length("content") >= least_bytes).write.mode("append").parquet(path)
+    return tiles.join(spark.read.schema("z int, x int, y int, content binary").parquet(path), key, "left")
+
+
 def fetch_tiles(tiles: DataFrame, get) -> DataFrame:
     """Rows (z, x, y, content) for tiles (z, x, y): `get(z, x, y)` is the caller's way to the bytes; a tile that fails has null."""
     import pyarrow as pa

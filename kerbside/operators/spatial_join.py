@@ -117,6 +117,12 @@ def project_onto(points: DataFrame, links: DataFrame, key: str, distance: float,
     return out.select(key, *own, link, "b.s", "b.d", "b.foot_x", "b.foot_y", "b.distance", "b.bearing")
 
 
+def nearest_bearing(points: DataFrame, links: DataFrame, key: str, distance: float) -> DataFrame:
+    """Rows (key, link_id, bearing): the direction of the nearest link's nearest segment within `distance`, the smaller link on ties."""
+    found = project_onto(points, links, key, distance)
+    return found.groupBy(key).agg(F.min_by(F.struct("link_id", "bearing"), F.struct("distance", "link_id")).alias("b")).select(key, "b.link_id", "b.bearing")
+
+
 def candidates(points: DataFrame, links: DataFrame, key: str, distance: float = 25.0, k: int = 6, link: str = "link_id", by_lateral: bool = True) -> DataFrame:
     """Up to k links of each point, by absolute lateral distance (or distance), then link."""
     found = project_onto(points, links, key, distance, link)

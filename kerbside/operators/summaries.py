@@ -21,6 +21,11 @@ def camera_summary(detections: DataFrame, cameras: DataFrame) -> DataFrame:
     return counts.join(cameras.select("cctv_id", "name"), "cctv_id", "left").select("cctv_id", F.coalesce("name", "cctv_id").alias("name"), "n_objects", "n_detections", "avg_speed_kmh")
 
 
+def busiest(detections: DataFrame, n: int = 1) -> DataFrame:
+    """The n cameras with most distinct tracks, by id on ties: rows (cctv_id, n_objects)."""
+    return detections.groupBy("cctv_id").agg(F.countDistinct("track_id").alias("n_objects")).orderBy(F.col("n_objects").desc(), "cctv_id").limit(n)
+
+
 def objects_by_class(detections: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct tracks by class."""
     count = F.approx_count_distinct("track_id") if approximate else F.countDistinct("track_id")

@@ -57,6 +57,15 @@ def label_files(images: DataFrame, boxes: DataFrame, classes: list[str]) -> Data
     return images.select("image").join(files, "image", "left").select("image", F.coalesce(F.array_join("lines", "\n"), F.lit("")).alias("text"), F.coalesce(F.size("lines"), F.lit(0)).alias("n"))
 
 
+def unlabelled_regions(images: DataFrame, boxes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Rows (image, x1, y1, x2, y2): the parts of images to paint over, as they show objects of classes that are dropped, have no target, or an unclear one."""
+    m = mapping.select(F.col("class").alias("_class"), F.col("target").alias("_target"))
+    rows = boxes.join(m, boxes["class"] == F.col("_class"), "left").join(images, "image").where(F.coalesce("_target", F.lit(DROP)).isin(DROP, CONFLICT))
+    cut = clip(tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.col("width").cast("double"), F.col("height").cast("double"))
+    out = rows.select("image", *(v.alias(n) for v, n in zip(cut, ("x1", "y1", "x2", "y2"), strict=True)))
+    return out.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+
+
 def build_counts(images: DataFrame, boxes: DataFrame, mapping: DataFrame) -> DataFrame:
     """One row: images, boxes kept, dropped by class, too small, and images without a box."""
     m = mapping.select(F.col("class").alias("_class"), F.col("target").alias("_target"))

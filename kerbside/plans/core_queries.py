@@ -47,8 +47,7 @@ def camera_summary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH d AS ({DETECTIONS}) SELECT cctv_id, count(DISTINCT track_id)::BIGINT AS n_objects FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""")
 def busiest_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.detections(spark, sf_dir)
-    return d.groupBy("cctv_id").agg(F.countDistinct("track_id").alias("n_objects")).orderBy(F.col("n_objects").desc(), "cctv_id").limit(1)
+    return summaries.busiest(tables.detections(spark, sf_dir))
 
 
 @query(f"""WITH d AS ({DETECTIONS}) SELECT class, count(DISTINCT track_id)::BIGINT AS n_objects FROM d GROUP BY 1""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import angles, geodesy, geometry
-from ..operators import align, calibrate, evaluation, lane_graph, masks, spatial_join
+from ..operators import align, calibrate, evaluation, lane_graph, masks, pipelines, spatial_join
 from . import tables
 from .tables import BOXES, read
 
@@ -95,7 +95,8 @@ def ground_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projection_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = tables.boxes(spark, sf_dir)
     x, y = geometry.contact_point(tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.lit(0.0), H, CX, CY, CZ)
-    return b.groupBy("cctv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.hypot(x - CX, y - CY) > 25).alias("rejected"))
+    placed = b.withColumns({"x": x, "y": y, "cam_x": F.lit(CX), "cam_y": F.lit(CY), "c_xx": F.lit(1.0), "c_xy": F.lit(0.0), "c_yy": F.lit(1.0)})
+    return pipelines.reject_far(placed, 25.0).groupBy("cctv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("proj_rejected").alias("rejected"))
 
 
 @query(f"""WITH b AS ({BOXES}) SELECT y2 AS v, round(abs({_at(_Y, u="500.0", v="(y2 + 1)")} - {_at(_Y, u="500.0", v="y2")}), 6) AS metres_per_px FROM (SELECT DISTINCT y2 FROM b)""")

@@ -631,3 +631,47 @@ def detections_on_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = read(spark, sf_dir, "nation").select(F.concat(F.lit("L"), k.cast("string")).alias("link_id"), F.array(F.struct((k * 60.0).alias("x"), (k % 5 * 20.0).alias("y")), F.struct((k * 60.0 + 60.0).alias("x"), (k % 5 * 20.0).alias("y"))).alias("pts"), F.lit(True).alias("directed"))
     service.views(d, tables.cameras(spark, sf_dir), links)
     return _rounded(service.run(spark, "SELECT event_id, link_id, link_distance FROM detection_on_link"), "link_distance")
+
+
+@query("SELECT l_returnflag AS cctv_id, (l_partkey % 50)::INT AS x, (l_suppkey % 10)::INT AS y, median(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3")
+def median_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("cctv_id"), (F.col("l_partkey") % 50).cast("int").alias("x"), (F.col("l_suppkey") % 10).cast("int").alias("y"), F.col("l_quantity").alias("value"))
+    return masks.median_frame(s)
+
+
+@query(f"SELECT l_orderkey AS image, least(400.0, x1) AS x1, least(300.0, y1) AS y1, least(400.0, x2) AS x2, least(300.0, y2) AS y2 FROM ({BOXES}) WHERE cctv_id <> 'A' AND x1 < 400 AND y1 < 300")
+def painted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = tables.boxes(spark, sf_dir).select(F.col("l_orderkey").alias("image"), F.col("cctv_id").alias("class"), "x1", "y1", "x2", "y2")
+    images = b.select("image").distinct().withColumns({"width": F.lit(400), "height": F.lit(300)})
+    return taxonomy.unlabelled_regions(images, b, spark.createDataFrame([("A", "car"), ("N", taxonomy.DROP)], "class string, target string"))
+
+
+@query("SELECT ts::DATE AS day, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def dated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark)
+    e = read(spark, sf_dir, "events").select("event_id", "ts")
+    for part in (0, 1):
+        sinks.append_dated(e.where(F.col("event_id") % 2 == part), path)
+    return spark.read.parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH d AS ({DRIVES}), l AS ({ROADS}), t AS (SELECT *, least(1.0, greatest(0.0, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / (len * len))) AS t FROM d, l), f AS (SELECT *, sqrt(power(x - (ax + t * (bx - ax)), 2) + power(y - (ay + t * (b_y - ay)), 2)) AS dist FROM t),
+ r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(dist, 9), link_id) AS r FROM f WHERE dist <= 15) SELECT event_id, link_id, round(degrees(atan2(b_y - ay, bx - ax)), 6) AS bearing FROM r WHERE r = 1""")
+def nearest_bearings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(spatial_join.nearest_bearing(tables.drives(spark, sf_dir).select("event_id", "x", "y"), tables.roads(spark, sf_dir), "event_id", 15.0), "bearing")
+
+
+@query("SELECT 10::INT AS z, x::INT AS x, y::INT AS y, ((x - 873) * 256)::INT AS left, ((y - 396) * 256)::INT AS top, 10 * 3 + x + y AS n FROM (SELECT unnest([873, 874]) AS x), (SELECT unnest([396, 397]) AS y)")
+def tile_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles of a box and their places; the second time they come from the table they were kept in."""
+
+    def get(z: int, x: int, y: int) -> bytes:
+        return bytes(z * 3 + x + y)
+
+    def never(z: int, x: int, y: int) -> bytes:
+        raise OSError("asked for twice")
+
+    t = pipelines.tiles_of(spark, (126.95, 37.3, 127.5, 37.6), 10)
+    path = _fresh(spark)
+    pipelines.cached_tiles(t, get, path)
+    return pipelines.cached_tiles(t, never, path).select("z", "x", "y", "left", "top", F.octet_length("content").alias("n"))

@@ -44,6 +44,11 @@ def append(rows: DataFrame, path: str, keep: list[str]) -> None:
     rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in keep)).write.mode("append").parquet(path)
 
 
+def append_dated(rows: DataFrame, path: str, ts: str = "ts") -> None:
+    """Appends rows to a table with a partition for each day of `ts`, so that a stretch of time reads its days alone."""
+    rows.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(path)
+
+
 def upsert(spark: SparkSession, rows: DataFrame, path: str, key: list[str], newest: str) -> None:
     """The table at `path` with `rows` merged in: of each key the newest row stays.
 

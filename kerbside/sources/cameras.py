@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import xml.etree.ElementTree as ET
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import flat_distance
 
+# Fixed value: the name space of sheets.
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RESPONSE = "response struct<data:array<struct<coordx:string,coordy:string,cctvtype:string,cctvformat:string,cctvname:string,cctvurl:string>>>"
 
 
@@ -43,6 +50,47 @@ def read_table(rows: DataFrame, box: tuple[float, float, float, float], lon: str
     return rows.where(within(F.col(lon).cast("double"), F.col(lat).cast("double"), box))
 
 
+def read_workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """Rows (path, row, cells array<string>) of a sheet of .xlsx files, one task for each file; cells that a row skips are null."""
+
+    def column(name: str) -> int:
+        n = 0
+        for c in name:
+            if not c.isalpha():
+                break
+            n = n * 26 + ord(c) - 64
+        return n - 1
+
+    def text(node) -> str:
+        return "".join(t.text or "" for t in node.iter(f"{_SHEET}t"))
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                out = []
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    shared = [text(s) for s in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+                    for row in ET.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{_SHEET}row"):
+                        cells: list[str | None] = []
+                        for c in row.iter(f"{_SHEET}c"):
+                            value = c.find(f"{_SHEET}v")
+                            said = text(c) if c.get("t") == "inlineStr" else None if value is None else shared[int(value.text)] if c.get("t") == "s" else value.text
+                            at = column(c.get("r", "")) if c.get("r") else len(cells)
+                            cells += [None] * (at + 1 - len(cells))
+                            cells[at] = said
+                        out.append((int(row.get("r", len(out) + 1)), cells))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), pa.array([r for r, _ in out], pa.int32()), pa.array([c for _, c in out], pa.list_(pa.string()))], names=["path", "row", "cells"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, row int, cells array<string>")
+
+
+def workbook_table(rows: DataFrame) -> DataFrame:
+    """The sheet of `read_workbook` as a table: the first row of the first file names the columns, in all files."""
+    names = [(n or f"_{k}").strip() for k, n in enumerate(rows.where("row = 1").orderBy("path").limit(1).first().cells)]
+    return rows.where("row > 1").select(*(F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)))
+
+
 def nearest_to(cameras: DataFrame, lon: float, lat: float, n: int, start: int = 0, key: str = "cctv_id") -> DataFrame:
     """The cameras number start..start+n-1 by distance from a place; equal distances by key."""
     d = flat_distance(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat))

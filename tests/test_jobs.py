@@ -424,3 +424,44 @@ def test_stream_windows(spark, tmp_path):
     assert sorted(got.n.tolist()) == [1, 1, 2]
     got = drain(jobs.sessions(stream(spark, tmp_path, pdf.iloc[[0, 1, 2, 3, 5]], schema, "v")), spark, "out_sessions")
     assert sorted(got.n.tolist()) == [1, 3]
+
+
+def test_jobs_of_the_command_line(spark, tmp_path, capsys):
+    from kerbside.__main__ import JOBS, main
+    from kerbside.plans import tables
+
+    sf, at = "/root/testdata/sf0.001", lambda name: str(tmp_path / name)
+    tables.drives(spark, sf).withColumn("cctv_id", F.lit("c")).withColumn("class", F.lit("car")).write.parquet(at("tracks"))
+    tables.roads(spark, sf).write.parquet(at("links"))
+    main(["mapmatch", "--tracks", at("tracks"), "--links", at("links"), "--method", "viterbi", "--out", at("states")], spark)
+    states = spark.read.parquet(at("states"))
+    assert states.count() == spark.read.parquet(at("tracks")).count() and states.where("link_id is not null").count() > 0
+    main(["turn-counts", "--states", at("states"), "--links", at("links"), "--out", at("turns")], spark)
+    assert {"left", "straight"} & {r.turn for r in spark.read.parquet(at("turns")).collect()}
+    main(["field", "--states", at("states"), "--links", at("links"), "--out", at("field")], spark)
+    assert spark.read.parquet(at("field")).count() == 52 * 10
+    main(["split", "--tracks", at("tracks"), "--limit", "1e9", "--out", at("split")], spark)
+    tables.detections(spark, sf).write.parquet(at("detections"))
+    tables.cameras(spark, sf).write.parquet(at("cameras"))
+    main(["summary", "--detections", at("detections"), "--cameras", at("cameras")], spark)
+    assert "avg_speed_kmh" in capsys.readouterr().out
+    b = spark.createDataFrame([(f, 1, 0.9, 0.0, 0.0, 9.0, 9.0) for f in range(5)], "frame long, track_id long, confidence double, x1 double, y1 double, x2 double, y2 double")
+    b.write.parquet(at("truth"))
+    b.withColumnRenamed("track_id", "tracked_id").write.parquet(at("found"))
+    main(["evaluate", "--truth", at("truth"), "--found", at("found")], spark)
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["mota"] == 1.0
+    main(["rename", at("tracks"), "--names", "c=d"], spark)
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {at("tracks"): states.count()}
+    assert len(JOBS) == 15
+
+
+def test_workbooks(spark, tmp_path):
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>%s</sheetData></worksheet>'
+    rows = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="inlineStr"><is><t> YCOORD</t></is></c></row><row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2"><v>127.1</v></c><c r="C2"><v>37.4</v></c></row><row r="3"><c r="B3"><v>129.0</v></c><c r="C3"><v>35</v></c></row>'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>CCTVID</t></si><si><t>XCOORD</t></si><si><r><t>cam </t></r><r><t>one</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet % rows)
+    table = cameras.workbook_table(cameras.read_workbook(spark, str(tmp_path / "a.xlsx")))
+    assert table.columns == ["CCTVID", "XCOORD", "YCOORD"] and table.count() == 2
+    got = cameras.read_table(table, (127.0, 37.0, 128.0, 38.0), "XCOORD", "YCOORD").collect()
+    assert [tuple(r) for r in got] == [("cam one", "127.1", "37.4")]
