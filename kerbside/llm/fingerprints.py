@@ -115,17 +115,19 @@ def _coded(rows: DataFrame, keys: list[str], keep: list[str], texts: dict[str, s
     and that only if it is too large to broadcast.
     """
     marks = F.concat(*(_marked(F.col(c), k) for k, c in enumerate(texts.values())))
-    whole = F.array(*(F.xxhash64(c) for c in texts.values()))
-    long = rows.select(*keys, *keep, whole.alias("_whole"), F.explode(marks).alias("m")).select(*keys, *keep, "_whole", "m.side", "m.term")
+    carried = F.struct(*keep, F.array(*(F.xxhash64(c) for c in texts.values())).alias("_whole"))
+    long = rows.select(*keys, carried.alias("_row"), F.explode(marks).alias("m"))
+    # one of a row's marks carries what else the row has, so that the others are narrow
+    long = long.select(*keys, F.when((F.col("m.side") == 0) & (F.col("m.term") == 0), F.col("_row")).alias("_row"), "m.side", "m.term")
     table = known if known.count() > BROADCAST_TERMS else F.broadcast(known)
     got = long.join(table, "term", "inner")
     lists = {f"_l{k}": F.collect_list(F.when((F.col("side") == k) & (F.col("spot") >= 0), F.col("spot"))) for k in range(len(texts))}
-    parts = got.groupBy(*keys).agg(*(F.first(c).alias(c) for c in [*keep, "_whole"]), *(c.alias(n) for n, c in lists.items()))
+    parts = got.groupBy(*keys).agg(F.first("_row", ignorenulls=True).alias("_row"), *(c.alias(n) for n, c in lists.items()))
     out = []
     for k, name in enumerate(texts):
-        bare = F.concat(F.lit("="), F.lower(F.hex(F.col("_whole")[k])))
+        bare = F.concat(F.lit("="), F.lower(F.hex(F.col("_row._whole")[k])))
         out.append(F.when(F.size(f"_l{k}") == 0, bare).otherwise(subset_codes(F.sort_array(f"_l{k}"))).alias(name))
-    return parts.select(*keys, *keep, *out)
+    return parts.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in keep), *out)
 
 
 def _marked(text: Column, side: int) -> Column:
