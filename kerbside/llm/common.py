@@ -21,9 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder every executor can read: spark.checkpoint.dir.
+
+    Where it is unset a local session gets a folder of its own; the machines of
+    a cluster share none, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="kerbside-")
         spark.sparkContext.setCheckpointDir(found)
     return found

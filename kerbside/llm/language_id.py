@@ -157,7 +157,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     """A model from a bounded sample: about `sample_rows` rows of each language in the order of a hash, at most `row_chars`
     characters of each, at most `sample_bytes` bytes of normalised text for each language.
 
-    Rows with a null language or text teach nothing.  What reaches the driver
+    Rows with a null language or text teach nothing; repeated rows are in the
+    sample together or not at all.  What reaches the driver
     is bounded by the number of languages times these parameters.
     """
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null")
@@ -179,8 +180,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id_col, *keep, lang_pred, score), one for each row of `docs`; nothing but the text decides.
 
-    Texts that are null or have no letter get `und` and 0.  Ids may be null or
-    repeated, equal texts get equal languages; other columns are ignored.
+    Texts that are null or have no letter get `und` and 0; texts of any length
+    are parsed whole, in blocks.  Ids may be null or repeated, equal texts get equal languages; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in (id_col, *keep)]

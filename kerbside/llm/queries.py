@@ -20,10 +20,12 @@ from .url_filter import Rule, judge, mine
 
 
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of every document under a trigram model of those that are not held out."""
     return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id") % 7 == 2)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return compare_with_edits(docs, lexicon(docs))
 
@@ -39,6 +41,7 @@ URL_RULES = [
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged.  The method learns from `labels`: a page is bad where the document of its number is of quality 0 or toxic, as the tables have no other labels for pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
     judged = judge(pages, URL_RULES, mine(pages.join(labels, "page_id")))
@@ -46,23 +49,28 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     return identify(docs, learn(docs.where("not held_out")), keep=("held_out",))
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items in every document."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of at most 1,024 tokens in as few sequences as best fit finds."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -71,6 +79,7 @@ def _joined(spans: str) -> F.Column:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the counts and `spans` hold the plain ones and those behind disguises."""
     found = find_pii(table(spark, sf_dir, "documents"))
     kinds = F.col("spans.kind")
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
@@ -78,6 +87,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near duplicates of every document."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 

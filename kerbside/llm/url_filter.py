@@ -129,7 +129,8 @@ def undominated(rules: DataFrame) -> DataFrame:
 def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", *, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.6, min_lift: float = 1.02) -> list[Mined]:
     """Pruned rules from all labelled URLs.
 
-    Rows with a null label teach nothing; a null url has the class token alone.
+    Rows with a null label teach nothing; a null url has the class token alone;
+    repeated rows count as often as they come.
     A rule needs `min_support` of all labelled rows and `min_count` of them, so
     that the number of tokens in rules is at most (tokens of a URL) /
     min_support whatever the input.
@@ -185,7 +186,8 @@ def judge(pages: DataFrame, rules: list[Rule], mined: list[Mined], url: str = "u
     The verdict is that of the longest hand-written rule that fits, else that
     of the mined rule that fires and raises its verdict's share most, else allow.  A null url, or one without `://`, has an
     empty host and path and is judged by its tokens, none, as allowed.
-    Columns of these names in `pages` are replaced; all else stays.
+    Columns of these names in `pages` are replaced; all else stays, repeated
+    rows too; urls of any length are read whole.
     """
     verdicts = F.array(*(F.lit(r.verdict) for r in mined)) if mined else F.array().cast("array<string>")
     names = F.array(*(F.lit(" ".join(r.tokens)) for r in mined)) if mined else F.array().cast("array<string>")

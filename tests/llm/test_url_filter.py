@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +98,38 @@ def test_nothing_to_learn_from(spark):
 def test_tokens(spark, url, want):
     df = spark.createDataFrame([(url,)], "url string")
     assert df.select(tokens(F.col("url"))).first()[0] == want
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "http://a.example.net/es/x", "h", "p", "r", "v", 0.5)] * 3 + [(None, None, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string, rule string, verdict string, confidence double")
+    out = judge(pages, URL_RULES, []).collect()
+    assert sorted((r.page_id or 0, r.host, r.path, r.rule, r.verdict) for r in out) == [(0, "", "", None, "allow")] + [(1, "a.example.net", "/es/x", "net/es/", "block")] * 3
+
+
+def test_mined_rules_are_those_of_counted_sets(spark):
+    """All sets of up to three tokens counted by loops."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(400):
+        host, part, key = rng.choice("abc"), rng.choice("xyz"), rng.choice("pq")
+        rows.append((k, f"http://{host * 3}.example.org/{part * 3}?{key}=1", rng.random() < (0.9 if (host, part) == ("a", "x") else 0.7 if key == "q" and host == "b" else 0.3)))
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    held = [(frozenset(r.t), r.blocked) for r in df.select(tokens(F.col("url")).alias("t"), "blocked").collect()]
+    n = len(held)
+    share = {v: sum(b == (v == "block") for _, b in held) / n for v in ("block", "allow")}
+    for r in mine(df, min_support=0.02, min_count=10):
+        having = [b for t, b in held if set(r.tokens) <= t]
+        right = sum(b == (r.verdict == "block") for b in having)
+        assert r.confidence == pytest.approx(right / len(having)) and r.support == pytest.approx(right / n) and r.lift == pytest.approx(right / len(having) / share[r.verdict])
+        assert right >= max(10, 0.02 * n) and r.confidence >= 0.6 and r.lift >= 1.02
+    best = {}
+    for size in (1, 2, 3):
+        for tokens_ in {frozenset(c) for t, _ in held for c in itertools.combinations(sorted(t), size)}:
+            having = [b for t, b in held if tokens_ <= t]
+            for v in ("block", "allow"):
+                right = sum(b == (v == "block") for b in having)
+                if right >= 10 and right / len(having) >= 0.6 and right / len(having) / share[v] >= 1.02:
+                    best[v] = max(best.get(v, 0.0), right / len(having))
+    found = mine(df, min_support=0.02, min_count=10)
+    assert {v: max(r.confidence for r in found if r.verdict == v) for v in best} == pytest.approx(best)
