@@ -382,14 +382,14 @@ def score_texts(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", tex
     shards = shards or max(least, math.ceil(size / SHARD_TOKENS))
     blocks = max(least, math.ceil(size / BLOCK_TOKENS / 8))
     kind = docs.schema[id_col].dataType
-    first = rows.where("not held").mapInArrow(_count_words(shards), _SENT).repartition(max(least, shards), "shard")
+    first = rows.where("not held").mapInArrow(_count_words(shards), _SENT).repartitionById(shards, "shard")  # a shard is a task
     counted = materialize(first.groupBy("shard").applyInArrow(_merge_words, "words long, tokens long, often array<long>, often_n array<long>"), "words")
     tokens, distinct = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     # at most 1 / FREQUENT words in all
     often = counted.select(F.inline(F.arrays_zip("often", "often_n"))).where(F.col("often_n") >= FREQUENT * max(tokens, 1)).collect()
     frequent = Frequent(np.array([r.often for r in often], np.int64).view(np.uint64), np.array([r.often_n for r in often], np.int64), HOT_SHARE * max(tokens, 1))
     total = float(tokens + distinct + 1)
-    sent = rows.mapInArrow(_send(shards, frequent, total, mu), _SENT).repartition(max(least, shards), "shard")
+    sent = rows.mapInArrow(_send(shards, frequent, total, mu), _SENT).repartitionById(shards, "shard")
     sums = sent.groupBy("shard").applyInArrow(_score(frequent, total, mu, mu3), "block long, data binary")
     out = sums.repartition(blocks, "block").groupBy("block").applyInArrow(_gather(tokens, to_arrow_type(kind)), f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
