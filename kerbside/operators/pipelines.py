@@ -19,7 +19,7 @@ def place(objects: DataFrame, calibrations: DataFrame, dimensions: DataFrame, mi
 
     calibrations has one flat row for each camera.
     """
-    rows = with_dimensions(objects.drop("width", "length", "height"), dimensions, missing_height).join(F.broadcast(calibrations), "cctv_id")
+    rows = with_dimensions(objects.drop("width", "length", "height"), dimensions, missing_height).join(calibrations, "cctv_id")
     box = tuple(F.col("bbox_2d")[k] for k in range(4))
     h = [F.col(c) for c in _H]
     x, y = geometry.contact_point(box, F.col("height"), h, F.col("cam_x"), F.col("cam_y"), F.col("cam_z"))
@@ -59,7 +59,7 @@ def to_detections(rows: DataFrame, calibrations: DataFrame, zone: int, fps: floa
     """Placed objects as rows of the detection table: time, map coordinates and degrees."""
     from ..sources.replay import time_of
 
-    origin = F.broadcast(calibrations.select("cctv_id", F.col("origin_easting").alias("_e"), F.col("origin_northing").alias("_n")))
+    origin = calibrations.select("cctv_id", F.col("origin_easting").alias("_e"), F.col("origin_northing").alias("_n"))
     e, n = geodesy.local_to_utm(F.col("x"), F.col("y"), F.col("_e"), F.col("_n"))
     out = rows.where("x is not null and y is not null").join(origin, "cctv_id").withColumn("easting", e).withColumn("northing", n)
     lon, lat = geodesy.from_utm(F.col("easting"), F.col("northing"), zone)
@@ -71,7 +71,7 @@ def guide(points: DataFrame, guidelines: DataFrame, key: str = "row_id") -> Data
     g = guidelines.select("cctv_id", ((F.col("x1") + F.col("x2")) / 2.0).alias("_gx"), ((F.col("y1") + F.col("y2")) / 2.0).alias("_gy"), F.col("heading_deg").alias("_gh"))
     d = (F.col("x") - F.col("_gx")) * (F.col("x") - F.col("_gx")) + (F.col("y") - F.col("_gy")) * (F.col("y") - F.col("_gy"))
     # a camera has a few guidelines
-    near = points.join(F.broadcast(g), "cctv_id").groupBy(key).agg(F.min_by("_gh", F.struct(d, "_gh")).alias("guide"))
+    near = points.join(g, "cctv_id").groupBy(key).agg(F.min_by("_gh", F.struct(d, "_gh")).alias("guide"))
     return points.join(near, key, "left")
 
 

@@ -21,7 +21,7 @@ def remap(rows: DataFrame, mapping: DataFrame, column: str = "class", strict: bo
     the rows are read; with strict=False it goes as well.  mapping (class,
     target) is a fixed list.
     """
-    m = F.broadcast(mapping.select(F.col("class").alias("_class"), F.col("target").alias("_target")))
+    m = mapping.select(F.col("class").alias("_class"), F.col("target").alias("_target"))
     found = rows.join(m, rows[column] == F.col("_class"), "left").drop("_class")
     bad = F.col("_target").isNull() | (F.col("_target") == CONFLICT)
     target = F.when(bad, F.raise_error(F.concat(F.lit("class without a target: "), F.coalesce(F.col(column), F.lit("null"))))).otherwise(F.col("_target")) if strict else F.when(~bad, F.col("_target"))
@@ -69,7 +69,7 @@ def unlabelled_regions(images: DataFrame, boxes: DataFrame, mapping: DataFrame)
 def build_counts(images: DataFrame, boxes: DataFrame, mapping: DataFrame) -> DataFrame:
     """One row: images, boxes kept, dropped by class, too small, and images without a box."""
     m = mapping.select(F.col("class").alias("_class"), F.col("target").alias("_target"))
-    rows = boxes.join(F.broadcast(m), boxes["class"] == F.col("_class"), "left").join(images, "image")
+    rows = boxes.join(m, boxes["class"] == F.col("_class"), "left").join(images, "image")
     good = valid(clip(tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.col("width").cast("double"), F.col("height").cast("double")))
     known = F.coalesce(F.col("_target"), F.lit(DROP)) != DROP
     per = rows.groupBy("image").agg(F.count_if(known & good).alias("kept"), F.count_if(~known).alias("dropped"), F.count_if(known & ~good).alias("bad"))

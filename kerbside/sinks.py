@@ -64,7 +64,7 @@ def upsert(spark: SparkSession, rows: DataFrame, path: str, key: list[str], newe
 
 def rename_key(rows: DataFrame, mapping: DataFrame, column: str = "cctv_id") -> DataFrame:
     """`rows` with old keys replaced by new ones (mapping: old, new; a short list); others stay."""
-    m = F.broadcast(mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new")))
+    m = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
     return rows.join(m, rows[column] == F.col("_old"), "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
 
 

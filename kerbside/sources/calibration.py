@@ -46,6 +46,6 @@ def with_dimensions(rows: DataFrame, dimensions: DataFrame, missing_height: floa
 
     The dimensions of one set are a fixed list of vehicle classes.
     """
-    small = F.broadcast(dimensions.select(F.lower(F.trim("class")).alias("_class"), "width", "length", "height").dropDuplicates(["_class"]))
+    small = dimensions.select(F.lower(F.trim("class")).alias("_class"), "width", "length", "height").dropDuplicates(["_class"])
     out = rows.join(small, F.lower(F.trim(rows["class"])) == F.col("_class"), "left").drop("_class")
     return out.withColumn("have_measurements", F.col("height").isNotNull()).withColumn("height", F.coalesce("height", F.lit(missing_height)))

@@ -68,7 +68,9 @@ def prefer(sections: DataFrame, section: str = "section", rank: str = "rank") ->
 
 
 def overlapping(bounds: DataFrame, targets: DataFrame, margin: float) -> DataFrame:
-    """Rows of bounds (west, south, east, north) whose inflated box holds a target (lon, lat); targets are a short list of places."""
+    """Rows of bounds (west, south, east, north) whose inflated box holds a target (lon, lat); targets are a short list of places, more than 100,000 are an error."""
+    if targets.limit(100_001).count() > 100_000:
+        raise ValueError("too many places to go to every task")
     t = targets.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
     inside = within(F.col("_lon"), F.col("_lat"), (F.col("west") - margin, F.col("south") - margin, F.col("east") + margin, F.col("north") + margin))
     return bounds.join(F.broadcast(t), inside, "left_semi")

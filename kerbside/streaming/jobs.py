@@ -3,7 +3,9 @@
 The state of a key is the batch class's own state as JSON, so a stream and a
 batch of the same rows give the same results.  Rows of a micro-batch are ordered
 by frame; frames that come after a later one has been handled are dropped, as
-are rows later than the watermark.
+are rows later than the watermark.  With `late`, rows carry event time `ts` and
+state expires by it, so that results don't depend on the load; without, state
+expires by the clock.
 """
 
 from __future__ import annotations
@@ -21,14 +23,33 @@ from ..operators import smoother, tracking
 from ..operators.lane_graph import Graph
 
 
+def _timed(rows: DataFrame, late: str | None, idle_ms: int | None) -> tuple[DataFrame, str]:
+    """The stream with _ms, its event time, and how its state times out."""
+    if late is None:
+        return rows.withColumn("_ms", F.lit(0).cast("long")), GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    if not idle_ms:
+        raise ValueError("event time is used to expire state: give idle_ms")
+    timed = event_time(rows)
+    return timed.withColumn("_ms", F.unix_millis("ts")).withWatermark("ts", late), GroupStateTimeout.EventTimeTimeout
+
+
+def _expire(state: GroupState, late: str | None, idle_ms: int | None, newest: int) -> None:
+    """Sets when the state goes: `idle_ms` after the newest row, or after now."""
+    if late is not None:
+        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
+    elif idle_ms:
+        state.setTimeoutDuration(idle_ms)
+
+
 def event_time(rows: DataFrame, column: str = "ts") -> DataFrame:
     """`rows` with a timestamp that watermarks accept (one with a time zone)."""
     return rows.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def smooth(rows: DataFrame, fps: float, settings: smoother.Settings | None = None, idle_ms: int | None = 60_000) -> DataFrame:
+def smooth(rows: DataFrame, fps: float, settings: smoother.Settings | None = None, idle_ms: int | None = 60_000, late: str | None = None) -> DataFrame:
     """Rows (cctv_id, track_id, frame, x, y, speed_kmh, heading) of a stream (cctv_id, track_id, frame, x, y); a track's state goes after `idle_ms` without rows, or never if that is None."""
     s = settings or smoother.Settings()
+    timed, timeout = _timed(rows, late, idle_ms)
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -37,57 +58,61 @@ def smooth(rows: DataFrame, fps: float, settings: smoother.Settings | None = Non
         old = json.loads(state.get[0]) if state.exists else {"last": None, "smoother": None}
         machine = smoother.Smoother(s, old["smoother"])
         now = pd.concat(list(parts)).sort_values("frame", kind="stable")
+        newest = int(now._ms.max())
         if old["last"] is not None:
             now = now[now.frame > old["last"]]
         out = list(smoother.smooth_rows(((int(f), float(x), float(y), None) for f, x, y in zip(now.frame, now.x, now.y, strict=True)), fps, machine, old["last"]))
         state.update((json.dumps({"last": out[-1][2] if out else old["last"], "smoother": machine.state}),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        _expire(state, late, idle_ms, newest)
         if out:
             yield pd.DataFrame({"cctv_id": key[0], "track_id": key[1], "frame": [o[2] for o in out], "x": now.x.to_numpy(float), "y": now.y.to_numpy(float), "speed_kmh": [o[0] for o in out], "heading": [o[1] for o in out]})
 
     schema = "cctv_id string, track_id string, frame long, x double, y double, speed_kmh double, heading double"
-    return rows.groupBy("cctv_id", "track_id").applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    return timed.groupBy("cctv_id", "track_id").applyInPandasWithState(step, schema, "state string", "append", timeout)
 
 
-def _freeze(t: tracking.Tracker) -> str:
-    return json.dumps({"next": t.next, "frame": t.frame, "tracks": [{"ident": k.ident, "x": k.x.tolist(), "p": k.p.tolist(), "frame": k.frame, "kind": k.kind, "confidence": k.confidence, "hits": k.hits, "age": k.age, "missed": k.missed, "seen": [[int(f), x, y] for f, x, y in k.seen], "lane": k.lane} for k in t.tracks]})
+def _freeze(t: tracking.Tracker, began: int) -> str:
+    return json.dumps({"began": began, "next": t.next, "frame": t.frame, "tracks": [{"ident": k.ident, "x": k.x.tolist(), "p": k.p.tolist(), "frame": k.frame, "kind": k.kind, "confidence": k.confidence, "hits": k.hits, "age": k.age, "missed": k.missed, "seen": [[int(f), x, y] for f, x, y in k.seen], "lane": k.lane} for k in t.tracks]})
 
 
-def _thaw(t: tracking.Tracker, text: str) -> None:
+def _thaw(t: tracking.Tracker, text: str) -> int:
+    """Puts a tracker back; the frame it began with."""
     d = json.loads(text)
     t.next, t.frame = d["next"], d["frame"]
     t.tracks = [tracking.Track(k["ident"], np.array(k["x"]), np.array(k["p"]), k["frame"], k["kind"], k["confidence"], k["hits"], k["age"], k["missed"], [tuple(o) for o in k["seen"]], tuple(k["lane"]) if k["lane"] else None) for k in d["tracks"]]
+    return d["began"]
 
 
-def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None, idle_ms: int | None = 60_000, graph: Graph | None = None) -> DataFrame:
+def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None, idle_ms: int | None = 60_000, graph: Graph | None = None, late: str | None = None) -> DataFrame:
     """Rows (cctv_id, frame, x, y, track_id) of a stream (cctv_id, frame, x, y, confidence, class), keyed by camera, on a lane graph where one is given.
 
     Tracks expire `max_age` frames after their last detection, and are confirmed
-    by `min_hits`; a camera's state goes after `idle_ms` without rows.
+    by `min_hits`; a camera's state goes after `idle_ms` without rows.  track_id
+    begins with the frame that the camera's state began with, so that ids are
+    unique when a camera comes back.
     """
     s = settings or tracking.Settings()
+    timed, timeout = _timed(rows, late, idle_ms)
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         machine = tracking.Tracker(1.0 / fps, s, graph)
-        if state.exists:
-            _thaw(machine, state.get[0])
         now = pd.concat(list(parts)).sort_values(["frame", "x", "y"], kind="stable")
+        newest = int(now._ms.max())
+        began = _thaw(machine, state.get[0]) if state.exists else int(now.frame.min())
         if machine.frame is not None:
             now = now[now.frame > machine.frame]
         ids: list[int | None] = []
         for frame, some in now.groupby("frame", sort=True):
             ids += machine.step(int(frame), tracking._detections(some, s.noise))
-        state.update((_freeze(machine),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        state.update((_freeze(machine, began),))
+        _expire(state, late, idle_ms, newest)
         if len(now):
-            yield pd.DataFrame({"cctv_id": key[0], "frame": now.frame.to_numpy(), "x": now.x.to_numpy(float), "y": now.y.to_numpy(float), "track_id": [None if i is None else str(i) for i in ids]})
+            yield pd.DataFrame({"cctv_id": key[0], "frame": now.frame.to_numpy(), "x": now.x.to_numpy(float), "y": now.y.to_numpy(float), "track_id": [None if i is None else f"{began}-{i}" for i in ids]})
 
-    return rows.groupBy("cctv_id").applyInPandasWithState(step, "cctv_id string, frame long, x double, y double, track_id string", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    return timed.groupBy("cctv_id").applyInPandasWithState(step, "cctv_id string, frame long, x double, y double, track_id string", "state string", "append", timeout)
 
 
 def counts(rows: DataFrame, length: str = "1 minute", late: str = "10 minutes", by: str = "class") -> DataFrame:

@@ -1,5 +1,6 @@
 """Sources, sinks, calibration, masks, alignment, taxonomy, the SQL service, streaming."""
 
+import datetime
 import gzip
 import json
 import struct
@@ -413,8 +414,27 @@ def test_stream_tracker_equals_the_batch(spark, tmp_path):
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
     got = drain(jobs.track(rows, 30.0, idle_ms=None), spark, "out_track")
     want = tracking.track(spark.createDataFrame(found, schema), 30.0).toPandas()
-    key = lambda d: sorted(zip(d.frame, d.x, d.y, d.track_id.fillna("").str.replace("0-", "", regex=False), strict=True))
-    assert key(got) == key(want)
+    key = lambda d: sorted(zip(d.frame, d.x, d.y, d.track_id.fillna("").str.replace("^0-", "", regex=True), strict=True))
+    assert found.frame.min() == 0 and key(got) == key(want)
+
+
+def test_stream_state_expires_by_event_time(spark, tmp_path):
+    """A camera that comes back after more than `idle_ms` of event time begins anew, with other ids, however fast the stream runs."""
+    at = datetime.datetime(2024, 1, 1)
+    frames = [*range(0, 30), *range(9000, 9030), *range(9030, 9032)]  # another camera moves the watermark on
+    rows = [("a", f, float(f % 9000), 0.0, 0.9, "car", at + datetime.timedelta(seconds=f / 30)) for f in frames[:60]]
+    parts = [rows[:30], [("b", 6000, 0.0, 0.0, 0.9, "car", at + datetime.timedelta(seconds=200))], [("b", 6001, 0.0, 0.0, 0.9, "car", at + datetime.timedelta(seconds=201))], rows[30:]]
+    schema = "cctv_id string, frame long, x double, y double, confidence double, class string, ts timestamp"
+    path = tmp_path / "e"
+    path.mkdir()
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(path / f"{k}"))
+    stream_ = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+    got = drain(jobs.track(stream_, 30.0, idle_ms=10_000, late="1 second"), spark, "out_event")
+    ids = got[got.cctv_id == "a"].dropna(subset=["track_id"])
+    assert set(ids[ids.frame < 30].track_id) == {"0-1"} and set(ids[ids.frame >= 9000].track_id) == {"9000-1"}
+    with pytest.raises(ValueError):
+        jobs.smooth(stream_, 30.0, idle_ms=None, late="1 second")
 
 
 def test_stream_windows(spark, tmp_path):
