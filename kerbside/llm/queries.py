@@ -104,4 +104,13 @@ QUERIES = {
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL can express the near duplicates, by all pairs of texts that share a shingle; the other operators' methods it can't, so tests hold those against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op10_minhash_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+ e AS (SELECT doc_id, len(shingles) AS n, hash(unnest(shingles)) AS h FROM s),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p WHERE 100 * shared >= 75 * (na + nb - shared)), u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+ SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.a = s.doc_id""",
+}
