@@ -69,6 +69,21 @@ def floor_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.withColumn("b", box).select("l_orderkey", "l_linenumber", *(F.round(F.col("b")[k][i], 6).alias(f"{n}{k}") for k in range(4) for i, n in enumerate("xy")))
 
 
+def _box_pixels() -> str:
+    i = geometry.inverse3(H)
+    w = f"({i[6]} * x + {i[7]} * y + {i[8]})"
+    return f"""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100 + 20.0 AS y, radians(l_tax * 1000) AS t FROM lineitem), c AS (SELECT *, n, CASE WHEN n % 4 < 2 THEN 2.0 ELSE -2.0 END AS a, CASE WHEN n % 4 IN (0, 3) THEN 0.9 ELSE -0.9 END AS s FROM b, (SELECT unnest(range(8))::INT AS n)),
+ p AS (SELECT l_orderkey, l_linenumber, n, x + a * cos(t) - s * sin(t) AS x, y + a * sin(t) + s * cos(t) AS y FROM c), q AS (SELECT l_orderkey, l_linenumber, n, CASE WHEN n < 4 THEN x ELSE {CX} + (x - {CX}) * ({CZ} / ({CZ} - 1.5)) END AS x, CASE WHEN n < 4 THEN y ELSE {CY} + (y - ({CY})) * ({CZ} / ({CZ} - 1.5)) END AS y FROM p)
+ SELECT l_orderkey, l_linenumber, n, round(({i[0]} * x + {i[1]} * y + {i[2]}) / {w}, 4) AS u, round(({i[3]} * x + {i[4]} * y + {i[5]}) / {w}, 4) AS v FROM q"""
+
+
+@query(_box_pixels())
+def box_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight pixels of each box, one a row."""
+    each = box_3d(spark, sf_dir).select("l_orderkey", "l_linenumber", F.posexplode("pixels").alias("n", "p"))
+    return each.select("l_orderkey", "l_linenumber", "n", F.round(F.col("p")[0], 4).alias("u"), F.round(F.col("p")[1], 4).alias("v"))
+
+
 @query()
 def box_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
@@ -317,11 +332,12 @@ def gcp_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.spread(n, 24.0).select("cctv_id", "n_points", F.round("v_span", 6).alias("v_span"), "redundancy")
 
 
-@query()
+@query("""SELECT (s_suppkey % 2)::VARCHAR AS cctv_id, count(*)::BIGINT AS n_points, 0.05 AS h00, 0.002 AS h01, -20.0 AS h02, 0.001 AS h10, -0.08 AS h11, 60.0 AS h12, 0.0001 AS h20, 0.001 AS h21, 1.0 AS h22 FROM supplier GROUP BY 1""")
 def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 2).cast("string").alias("cctv_id"), F.col("s_suppkey").alias("n"), (F.col("s_nationkey") * 40.0).alias("u"), (F.col("s_acctbal") / 20.0 + 100.0).alias("v"))
     x, y = geometry.project(H, F.col("u"), F.col("v"))
-    return calibrate.homographies(p.withColumn("x", x).withColumn("y", y))
+    fit = calibrate.homographies(p.withColumn("x", x).withColumn("y", y))
+    return fit.withColumns({f"h{r}{c}": F.round(f"h{r}{c}", 5) for r in range(3) for c in range(3)})
 
 
 @query()

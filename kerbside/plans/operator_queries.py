@@ -578,6 +578,14 @@ def _apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("frame", "track_id", (F.col("track_id") * 200.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("track_id") * 200.0 + 40.0).alias("x2"), F.lit(30.0).alias("y2"))
 
 
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three predictions of each true box, farther and farther off."""
+    p = _apart(spark, sf_dir).withColumn("j", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    confidence = (F.col("track_id") * 17 + F.col("j") * 31 + F.col("frame")) % 97 / 100.0 + F.col("track_id") / 1000.0 + F.col("j") / 10000.0
+    x = F.col("x1") + F.col("frame") % 5 * 4.0 + F.col("j") * 9.0
+    return p.select("frame", (F.col("track_id") * 10 + F.col("j")).alias("tracked_id"), confidence.alias("confidence"), x.alias("x1"), "y1", (x + 40.0).alias("x2"), "y2")
+
+
 _MATCHED = f"""b AS ({BOXES}), t AS (SELECT DISTINCT l_orderkey AS frame, l_linenumber AS id, l_linenumber * 200.0 AS x FROM b), p AS (SELECT frame, id * 10 + j AS pid, (id * 17 + j * 31 + frame) % 97 / 100.0 + id / 1000.0 + j / 10000.0 AS confidence, x + (frame % 5) * 4.0 + j * 9.0 AS x, id, x AS tx FROM t, (SELECT unnest([0, 1, 2]) AS j)),
  o AS (SELECT *, greatest(0, 40.0 - (x - tx)) / (80.0 - greatest(0, 40.0 - (x - tx))) AS iou FROM p)"""
 
@@ -585,23 +593,37 @@ _MATCHED = f"""b AS ({BOXES}), t AS (SELECT DISTINCT l_orderkey AS frame, l_line
 @query(f"""WITH {_MATCHED}, r AS (SELECT *, row_number() OVER (PARTITION BY frame, id, iou >= 0.5 ORDER BY confidence DESC) AS r FROM o) SELECT frame, round(confidence, 6) AS confidence, iou >= 0.5 AND r = 1 AS tp FROM r""")
 def detection_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three predictions of each true box: of those that overlap enough the most confident hits."""
-    t = _apart(spark, sf_dir)
-    p = t.withColumn("j", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
-    confidence = (F.col("track_id") * 17 + F.col("j") * 31 + F.col("frame")) % 97 / 100.0 + F.col("track_id") / 1000.0 + F.col("j") / 10000.0
-    x = F.col("x1") + F.col("frame") % 5 * 4.0 + F.col("j") * 9.0
-    found = p.select("frame", (F.col("track_id") * 10 + F.col("j")).alias("tracked_id"), confidence.alias("confidence"), x.alias("x1"), "y1", (x + 40.0).alias("x2"), "y2")
-    return _rounded(evaluation.greedy_matches(t, found), "confidence")
+    return _rounded(evaluation.greedy_matches(_apart(spark, sf_dir), _predictions(spark, sf_dir)), "confidence")
 
 
 @query(f"""WITH {_MATCHED} SELECT frame, id AS track_id, CASE WHEN max(iou) >= 0.5 THEN arg_max(pid, iou) END AS tracked_id FROM o GROUP BY 1, 2""")
 def frame_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True boxes and the predictions that overlap them most."""
     t = _apart(spark, sf_dir)
-    x = F.col("x1") + F.col("frame") % 5 * 4.0 + F.col("j") * 9.0
-    found = t.withColumn("j", F.explode(F.array(*map(F.lit, (0, 1, 2))))).select("frame", (F.col("track_id") * 10 + F.col("j")).alias("tracked_id"), F.lit(0.9).alias("confidence"), x.alias("x1"), "y1", (x + 40.0).alias("x2"), "y2")
+    found = _predictions(spark, sf_dir)
     return evaluation.frame_matches(t, found)
 
 
+@query(f"""WITH {_MATCHED}, a AS (SELECT frame, id, CASE WHEN max(iou) >= 0.5 THEN arg_max(id * 10 + (pid % 10), iou) END AS got FROM o GROUP BY 1, 2), s AS (SELECT *, lag(got) OVER (PARTITION BY id ORDER BY frame) AS before, row_number() OVER (PARTITION BY id ORDER BY frame) AS r FROM a),
+ m AS (SELECT count(*)::BIGINT AS n, count(got)::BIGINT AS hit, count(*) FILTER (WHERE r > 1 AND got IS NOT NULL AND before IS DISTINCT FROM got)::BIGINT AS sw FROM s), h AS (SELECT id, avg((got IS NOT NULL)::INT) AS share FROM a GROUP BY 1)
+ SELECT n AS n_truth, 3 * n - hit AS fp, n - hit AS fn, sw AS switches, round(1 - (3 * n - hit + n - hit + sw) / n, 9) AS mota, (SELECT count(*) FILTER (WHERE share >= 0.8) FROM h)::BIGINT AS mostly_tracked, (SELECT count(*) FILTER (WHERE share < 0.2) FROM h)::BIGINT AS mostly_lost FROM m""")
+def tracking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracking quality of three predictions for each true box."""
+    t = _apart(spark, sf_dir)
+    found = _predictions(spark, sf_dir)
+    m = evaluation.tracking_metrics(t, found)
+    names = ("n_truth", "fp", "fn", "switches", "mota", "mostly_tracked", "mostly_lost")
+    return spark.createDataFrame([tuple(round(m[n], 9) if n == "mota" else m[n] for n in names)], "n_truth long, fp long, fn long, switches long, mota double, mostly_tracked long, mostly_lost long")
+
+
+@query(f"""WITH {_MATCHED}, r AS (SELECT *, row_number() OVER (PARTITION BY frame, id, iou >= 0.5 ORDER BY confidence DESC) AS r FROM o), c AS (SELECT count(*)::BIGINT AS n_found, count(*) FILTER (WHERE iou >= 0.5 AND r = 1)::BIGINT AS tp, (SELECT count(*) FROM t)::BIGINT AS n FROM r)
+ SELECT n_found, n AS n_truth, round(tp / n_found, 9) AS precision, round(tp / n, 9) AS recall, round(2 * (tp / n_found) * (tp / n) / (tp / n_found + tp / n), 9) AS f1 FROM c""")
+def detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 of three predictions for each true box."""
+    m = evaluation.detection_metrics(_apart(spark, sf_dir), _predictions(spark, sf_dir))
+    return spark.createDataFrame([(m["n_found"], m["n_truth"], *(round(m[k], 9) for k in ("precision", "recall", "f1")))], "n_found long, n_truth long, precision double, recall double, f1 double")
+
+
 # SQL service
 
 
