@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -697,3 +696,61 @@ def tile_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _fresh(spark)
     pipelines.cached_tiles(t, get, path)
     return pipelines.cached_tiles(t, never, path).select("z", "x", "y", "left", "top", F.octet_length("content").alias("n"))
+
+
+# road maps
+
+_ROUTES = "SELECT s_suppkey AS k, 127.0 + s_acctbal / 1e4::DOUBLE AS lon, 37.0 + s_nationkey / 1e3 AS lat, 127.001 + s_acctbal / 1e4::DOUBLE AS lon2, 37.0005 + s_nationkey / 1e3 AS lat2 FROM supplier"
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_acctbal") / 1e4 + 127.0).alias("lon"), (F.col("s_nationkey") / 1e3 + 37.0).alias("lat"))
+    return s.withColumns({"lon2": F.col("lon") + 0.001, "lat2": F.col("lat") + 0.0005})
+
+
+def _degrees(links: DataFrame) -> DataFrame:
+    """Links with their first and last point back in degrees."""
+    lon, lat = geodesy.from_utm(F.col("pts")[0]["x"] + 300000.0, F.col("pts")[0]["y"] + 4000000.0, 52)
+    lon2, lat2 = geodesy.from_utm(F.element_at("pts", -1)["x"] + 300000.0, F.element_at("pts", -1)["y"] + 4000000.0, 52)
+    return _rounded(links.withColumns({"lon": lon, "lat": lat, "lon2": lon2, "lat2": lat2}), "lon", "lat", "lon2", "lat2")
+
+
+@query(f"""SELECT 'E' || k AS link_id, CASE WHEN k % 3 <> 0 THEN (k % 4)::INT END AS lane_no, 'n' || k AS from_node, round(lon, 6) AS lon, round(lat, 6) AS lat, round(lon2, 6) AS lon2, round(lat2, 6) AS lat2 FROM ({_ROUTES}) WHERE k % 5 <> 0""")
+def map_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of one layer of a saved map; another layer, and lanes that are no numbers, are in it."""
+    k = F.col("k")
+    name = k.cast("string")
+    properties = F.struct(F.when(k % 3 == 0, "none").otherwise((k % 4).cast("string")).alias("lane_no"), F.concat(F.lit("n"), name).alias("from_node"))
+    shape = F.struct(F.lit("LineString").alias("type"), F.array(F.array("lon", "lat"), F.array("lon2", "lat2")).alias("coordinates"))
+    feature = F.struct(F.concat(F.lit("E"), name).alias("id"), F.when(k % 5 == 0, "B1").otherwise("A2_LINK").alias("layer"), properties.alias("properties"), shape.alias("geometry"))
+    path = _fresh(spark)
+    _routes(spark, sf_dir).groupBy((k % 4).alias("part")).agg(F.collect_list(feature).alias("features")).select("features").write.option("maxRecordsPerFile", 1).json(path)
+    links = roads.lines(roads.read_features(spark, path), "A2_LINK", 52, (300000.0, 4000000.0))
+    return _degrees(links).select("link_id", "lane_no", "from_node", "lon", "lat", "lon2", "lat2")
+
+
+@query(f"""SELECT k::VARCHAR AS link_id, k % 2 = 0 AS directed, round(lon, 6) AS lon, round(lat, 6) AS lat, round(lon2, 6) AS lon2, round(lat2, 6) AS lat2 FROM ({_ROUTES}) WHERE k % 7 <> 0""")
+def street_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways of saved street map responses; elements that are no ways are in them."""
+    k = F.col("k")
+    tags = F.when(k % 2 == 0, F.create_map(F.lit("oneway"), F.lit("yes"))).otherwise(F.create_map(F.lit("highway"), F.lit("primary")))
+    points = F.array(F.struct("lat", "lon"), F.struct(F.col("lat2").alias("lat"), F.col("lon2").alias("lon")))
+    element = F.struct(F.when(k % 7 == 0, "node").otherwise("way").alias("type"), k.alias("id"), tags.alias("tags"), points.alias("geometry"))
+    path = _fresh(spark)
+    _routes(spark, sf_dir).groupBy((k % 4).alias("part")).agg(F.collect_list(element).alias("elements")).select("elements").write.option("maxRecordsPerFile", 1).json(path)
+    return _degrees(roads.ways(spark, path, 52, (300000.0, 4000000.0))).select("link_id", "directed", "lon", "lat", "lon2", "lat2")
+
+
+@query("SELECT event_type AS g, floor(event_id / 100)::BIGINT AS t, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by a stream over the table's file, drained; the watermark keeps all."""
+    from ..streaming import jobs
+
+    e = read(spark, sf_dir, "events").select("event_id", "event_type")
+    path = _fresh(spark)
+    e.write.parquet(path)
+    rows = spark.readStream.schema(e.schema).parquet(path).select(F.col("event_type").alias("class"), F.timestamp_seconds(F.col("event_id")).alias("ts"))
+    name = f"kerbside_{uuid.uuid4().hex}"
+    run = jobs.counts(jobs.event_time(rows), "100 seconds", "1000 days").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _fresh(spark)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(F.col("class").alias("g"), (F.unix_seconds("start") / 100).cast("long").alias("t"), "n")
