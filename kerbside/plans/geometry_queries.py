@@ -332,7 +332,7 @@ def gcp_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.spread(n, 24.0).select("cctv_id", "n_points", F.round("v_span", 6).alias("v_span"), "redundancy")
 
 
-@query("""SELECT (s_suppkey % 2)::VARCHAR AS cctv_id, count(*)::BIGINT AS n_points, 0.05 AS h00, 0.002 AS h01, -20.0 AS h02, 0.001 AS h10, -0.08 AS h11, 60.0 AS h12, 0.0001 AS h20, 0.001 AS h21, 1.0 AS h22 FROM supplier GROUP BY 1""")
+@query("""SELECT (s_suppkey % 2)::VARCHAR AS cctv_id, count(*)::BIGINT AS n_points, 0.05::DOUBLE AS h00, 0.002::DOUBLE AS h01, -20.0::DOUBLE AS h02, 0.001::DOUBLE AS h10, -0.08::DOUBLE AS h11, 60.0::DOUBLE AS h12, 0.0001::DOUBLE AS h20, 0.001::DOUBLE AS h21, 1.0::DOUBLE AS h22 FROM supplier GROUP BY 1""")
 def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 2).cast("string").alias("cctv_id"), F.col("s_suppkey").alias("n"), (F.col("s_nationkey") * 40.0).alias("u"), (F.col("s_acctbal") / 20.0 + 100.0).alias("v"))
     x, y = geometry.project(H, F.col("u"), F.col("v"))

@@ -75,7 +75,7 @@ def replay_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named[0].join(named[1], "cctv_id").join(named[2], "cctv_id")
 
 
-@query("""SELECT 'N' || n_nationkey AS cctv_id, n_nationkey * 1.0 AS h00, n_regionkey + 0.5 AS h12, CASE WHEN n_nationkey % 2 = 0 THEN 9.5 ELSE 0.0 END AS cam_z, CASE WHEN n_nationkey % 3 = 0 THEN 'in' ELSE 'partial' END AS roi_method, k::INT AS n, n_nationkey + k * 10.0 AS u, 127.0 + k AS lon
+@query("""SELECT 'N' || n_nationkey AS cctv_id, n_nationkey::DOUBLE AS h00, (n_regionkey + 0.5)::DOUBLE AS h12, CASE WHEN n_nationkey % 2 = 0 THEN 9.5::DOUBLE ELSE 0.0::DOUBLE END AS cam_z, CASE WHEN n_nationkey % 3 = 0 THEN 'in' ELSE 'partial' END AS roi_method, k::INT AS n, (n_nationkey + k * 10.0)::DOUBLE AS u, (127.0 + k)::DOUBLE AS lon
  FROM nation, (SELECT unnest([0, 1, 2]) AS k) WHERE k <= n_nationkey % 3""")
 def calibration_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("double").alias("k"), F.col("n_regionkey").cast("double").alias("r"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("name"))
@@ -90,7 +90,7 @@ def calibration_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.join(calibration.anchors(c), "cctv_id").select("cctv_id", "h00", "h12", "cam_z", "roi_method", "n", "u", "lon")
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 1.8 WHEN 'N' THEN 2.5 END AS width, CASE l_returnflag WHEN 'A' THEN 1.5 WHEN 'N' THEN 3.5 ELSE 1.55 END AS height, l_returnflag IN ('A', 'N') AS have_measurements FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, (CASE l_returnflag WHEN 'A' THEN 1.8 WHEN 'N' THEN 2.5 END)::DOUBLE AS width, (CASE l_returnflag WHEN 'A' THEN 1.5 WHEN 'N' THEN 3.5 ELSE 1.55 END)::DOUBLE AS height, l_returnflag IN ('A', 'N') AS have_measurements FROM lineitem""")
 def dimension_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _fresh(spark)
     spark.createDataFrame([('{"base": {" a ": {"width": 1.8, "length": 4.5, "height": 1.5}, "N": {"width": 2.5, "length": 12, "height": 3.5}}, "_comment": ["x"]}',)], "value string").coalesce(1).write.text(path)
@@ -366,14 +366,14 @@ def local_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select("s_suppkey", e.alias("easting"), n.alias("northing"), F.round(metres, 4).alias("metres"))
 
 
-@query("""WITH p AS (SELECT event_type AS g, value AS u, (event_id % 50) * 1.0 AS v, 3.0 * value + event_id % 7 AS x FROM events) SELECT g AS cctv_id, count(*) * 1.0 AS n, round(sum(u), 4) AS u, round(sum(u * v), 3) AS uv, round(sum(u * x), 2) AS ux, round(sum(v * x), 3) AS vx FROM p GROUP BY 1""")
+@query("""WITH p AS (SELECT event_type AS g, value AS u, (event_id % 50)::DOUBLE AS v, 3.0 * value + event_id % 7 AS x FROM events) SELECT g AS cctv_id, count(*)::DOUBLE AS n, round(sum(u), 4) AS u, round(sum(u * v), 3) AS uv, round(sum(u * x), 2) AS ux, round(sum(v * x), 3) AS vx FROM p GROUP BY 1""")
 def affine_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "events").select(F.col("event_type").alias("cctv_id"), F.col("value").alias("u"), (F.col("event_id") % 50 * 1.0).alias("v"), (F.col("value") * 3.0 + F.col("event_id") % 7).alias("x"), F.lit(0.0).alias("y"))
     s = calibrate.affine_sums(p)
     return s.select("cctv_id", "n", F.round("u", 4).alias("u"), F.round("uv", 3).alias("uv"), F.round("ux", 2).alias("ux"), F.round("vx", 3).alias("vx"))
 
 
-@query("SELECT 'N' || n_regionkey AS cctv_id, 2.0 AS a, 0.5 AS b, 10.0 AS c, -1.0 AS d, 3.0 AS e, -20.0 AS f FROM nation GROUP BY 1")
+@query("SELECT 'N' || n_regionkey AS cctv_id, 2.0::DOUBLE AS a, 0.5::DOUBLE AS b, 10.0::DOUBLE AS c, -1.0::DOUBLE AS d, 3.0::DOUBLE AS e, -20.0::DOUBLE AS f FROM nation GROUP BY 1")
 def affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The affine map that made the points, found again from their sums."""
     p = read(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_regionkey").cast("string")).alias("cctv_id"), F.col("n_nationkey").cast("double").alias("u"), (F.col("n_nationkey") * F.col("n_nationkey") % 11).cast("double").alias("v"))
@@ -391,7 +391,7 @@ def similarity_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(read(spark, sf_dir, "supplier").select("s_suppkey", x.alias("x"), y.alias("y")), "x", "y")
 
 
-@query("SELECT round(1.5 * cos(radians(30)), 6) AS a, round(-1.5 * sin(radians(30)), 6) AS b, round(7.0, 6) AS c, round(1.5 * sin(radians(30)), 6) AS d, round(1.5 * cos(radians(30)), 6) AS e, round(-3.0, 6) AS f")
+@query("SELECT round(1.5 * cos(radians(30)), 6) AS a, round(-1.5 * sin(radians(30)), 6) AS b, 7.0::DOUBLE AS c, round(1.5 * sin(radians(30)), 6) AS d, round(1.5 * cos(radians(30)), 6) AS e, -3.0::DOUBLE AS f")
 def similarity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turn, scale and shift of 25 points, found again."""
     x, y = align.apply_similarity(F.col("u"), F.col("v"), (0.0, 0.0), 7.0, -3.0, 30.0, 1.5)
@@ -414,7 +414,7 @@ def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT s_suppkey AS poly_id, list_value({'x': 0.0, 'y': 0.0}, {'x': 10.0 + s_nationkey, 'y': s_suppkey % 5 * 1.0}, {'x': 8.0, 'y': 9.0}, {'x': s_suppkey % 3 * 0.2, 'y': 6.0}) AS pts FROM supplier), e AS (SELECT poly_id, n, pts[n + 1] AS p, pts[(n + 3) % 4 + 1] AS a, pts[(n + 1) % 4 + 1] AS b FROM p, (SELECT unnest([0, 1, 2, 3]) AS n)),
  v AS (SELECT poly_id, n, p.x AS x, p.y AS y, a.x - p.x AS ax, a.y - p.y AS ay, b.x - p.x AS bx, b.y - p.y AS b_y FROM e), c AS (SELECT *, degrees(acos(greatest(-1.0, least(1.0, (ax * bx + ay * b_y) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + b_y * b_y)))))) AS angle FROM v)
- SELECT poly_id, n::INT AS n, x, y, round(angle, 6) AS angle FROM c WHERE angle < 100 AND sqrt(ax * ax + ay * ay) >= 0.3 AND sqrt(bx * bx + b_y * b_y) >= 0.3""")
+ SELECT poly_id, n::INT AS n, x::DOUBLE AS x, y::DOUBLE AS y, round(angle, 6) AS angle FROM c WHERE angle < 100 AND sqrt(ax * ax + ay * ay) >= 0.3 AND sqrt(bx * bx + b_y * b_y) >= 0.3""")
 def polygon_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     pts = F.array(*(F.struct((F.lit(x) if isinstance(x, float) else x).cast("double").alias("x"), (F.lit(y) if isinstance(y, float) else y).cast("double").alias("y")) for x, y in ((0.0, 0.0), (F.col("s_nationkey") + 10.0, k % 5 * 1.0), (8.0, 9.0), (k % 3 * 0.2, 6.0))))
@@ -426,7 +426,7 @@ def roads_densified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(align.densify(tables.roads(spark, sf_dir), 3.0).select("link_id", "i", "x", "y"), "x", "y")
 
 
-@query(f"""WITH l AS ({ROADS}) SELECT link_id, a_node % 2 = 1 AS flipped, CASE WHEN a_node % 2 = 1 THEN bx ELSE ax END AS x0 FROM l""")
+@query(f"""WITH l AS ({ROADS}) SELECT link_id, a_node % 2 = 1 AS flipped, (CASE WHEN a_node % 2 = 1 THEN bx ELSE ax END)::DOUBLE AS x0 FROM l""")
 def roads_flipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links whose first node lies at their other end are turned; every second node is said to lie there."""
     links = tables.roads(spark, sf_dir).withColumn("from_node", F.concat("link_id", F.lit("@")))
@@ -466,7 +466,7 @@ def valley_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(align.anisotropy(c, 0.3), "major", "minor")
 
 
-@query(f"""WITH f AS ({_FIELD}), p AS (SELECT c_custkey AS id, (c_custkey * 13 % 40)::DOUBLE AS x, (c_custkey * 7 % 40)::DOUBLE AS y FROM customer), s AS (SELECT a * 1.0 AS dx, b * 1.0 AS dy FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS a), (SELECT unnest([-2, -1, 0, 1, 2]) AS b)), t AS (SELECT *, floor(x / 20)::INT AS ti, floor(y / 20)::INT AS tj FROM p),
+@query(f"""WITH f AS ({_FIELD}), p AS (SELECT c_custkey AS id, (c_custkey * 13 % 40)::DOUBLE AS x, (c_custkey * 7 % 40)::DOUBLE AS y FROM customer), s AS (SELECT a::DOUBLE AS dx, b::DOUBLE AS dy FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS a), (SELECT unnest([-2, -1, 0, 1, 2]) AS b)), t AS (SELECT *, floor(x / 20)::INT AS ti, floor(y / 20)::INT AS tj FROM p),
  c AS (SELECT ti, tj, dx, dy, count(*)::BIGINT AS n, avg(least(30.0, coalesce(value, 30.0))) AS cost FROM t CROSS JOIN s LEFT JOIN f ON f.x = floor(t.x + dx) AND f.y = floor(t.y + dy) GROUP BY 1, 2, 3, 4), r AS (SELECT *, row_number() OVER (PARTITION BY ti, tj ORDER BY cost, dx, dy) AS r, median(cost) OVER (PARTITION BY ti, tj) AS mi FROM c)
  SELECT ti, tj, n, dx, dy, round((mi - cost) / mi, 6) AS contrast FROM r WHERE r = 1 AND n >= 20""")
 def local_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,7 +491,7 @@ def road_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lane_graph.topology(tables.roads(spark, sf_dir))
 
 
-@query(f"""WITH d AS ({DRIVES}), g AS (SELECT 'g' || n_nationkey AS g, n_regionkey AS cam, n_nationkey * 20.0 + 5 AS gx, n_nationkey % 7 * 40.0 + 10 AS gy, n_nationkey * 10.0 AS gh FROM nation) SELECT event_id, arg_min(gh, (power(x - gx, 2) + power(y - gy, 2)) * 1000 + gh / 1e6) AS guide FROM d JOIN g ON cam = track_id % 5 GROUP BY 1""")
+@query(f"""WITH d AS ({DRIVES}), g AS (SELECT 'g' || n_nationkey AS g, n_regionkey AS cam, n_nationkey * 20.0 + 5 AS gx, n_nationkey % 7 * 40.0 + 10 AS gy, (n_nationkey * 10.0)::DOUBLE AS gh FROM nation) SELECT event_id, arg_min(gh, (power(x - gx, 2) + power(y - gy, 2)) * 1000 + gh / 1e6) AS guide FROM d JOIN g ON cam = track_id % 5 GROUP BY 1""")
 def guide_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     g = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("cctv_id"), (k * 20.0).alias("x1"), (k % 7 * 40.0).alias("y1"), (k * 20.0 + 10.0).alias("x2"), (k % 7 * 40.0 + 20.0).alias("y2"), (k * 10.0).alias("heading_deg"))
@@ -559,9 +559,10 @@ def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH r AS ({_RUN}), st AS (SELECT *, CASE WHEN k > 1 THEN greatest(0.0, s - lag(s) OVER (PARTITION BY track_id, kind ORDER BY k)) END AS v FROM r), f AS (SELECT *, first_value(v) OVER w AS v1, last_value(v) OVER w AS vn, first_value(s) OVER (PARTITION BY track_id, kind ORDER BY k) AS s0, sum(v) OVER (PARTITION BY track_id, kind) AS total,
   sum(v) OVER (PARTITION BY track_id, kind ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS w5 FROM st WINDOW w AS (PARTITION BY track_id, kind, v IS NULL ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
  m AS (SELECT *, CASE WHEN v IS NOT NULL THEN (w5 + greatest(0, 2 - (k - 2)) * v1 + greatest(0, 2 - (n - k)) * vn) / 5.0 ELSE 0.0 END AS sm FROM f), t AS (SELECT *, sum(sm) OVER (PARTITION BY track_id, kind) AS smt, sum(sm) OVER (PARTITION BY track_id, kind ORDER BY k) AS c FROM m)
- SELECT track_id, kind, frame, round(CASE WHEN n < 3 THEN s WHEN total > 1e-9 AND smt > 1e-9 THEN s0 + c * total / smt ELSE s0 + c END, 6) AS s FROM t""")
+ SELECT track_id, kind, frame, round(CASE WHEN n < 3 THEN s WHEN total > 1e-9 AND smt > 1e-9 THEN s0 + c * total / smt ELSE s0 + c END + 1e-9, 6) AS s FROM t""")
 def smooth_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(matching.progress(_runs(spark, sf_dir), ["track_id", "kind"], "frame", "s", 5), "s").select("track_id", "kind", "frame", "s")
+    # the step lifts sums that end in a half off the tie
+    return _rounded(matching.progress(_runs(spark, sf_dir), ["track_id", "kind"], "frame", "s", 5).withColumn("s", F.col("s") + 1e-9), "s").select("track_id", "kind", "frame", "s")
 
 
 @query(f"""WITH d AS ({DRIVES}), w AS (SELECT *, coalesce(lag(x) OVER t, x) AS x0, coalesce(lag(y) OVER t, y) AS y0, coalesce(lead(x) OVER t, x) AS x1, coalesce(lead(y) OVER t, y) AS y1 FROM d WINDOW t AS (PARTITION BY track_id ORDER BY frame)) SELECT event_id, round(CASE WHEN frame % 4 = 0 THEN heading ELSE degrees(atan2(y1 - y0, x1 - x0)) END, 6) AS heading FROM w""")

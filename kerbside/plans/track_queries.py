@@ -90,8 +90,8 @@ def lane_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "link_id", "lane_offset_m", *(F.round(c, 6).alias(c) for c in ("snap_x", "snap_y", "snap_heading")), "wrong_way")
 
 
-@query("""WITH p AS (SELECT user_id AS track_id, k AS frame, k * (1.0 + user_id % 5 * 0.2) AS x, value % 7 - 3.0 AS y FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS k FROM events)),
- w AS (SELECT *, coalesce(lag(x) OVER t, x) AS x0, coalesce(lag(y) OVER t, y) AS y0, coalesce(lead(x) OVER t, x) AS x1, coalesce(lead(y) OVER t, y) AS y1 FROM p WINDOW t AS (PARTITION BY track_id ORDER BY frame)) SELECT track_id, frame, round(x, 6) AS x, round(y, 6) AS y, round(CASE WHEN frame % 4 = 0 THEN 0.0 ELSE degrees(atan2(y1 - y0, x1 - x0)) END, 6) AS heading FROM w""")
+@query("""WITH p AS (SELECT user_id AS track_id, k AS frame, k * (1.0 + user_id % 5 * 0.2::DOUBLE) AS x, value % 7 - 3.0 AS y FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS k FROM events)),
+ w AS (SELECT *, coalesce(lag(x) OVER t, x) AS x0, coalesce(lag(y) OVER t, y) AS y0, coalesce(lead(x) OVER t, x) AS x1, coalesce(lead(y) OVER t, y) AS y1 FROM p WINDOW t AS (PARTITION BY track_id ORDER BY frame)) SELECT track_id, frame, round(x, 6) AS x, round(y, 6) AS y, round(CASE WHEN frame % 4 = 0 THEN 0.0::DOUBLE ELSE degrees(atan2(y1 - y0, x1 - x0)) END, 6) AS heading FROM w""")
 def heading_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _points(spark, sf_dir).select("track_id", "frame", "x", "y", F.when(F.col("frame") % 4 == 0, F.col("heading")).alias("heading"))
     return sequences.headings(rows, ["track_id"], ["frame"]).withColumns({c: F.round(c, 6) for c in ("x", "y", "heading")})
