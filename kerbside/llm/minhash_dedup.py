@@ -34,7 +34,7 @@ from .components import components
 from .hashing import mix, shingles
 
 #: Shingles, together, of the texts of one side of a block.
-BLOCK_SHINGLES = 1 << 18
+BLOCK_SHINGLES = 1 << 16
 #: Rounds with another hub before blocks are compared.
 REHUBS = 2
 _CHUNK = 1 << 14
