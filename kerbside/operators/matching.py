@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lane_graph import BACK_M, LIMIT_M, ends, gaps, topology
+from .sequences import deal
 from .spatial_join import candidates, project_onto
 
 # Noise across the lane and along routes in metres, reach, links kept, weight of a wrong direction, least speed whose heading is trusted.
@@ -52,7 +53,7 @@ def _along(rows: DataFrame, by: list[str], order: str, value: str, smooth) -> Da
         track = track.sort_values(order, kind="stable")
         return track.assign(**{value: smooth(track[value].to_numpy(float))})
 
-    return rows.groupBy(*by).applyInPandas(run, rows.schema)
+    return deal(rows, *by).groupBy(*by).applyInPandas(run, rows.schema)
 
 
 def monotone(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
@@ -260,7 +261,8 @@ def match_tracks(rows: DataFrame, links: DataFrame, by: list[str], method: str =
     fields = ", ".join(f"`{c}` {t}" for c, t in types.items())
     # columns of one origin on both sides would be ambiguous
     ways = ways.withColumnsRenamed({c: f"_of_{c}" for c in by})
-    return flat.groupBy(*by).cogroup(ways.groupBy(*(f"_of_{c}" for c in by))).applyInArrow(run, f"{fields}, {STATE}")
+    of = [f"_of_{c}" for c in by]
+    return deal(flat, *by).groupBy(*by).cogroup(deal(ways, *of).groupBy(*of)).applyInArrow(run, f"{fields}, {STATE}")
 
 
 def snap(rows: DataFrame, links: DataFrame, by: list[str], *, reach: float = 20.0, k: int = 6, weight: float = 8.0, lane_width: float = 0.0, lanes_per_side: int = 4, wrong_cos: float = -0.3, trust_kmh: float = TRUST_KMH) -> DataFrame:

@@ -16,6 +16,11 @@ def window(by: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
 
 
+def deal(rows: DataFrame, *keys: str) -> DataFrame:
+    """`rows` over as many tasks as there are shuffle partitions, by keys: for work in Python, which is much for few bytes, so that partitions must not be merged by size, nor stay where a coarser key put them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def collapse(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Rows whose value differs from the one before, nulls being equal to each other."""
     return rows.withColumn("_p", F.lag(F.struct(value)).over(window(by, order))).where("_p is null or not (_p." + value + " <=> " + value + ")").drop("_p")
@@ -208,4 +213,4 @@ def headings(rows: DataFrame, by: list[str], order: list[str], least: float = 0.
         track["heading"] = h
         return track
 
-    return rows.groupBy(*by).applyInPandas(fill, rows.schema)
+    return deal(rows, *by).groupBy(*by).applyInPandas(fill, rows.schema)

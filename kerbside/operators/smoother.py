@@ -6,6 +6,7 @@ plain dictionary).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .sequences import deal
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -48,24 +51,26 @@ class Smoother:
         self.state = state or {"history": [], "speed": None, "heading": None, "direction": None}
 
     def _jittering(self) -> bool:
-        recent = np.array(self.state["history"][-self.settings.jitter_rows :])
-        return len(recent) >= self.settings.jitter_rows and float(np.hypot(*(recent.max(0) - recent.min(0)))) < self.settings.jitter_m
+        recent = self.state["history"][-self.settings.jitter_rows :]
+        if len(recent) < self.settings.jitter_rows:
+            return False
+        xs, ys = zip(*recent, strict=True)
+        return math.hypot(max(xs) - min(xs), max(ys) - min(ys)) < self.settings.jitter_m
 
     def _raw_heading(self) -> float | None:
-        p = np.array(self.state["history"])
-        span = p[-1] - p[0]
-        if len(p) >= self.settings.line_rows and np.hypot(*span) >= self.settings.line_m:
-            q = p - p.mean(0)
-            xx, yy, xy = (q[:, 0] ** 2).sum(), (q[:, 1] ** 2).sum(), (q[:, 0] * q[:, 1]).sum()
-            angle = 0.5 * np.arctan2(2 * xy, xx - yy)  # main axis of the points
-            along = np.array([np.cos(angle), np.sin(angle)])
-            if along @ span < 0:
-                along = -along
-            return float(np.degrees(np.arctan2(along[1], along[0])))
-        if len(p) >= 2:
-            step = p[-1] - p[-2]
-            if np.hypot(*step) > self.settings.step_m:
-                return float(np.degrees(np.arctan2(step[1], step[0])))
+        xs, ys = zip(*self.state["history"], strict=True)
+        n, dx, dy = len(xs), xs[-1] - xs[0], ys[-1] - ys[0]
+        if n >= self.settings.line_rows and math.hypot(dx, dy) >= self.settings.line_m:
+            mx, my = sum(xs) / n, sum(ys) / n
+            xx, yy, xy = (sum((u - p) * (v - q) for u, v in zip(one, other, strict=True)) for one, p, other, q in ((xs, mx, xs, mx), (ys, my, ys, my), (xs, mx, ys, my)))
+            angle = 0.5 * math.atan2(2 * xy, xx - yy)  # main axis of the points
+            along = math.cos(angle), math.sin(angle)
+            sign = -1.0 if along[0] * dx + along[1] * dy < 0 else 1.0
+            return math.degrees(math.atan2(sign * along[1], sign * along[0]))
+        if n >= 2:
+            dx, dy = xs[-1] - xs[-2], ys[-1] - ys[-2]
+            if math.hypot(dx, dy) > self.settings.step_m:
+                return math.degrees(math.atan2(dy, dx))
         return None
 
     def update(self, x: float, y: float, dt: float, guide: float | None = None) -> tuple[float | None, float | None]:
@@ -73,7 +78,7 @@ class Smoother:
         c, s = self.settings, self.state
         raw = None
         if s["history"] and dt > 0:
-            raw = float(np.hypot(x - s["history"][-1][0], y - s["history"][-1][1])) / dt * 3.6
+            raw = math.hypot(x - s["history"][-1][0], y - s["history"][-1][1]) / dt * 3.6
             if raw > c.fastest_kmh:
                 return s["speed"], s["heading"]
         s["history"] = [*s["history"], [x, y]][-c.history :]
@@ -84,17 +89,17 @@ class Smoother:
         s["speed"] = seen if s["speed"] is None else c.speed_alpha * seen + (1 - c.speed_alpha) * s["speed"]
         turned = self._raw_heading()
         if turned is not None and raw > c.least_kmh and not still:
-            u = np.array([np.cos(np.radians(turned)), np.sin(np.radians(turned))])
-            d = u if s["direction"] is None else c.direction_alpha * u + (1 - c.direction_alpha) * np.array(s["direction"])
-            n = np.hypot(*d)
-            d = d / n if n > 1e-9 else u
-            s["direction"] = [float(v) for v in d]
-            wanted = float(np.degrees(np.arctan2(d[1], d[0])))
+            u = math.cos(math.radians(turned)), math.sin(math.radians(turned))
+            d = u if s["direction"] is None else tuple(c.direction_alpha * v + (1 - c.direction_alpha) * w for v, w in zip(u, s["direction"], strict=True))
+            n = math.hypot(*d)
+            d = (d[0] / n, d[1] / n) if n > 1e-9 else u
+            s["direction"] = list(d)
+            wanted = math.degrees(math.atan2(d[1], d[0]))
             if s["heading"] is None:
                 s["heading"] = wanted
             else:
                 alpha = c.alpha_min + (c.alpha_max - c.alpha_min) * min(1.0, (s["speed"] or 0.0) / c.speed_ref)
-                s["heading"] = _wrap(s["heading"] + float(np.clip(alpha * _wrap(wanted - s["heading"]), -c.turn_max, c.turn_max)))
+                s["heading"] = _wrap(s["heading"] + max(-c.turn_max, min(c.turn_max, alpha * _wrap(wanted - s["heading"]))))
         if guide is not None and s["heading"] is not None:
             off = _wrap(guide - s["heading"])
             if abs(off) <= c.guide_within:
@@ -119,7 +124,7 @@ def smooth(rows: DataFrame, by: list[str], fps: float, settings: Settings | None
         known = (track.x.notna() & track.y.notna() & track[by].notna().all(axis=1)).to_numpy()
         some = track[known]
         guides = [None if pd.isna(g) else float(g) for g in some.guide] if has_guide else [None] * len(some)
-        out = list(smooth_rows(zip(some.frame, some.x, some.y, guides, strict=True), fps, Smoother(settings)))
+        out = list(smooth_rows(zip(some.frame.tolist(), some.x.tolist(), some.y.tolist(), guides, strict=True), fps, Smoother(settings)))
         for k, name in enumerate(("speed_kmh", "heading")):
             values = np.full(len(track), np.nan)
             values[known] = [np.nan if o[k] is None else o[k] for o in out]
@@ -128,4 +133,4 @@ def smooth(rows: DataFrame, by: list[str], fps: float, settings: Settings | None
 
     kept = rows.drop("speed_kmh", "heading")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.groupBy(*by).applyInPandas(run, f"{fields}, speed_kmh double, heading double")
+    return deal(kept, *by).groupBy(*by).applyInPandas(run, f"{fields}, speed_kmh double, heading double")

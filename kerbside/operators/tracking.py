@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .assignment import assign_within
 from .lane_graph import Graph
-from .sequences import islands
+from .sequences import deal, islands
 
 GATE = 1e6
 
@@ -240,7 +240,7 @@ def track(rows: DataFrame, fps: float, settings: Settings | None = None, graph:
 
     kept = rows.drop("track_id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return pieces.groupBy(by, "_piece").applyInPandas(run, f"{fields}, track_id string")
+    return deal(pieces, by, "_piece").groupBy(by, "_piece").applyInPandas(run, f"{fields}, track_id string")
 
 
 def track_by_overlap(rows: DataFrame, threshold: float = 0.3, max_age: int = 30, by: str = "cctv_id") -> DataFrame:
@@ -278,7 +278,7 @@ def track_by_overlap(rows: DataFrame, threshold: float = 0.3, max_age: int = 30,
     kept = rows.drop("track_id")
     pieces = cut_at_gaps(kept, by, max_age)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return pieces.groupBy(by, "_piece").applyInPandas(run, f"{fields}, track_id string")
+    return deal(pieces, by, "_piece").groupBy(by, "_piece").applyInPandas(run, f"{fields}, track_id string")
 
 
 def simulate(seed: int, frames: int = 150, fps: float = 30.0, lanes: int = 2, vehicles: int = 3, jitter: float = 0.3, dropout: float = 0.2, false_rate: float = 0.05) -> tuple[pd.DataFrame, pd.DataFrame]:
