@@ -22,4 +22,4 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_query_says_what_it_does():
-    assert len(QUERIES) == 10 and all(q.__doc__ for q in QUERIES.values())
+    assert len(QUERIES) == 13 and all(q.__doc__ for q in QUERIES.values())
