@@ -63,6 +63,11 @@ class Track:
     missed: int = 0
     seen: list = field(default_factory=list)  # (frame, x, y)
     lane: tuple | None = None
+    marked: tuple | None = None  # (x, p, lane, age) at the last detection
+
+    def mark(self) -> None:
+        """Keeps the state of now, from which it can be predicted again."""
+        self.marked = self.x, self.p, self.lane, self.age
 
     @classmethod
     def born(cls, ident: int, z: np.ndarray, frame: int, kind: str | None, confidence: float, s: Settings) -> Track:
@@ -201,6 +206,8 @@ class Tracker:
                     t.on_lane(self.graph, rows[i]["z"], s)
                 self.tracks.append(t)
                 owner[i] = t
+        for t in owner.values():
+            t.mark()
         self.tracks = [t for t in self.tracks if t.missed <= s.max_age]
         return [t.ident if (t := owner.get(i)) is not None and (t.hits >= s.min_hits or t.age <= s.min_hits) else None for i in range(len(rows))]
 

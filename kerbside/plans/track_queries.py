@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, matching, sequences, smoother, tracking
+from ..operators.graph import shared_dir
 from . import tables
 from .tables import DRIVES, ROADS, read
 
@@ -47,6 +50,38 @@ def ground_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.track(rows.select("cctv_id", "frame", "x", "y", "confidence", "class"), 10.0)
 
 
+def _streamed(spark: SparkSession, rows: DataFrame, job, batches: int = 3) -> DataFrame:
+    """What `job` makes of `rows` as a stream: their frames in so many files, one a micro-batch, drained to a table."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    last = rows.agg(F.max("frame")).first()[0] or 0
+    for k in range(batches):
+        low, high = k * (last + 1) // batches, (k + 1) * (last + 1) // batches
+        rows.where((F.col("frame") >= low) & (F.col("frame") < high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = job(arriving)
+    run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`track_smoother` as a stream with keyed state for each track."""
+    from ..streaming import jobs
+
+    rows = _points(spark, sf_dir).select("cctv_id", F.col("track_id").cast("string").alias("track_id"), F.col("frame").cast("long").alias("frame"), "x", "y")
+    return _streamed(spark, rows.withColumn("cctv_id", F.lit("cam")), lambda r: jobs.smooth(r, 10.0, idle_ms=None))
+
+
+@query
+def stream_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`ground_tracker` as a stream with keyed state for each track of each camera."""
+    from ..streaming import jobs
+
+    rows = _points(spark, sf_dir).withColumn("cctv_id", F.concat(F.lit("cam-"), F.floor(F.col("track_id") / 5).cast("string")))
+    return _streamed(spark, rows.select("cctv_id", F.col("frame").cast("long").alias("frame"), "x", "y", "confidence", "class"), lambda r: jobs.track(r, 10.0, idle_ms=None))
+
+
 @query
 def overlap_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every box is a detection; the boxes of an order are a frame of each camera that sees some of them."""

@@ -1,44 +1,54 @@
 """Structured Streaming: the smoother and the tracker with keyed state, time windows and sessions.
 
-The state of a key is the batch class's own state as JSON, so a stream and a
-batch of the same rows give the same results.  Rows of a micro-batch are ordered
-by frame; frames that come after a later one has been handled are dropped, as
-are rows later than the watermark.  With `late`, rows carry event time `ts` and
-state expires by it, so that results don't depend on the load; without, state
-expires by the clock.
+State is kept by transformWithStateInPandas on RocksDB, as typed values: one
+value for each track of the smoother; for the tracker one value for each camera
+and a map with one entry for each live track.  An entry holds a track as it was
+at its last detection and is written only then: in later batches it is
+predicted from there, step by step, as a batch would.  So what a batch writes
+follows the tracks it touches, not those a camera holds.
+
+A stream and a batch of the same rows give the same results.  Rows of a
+micro-batch are ordered by frame; frames that come again, or after a later one
+has been handled, are dropped, as are rows later than the watermark.  Rows
+without a point or a frame keep nulls and change nothing.  With `late`, rows
+carry event time `ts` and state goes by timers of it, so that results don't
+depend on the load; without, timers follow the clock.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import smoother, tracking
 from ..operators.lane_graph import Graph
 
+#: The state store that keyed state with timers and maps needs.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _timed(rows: DataFrame, late: str | None, idle_ms: int | None) -> tuple[DataFrame, str]:
-    """The stream with _ms, its event time, and how its state times out."""
-    if late is None:
-        return rows.withColumn("_ms", F.lit(0).cast("long")), GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    if not idle_ms:
-        raise ValueError("event time is used to expire state: give idle_ms")
-    timed = event_time(rows)
-    return timed.withColumn("_ms", F.unix_millis("ts")).withWatermark("ts", late), GroupStateTimeout.EventTimeTimeout
+RENAMED = {"class": "kind"}
 
 
-def _expire(state: GroupState, late: str | None, idle_ms: int | None, newest: int) -> None:
-    """Sets when the state goes: `idle_ms` after the newest row, or after now."""
-    if late is not None:
-        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
-    elif idle_ms:
-        state.setTimeoutDuration(idle_ms)
+def _keyed(rows: DataFrame, keys: tuple[str, ...], processor: _Keyed, schema: str, late: str | None) -> DataFrame:
+    """The stream of what `processor` makes of the rows of each key; sets the session's state store provider.
+
+    The worker's rows are named tuples, in which `class` and names with an
+    underscore in front are no names, so they go in under others.
+    """
+    wanted = [F.col(c).alias(RENAMED.get(c, c)) for c in (*keys, *processor.reads) if c in rows.columns]
+    if late is None:
+        timed, mode = rows.select(*wanted), "ProcessingTime" if processor.idle_ms else "None"
+    elif not processor.idle_ms:
+        raise ValueError("event time is used to expire state: give idle_ms")
+    else:
+        timed, mode = event_time(rows).withWatermark("ts", late).select(*wanted, "ts", F.unix_millis("ts").alias("event_ms")), "EventTime"
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", mode)
 
 
 def event_time(rows: DataFrame, column: str = "ts") -> DataFrame:
@@ -46,41 +56,151 @@ def event_time(rows: DataFrame, column: str = "ts") -> DataFrame:
     return rows.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def smooth(rows: DataFrame, fps: float, settings: smoother.Settings | None = None, idle_ms: int | None = 60_000, late: str | None = None) -> DataFrame:
-    """Rows (cctv_id, track_id, frame, x, y, speed_kmh, heading) of a stream (cctv_id, track_id, frame, x, y); a track's state goes after `idle_ms` without rows, or never if that is None."""
-    s = settings or smoother.Settings()
-    timed, timeout = _timed(rows, late, idle_ms)
+class _Keyed(StatefulProcessor):
+    """State that goes `idle_ms` after the newest row of its key."""
+
+    def __init__(self, idle_ms: int | None, by_event: bool) -> None:
+        self.idle_ms, self.by_event = idle_ms, by_event
 
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wind(self, timers, newest: float) -> None:
+        """Puts off the key's timer."""
+        if not self.idle_ms:
+            return
+        if self.by_event:
+            now = timers.getCurrentWatermarkInMs()
+            at = max((now if np.isnan(newest) else int(newest)) + self.idle_ms, now + 1)
+        else:
+            at = timers.getCurrentProcessingTimeInMs() + self.idle_ms
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = pd.concat(list(rows), ignore_index=True)
+        self._wind(timerValues, now.event_ms.max() if self.by_event else np.nan)
+        placed = now[["frame", "x", "y"]].notna().all(axis=1)
+        yield from self.take(key, now[placed].astype({"frame": "int64", "x": float, "y": float}))
+        if not placed.all():
+            yield self.unplaced(key, now[~placed])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.timer, *self.states()):
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _column(values: list, dtype: str) -> pd.Series:
+    return pd.Series(values, dtype=dtype)
+
+
+class _Smooth(_Keyed):
+    reads = ("frame", "x", "y")
+
+    def __init__(self, fps: float, settings: smoother.Settings, idle_ms: int | None, by_event: bool) -> None:
+        super().__init__(idle_ms, by_event)
+        self.fps, self.settings = fps, settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.track = handle.getValueState("track", "frame long, x array<double>, y array<double>, speed double, heading double, direction array<double>")
+
+    def states(self) -> tuple:
+        return (self.track,)
+
+    def take(self, key, now: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        if self.track.exists():
+            last, x, y, speed, heading, direction = self.track.get()
+            state = {"history": [list(p) for p in zip(x, y, strict=True)], "speed": speed, "heading": heading, "direction": list(direction) if direction is not None else None}
+            now = now[now.frame > last]
+        if not len(now) or key[1] is None:
+            if len(now):
+                yield self.unplaced(key, now)
             return
-        old = json.loads(state.get[0]) if state.exists else {"last": None, "smoother": None}
-        machine = smoother.Smoother(s, old["smoother"])
-        now = pd.concat(list(parts)).sort_values("frame", kind="stable")
-        newest = int(now._ms.max())
-        if old["last"] is not None:
-            now = now[now.frame > old["last"]]
-        out = list(smoother.smooth_rows(((int(f), float(x), float(y), None) for f, x, y in zip(now.frame, now.x, now.y, strict=True)), fps, machine, old["last"]))
-        state.update((json.dumps({"last": out[-1][2] if out else old["last"], "smoother": machine.state}),))
-        _expire(state, late, idle_ms, newest)
-        if out:
-            yield pd.DataFrame({"cctv_id": key[0], "track_id": key[1], "frame": [o[2] for o in out], "x": now.x.to_numpy(float), "y": now.y.to_numpy(float), "speed_kmh": [o[0] for o in out], "heading": [o[1] for o in out]})
+        machine = smoother.Smoother(self.settings, state)
+        now = now.sort_values("frame", kind="stable")
+        out = list(smoother.smooth_rows(((int(f), float(x), float(y), None) for f, x, y in zip(now.frame, now.x, now.y, strict=True)), self.fps, machine, last))
+        s = machine.state
+        self.track.update((int(out[-1][2]), [p[0] for p in s["history"]], [p[1] for p in s["history"]], s["speed"], s["heading"], s["direction"]))
+        yield pd.DataFrame({"cctv_id": key[0], "track_id": key[1], "frame": now.frame.to_numpy(), "x": now.x.to_numpy(), "y": now.y.to_numpy(), "speed_kmh": _column([o[0] for o in out], "float64"), "heading": _column([o[1] for o in out], "float64")})
+
+    def unplaced(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        none = _column([None] * len(rows), "float64")
+        return pd.DataFrame({"cctv_id": [key[0]] * len(rows), "track_id": [key[1]] * len(rows), "frame": rows.frame.astype("Int64").to_numpy(), "x": rows.x.to_numpy(float), "y": rows.y.to_numpy(float), "speed_kmh": none, "heading": none})
+
 
+def smooth(rows: DataFrame, fps: float, settings: smoother.Settings | None = None, idle_ms: int | None = 60_000, late: str | None = None) -> DataFrame:
+    """Rows (cctv_id, track_id, frame, x, y, speed_kmh, heading) of a stream (cctv_id, track_id, frame, x, y).
+
+    A track's state goes after `idle_ms` without rows, or never if that is
+    None.  Rows without a point, a frame or a track have nulls.
+    """
     schema = "cctv_id string, track_id string, frame long, x double, y double, speed_kmh double, heading double"
-    return timed.groupBy("cctv_id", "track_id").applyInPandasWithState(step, schema, "state string", "append", timeout)
+    return _keyed(rows, ("cctv_id", "track_id"), _Smooth(fps, settings or smoother.Settings(), idle_ms, late is not None), schema, late)
 
 
-def _freeze(t: tracking.Tracker, began: int) -> str:
-    return json.dumps({"began": began, "next": t.next, "frame": t.frame, "tracks": [{"ident": k.ident, "x": k.x.tolist(), "p": k.p.tolist(), "frame": k.frame, "kind": k.kind, "confidence": k.confidence, "hits": k.hits, "age": k.age, "missed": k.missed, "seen": [[int(f), x, y] for f, x, y in k.seen], "lane": k.lane} for k in t.tracks]})
+class _Track(_Keyed):
+    reads = ("frame", "x", "y", "confidence", "class", "c_xx", "c_xy", "c_yy")
 
+    def __init__(self, fps: float, settings: tracking.Settings, idle_ms: int | None, by_event: bool, graph: Graph | None) -> None:
+        super().__init__(idle_ms, by_event)
+        self.fps, self.settings, self.graph = fps, settings, graph
 
-def _thaw(t: tracking.Tracker, text: str) -> int:
-    """Puts a tracker back; the frame it began with."""
-    d = json.loads(text)
-    t.next, t.frame = d["next"], d["frame"]
-    t.tracks = [tracking.Track(k["ident"], np.array(k["x"]), np.array(k["p"]), k["frame"], k["kind"], k["confidence"], k["hits"], k["age"], k["missed"], [tuple(o) for o in k["seen"]], tuple(k["lane"]) if k["lane"] else None) for k in d["tracks"]]
-    return d["began"]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.camera = handle.getValueState("camera", "began long, next long, frame long")
+        self.live = handle.getMapState("tracks", "ident long", "x array<double>, p array<double>, frame long, kind string, confidence double, hits long, age long, frames array<long>, xs array<double>, ys array<double>, link string, s double, d double")
+
+    def states(self) -> tuple:
+        return self.camera, self.live
+
+    def _thaw(self, machine: tracking.Tracker) -> None:
+        """Puts the live tracks back, each predicted from its last detection to the camera's last frame."""
+        for (ident,), (x, p, frame, kind, confidence, hits, age, frames, xs, ys, link, s, d) in self.live.iterator():
+            lane = None if link is None else (link, s, d)
+            t = tracking.Track(ident, np.array(x, float), np.array(p, float).reshape(4, 4), frame, kind, confidence, hits, age, 0, list(zip(frames, xs, ys, strict=True)), lane)
+            t.mark()
+            for _ in range(machine.frame - frame):
+                t.predict(machine.dt, self.settings, self.graph)
+            machine.tracks.append(t)
+        machine.tracks.sort(key=lambda t: t.ident)
+
+    def take(self, key, now: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(now):
+            return
+        machine = tracking.Tracker(1.0 / self.fps, self.settings, self.graph)
+        began = int(now.frame.min())
+        if self.camera.exists():
+            began, machine.next, machine.frame = self.camera.get()
+            now = now[now.frame > machine.frame]
+            if not len(now):
+                return
+            self._thaw(machine)
+        held, before = {t.ident for t in machine.tracks}, machine.frame
+        now = now.rename(columns={v: k for k, v in RENAMED.items()}).sort_values(["frame", "x", "y"], kind="stable")
+        ids: list[int | None] = []
+        for frame, some in now.groupby("frame", sort=True):
+            ids += machine.step(int(frame), tracking._detections(some, self.settings.noise))
+        for t in machine.tracks:
+            if before is None or t.frame > before:
+                x, p, lane, age = t.marked
+                frames, xs, ys = zip(*t.seen, strict=True)
+                self.live.updateValue((t.ident,), (x.tolist(), p.ravel().tolist(), t.frame, t.kind, t.confidence, t.hits, age, list(frames), list(xs), list(ys), *(lane or (None, None, None))))
+        for ident in held - {t.ident for t in machine.tracks}:
+            self.live.removeKey((ident,))
+        self.camera.update((began, machine.next, machine.frame))
+        yield pd.DataFrame({"cctv_id": [key[0]] * len(now), "frame": now.frame.to_numpy(), "x": now.x.to_numpy(), "y": now.y.to_numpy(), "track_id": [None if i is None else f"{began}-{i}" for i in ids]})
+
+    def unplaced(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cctv_id": [key[0]] * len(rows), "frame": rows.frame.astype("Int64").to_numpy(), "x": rows.x.to_numpy(float), "y": rows.y.to_numpy(float), "track_id": [None] * len(rows)})
 
 
 def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None, idle_ms: int | None = 60_000, graph: Graph | None = None, late: str | None = None) -> DataFrame:
@@ -89,30 +209,11 @@ def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None
     Tracks expire `max_age` frames after their last detection, and are confirmed
     by `min_hits`; a camera's state goes after `idle_ms` without rows.  track_id
     begins with the frame that the camera's state began with, so that ids are
-    unique when a camera comes back.
+    unique when a camera comes back.  Rows without a point or a frame have a
+    null track_id.
     """
-    s = settings or tracking.Settings()
-    timed, timeout = _timed(rows, late, idle_ms)
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        machine = tracking.Tracker(1.0 / fps, s, graph)
-        now = pd.concat(list(parts)).sort_values(["frame", "x", "y"], kind="stable")
-        newest = int(now._ms.max())
-        began = _thaw(machine, state.get[0]) if state.exists else int(now.frame.min())
-        if machine.frame is not None:
-            now = now[now.frame > machine.frame]
-        ids: list[int | None] = []
-        for frame, some in now.groupby("frame", sort=True):
-            ids += machine.step(int(frame), tracking._detections(some, s.noise))
-        state.update((_freeze(machine, began),))
-        _expire(state, late, idle_ms, newest)
-        if len(now):
-            yield pd.DataFrame({"cctv_id": key[0], "frame": now.frame.to_numpy(), "x": now.x.to_numpy(float), "y": now.y.to_numpy(float), "track_id": [None if i is None else f"{began}-{i}" for i in ids]})
-
-    return timed.groupBy("cctv_id").applyInPandasWithState(step, "cctv_id string, frame long, x double, y double, track_id string", "state string", "append", timeout)
+    schema = "cctv_id string, frame long, x double, y double, track_id string"
+    return _keyed(rows, ("cctv_id",), _Track(fps, settings or tracking.Settings(), idle_ms, late is not None, graph), schema, late)
 
 
 def counts(rows: DataFrame, length: str = "1 minute", late: str = "10 minutes", by: str = "class") -> DataFrame:

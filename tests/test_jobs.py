@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside import service, sinks
+from kerbside import plans, service, sinks
 from kerbside.operators import align, calibrate, lane_graph, masks, matching, pipelines, smoother, spatial_join, summaries, taxonomy, tracking, turns
 from kerbside.sources import calibration, cameras, datasets, replay, roads
 from kerbside.streaming import jobs
@@ -437,6 +437,69 @@ def test_stream_state_expires_by_event_time(spark, tmp_path):
         jobs.smooth(stream_, 30.0, idle_ms=None, late="1 second")
 
 
+def test_stream_rows_without_a_point_and_rows_that_come_again(spark, tmp_path):
+    """Nulls stay null and change nothing; a frame that comes again, or late, is dropped; equal to the batch of the rest."""
+    rows = [("a", f, float(f), 0.0, 0.9, "car") for f in range(12)] + [("a", f, None, 0.0, 0.9, "car") for f in range(12)] + [(None, 3, 5.0, 5.0, 0.9, None), ("a", None, 1.0, 1.0, 0.9, "car")]
+    again = [("a", 2, 2.0, 0.0, 0.9, "car"), ("a", 12, 12.0, 0.0, 0.9, "car"), ("b", 12, None, None, 0.9, "car")]
+    schema = "cctv_id string, frame long, x double, y double, confidence double, class string"
+    path = tmp_path / "n"
+    path.mkdir()
+    for k, part in enumerate((rows, again, [("a", 13, 13.0, 0.0, 0.9, "car"), ("a", 5, 9.0, 9.0, 0.9, "car")])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(path / f"{k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+    got = drain(jobs.track(source.withColumn("track_id", F.lit("x")), 30.0, idle_ms=None), spark, "out_null_track")
+    assert len(got) == 12 + 12 + 2 + 2 + 1
+    placed = got[(got.cctv_id == "a") & got.x.notna() & got.frame.notna()]
+    assert sorted(placed.frame) == list(range(14)) and set(placed.track_id) == {"0-1"}
+    assert got[got.x.isna() | got.frame.isna()].track_id.isna().all()
+    smoothed = drain(jobs.smooth(source.withColumn("track_id", F.when(F.col("frame") != 7, F.lit("t"))), 10.0, idle_ms=None), spark, "out_null_smooth")
+    on = smoothed[(smoothed.track_id == "t") & smoothed.x.notna() & smoothed.frame.notna() & (smoothed.cctv_id == "a")].sort_values("frame")
+    assert on.frame.tolist() == [0, 1, 2, 3, 4, 5, 6, *range(8, 14)] and on.speed_kmh.iloc[-1] == pytest.approx(36.0)
+    assert smoothed[smoothed.track_id.isna() | smoothed.x.isna()].speed_kmh.isna().all()
+
+
+def test_stream_writes_the_tracks_it_touches(spark, tmp_path, monkeypatch):
+    """Of a camera's many live tracks a batch writes those with detections; the others are predicted from their last one and live on."""
+    settings = tracking.Settings(max_age=50)
+    rows = [[("a", f, 100.0 * t + f, 0.0, 0.9, "car") for t in range(20) for f in range(4)], [("a", f, 100.0 + f, 0.0, 0.9, "car") for f in range(4, 8)], [("a", f, 100.0 * t + f, 0.0, 0.9, "car") for t in range(20) for f in range(8, 10)]]
+    schema = "cctv_id string, frame long, x double, y double, confidence double, class string"
+    path = tmp_path / "m"
+    path.mkdir()
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(path / f"{k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+    q = jobs.track(source, 10.0, settings, idle_ms=None).writeStream.format("memory").queryName("out_touched").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+    # a batch's updates: the tracks touched and the camera
+    assert updated == [21, 2, 21]
+    want = tracking.track(spark.createDataFrame([r for part in rows for r in part], schema), 10.0, settings).toPandas()
+    got = spark.table("out_touched").toPandas()
+    key = lambda d: sorted(zip(d.frame, d.x, d.track_id.str.replace("^0-", "", regex=True), strict=True))
+    assert key(got) == key(want)
+
+
+@pytest.mark.parametrize("name", ["smoother", "tracker"])
+def test_streams_over_the_whole_table_equal_the_batches(spark, name):
+    """Every event, in three micro-batches: the same speeds and headings, and the same grouping of detections to tracks."""
+    sf = "/root/testdata/sf0.001"
+    got = plans.QUERIES[f"stream_{name}"](spark, sf).toPandas()
+    want = plans.QUERIES["track_smoother" if name == "smoother" else "ground_tracker"](spark, sf).toPandas()
+    assert len(got) == len(want) > 0
+    if name == "smoother":
+        got["track_id"] = got.track_id.astype(int)
+        both = got.merge(want, on=["track_id", "frame"])
+        assert len(both) == len(want)
+        for c in ("speed_kmh", "heading"):
+            assert both[f"{c}_x"].fillna(-999).tolist() == pytest.approx(both[f"{c}_y"].astype(float).fillna(-999).tolist())
+    else:
+        both = got.merge(want, on=["cctv_id", "frame", "x", "y"])
+        assert len(both) == len(want) and (both.track_id_x.isna() == both.track_id_y.isna()).all()
+        some = both.dropna(subset=["track_id_x"])
+        a, b = some.cctv_id + some.track_id_x, some.cctv_id + some.track_id_y
+        assert len(set(a)) == len(set(b)) == len(set(zip(a, b, strict=True))) > 10
+
+
 def test_stream_windows(spark, tmp_path):
     pdf = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 00:00:10", "2024-01-01 00:00:50", "2024-01-01 00:01:10", "2024-01-01 00:30:00", "2024-01-01 00:00:20", "2024-01-01 02:00:00"]), "class": "car", "track_id": 1})
     schema = "ts timestamp, class string, track_id long"
