@@ -64,11 +64,13 @@ def gaps(edges: DataFrame, lengths: DataFrame, limit: float = LIMIT_M) -> DataFr
     return far.unionByName(near).unionByName(own).where(F.col("gap") <= limit).groupBy("src", "dst").agg(F.min("gap").alias("gap"))
 
 
-def route_distance(pairs: DataFrame, gap: DataFrame, lengths: DataFrame, limit: float = LIMIT_M) -> DataFrame:
+def route_distance(pairs: DataFrame, gap: DataFrame, lengths: DataFrame) -> DataFrame:
     """`pairs` (link_a, s_a, link_b, s_b) with route: metres along the graph, null if out of reach.
 
-    On one link a step back of up to BACK_M counts with its size; farther back is
-    out of reach unless the graph leads round.
+    The gap between the links is limited (see `gaps`), the way to the end of the
+    first and from the start of the last is not.  On one link a step back of up
+    to BACK_M counts with its size; farther back is out of reach unless the
+    graph leads round.
     """
     g = gap.where("src <> dst").select(F.col("src").alias("link_a"), F.col("dst").alias("link_b"), "gap")
     rows = pairs.join(g, ["link_a", "link_b"], "left").join(lengths.select(F.col("link_id").alias("link_a"), "length"), "link_a", "left")
@@ -76,7 +78,7 @@ def route_distance(pairs: DataFrame, gap: DataFrame, lengths: DataFrame, limit:
     same = F.when(ahead >= -BACK_M, F.abs(ahead))
     through = F.greatest(F.lit(0.0), F.col("length") - F.col("s_a")) + F.col("gap") + F.col("s_b")
     route = F.when(F.col("link_a") == F.col("link_b"), same).otherwise(through)
-    return rows.withColumn("route", F.when(route <= limit, route)).drop("gap", "length")
+    return rows.withColumn("route", route).drop("gap", "length")
 
 
 def flip_by_node(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,15 +180,14 @@ class Graph:
         return self._gaps[a, limit].get(b)
 
     def route(self, a: tuple[str, float], b: tuple[str, float], limit: float = LIMIT_M) -> float | None:
-        """Metres from (link, s) to (link, s)."""
+        """Metres from (link, s) to (link, s), the gap between the links within `limit`."""
         if a[0] == b[0]:
             ahead = b[1] - a[1]
             return abs(ahead) if ahead >= -BACK_M else None
         g = self.gap(a[0], b[0], limit)
         if g is None:
             return None
-        out = max(0.0, self.length(a[0]) - a[1]) + g + b[1]
-        return out if out <= limit else None
+        return max(0.0, self.length(a[0]) - a[1]) + g + b[1]
 
     def advance(self, link: str, s: float, ds: float, toward: np.ndarray | None = None, most: int = 8) -> tuple[str, float]:
         """(link, s) after ds metres, over at most `most` links, each time the straightest successor (or the one most toward a direction); a way back ends with the link."""

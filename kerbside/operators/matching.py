@@ -6,27 +6,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import long_tracks
+from .graph import cut
 from .lane_graph import BACK_M, LIMIT_M, ends, gaps, topology
+from .long_tracks import backward, forward, whole
 from .sequences import deal
 from .spatial_join import candidates, project_onto
 
 # Noise across the lane and along routes in metres, reach, links kept, weight of a wrong direction, least speed whose heading is trusted.
 SIGMA, BETA, REACH, KEEP, WEIGHT, TRUST_KMH = 2.0, 4.0, 25.0, 6, 2.0, 5.0
 STATE = "link_id string, s double, d double"
+#: Frames of a track that one task handles; longer tracks are many tasks.
+CHUNK = 20_000
 
 
 def isotonic(y: np.ndarray) -> np.ndarray:
     """Nearest non-decreasing sequence in squares: neighbours that fall are pooled into their mean."""
-    level: list[float] = []
-    size: list[int] = []
-    for v in np.asarray(y, float):
-        level.append(float(v))
-        size.append(1)
-        while len(level) > 1 and level[-2] > level[-1]:
-            a, n = level.pop(), size.pop()
-            level[-1] = (level[-1] * size[-1] + a * n) / (size[-1] + n)
-            size[-1] += n
-    return np.repeat(level, size) if level else np.zeros(0)
+    return np.repeat(*long_tracks.pools(y))
 
 
 def smooth_progress(s: np.ndarray, width: int = 9) -> np.ndarray:
@@ -56,14 +52,32 @@ def _along(rows: DataFrame, by: list[str], order: str, value: str, smooth) -> Da
     return deal(rows, *by).groupBy(*by).applyInPandas(run, rows.schema)
 
 
-def monotone(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """`rows` with `value` (a double) made non-decreasing along each track, see `isotonic`."""
-    return _along(rows, by, order, value, isotonic)
+def _any_length(rows: DataFrame, by: list[str], order: str, chunk: float | None, short, long) -> DataFrame:
+    """`short` of the tracks within one stretch of `chunk` (all if that is None), `long` of the others."""
+    if chunk is None:
+        return short(rows)
+    parted = rows.withColumn("_chunk", long_tracks.chunked(order, chunk))
+    spans = parted.groupBy(*by).agg((F.min("_chunk") < F.max("_chunk")).alias("_several"))
+    if not spans.where("_several").limit(1).count():
+        return short(rows)
+    told = long_tracks.joined(parted, spans, by)
+    return short(told.where("_several is null or not _several").select(*rows.columns)).unionByName(long(told.where("_several").drop("_several")).select(*rows.columns))
 
 
-def progress(rows: DataFrame, by: list[str], order: str, value: str, width: int = 9) -> DataFrame:
-    """`rows` with positions (a double) of a smoothed speed along each track, see `smooth_progress`."""
-    return _along(rows, by, order, value, lambda s: smooth_progress(s, width))
+def monotone(rows: DataFrame, by: list[str], order: str, value: str, chunk: float | None = CHUNK) -> DataFrame:
+    """`rows` with `value` (a double) made non-decreasing along each track, see `isotonic`.
+
+    A track that spans more than one stretch of `chunk` of its order is handled in stretches.
+    """
+    return _any_length(rows, by, order, chunk, lambda r: _along(r, by, order, value, isotonic), lambda r: long_tracks.monotone(r, by, order, value))
+
+
+def progress(rows: DataFrame, by: list[str], order: str, value: str, width: int = 9, chunk: float | None = CHUNK) -> DataFrame:
+    """`rows` with positions (a double) of a smoothed speed along each track, see `smooth_progress`.
+
+    A track that spans more than one stretch of `chunk` of its order is handled in stretches.
+    """
+    return _any_length(rows, by, order, chunk, lambda r: _along(r, by, order, value, lambda s: smooth_progress(s, width)), lambda r: long_tracks.progress(r, by, order, value, max(3, width | 1)))
 
 
 def smooth_lateral(d: np.ndarray, width: int = 5) -> np.ndarray:
@@ -106,14 +120,12 @@ def greedy(rows: DataFrame, links: DataFrame, by: list[str], *, reach: float = R
     return options.withColumn("_best", F.array_min(cost)).select(*(c for c in rows.columns if c not in ("link_id", "s", "d")), "_best.link_id", "_best.s", "_best.d")
 
 
-def _ways(rows: DataFrame, links: DataFrame, by: list[str], edges: DataFrame | None, limit: float) -> DataFrame:
-    """Rows (by, src, dst, gap, px, py): for each track the gaps between links that follow each other among its options, and the points of its links on rows where src = dst."""
+def _ways(rows: DataFrame, links: DataFrame, by: list[str], reach: DataFrame) -> DataFrame:
+    """Rows (by, src, dst, gap, px, py): for each track the gaps (`reach`) between links that follow each other among its options _link_id, and the points of its links on rows where src = dst."""
     before = Window.partitionBy(*by).orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    steps = rows.where("options is not null").select(*by, "frame", F.col("options.link_id").alias("_to"))
+    steps = rows.where("_link_id is not null").select(*by, "frame", F.col("_link_id").alias("_to"))
     steps = steps.withColumn("_from", F.last("_to").over(before)).select(*by, "_from", "_to").distinct()
     pairs = steps.where("_from is not null").withColumn("src", F.explode("_from")).withColumn("dst", F.explode("_to")).where("src <> dst").select(*by, "src", "dst").distinct()
-    lengths = ends(links).select("link_id", "length")
-    reach = gaps(topology(links) if edges is None else edges, lengths, limit).where("src <> dst")
     none = F.lit(None).cast("array<double>")
     routes = pairs.join(reach, ["src", "dst"]).select(*by, "src", "dst", "gap", none.alias("px"), none.alias("py"))
     own = steps.select(*by, F.explode("_to").alias("link_id")).distinct().join(links.select("link_id", "pts"), "link_id")
@@ -157,38 +169,28 @@ class Ways:
         return s, n[:, 0] * o[:, 1] - n[:, 1] * o[:, 0], r[row, i]
 
 
-def viterbi(ways: Ways, points: np.ndarray, link: np.ndarray, s: np.ndarray, emit: np.ndarray, *, beta: float = BETA, limit: float = LIMIT_M) -> np.ndarray:
+def moves(ways: Ways, points: np.ndarray, link: np.ndarray, s: np.ndarray, beta: float = BETA) -> np.ndarray:
+    """Scores [n - 1, k, k], as whole numbers, of the steps between the options of a point and of the next: exponential in the difference of straight and route distance; no route, no step."""
+    straight = np.hypot(*np.diff(points, axis=0).T)[:, None, None]
+    a, b, sa, sb = link[:-1, :, None], link[1:, None, :], s[:-1, :, None], s[1:, None, :]
+    ahead = sb - sa
+    route = np.maximum(0.0, ways.length[a] - sa) + ways.gap(a, b) + sb
+    route = np.where(a == b, np.where(ahead >= -BACK_M, np.abs(ahead), np.inf), route)
+    return whole(np.where((a < 0) | (b < 0) | ~np.isfinite(route), -np.inf, -np.abs(straight - np.where(np.isfinite(route), route, 0.0)) / beta - np.log(beta)))
+
+
+def viterbi(ways: Ways, points: np.ndarray, link: np.ndarray, s: np.ndarray, emit: np.ndarray, *, beta: float = BETA) -> np.ndarray:
     """Which option of each point lies on the most likely path.
 
     link, s and emit hold the options of a point in a row, -1 and -inf standing
-    for none.  A transition is exponential in the difference of straight and
-    route distance; no route, no transition.  If none is left the path begins anew.
+    for none.  If no step is left the path begins anew.  Scores are rounded to
+    millionths; of equal ones the first option counts.
     """
-    n, k = link.shape
-    if not n:
+    if not len(link):
         return np.zeros(0, int)
-    straight = np.hypot(*np.diff(points, axis=0).T)[:, None, None]
-    a, b, sa, sb = link[:-1, :, None], link[1:, None, :], s[:-1, :, None], s[1:, None, :]
-    ahead = sb - sa
-    route = np.maximum(0.0, ways.length[a] - sa) + ways.gap(a, b) + sb
-    route = np.where(a == b, np.where(ahead >= -BACK_M, np.abs(ahead), np.inf), np.where(route <= limit, route, np.inf))
-    move = np.where((a < 0) | (b < 0) | ~np.isfinite(route), -np.inf, -np.abs(straight - np.where(np.isfinite(route), route, 0.0)) / beta - np.log(beta))
-    score, back = emit[0], np.full((n, k), -1)
-    scores = [score]
-    for t in range(1, n):
-        total = score[:, None] + move[t - 1]
-        best = total.max(axis=0)
-        if np.isfinite(best).any():
-            back[t] = np.where(np.isfinite(best), total.argmax(axis=0), -1)
-            score = best + emit[t]
-        else:
-            score = emit[t]
-        scores.append(score)
-    pick, out = -1, np.zeros(n, int)
-    for t in range(n - 1, -1, -1):
-        out[t] = pick if pick >= 0 else int(np.argmax(scores[t]))
-        pick = back[t, out[t]]
-    return out
+    emit = whole(emit)
+    scores, back = forward(emit[0], emit, moves(ways, points, link, s, beta))
+    return backward(scores, back, int(np.argmax(scores[-1])))
 
 
 def lane_lock(ways: Ways, points: np.ndarray, link: np.ndarray, s: np.ndarray, d: np.ndarray, width: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,60 +211,201 @@ def lane_lock(ways: Ways, points: np.ndarray, link: np.ndarray, s: np.ndarray, d
     return np.array(chain)[at], (along - offset[at]).clip(0.0, ways.length[chain][at]), lateral[best, row]
 
 
-def match_tracks(rows: DataFrame, links: DataFrame, by: list[str], method: str = "lock", *, edges: DataFrame | None = None, sigma: float = SIGMA, beta: float = BETA, reach: float = REACH, k: int = KEEP, limit: float = LIMIT_M, weight: float = WEIGHT, trust_kmh: float = TRUST_KMH) -> DataFrame:
+class _Options:
+    """The rows of a track, or of a stretch of it, that have options: their places, and the options as grids of `k` columns."""
+
+    def __init__(self, track, known, k: int) -> None:
+        lists = track.column("_link_id").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
+        size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0)
+        self.seen = np.flatnonzero(size)
+        if not len(self.seen):
+            return
+        self.ways = Ways(*(known.column(c).to_pylist() for c in ("src", "dst", "gap", "px", "py")))
+        filled = np.arange(k) < size[self.seen][:, None]
+        grid = []
+        for c, empty in (("_link_id", -1), ("_s", 0.0), ("_d", 0.0), ("_emit", -np.inf)):
+            values = track.column(c).combine_chunks().flatten()
+            values = np.array([self.ways.code[v] for v in values.to_pylist()]) if c == "_link_id" else values.to_numpy(zero_copy_only=False)
+            some = np.full(filled.shape, empty, values.dtype)
+            some[filled] = values
+            grid.append(some)
+        self.link, self.s, self.d, self.emit = grid
+        self.points = np.column_stack([track.column(c).to_numpy() for c in ("x", "y")]).astype(float)[self.seen]
+
+
+def match_tracks(rows: DataFrame, links: DataFrame, by: list[str], method: str = "lock", *, edges: DataFrame | None = None, sigma: float = SIGMA, beta: float = BETA, reach: float = REACH, k: int = KEEP, limit: float = LIMIT_M, weight: float = WEIGHT, trust_kmh: float = TRUST_KMH, chunk: int | None = CHUNK) -> DataFrame:
     """`rows` (by, frame, x, y, heading, speed_kmh) with link_id, s, d; nulls where no link is in reach.
 
     method: `viterbi`, the most likely path (emission: Gauss in d, less the
     weighted wrongness of direction), or `lock`, that path kept to its longest
     chain; `greedy` needs no path, see there.  Links are found by cells and
-    routes by joins of the whole map; a track is one task, which gets its own
-    rows, their options and the gaps between them only.
+    routes by joins of the whole map.  A track within `chunk` frames is one
+    task, which gets its own rows, their options and the gaps between them only;
+    a longer one is a task for each stretch of `chunk` frames (None: never),
+    with the same result.
     """
-    import pyarrow as pa
-
     if method == "greedy":
         return greedy(rows, links, by, reach=reach, k=k, trust_kmh=trust_kmh)
     plain = rows.drop("link_id", "s", "d")
     options = with_options(directions(plain, by, trust_kmh), links, reach, k)
     emit = F.transform("options", lambda o: -0.5 * F.pow(o["d"] / sigma, F.lit(2.0)) - float(np.log(np.sqrt(2 * np.pi) * sigma)) - weight * wrongness(o["bearing"], F.col("_dir"), o["directed"]))
     flat = options.select(*plain.columns, *(F.col(f"options.{c}").alias(f"_{c}") for c in ("link_id", "s", "d")), emit.alias("_emit"))
-    ways = _ways(options, links, by, edges, limit)
-    types = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
+    known = gaps(topology(links) if edges is None else edges, ends(links).select("link_id", "length"), limit).where("src <> dst")
+    short = lambda r: _whole_tracks(r, links, by, method, known, beta, k, plain)
+    if chunk is None:
+        return short(flat)
+    spans = plain.groupBy(*by).agg((F.floor(F.min("frame") / chunk) < F.floor(F.max("frame") / chunk)).alias("_several"))
+    if not spans.where("_several").limit(1).count():
+        return short(flat)
+    told = long_tracks.joined(flat, spans, by)
+    parted = told.where("_several").drop("_several").withColumn("_chunk", long_tracks.chunked("frame", chunk))
+    known = cut(known)
+    path = _long_paths(parted, links, by, known, beta, k)
+    if method == "lock":
+        path = _long_locks(cut(path), links, by, known)
+    return short(told.where("_several is null or not _several").drop("_several")).unionByName(path.select(*plain.columns, "link_id", "s", "d"))
+
+
+def _matched(rows: DataFrame, ways: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """`run` on the rows and the ways of each key."""
+    # columns of one origin on both sides would be ambiguous
+    ways = ways.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    of = [f"_of_{c}" for c in keys]
+    return deal(rows, *keys).groupBy(*keys).cogroup(deal(ways, *of).groupBy(*of)).applyInArrow(run, schema)
+
+
+def _whole_tracks(flat: DataFrame, links: DataFrame, by: list[str], method: str, known: DataFrame, beta: float, k: int, plain: DataFrame) -> DataFrame:
+    """Each track in one task."""
+    import pyarrow as pa
+
     columns = plain.columns
 
-    def run(track: pa.Table, known: pa.Table) -> pa.Table:
-        track = track.sort_by("frame").combine_chunks()
+    def run(track: pa.Table, near: pa.Table) -> pa.Table:
+        track = track.sort_by([(c, "ascending") for c in ("frame", "x", "y")]).combine_chunks()
         out = track.select(columns)
-        lists = track.column("_link_id").combine_chunks()
-        size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
-        size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0)
-        seen = np.flatnonzero(size)
+        o = _Options(track, near, k)
         names, s, d = [None] * len(track), [None] * len(track), [None] * len(track)
-        if len(seen):
-            w = Ways(*(known.column(c).to_pylist() for c in ("src", "dst", "gap", "px", "py")))
-            filled = np.arange(size.max()) < size[seen][:, None]
-            grid = {}
-            for c, empty in (("_link_id", -1), ("_s", 0.0), ("_d", 0.0), ("_emit", -np.inf)):
-                values = track.column(c).combine_chunks().flatten()
-                values = np.array([w.code[v] for v in values.to_pylist()]) if c == "_link_id" else values.to_numpy(zero_copy_only=False)
-                grid[c] = np.full(filled.shape, empty, values.dtype)
-                grid[c][filled] = values
-            points = np.column_stack([track.column(c).to_numpy() for c in ("x", "y")]).astype(float)[seen]
-            pick = (np.arange(len(seen)), viterbi(w, points, grid["_link_id"], grid["_s"], grid["_emit"], beta=beta, limit=limit))
-            state = grid["_link_id"][pick], grid["_s"][pick], grid["_d"][pick]
+        if len(o.seen):
+            pick = (np.arange(len(o.seen)), viterbi(o.ways, o.points, o.link, o.s, o.emit, beta=beta))
+            state = o.link[pick], o.s[pick], o.d[pick]
             if method == "lock":
-                state = lane_lock(w, points, *state)
-            for i, a, b, c in zip(seen.tolist(), *(v.tolist() for v in state), strict=True):
-                names[i], s[i], d[i] = w.ids[a], b, c
+                state = lane_lock(o.ways, o.points, *state)
+            for i, a, b, c in zip(o.seen.tolist(), *(v.tolist() for v in state), strict=True):
+                names[i], s[i], d[i] = o.ways.ids[a], b, c
         for name, values, kind in (("link_id", names, pa.string()), ("s", s, pa.float64()), ("d", d, pa.float64())):
             out = out.append_column(name, pa.array(values, kind))
         return out
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in types.items())
-    # columns of one origin on both sides would be ambiguous
-    ways = ways.withColumnsRenamed({c: f"_of_{c}" for c in by})
-    of = [f"_of_{c}" for c in by]
-    return deal(flat, *by).groupBy(*by).cogroup(deal(ways, *of).groupBy(*of)).applyInArrow(run, f"{fields}, {STATE}")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return _matched(flat, _ways(flat, links, by, known), by, run, f"{fields}, {STATE}")
+
+
+def _long_paths(rows: DataFrame, links: DataFrame, by: list[str], known: DataFrame, beta: float, k: int) -> DataFrame:
+    """`rows` (with _chunk and options) with link_id, s, d of the most likely path, see `long_tracks`."""
+    import pyarrow as pa
+
+    keys = [*by, "_chunk"]
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
+    led = cut(long_tracks.with_leads(rows, by, "frame", F.col("_link_id").isNotNull()))
+    ways = cut(_ways(led, links, keys, known))
+
+    def ordered(part: pa.Table) -> pa.Table:
+        return part.sort_by([("_lead", "descending"), *((c, "ascending") for c in ("frame", "x", "y"))]).combine_chunks()
+
+    def summary(part: pa.Table, near: pa.Table) -> pa.Table:
+        part = ordered(part)
+        o = _Options(part, near, k)
+        start = through = dies = anew = None
+        if len(o.seen):
+            emit, move = whole(o.emit), moves(o.ways, o.points, o.link, o.s, beta)
+            if part.column("_lead")[0].as_py():
+                through, dies, anew = (x.ravel().tolist() for x in long_tracks.passage(emit, move))
+            else:
+                start = forward(emit[0], emit, move)[0][-1].tolist()
+        out = part.select(keys).slice(0, 1)
+        for name, value in (("start", start), ("through", through), ("dies", dies), ("anew", anew)):
+            out = out.append_column(name, pa.array([value], pa.list_(pa.int64())))
+        return out
+
+    numbers = ", ".join(f"{c} array<long>" for c in ("start", "through", "dies", "anew"))
+    entries = cut(long_tracks.entries(_matched(led, ways, keys, summary, f"{kinds}_chunk long, {numbers}"), by))
+
+    def paths(part: pa.Table, near: pa.Table) -> pa.Table:
+        part = ordered(part)
+        o = _Options(part, near, k)
+        picks = [None] * len(part)
+        if len(o.seen):
+            emit = whole(o.emit)
+            entry = part.column("_entry")[0].as_py() if part.column("_lead")[0].as_py() else emit[0]
+            scores, back = forward(np.asarray(entry, np.int64), emit, moves(o.ways, o.points, o.link, o.s, beta))
+            ways_to = np.column_stack([backward(scores, back, j) if scores[-1, j] > long_tracks.NONE else np.zeros(len(scores), int) for j in range(k)])
+            for i, p in zip(o.seen.tolist(), ways_to.tolist(), strict=True):
+                picks[i] = p
+        return part.drop_columns(["_emit", "_entry"]).append_column("_picks", pa.array(picks, pa.list_(pa.int64())))
+
+    entered = long_tracks.joined(led, entries.select(*keys, F.col("entry").alias("_entry")), keys)
+    kept = [f for f in led.schema.fields if f.name != "_emit"]
+    picked = cut(_matched(entered, ways, keys, paths, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", _picks array<long>"))
+    to = picked.where("_lead").select(*keys, F.col("_picks").alias("to"))
+    exits = long_tracks.exits(long_tracks.joined(entries.select(*keys, "last"), to, keys, "left"), by)
+    out = long_tracks.joined(picked.where("not _lead"), cut(exits).select(*keys, F.col("exit").alias("_exit")), keys)
+    pick = F.get("_picks", F.col("_exit").cast("int")).cast("int")
+    state = [F.get(f"_{c}", pick).alias(c) for c in ("link_id", "s", "d")]
+    return out.select(*(c for c in rows.columns if c not in ("_link_id", "_s", "_d", "_emit")), *state)
+
+
+def _long_locks(path: DataFrame, links: DataFrame, by: list[str], known: DataFrame, width: int = 9) -> DataFrame:
+    """`path` (with _chunk) kept to the longest chain of each track, as `lane_lock` does."""
+    import pyarrow as pa
+
+    keys = [*by, "_chunk"]
+    seen = path.where("link_id is not null")
+    led = long_tracks.with_leads(seen, by, "frame", F.col("link_id").isNotNull())
+    before = F.lag("link_id").over(Window.partitionBy(*keys).orderBy(F.desc("_lead"), "frame", "x", "y"))
+    passes = led.withColumn("_was", before).where("not _lead and (_was is null or _was <> link_id)").select(*by, "frame", "link_id", "_was")
+    routes = known.select(F.col("src").alias("_was"), F.col("dst").alias("link_id"), F.lit(True).alias("_on"))
+    # the links passed, one row each: few against a track's rows
+    track = Window.partitionBy(*by)
+    passes = passes.join(routes, ["_was", "link_id"], "left").withColumn("_piece", F.sum((F.col("_was").isNotNull() & F.col("_on").isNull()).cast("int")).over(track.orderBy("frame")))
+    sized = passes.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by, "_piece")))
+    best = sized.withColumn("_best", F.first("_piece").over(track.orderBy(F.desc("_n"), "_piece"))).where("_piece = _best")
+    chain = best.groupBy(*by, "link_id").agg(F.min("frame").alias("_at"))
+    chain = chain.join(ends(links).select("link_id", "length"), "link_id").join(links.select("link_id", "pts"), "link_id")
+    offset = F.coalesce(F.sum("length").over(track.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    chain = cut(chain.select(*by, "_at", "link_id", "length", offset.alias("offset"), F.col("pts.x").alias("px"), F.col("pts.y").alias("py")))
+    several = seen.groupBy(*by).agg((F.count(F.lit(1)) > 1).alias("_two"))
+    locked = long_tracks.joined(seen, several, by)
+    of = long_tracks.joined(seen.select(*keys).distinct(), chain, by)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in locked.schema.fields)
+
+    def chained(near: pa.Table) -> tuple[Ways, np.ndarray, list[str], np.ndarray]:
+        near = near.sort_by("_at")
+        names, length = near.column("link_id").to_pylist(), near.column("length").to_numpy()
+        ways = Ways(names, names, np.zeros(len(names)), near.column("px").to_pylist(), near.column("py").to_pylist())
+        return ways, np.concatenate([near.column("offset").to_numpy(), [near.column("offset").to_numpy()[-1] + length[-1]]]), names, length
+
+    def project(part: pa.Table, near: pa.Table) -> pa.Table:
+        ways, offset_, names, _ = chained(near)
+        points = np.column_stack([part.column(c).to_numpy() for c in ("x", "y")]).astype(float)
+        feet = [ways.onto(ways.code[n], points) for n in names]
+        lateral, away = np.array([f[1] for f in feet]), np.array([f[2] for f in feet])
+        pick = np.lexsort((away, np.abs(lateral).round(6)), axis=0)[0], np.arange(len(points))
+        return part.append_column("_along", pa.array(offset_[pick[0]] + np.array([f[0] for f in feet])[pick])).append_column("_lateral", pa.array(lateral[pick]))
+
+    on = cut(_matched(locked.where("_two"), of, keys, project, f"{fields}, _along double, _lateral double"))
+    smooth = long_tracks.progress(long_tracks.monotone(on, by, "frame", "_along"), by, "frame", "_along", width)
+
+    def place(part: pa.Table, near: pa.Table) -> pa.Table:
+        _, offset_, names, length = chained(near)
+        along = part.column("_along").to_numpy()
+        at = np.searchsorted(offset_[1:-1], along, side="left")
+        values = {"link_id": pa.array([names[i] for i in at], pa.string()), "s": pa.array((along - offset_[at]).clip(0.0, length[at])), "d": part.column("_lateral")}
+        return pa.table({c: values.get(c, part.column(c)) for c in part.column_names if c not in ("_along", "_lateral")})
+
+    kept = _matched(smooth, of, keys, place, fields)
+    rest = locked.where("not _two").unionByName(path.where("link_id is null").withColumn("_two", F.lit(False)))
+    return kept.unionByName(rest).drop("_two")
 
 
 def snap(rows: DataFrame, links: DataFrame, by: list[str], *, reach: float = 20.0, k: int = 6, weight: float = 8.0, lane_width: float = 0.0, lanes_per_side: int = 4, wrong_cos: float = -0.3, trust_kmh: float = TRUST_KMH) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import angles, geodesy, geometry
 from ..operators import align, calibrate, evaluation, lane_graph, masks, pipelines, spatial_join
 from . import tables
-from .tables import BOXES, read
+from .tables import BOXES, ROADS, read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -264,14 +264,14 @@ def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial_join.candidates(p, _links(spark), "s_suppkey", 15.0, 2).select("s_suppkey", "link_id", "rank")
 
 
-@query(f"""WITH l AS ({_LINKS}) SELECT a.link_id AS src, b.link_id AS dst FROM l a JOIN l b ON b.k = a.k + 1""")
+@query(f"""WITH l AS ({ROADS}) SELECT a.link_id AS src, b.link_id AS dst FROM l a JOIN l b ON a.b_node = b.a_node AND a.link_id <> b.link_id""")
 def topology_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lane_graph.topology(_links(spark))
+    return lane_graph.by_nodes(lane_graph.ends(tables.roads(spark, sf_dir)))
 
 
-@query(f"""WITH l AS ({_LINKS}) SELECT a.link_id AS src, b.link_id AS dst FROM l a JOIN l b ON a.link_id <> b.link_id AND sqrt(power(a.bx - b.ax, 2) + power(a.y_b - b.ay, 2)) <= 11""")
+@query(f"""WITH l AS ({ROADS}) SELECT a.link_id AS src, b.link_id AS dst FROM l a JOIN l b ON a.link_id <> b.link_id AND sqrt(power(a.bx - b.ax, 2) + power(a.b_y - b.ay, 2)) <= 3""")
 def topology_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lane_graph.by_distance(lane_graph.ends(_links(spark)), 11.0)
+    return lane_graph.by_distance(lane_graph.ends(tables.roads(spark, sf_dir)), 3.0)
 
 
 _LENGTHS = "n AS (SELECT n_nationkey AS id, 10.0 + n_nationkey % 7 AS len FROM nation), e AS (SELECT a.id AS src, b.id AS dst FROM n a JOIN n b ON b.id = (a.id * 3 + 1) % 25 OR b.id = (a.id + 7) % 25 WHERE a.id <> b.id)"
@@ -293,11 +293,11 @@ def graph_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_GAP + """, p AS (SELECT s_suppkey, s_nationkey AS a, (s_suppkey % 9)::DOUBLE AS sa, (s_suppkey * 5 % 25)::INT AS b, (s_suppkey % 8)::DOUBLE AS sb FROM supplier),
  r AS (SELECT p.*, CASE WHEN a = b THEN CASE WHEN sb - sa >= -1 THEN abs(sb - sa) END ELSE greatest(0, n.len - sa) + m.gap + sb END AS route FROM p JOIN n ON n.id = a LEFT JOIN m ON m.src = a AND m.dst = b)
- SELECT s_suppkey, CASE WHEN route <= 45 THEN route END AS route FROM r""")
+ SELECT s_suppkey, route FROM r""")
 def route_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, lengths = _toy(spark, sf_dir)
     p = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("link_a"), (F.col("s_suppkey") % 9).cast("double").alias("s_a"), (F.col("s_suppkey") * 5 % 25).cast("int").alias("link_b"), (F.col("s_suppkey") % 8).cast("double").alias("s_b"))
-    return lane_graph.route_distance(p, lane_graph.gaps(edges, lengths, 45.0), lengths, 45.0).select("s_suppkey", "route")
+    return lane_graph.route_distance(p, lane_graph.gaps(edges, lengths, 45.0), lengths).select("s_suppkey", "route")
 
 
 @query(f"""WITH b AS (SELECT DISTINCT cctv_id, frame, unnest(generate_series(floor(x1 / 100)::INT, greatest(floor(x1 / 100), ceil(x2 / 100) - 1)::INT)) AS x, y1, y2 FROM (SELECT cctv_id, l_orderkey AS frame, x1, y1, x2, y2 FROM ({BOXES}))),
