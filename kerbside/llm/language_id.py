@@ -3,9 +3,13 @@
 For each language a suffix automaton is built over a bounded sample of labelled
 text.  A text is parsed greedily into the longest phrases that occur in a
 language's sample; the language that needs fewest phrases for the text's length
-wins.  Texts are lower-cased, runs of letters are kept and joined by one space,
-and their UTF-8 bytes are parsed in blocks of BLOCK bytes, so that one
-vectorised step advances all blocks of many texts in all languages at once.
+wins.  Texts are lower-cased, runs of letters are kept and joined by one space.
+
+Their UTF-8 bytes are parsed whole.  So that one vectorised step advances many
+texts in all languages, a text is cut in blocks, each of which is parsed as if
+a phrase began with it, and then put right: from the state in which the block
+before ends the parse goes on into the block until a phrase ends where one ends
+in the block's own parse too; from there on both are the same.
 """
 
 from __future__ import annotations
@@ -14,14 +18,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, map_arrow
 
 BLOCK = 512
-#: Bytes that all transition tables may take together; with very many languages the samples are cut to fit.
-TABLE_BYTES = 1 << 28
 _RUN = re.compile(r"[^\W\d_]+")
 _ENDED = np.int32(1 << 30)
 
@@ -65,7 +67,7 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 
 def count_phrases(automaton: list[dict[int, int]], data: bytes) -> int:
-    """Phrases of the greedy parse of one block; the plain form of what Model.phrases does."""
+    """Phrases of the greedy parse; the plain form of what Model.phrases does."""
     state, n = 0, 1 if data else 0
     for c in data:
         if c in automaton[state]:
@@ -79,14 +81,14 @@ def count_phrases(automaton: list[dict[int, int]], data: bytes) -> int:
 class Model:
     """Transition tables of all languages in one array."""
 
-    def __init__(self, samples: dict[str, list[str]], sample_bytes: int) -> None:
+    def __init__(self, samples: dict[str, list[str]], sample_bytes: int, table_bytes: int = 1 << 28) -> None:
         self.languages = sorted(samples)
         data = {k: " ".join(samples[k]).encode() for k in self.languages}
         used = sorted(set(b"".join(data.values())))
         self.symbols = len(used) + 2  # the last two: a byte that no sample has, and no byte at all
         self.symbol = np.full(256, len(used), np.uint8 if self.symbols < 256 else np.uint16)
         self.symbol[used] = np.arange(len(used))
-        fit = TABLE_BYTES // (8 * self.symbols * max(1, len(self.languages)))
+        fit = table_bytes // (8 * self.symbols * max(1, len(self.languages)))
         tables, self.start, at = [], [], 0
         for k in self.languages:
             automaton = suffix_automaton(data[k][: min(sample_bytes, fit)])
@@ -119,19 +121,49 @@ class Model:
             at += n
         columns = np.ascontiguousarray(data.T).astype(np.int32)
         state = np.repeat(np.array(self.start, np.int32)[:, None], len(owner), axis=1)
-        count = np.ones(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int32)  # phrases that end within each block
+        ends = np.zeros((BLOCK, *state.shape), bool)
         place, found = np.empty_like(state), np.empty_like(state)
-        for row in columns:
+        for row, end in zip(columns, ends, strict=True):
             np.multiply(state, np.int32(self.symbols), out=place)
             np.add(place, row[None, :], out=place)
             np.take(self.table, place, out=found, mode="wrap")
             np.bitwise_and(found, _ENDED - 1, out=state)
             np.right_shift(found, 30, out=found)
             np.add(count, found, out=count)
+            np.copyto(end, found, casting="unsafe")
+        # blocks whose text goes on in the next one
+        goes_on = np.flatnonzero(owner[:-1] == owner[1:])
+        lang, block = (x.ravel() for x in np.meshgrid(np.arange(len(self.languages)), goes_on + 1, indexing="ij"))
+        while len(block):
+            lang, block = self._put_right(columns, ends, state, count, lang, block)
+            more = block + 1 < len(owner)
+            more[more] = owner[block[more] + 1] == owner[block[more]]
+            lang, block = lang[more], block[more] + 1
         for k in range(len(self.languages)):
-            out[:, k] = np.bincount(owner, count[k], len(texts)).astype(np.int64)
+            out[:, k] = np.bincount(owner, count[k], len(texts)).astype(np.int64) + (size > 0)
         return out
 
+    def _put_right(self, columns: np.ndarray, ends: np.ndarray, state: np.ndarray, count: np.ndarray, lang: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parses each block in its language on from the state in which the block before ends; `ends`, `state` and `count` become those of that parse.
+
+        Returns those whose parse did not meet the former one, so that the
+        block after them starts from another state than was taken.
+        """
+        at, now = np.arange(len(block)), state[lang, block - 1]
+        for k in range(BLOCK):
+            if not len(at):
+                break
+            x, b = lang[at], block[at]
+            found = self.table[now * self.symbols + columns[k, b]]
+            end, was = found >> 30 > 0, ends[k, x, b]
+            count[x, b] += end.astype(np.int32) - was
+            ends[k, x, b] = end
+            apart = ~(end & was)
+            at, now = at[apart], (found & (_ENDED - 1))[apart]
+        state[lang[at], block[at]] = now
+        return lang[at], block[at]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and scores; `und` and 0 for a text without letters or where nothing was learned.
 
@@ -153,35 +185,42 @@ class Model:
         return langs, scores
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", *, sample_rows: int = 96, row_chars: int = 2000, sample_bytes: int = 20_000) -> Model:
-    """A model from a bounded sample: about `sample_rows` rows of each language in the order of a hash, at most `row_chars`
-    characters of each, at most `sample_bytes` bytes of normalised text for each language.
+def learn(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", *, sample_rows: int = 96, row_chars: int = 2000, sample_bytes: int = 20_000, table_bytes: int = 1 << 28) -> Model:
+    """A model from a bounded sample: the `sample_rows` different texts of each language that a hash of the text puts first, at most
+    `row_chars` characters of each, at most `sample_bytes` bytes of normalised text for each language.
 
-    Rows with a null language or text teach nothing; repeated rows are in the
-    sample together or not at all.  What reaches the driver
-    is bounded by the number of languages times these parameters.
+    All transition tables together take at most `table_bytes`: beyond some 100
+    languages each learns from fewer bytes.  Rows with a null language or text,
+    and texts without a letter, teach nothing.  Ids don't matter, so they may be
+    null or repeated; copies of a text count once, so that no language is lost
+    or learned from one text while it has others.  What reaches the driver is
+    bounded by the number of languages times these parameters.
     """
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null")
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null").where(F.col("t").rlike(r"\p{L}"))
+    rows = rows.withColumn("o", F.xxhash64("t", "l"))
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.approx_count_distinct("o", 0.05).alias("n")).collect()}
     if not counts:
         return Model({}, sample_bytes)
-    order = F.pmod(F.xxhash64("i", "l"), F.lit(1 << 30))
-    limit = F.lit(0)
+    # four times as many as are taken, so that an estimate that is off leaves enough
+    below = F.lit(0)
     for k, n in counts.items():
-        limit = F.when(F.col("l") == k, F.lit(min(1 << 30, (sample_rows << 30) // n + 1))).otherwise(limit)
-    picked = rows.where(order < limit).where("t is not null").select("l", order.alias("o"), F.left("t", F.lit(row_chars)).alias("t")).collect()
+        below = F.when(F.col("l") == k, F.lit(min(1 << 30, ((4 * sample_rows) << 30) // max(n, 1) + 1))).otherwise(below)
+    some = rows.where(F.shiftrightunsigned("o", 34) < below).select("l", "o", F.left("t", F.lit(row_chars)).alias("t"))
+    distinct = some.groupBy("l", "o").agg(F.min("t").alias("t"))
+    first = Window.partitionBy("l").orderBy("o", "t")
+    picked = distinct.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_rows).select("l", "o", "t").collect()
     samples: dict[str, list[str]] = {k: [] for k in counts}
     for r in sorted(picked, key=lambda r: (r.l, r.o, r.t)):
         if sum(map(len, samples[r.l])) < sample_bytes and (t := letters(r.t)):
             samples[r.l].append(t)
-    return Model({k: v for k, v in samples.items() if v}, sample_bytes)
+    return Model({k: v for k, v in samples.items() if v}, sample_bytes, table_bytes)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id_col, *keep, lang_pred, score), one for each row of `docs`; nothing but the text decides.
 
     Texts that are null or have no letter get `und` and 0; texts of any length
-    are parsed whole, in blocks.  Ids may be null or repeated, equal texts get equal languages; other columns are ignored.
+    are parsed whole.  Ids may be null or repeated, equal texts get equal languages; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in (id_col, *keep)]
