@@ -189,11 +189,12 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
         return plain, plain
     clear, pieces = shown
     starts = [p[0] for p in pieces]
+    # what is found already in each kind; a span within one of those shows nothing new
     taken = {k: [(a, b) for a, kind, b in plain if kind == k] for k in range(len(KINDS))}
     found = list(plain)
     for a, kind, b in plain_spans(clear):
         start, end = _source(pieces, starts, len(clear), a)[0], _source(pieces, starts, len(clear), b - 1)[1]
-        if all(end <= x or y <= start for x, y in taken[kind]):
+        if not any(x <= start and end <= y for x, y in taken[kind]):
             found.append((start, kind, end))
             taken[kind].append((start, end))
     return plain, sorted(found)
@@ -210,8 +211,13 @@ def _rows(found: list[tuple[int, int, int]]) -> list[dict]:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id_col, base, spans), one for each row of `docs`: the plain spans and all spans, by start, then kind.
 
-    Offsets count code points, ends are exclusive.  A null text is empty and
-    has no spans; ids may be null or repeated; other columns are ignored.
+    Offsets count code points, ends are exclusive.  Plain spans always stay; a
+    span found behind a disguise is added unless a span of its kind holds all of
+    it, so it may overlap a plain one that shows only part of the identifier.
+    Not found are identifiers with letters set apart by spaces, and `_at_` and
+    `_dot_` within a word.  A null text is empty and has no spans; texts of any
+    length are read whole, in time that follows their length; ids may be null,
+    repeated or of any type; other columns are ignored.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -82,6 +82,14 @@ def test_plain_spans_stay_when_others_are_added():
     assert set(base) <= set(both) and len(both) == 2
 
 
+def test_half_hidden_identifiers_are_found_whole():
+    """The plain span of the part that shows stays; the whole one is added, and masked."""
+    for text, whole in (("write to j\u043ehn@example.com now", (9, 25)), ("mail ann@ex.org [dot] uk today", (5, 24))):
+        base, both = spans(text)
+        assert set(base) < set(both) and (whole[0], 0, whole[1]) in both
+        assert hide(text) == text[: whole[0]] + "[EMAIL]" + text[whole[1] :]
+
+
 def test_long_runs_are_linear():
     assert plain_spans("1" * 400_000) == [] and plain_spans("a" * 400_000 + "@") == []
 
