@@ -194,13 +194,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     have n_shingles 0, no group, are linked with nothing and have their own id
     as component.  Each row counts with its own text: rows of one id with
     different texts may be in different groups, rows without an id take part.
-    Texts of any length are compared whole.  Other columns are ignored.  An
+    Ids of any ordered type will do.  Texts of any length are compared whole.  Other columns are ignored.  An
     empty table gives no rows.
     """
     named = {f"_keep{k}": F.col(c) for k, c in enumerate(keep)}
-    source = docs.select(F.col(id_col).cast("long").alias("id"), *(c.alias(n) for n, c in named.items()), F.col(text).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), *(c.alias(n) for n, c in named.items()), F.col(text).alias("text"))
     kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(named, keep, strict=True))
-    signed = materialize(map_arrow(source, _sign("text", shingle, bands, rows), f"id long, {kinds}n long, k1 long, k2 long, bands array<long>", "text"), "signed")
+    signed = materialize(map_arrow(source, _sign("text", shingle, bands, rows), f"id {docs.schema[id_col].dataType.simpleString()}, {kinds}n long, k1 long, k2 long, bands array<long>", "text"), "signed")
     classes = signed.where("n > 0").groupBy(*IDENTITY).agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     linked = components(_links(source.select("id", "text"), classes, shingle, percent)).select(F.col("id").alias("class"), F.col("component").alias("found"))
@@ -210,18 +210,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     out = signed.drop("bands").join(of_class, list(IDENTITY), "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(
-        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *(F.col(n).alias(c) for n, c in zip(named, keep, strict=True)),
+        F.col("id").alias(id_col), *(F.col(n).alias(c) for n, c in zip(named, keep, strict=True)),
         F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"), F.col("group").alias("group_id"),
     )
 
 
 def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Rows (a, b): links between classes that span their groups."""
-    banded = classes.select(F.col("class").alias("id"), F.explode("bands").alias("key"))
+    banded = classes.select(F.col("class").alias("id"), "n", F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialize(banded.join(crowded, "key"), "shared")
     score = shared.groupBy("id").agg(F.sum("size").alias("score"))
-    shared = materialize(shared.join(score, "id").select("id", "key", "score"), "scored")
+    shared = materialize(shared.join(score, "id").select("id", "n", "key", "score"), "scored")
     near = materialize(classes.join(shared.select(F.col("id").alias("class")).distinct(), "class", "left_semi").select(*IDENTITY, "class", "id"), "near")
     holders = with_ids(docs, near.where("id is not null").select("id").distinct(), "id").unionByName(docs.where("id is null"))
     packed = map_arrow(holders.select("text"), _pack("text", shingle), "n long, k1 long, k2 long, items binary", "text")
@@ -231,16 +231,18 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> D
         tested = pairs.distinct().join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
         return materialize(tested.mapInArrow(_confirm(percent), "a long, b long"), "close")
 
-    best = F.max(F.struct("score", (-F.col("id")).alias("at")))
-    hub = shared.groupBy("key").agg(best.alias("hub")).select("key", (-F.col("hub.at")).alias("hub"))
-    links = confirmed(shared.join(hub, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    # sets whose sizes are too unlike can't be similar enough
+    sizes = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    best = F.max(F.struct("score", (-F.col("id")).alias("at"), "n"))
+    hub = shared.groupBy("key").agg(best.alias("hub")).select("key", (-F.col("hub.at")).alias("hub"), F.col("hub.n").alias("hub_n"))
+    links = confirmed(shared.join(hub, "key").where("id <> hub").where(sizes).select(F.col("id").alias("a"), F.col("hub").alias("b")))
     labels = components(links)
     for _ in range(REHUBS):
-        labelled = materialize(_mixed(shared.join(labels, "id", "left").select("id", "key", "score", F.coalesce("component", "id").alias("label"))), "labelled")
+        labelled = materialize(_mixed(shared.join(labels, "id", "left").select("id", "n", "key", "score", F.coalesce("component", "id").alias("label"))), "labelled")
         if not labelled.limit(1).count():
             return links
-        hub = labelled.where("label <> main").groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("at"), "label")).alias("hub")).select("key", (-F.col("hub.at")).alias("hub"), F.col("hub.label").alias("hub_label"))
-        found = confirmed(labelled.join(hub, "key").where("label <> hub_label").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        hub = labelled.where("label <> main").groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("at"), "label", "n")).alias("hub")).select("key", (-F.col("hub.at")).alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.n").alias("hub_n"))
+        found = confirmed(labelled.join(hub, "key").where("label <> hub_label").where(sizes).select(F.col("id").alias("a"), F.col("hub").alias("b")))
         if found.limit(1).count():
             links = links.unionByName(found)
             labels = components(links)
