@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Text handed to one vectorised step, in characters.
 SLICE_CHARS = 1 << 20
@@ -103,10 +104,11 @@ BROADCAST_IDS = 4_000_000
 
 
 def with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of `df` whose long `column` is in `ids` (a written table of distinct ids).
+    """Rows of `df` whose `column` is in `ids` (a written table of distinct ids).
 
-    The ids are counted first: up to BROADCAST_IDS of them are broadcast, so
-    that the wide side isn't shuffled; more are joined by a shuffle.
+    Longs are counted first: up to BROADCAST_IDS of them are broadcast, so that
+    the wide side isn't shuffled; more, and ids of other types, are joined by a
+    shuffle.
     """
-    few = ids.count() <= BROADCAST_IDS
+    few = isinstance(ids.schema[column].dataType, LongType) and ids.count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, column, "left_semi")

@@ -17,6 +17,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import map_arrow, materialize
 
@@ -126,14 +128,14 @@ class Matcher:
             i, p, edits = self.items[k]
             if best.get(i, edits + 1) and (d := p.distance(text[max(0, a) : max(0, b)])) <= min(edits, best.get(i, edits)):
                 best[i] = d
-        return sorted(best.items(), key=lambda x: (x[0] is not None, x[0] or 0))
+        return sorted(best.items(), key=lambda x: (x[0] is not None, x[0]))
 
 
 def _item_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int | None, str]]]:
     """The items, normalised, in lists of about BLOCK_CHARS characters; the driver holds one at a time."""
     block: list[tuple[int | None, str]] = []
     size = 0
-    for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").sort("i", "t").toLocalIterator():
+    for r in benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null").sort("i", "t").toLocalIterator():
         item = normal(r.t)
         if block and size + len(item) > BLOCK_CHARS:
             yield block
@@ -145,19 +147,20 @@ def _item_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator
         yield block
 
 
-def _finds(texts: DataFrame, items: list[tuple[int | None, str]], error_rate: float, min_chars: int) -> DataFrame:
+def _finds(texts: DataFrame, items: list[tuple[int | None, str]], kind: DataType, error_rate: float, min_chars: int) -> DataFrame:
     """Rows (_key, item, distance) of the items found in rows (_key, text), written; the items' broadcast is gone by then."""
     shared = texts.sparkSession.sparkContext.broadcast(items)
     made: list[Matcher] = []
+    item_type = to_arrow_type(kind)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
             made.append(Matcher(shared.value, error_rate, min_chars))
         found = [(k, i, d) for k, t in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, d in made[0].find(normal(t))]
         keys, ids, distances = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64()), pa.array(distances, pa.int32())], names=["_key", "item", "distance"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, item_type), pa.array(distances, pa.int32())], names=["_key", "item", "distance"])
 
-    out = materialize(map_arrow(texts, run, "_key string, item long, distance int", "text"), "finds")
+    out = materialize(map_arrow(texts, run, f"_key string, item {kind.simpleString()}, distance int", "text"), "finds")
     shared.destroy()
     return out
 
@@ -171,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blank items match nothing.  Items of one id count as one, with the least
     distance; those without an id count as an item whose id is null, first.
     Null or empty texts match nothing, texts of any length are read whole; ids
-    may be null or repeated; other columns are ignored; an empty benchmark leaks
+    of documents and items may be null, repeated or of any type; other columns are ignored; an empty benchmark leaks
     nowhere.
 
     The items are read on the driver in blocks of BLOCK_CHARS characters.  Each
@@ -181,12 +184,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # a row's finds depend on its text alone
     key = F.md5(F.coalesce(F.col(text), F.lit("")))
     texts = docs.select(key.alias("_key"), F.col(text).alias("text"))
-    found = None
+    found, kind = None, benchmark.schema[item_id].dataType
     for block in _item_blocks(benchmark, item_id, item_text):
-        part = _finds(texts, block, error_rate, min_chars)
+        part = _finds(texts, block, kind, error_rate, min_chars)
         found = part if found is None else found.unionByName(part)
     named = docs.select(*(F.col(f.name).alias(f"_c{k}") for k, f in enumerate(fields)), key.alias("_key"))
-    empty = F.expr("array()").cast("array<struct<item:long,distance:int>>")
+    empty = F.expr("array()").cast(f"array<struct<item:{kind.simpleString()},distance:int>>")
     if found is None:
         joined = named.withColumn("_found", empty)
     else:

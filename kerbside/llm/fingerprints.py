@@ -200,7 +200,8 @@ def compare_with_edits(docs: DataFrame, known: DataFrame, id_col: str = "doc_id"
 
     The edited text has its last floor(n_chars / 3) code points replaced by the
     first as many (or all) of the next document by falling id, the first after
-    the last; see `with_next` on null and repeated ids.  A null text is empty,
+    the last; see `with_next` on null and repeated ids, which must be whole
+    numbers, as they are told by size.  A null text is empty,
     texts of any length are read whole, other columns are ignored.  An empty
     table gives no rows.
     """

@@ -25,7 +25,7 @@ from .common import materialize, slices
 
 CAPACITY = 1024
 END_ID = 2
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
+PIECES = "piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -95,17 +95,19 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text: str, capacity:
                         rows.append((i, k, a, n, zlib.crc32(ids[a : a + n].tobytes()), task, int(seen[n])))
                         seen[n] += 1
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+                kinds = (some.schema.field("id").type, pa.int32(), *[pa.int64()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {PIECES}")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, planner: Callable[[dict[int, int], int], dict] = plan) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one for each piece.
 
-    A null text is empty and has the end token alone; ids may be null or
-    repeated (each row is packed); other columns are ignored; an empty table
-    gives no rows.
+    A null text is empty and has the end token alone; texts of any length are
+    encoded whole, in memory that follows them; ids may be null, repeated or of
+    any type (each row is packed; equally long pieces take slots in any order);
+    other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = materialize(tokenized(docs, tokenizer, id_col, text, capacity, end_id), "pieces")
