@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
 from .assignment import assign
+from .sparse_assignment import most_weight
 
 BOX = ("x1", "y1", "x2", "y2")
+#: Boxes of the frames that are matched in one call.
+BUCKET_ROWS = 100_000
 
 
 def overlaps(truth: DataFrame, found: DataFrame, threshold: float, by: tuple[str, ...] = ("frame",)) -> DataFrame:
@@ -42,10 +45,11 @@ def _frames(truth: DataFrame, found: DataFrame, by: tuple[str, ...]) -> DataFram
 def _by_frame(truth: DataFrame, found: DataFrame, by: tuple[str, ...], match, columns: str) -> DataFrame:
     """Applies `match` to the numpy rows of each frame.
 
-    Frames are dealt over buckets, many to a group, as a frame has few boxes; a
-    bucket's size is the data's over the number of shuffle partitions.
+    Frames are dealt over buckets, many to a group, as a frame has few boxes; the
+    rows are counted, so that a bucket has some BUCKET_ROWS of them.
     """
-    parts = int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    rows = _frames(truth, found, by)
+    parts = max(int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET_ROWS))
     kinds = ", ".join(f"{c} {truth.schema[c].dataType.simpleString()}" for c in by)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -63,7 +67,7 @@ def _by_frame(truth: DataFrame, found: DataFrame, by: tuple[str, ...], match, co
         frame = keys.iloc[list(cells[0])].reset_index(drop=True)
         return frame.assign(**{n: pd.array(c, dtype={"boolean": "bool", "double": "float64", "long": "Int64"}[k]) for n, k, c in zip(names, [c.split()[1] for c in columns.split(", ")], cells[1:], strict=True)})
 
-    dealt = _frames(truth, found, by).withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(parts)))
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(parts)))
     return dealt.groupBy("_bucket").applyInPandas(run, f"{kinds}, {columns}")
 
 
@@ -163,23 +167,9 @@ def identity_counts(matches: DataFrame) -> DataFrame:
 
 
 def identity_f1(matches: DataFrame, truths: int, predicted: int) -> float:
-    """IDF1 by the assignment of tracks with most matched frames.
-
-    Only tracks that meet need one assignment, so the counts are cut into
-    components and each is solved in its own task.
-    """
-    from .graph import components
-
-    counts = identity_counts(matches)
-    edges = counts.select((F.col("track_id") * 2).alias("a"), (F.col("tracked_id") * 2 + 1).alias("b"))
-    label = components(edges)
-    grouped = counts.join(label.select((F.col("id") / 2).cast("long").alias("track_id"), "component", (F.col("id") % 2).alias("odd")).where("odd = 0").drop("odd"), "track_id")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        m = rows.pivot_table(index="track_id", columns="tracked_id", values="n", aggfunc="sum", fill_value=0).to_numpy(float)
-        return pd.DataFrame({"idtp": [int(sum(m[i, j] for i, j in assign(-m)))]})
-
-    hit = grouped.groupBy("component").applyInPandas(run, "idtp long").agg(F.coalesce(F.sum("idtp"), F.lit(0))).first()[0]
+    """IDF1 by the assignment of tracks with most matched frames, see `sparse_assignment`."""
+    counts = identity_counts(matches).select(F.col("track_id").alias("a"), F.col("tracked_id").alias("b"), F.col("n").alias("w"))
+    hit = most_weight(counts).agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     return 2 * hit / (truths + predicted) if truths + predicted else 0.0
 
 
