@@ -102,14 +102,14 @@ def wrongness(bearing: Column, direction: Column, directed: Column) -> Column:
 
 
 def with_options(rows: DataFrame, links: DataFrame, reach: float = REACH, k: int = KEEP) -> DataFrame:
-    """`rows` (x, y) with options: up to k links in reach, least |d| first, as structs (link_id, s, d, bearing, directed, length); null where there are none.
+    """`rows` (x, y) with options: up to k links in reach, least |d| first (to nine digits, so that links in line keep their order), as structs (near, link_id, s, d, bearing, directed, length); null where there are none.
 
     Each place is looked up once, however many rows stand on it.
     """
     places = rows.where("x is not null and y is not null").select("x", "y").distinct().withColumn("_place", F.struct("x", "y"))
     about = ends(links).select("link_id", "directed", "length")
     found = candidates(places, links, "_place", reach, k).join(about, "link_id")
-    listed = found.groupBy("_place").agg(F.sort_array(F.collect_list(F.struct("rank", "link_id", "s", "d", "bearing", "directed", "length"))).alias("options"))
+    listed = found.groupBy("_place").agg(F.sort_array(F.collect_list(F.struct(F.round(F.abs("d"), 9).alias("near"), "link_id", "s", "d", "bearing", "directed", "length"))).alias("options"))
     return rows.join(listed.select("_place.x", "_place.y", "options"), ["x", "y"], "left")
 
 

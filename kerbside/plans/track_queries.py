@@ -103,14 +103,51 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "link_id", F.round("s", 6).alias("s"), F.round("d", 6).alias("d"))
 
 
-@query
+# The most likely path by two recursions: scores of a point's options from those of the point before, in whole millionths, then back along the best ones.
+_VITERBI = f"""WITH RECURSIVE {_DIRECTED}, k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(d), 9), link_id) AS r FROM g WHERE dist <= 25),
+ o AS MATERIALIZED (SELECT event_id, track_id, frame, x, y, r, link_id, len, t * len AS s, d, round(1e6 * (-0.5 * power(d / 2.0, 2) - ln(sqrt(2 * pi()) * 2.0) - 2.0 * pen))::BIGINT AS e FROM k WHERE r <= 6),
+ p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS n FROM (SELECT event_id, track_id, frame, x, y, list(e ORDER BY r) AS emit FROM o GROUP BY ALL)),
+ ed AS (SELECT a.link_id AS src, b.link_id AS dst, a.directed FROM l a JOIN l b ON a.b_node = b.a_node AND a.link_id <> b.link_id), e AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed WHERE NOT directed),
+ w(src, dst, gap) AS (SELECT src, dst, 0.0::DOUBLE FROM e UNION SELECT w.src, e.dst, (w.gap + l.len)::DOUBLE FROM w JOIN e ON e.src = w.dst JOIN l ON l.link_id = w.dst WHERE w.gap + l.len <= 300),
+ gaps AS MATERIALIZED (SELECT src, dst, min(gap) AS gap FROM w WHERE src <> dst GROUP BY 1, 2),
+ mv AS (SELECT q.track_id, q.n, b.r AS rb, a.r AS ra, sqrt(power(q.x - p.x, 2) + power(q.y - p.y, 2)) AS straight, CASE WHEN a.link_id = b.link_id THEN CASE WHEN b.s - a.s >= -1 THEN abs(b.s - a.s) END ELSE greatest(0.0, a.len - a.s) + gap + b.s END AS route
+  FROM p JOIN p q ON q.track_id = p.track_id AND q.n = p.n + 1 JOIN o a ON a.event_id = p.event_id JOIN o b ON b.event_id = q.event_id LEFT JOIN gaps ON src = a.link_id AND dst = b.link_id),
+ rowed AS (SELECT track_id, n, rb, list(round(1e6 * (-abs(straight - route) / 4.0 - ln(4.0)))::BIGINT ORDER BY ra) AS m FROM mv GROUP BY 1, 2, 3),
+ steps AS MATERIALIZED (SELECT track_id, n, emit, m FROM (SELECT track_id, n, list(m ORDER BY rb) AS m FROM rowed GROUP BY 1, 2) JOIN p USING (track_id, n)),
+ fwd(track_id, n, sc, bk) AS (SELECT track_id, n, emit, list_transform(emit, lambda v: NULL::BIGINT) FROM p WHERE n = 1
+  UNION ALL SELECT track_id, n, CASE WHEN list_max(best) IS NULL THEN emit ELSE list_transform(range(1, len(emit) + 1), lambda i: best[i] + emit[i]) END, list_transform(tot, lambda v: CASE WHEN list_max(v) IS NOT NULL THEN list_position(v, list_max(v))::BIGINT END)
+   FROM (SELECT *, list_transform(tot, lambda v: list_max(v)) AS best FROM (SELECT fwd.track_id, steps.n, emit, list_transform(m, lambda v: list_transform(range(1, len(v) + 1), lambda i: sc[i] + v[i])) AS tot FROM fwd JOIN steps ON steps.track_id = fwd.track_id AND steps.n = fwd.n + 1))),
+ fw AS MATERIALIZED (SELECT * FROM fwd),
+ b(track_id, n, pick) AS (SELECT track_id, n, list_position(sc, list_max(sc))::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY n DESC) AS z FROM fw) WHERE z = 1
+  UNION ALL SELECT b.track_id, y.n, coalesce(fw.bk[b.pick], list_position(y.sc, list_max(y.sc)))::BIGINT FROM b JOIN fw ON fw.track_id = b.track_id AND fw.n = b.n JOIN fw y ON y.track_id = b.track_id AND y.n = b.n - 1)
+ SELECT m.event_id, o.link_id, round(o.s, 6) AS s, round(o.d, 6) AS d FROM m LEFT JOIN p ON p.event_id = m.event_id LEFT JOIN b ON b.track_id = p.track_id AND b.n = p.n LEFT JOIN o ON o.event_id = p.event_id AND o.r = b.pick"""
+
+
+def _path(spark: SparkSession, sf_dir: str, method: str, chunk: int | None = matching.CHUNK) -> DataFrame:
+    out = matching.match_tracks(tables.drives(spark, sf_dir), tables.roads(spark, sf_dir), ["track_id"], method, chunk=chunk)
+    return out.select("event_id", "link_id", F.round("s", 6).alias("s"), F.round("d", 6).alias("d"))
+
+
+@query(_VITERBI)
 def viterbi_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_tracks(tables.drives(spark, sf_dir), tables.roads(spark, sf_dir), ["track_id"], "viterbi")
+    return _path(spark, sf_dir, "viterbi")
+
+
+@query(_VITERBI)
+def viterbi_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`viterbi_match` with tracks cut in stretches of ten frames, as those are that exceed a task."""
+    return _path(spark, sf_dir, "viterbi", 10)
 
 
 @query
 def lane_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_tracks(tables.drives(spark, sf_dir), tables.roads(spark, sf_dir), ["track_id"], "lock")
+    return _path(spark, sf_dir, "lock")
+
+
+@query
+def lane_lock_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`lane_lock` with tracks cut in stretches of ten frames, as those are that exceed a task."""
+    return _path(spark, sf_dir, "lock", 10)
 
 
 @query(f"""WITH {_DIRECTED}, k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist, link_id) AS r FROM g WHERE dist <= 20), b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(dist + 8.0 * pen, 9), link_id) AS r2 FROM k WHERE r <= 6),
