@@ -127,6 +127,25 @@ def similarity(src: np.ndarray, dst: np.ndarray, scaled: bool = True) -> np.ndar
     return out
 
 
+def similarity_fits(points: DataFrame, by: str = "cctv_id") -> DataFrame:
+    """Rows (by, n, a, b, c, d, e, f): for each camera the rotation, scale and shift x = a u + b v + c, y = d u + e v + f of least squares, as `similarity` fits one.
+
+    Sums combine before the shuffle.  Points with a null don't count; points
+    that all lie in one place give a shift alone.
+    """
+    u, v, x, y = (F.col(c) for c in "uvxy")
+    terms = {"_u": u, "_v": v, "_x": x, "_y": y, "_q": u * u + v * v, "_dot": u * x + v * y, "_cross": u * y - v * x}
+    known = points.where("u is not null and v is not null and x is not null and y is not null")
+    s = known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(t).alias(k) for k, t in terms.items()))
+    size = F.col("_q") - (F.col("_u") * F.col("_u") + F.col("_v") * F.col("_v")) / F.col("n")
+    dot = F.col("_dot") - (F.col("_u") * F.col("_x") + F.col("_v") * F.col("_y")) / F.col("n")
+    cross = F.col("_cross") - (F.col("_u") * F.col("_y") - F.col("_v") * F.col("_x")) / F.col("n")
+    turned = size > 1e-9 * F.greatest(F.col("_q"), F.lit(1e-3))
+    s = s.withColumns({"a": F.when(turned, dot / size).otherwise(1.0), "d": F.when(turned, cross / size).otherwise(0.0)})
+    a, d, n = F.col("a"), F.col("d"), F.col("n")
+    return s.select(by, "n", "a", (-d).alias("b"), ((F.col("_x") - a * F.col("_u") + d * F.col("_v")) / n).alias("c"), "d", a.alias("e"), ((F.col("_y") - d * F.col("_u") - a * F.col("_v")) / n).alias("f"))
+
+
 def template_homography(width: int, height: int, pixels: list[tuple[float, float]], metres: list[tuple[float, float]]) -> np.ndarray:
     """A first guess for a new camera: four points as shares of the image, and where they are on the ground."""
     return fit_homography(np.array(pixels) * [width, height], np.array(metres))

@@ -391,13 +391,20 @@ def similarity_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(read(spark, sf_dir, "supplier").select("s_suppkey", x.alias("x"), y.alias("y")), "x", "y")
 
 
-@query("SELECT round(1.5 * cos(radians(30)), 6) AS a, round(-1.5 * sin(radians(30)), 6) AS b, 7.0::DOUBLE AS c, round(1.5 * sin(radians(30)), 6) AS d, round(1.5 * cos(radians(30)), 6) AS e, -3.0::DOUBLE AS f")
+_PLACES = "SELECT c_nationkey AS cam, c_acctbal / 100.0 AS u, (c_custkey * 7 % 101)::DOUBLE AS v, c_custkey % 7 - 3 AS e FROM customer"
+
+
+@query(f"""WITH p AS (SELECT cam, u, v, 1.5 * (cos(radians(cam)) * u - sin(radians(cam)) * v) + 7.0 + e * 0.1::DOUBLE AS x, 1.5 * (sin(radians(cam)) * u + cos(radians(cam)) * v) - 3.0 - e * 0.2::DOUBLE AS y FROM ({_PLACES})),
+ m AS (SELECT cam, avg(u) AS mu, avg(v) AS mv, avg(x) AS mx, avg(y) AS my FROM p GROUP BY 1), c AS (SELECT cam, u - mu AS u, v - mv AS v, x - mx AS x, y - my AS y FROM p JOIN m USING (cam)),
+ s AS (SELECT cam, sum(u * x + v * y) / sum(u * u + v * v) AS a, sum(u * y - v * x) / sum(u * u + v * v) AS d FROM c GROUP BY 1)
+ SELECT cam, round(a, 6) AS a, round(d, 6) AS d, round(mx - a * mu + d * mv, 6) AS c, round(my - d * mu - a * mv, 6) AS f FROM s JOIN m USING (cam)""")
 def similarity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turn, scale and shift of 25 points, found again."""
-    x, y = align.apply_similarity(F.col("u"), F.col("v"), (0.0, 0.0), 7.0, -3.0, 30.0, 1.5)
-    p = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("double").alias("u"), (F.col("n_nationkey") * F.col("n_nationkey") % 7).cast("double").alias("v")).withColumns({"x": x, "y": y}).toPandas()
-    m = calibrate.similarity(p[["u", "v"]].to_numpy(), p[["x", "y"]].to_numpy())
-    return spark.createDataFrame([tuple(round(float(v), 6) for v in m[:2].ravel())], "a double, b double, c double, d double, e double, f double")
+    """Turn, scale and shift between the noisy points of each of 25 cameras."""
+    e, cam = F.col("c_custkey") % 7 - 3, F.radians("cam")
+    p = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("cam"), (F.col("c_acctbal") / 100.0).alias("u"), (F.col("c_custkey") * 7 % 101).cast("double").alias("v"), e.alias("e"))
+    x = 1.5 * (F.cos(cam) * F.col("u") - F.sin(cam) * F.col("v")) + 7.0 + F.col("e") * 0.1
+    y = 1.5 * (F.sin(cam) * F.col("u") + F.cos(cam) * F.col("v")) - 3.0 - F.col("e") * 0.2
+    return _rounded(calibrate.similarity_fits(p.withColumns({"x": x, "y": y}), "cam").select("cam", "a", "d", "c", "f"), "a", "d", "c", "f")
 
 
 _SEGMENTS = "SELECT s_suppkey AS seg_id, s_nationkey * 2.0 AS ax, s_acctbal / 200.0 AS ay, s_nationkey * 2.0 + 3.0 + s_suppkey % 4 AS bx, s_acctbal / 200.0 + s_suppkey % 9 - 4.0 AS b_y FROM supplier"

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, matching, sequences, smoother, tracking
+from ..operators import evaluation, lane_graph, matching, sequences, smoother, tracking
 from ..operators.graph import shared_dir
 from . import tables
 from .tables import DRIVES, ROADS, read
@@ -50,6 +50,24 @@ def ground_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.track(rows.select("cctv_id", "frame", "x", "y", "confidence", "class"), 10.0)
 
 
+def lanes(spark: SparkSession, sf_dir: str) -> lane_graph.Graph:
+    """The roads as the lane graph of one camera's surroundings: 25 junctions."""
+    links = tables.roads(spark, sf_dir)
+    return lane_graph.Graph.from_rows(links.collect(), lane_graph.topology(links).collect())
+
+
+def driven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drives as detections of cameras that see five tracks each, some of them unsure."""
+    d = tables.drives(spark, sf_dir)
+    return d.select(F.concat(F.lit("cam-"), F.floor(F.col("track_id") / 5).cast("string")).alias("cctv_id"), F.col("frame").cast("long").alias("frame"), "x", "y", (0.3 + F.col("event_id") % 7 / 10.0).alias("confidence"), F.lit("car").alias("class"))
+
+
+@query
+def ground_tracker_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker on a lane graph: tracks coast along lanes."""
+    return tracking.track(driven(spark, sf_dir), 1.0, graph=lanes(spark, sf_dir))
+
+
 def _streamed(spark: SparkSession, rows: DataFrame, job, batches: int = 3) -> DataFrame:
     """What `job` makes of `rows` as a stream: their frames in so many files, one a micro-batch, drained to a table."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -10,6 +10,8 @@ import datetime
 import decimal
 import math
 import re
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,6 +28,10 @@ _READS = frozenset("Project Filter Sort GlobalLimit LocalLimit Offset Aggregate
 #: Groups of built-in functions, as the catalog names them, that compute from their arguments alone, and such functions of other groups.
 _GROUPS = frozenset("agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs map_funcs math_funcs predicate_funcs string_funcs struct_funcs window_funcs".split())
 _FUNCTIONS = frozenset(("typeof", "equal_null", *NAMES))
+#: Functions whose value is as large as a number says, and the place of that number among their arguments.
+_GROWING = {"repeat": 1, "space": 0, "lpad": 1, "rpad": 1, "array_repeat": 1}
+#: How large such values, and `sequence`, may get: the product of all such numbers of a query.
+GROWTH = 1_000_000
 #: Table functions that make rows from their arguments alone.
 _TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
 
@@ -74,6 +80,7 @@ class _Gate:
     def __init__(self, spark: SparkSession) -> None:
         self.state = spark._jsparkSession.sessionState()
         self.gateway = spark.sparkContext._gateway
+        self.growth = 1
         self.identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
 
     def plan(self, node, scope: frozenset[str]) -> None:
@@ -101,6 +108,7 @@ class _Gate:
         kind = node.getClass().getSimpleName()
         if kind == "UnresolvedFunction":
             self.function(_items(node.nameParts()))
+            self.size(_items(node.nameParts())[-1].lower(), _items(node.arguments()))
         elif kind == "UnresolvedGenerator":
             if node.name().database().isDefined():
                 raise Refused(f"uses {node.name()}")
@@ -120,6 +128,26 @@ class _Gate:
         if len(parts) != 1 or parts[0].lower() not in names:
             raise Refused(f"uses {'.'.join(parts)}")
 
+    def size(self, name: str, arguments: list) -> None:
+        """Refuses values that a few characters of SQL make as large as the memory."""
+        if name == "sequence":
+            ends = [self.number(a) for a in arguments[:2]]
+            size = None if None in ends or len(ends) < 2 else abs(ends[1] - ends[0]) + 1
+        elif name in _GROWING:
+            size = self.number(arguments[_GROWING[name]]) if len(arguments) > _GROWING[name] else None
+        else:
+            return
+        if size is None:
+            raise Refused(f"uses {name} with a size that is no plain number")
+        self.growth *= max(1, size)
+        if self.growth > GROWTH:
+            raise Refused(f"makes values of {self.growth} parts with {name}")
+
+    @staticmethod
+    def number(node) -> int | None:
+        text = node.toString() if node.getClass().getSimpleName() == "Literal" else ""
+        return int(text) if re.fullmatch(r"-?\d{1,18}", text) else None
+
     def function(self, parts: list[str]) -> None:
         name = parts[0].lower()
         if len(parts) == 1 and name in _FUNCTIONS:
@@ -139,7 +167,8 @@ def check(spark: SparkSession, sql: str) -> None:
     and named windows: only nodes that read, only temporary views and common
     tables in scope, only built-in functions that compute from their arguments
     and this engine's own.  Reflection, files, catalogs and what tells of the
-    system are out.  Nothing is analysed or run before.
+    system are out.  Values that a number of the query makes large are bounded
+    by GROWTH, all together.  Nothing is analysed or run before.
     """
     bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)
     if not re.match(r"[\s(]*(select|with)\b", bare, re.I):
@@ -184,10 +213,16 @@ EXAMPLES = {
 
 @dataclass
 class QueryService:
-    """Answers questions over the session's temporary views.  `generate` maps a prompt to text; without it only SQL is answered."""
+    """Answers questions over the session's temporary views.
+
+    `generate` maps a prompt to text; without it only SQL is answered.  Jobs of
+    an answer that takes longer than `seconds` are cancelled, by a tag of their
+    own, so that others of the session go on.
+    """
 
     spark: SparkSession
     generate: Callable[[str], str] | None = None
+    seconds: float = 120.0
 
     def __post_init__(self) -> None:
         register(self.spark)
@@ -205,11 +240,23 @@ class QueryService:
 
     def sql(self, text: str) -> dict:
         """{backend, sql, columns, rows, truncated}, or {backend, sql, error}."""
+        tag, late = f"answer-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            self.spark.sparkContext.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(self.seconds, stop)
+        self.spark.sparkContext.addJobTag(tag)
+        timer.start()
         try:
             df = run(self.spark, text)
             rows = df.limit(RETURN_ROWS + 1).collect()
         except Exception as e:  # noqa: BLE001  the caller gets the reason
-            return {"backend": "spark", "sql": text, "error": str(e).splitlines()[0]}
+            return {"backend": "spark", "sql": text, "error": f"took more than {self.seconds:g} seconds" if late.is_set() else str(e).splitlines()[0]}
+        finally:
+            timer.cancel()
+            self.spark.sparkContext.removeJobTag(tag)
         return {"backend": "spark", "sql": text, "columns": df.columns, "rows": [[plain(v) for v in r] for r in rows[:RETURN_ROWS]], "truncated": len(rows) > RETURN_ROWS}
 
     def ask(self, question: str, llm: Callable[[str], str] | None = None, summarise: bool = True) -> dict:

@@ -4,6 +4,7 @@ import datetime
 import gzip
 import json
 import struct
+import time
 import zipfile
 
 import numpy as np
@@ -380,6 +381,21 @@ def test_service(spark):
         service.QueryService(spark).ask("x")
 
 
+@pytest.mark.parametrize("sql", ["SELECT repeat('x', 2000000000)", "SELECT space(2000000)", "SELECT rpad('x', 3000000, 'y')", "SELECT size(sequence(1, 2000000))", "SELECT size(array_repeat(1, 1000 * 1000 * 1000))", "SELECT repeat(s, 2000) FROM (SELECT repeat('x', 2000) AS s)", "SELECT repeat('x', load) FROM (SELECT 5 AS load)"])
+def test_values_that_fill_the_memory_are_refused(spark, sql):
+    with pytest.raises(service.Refused):
+        service.check(spark, sql)
+
+
+def test_small_growth_passes_and_long_answers_stop(spark):
+    s = service.QueryService(spark, seconds=3.0)
+    assert s.sql("SELECT repeat('ab', 3) AS r, size(sequence(1, 100)) AS n, lpad('7', 3, '0') AS l")["rows"] == [["ababab", 100, "007"]]
+    began = time.time()
+    out = s.sql("SELECT count(*) AS n FROM range(1000000000000) WHERE id * 31 % 7 = 3")
+    assert out["error"] == "took more than 3 seconds" and time.time() - began < 30
+    assert s.sql("SELECT 1 AS a")["rows"] == [[1]]
+
+
 def stream(spark, tmp_path, pdf, schema, name):
     """Three files of rows in order, one for each micro-batch."""
     path = tmp_path / name
@@ -479,6 +495,35 @@ def test_stream_writes_the_tracks_it_touches(spark, tmp_path, monkeypatch):
     assert key(got) == key(want)
 
 
+def test_tracking_on_lanes_in_a_stream_equals_the_batch(spark):
+    """Every event on the roads; coasting along lanes survives the state store, and matters."""
+    from kerbside.plans import track_queries
+
+    sf = "/root/testdata/sf0.001"
+    graph, rows = track_queries.lanes(spark, sf), track_queries.driven(spark, sf)
+    want = plans.QUERIES["ground_tracker_lanes"](spark, sf).toPandas()
+    got = track_queries._streamed(spark, rows, lambda r: jobs.track(r, 1.0, graph=graph, idle_ms=None)).toPandas()
+    keys = ["cctv_id", "frame", "x", "y"]
+    both = got.merge(want, on=keys)
+    assert len(both) == len(want) == rows.count() and (both.track_id_x.isna() == both.track_id_y.isna()).all()
+    some = both.dropna(subset=["track_id_x"])
+    a, b = some.cctv_id + some.track_id_x, some.cctv_id + some.track_id_y
+    assert len(set(a)) == len(set(b)) == len(set(zip(a, b, strict=True))) > 10
+    free = tracking.track(rows, 1.0).toPandas().merge(want, on=keys)
+    assert (free.track_id_x != free.track_id_y).any()
+
+
+def test_similarity_fits_equal_the_single_fit(spark):
+    rng = np.random.default_rng(4)
+    src = rng.normal(0, 30, (40, 2))
+    dst = 2.0 * src @ np.array([[0.8, 0.6], [-0.6, 0.8]]) + [5.0, -7.0] + rng.normal(0, 0.1, (40, 2))
+    rows = [("a", *map(float, p), *map(float, q)) for p, q in zip(src, dst, strict=True)] + [("one", 1.0, 2.0, 4.0, 6.0), ("one", 1.0, 2.0, 4.0, 8.0), ("a", None, 1.0, 1.0, 1.0)]
+    out = {r.cctv_id: r for r in calibrate.similarity_fits(spark.createDataFrame(rows, "cctv_id string, u double, v double, x double, y double")).collect()}
+    m = calibrate.similarity(src, dst)
+    assert [out["a"][c] for c in "abcdef"] == pytest.approx(m[:2].ravel().tolist()) and out["a"].n == 40
+    assert [out["one"][c] for c in "abcdef"] == pytest.approx([1.0, 0.0, 3.0, 0.0, 1.0, 5.0])
+
+
 @pytest.mark.parametrize("name", ["smoother", "tracker"])
 def test_streams_over_the_whole_table_equal_the_batches(spark, name):
     """Every event, in three micro-batches: the same speeds and headings, and the same grouping of detections to tracks."""
