@@ -611,6 +611,38 @@ def frame_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.frame_matches(t, found)
 
 
+# two true boxes of 40 x 40 and two predictions in each frame, all over one another
+_NEAR = """x AS (SELECT DISTINCT l_orderkey AS frame, 0.0::DOUBLE AS t1, 10.0::DOUBLE + l_orderkey % 7 AS t2, l_orderkey % 13 - 3.3::DOUBLE AS p1, l_orderkey % 17 + 1.9::DOUBLE AS p2, l_orderkey % 10 / 10.0::DOUBLE + 0.01::DOUBLE AS c1, l_orderkey % 9 / 10.0::DOUBLE + 0.02::DOUBLE AS c2 FROM lineitem),
+ c AS (SELECT *, greatest(0.0, 40 - abs(t1 - p1)) AS a11, greatest(0.0, 40 - abs(t1 - p2)) AS a12, greatest(0.0, 40 - abs(t2 - p1)) AS a21, greatest(0.0, 40 - abs(t2 - p2)) AS a22 FROM x), o AS (SELECT *, a11 / (80 - a11) AS o11, a12 / (80 - a12) AS o12, a21 / (80 - a21) AS o21, a22 / (80 - a22) AS o22 FROM c)"""
+
+
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("l_orderkey")
+    frames = read(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
+
+    def boxes(name: str, rows: list, *more: str) -> DataFrame:
+        listed = F.array(*(F.struct(F.lit(i).alias(name), x.cast("double").alias("x1"), c.alias("confidence")) for i, x, c in rows))
+        out = frames.select(k.alias("frame"), F.inline(listed))
+        return out.select("frame", name, *more, "x1", F.lit(0.0).alias("y1"), (F.col("x1") + 40.0).alias("x2"), F.lit(40.0).alias("y2"))
+
+    true = boxes("track_id", [(1, F.lit(0.0), F.lit(1.0)), (2, 10.0 + k % 7, F.lit(1.0))])
+    return true, boxes("tracked_id", [(1, k % 13 - 3.3, k % 10 / 10.0 + 0.01), (2, k % 17 + 1.9, k % 9 / 10.0 + 0.02)], "confidence")
+
+
+@query(f"""WITH {_NEAR}, a AS (SELECT *, o11 + o22 >= o12 + o21 AS straight FROM o)
+ SELECT frame, 1::BIGINT AS track_id, CASE WHEN straight THEN CASE WHEN o11 >= 0.5 THEN 1 END WHEN o12 >= 0.5 THEN 2 END::BIGINT AS tracked_id FROM a UNION ALL SELECT frame, 2, CASE WHEN straight THEN CASE WHEN o22 >= 0.5 THEN 2 END WHEN o21 >= 0.5 THEN 1 END FROM a""")
+def frame_assignment_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True boxes and predictions that overlap each other: the best for one is not the best for both."""
+    return evaluation.frame_matches(*_near(spark, sf_dir))
+
+
+@query(f"""WITH {_NEAR}, s AS (SELECT frame, c1 >= c2 AS one, greatest(c1, c2) AS hi, least(c1, c2) AS lo, CASE WHEN c1 >= c2 THEN o11 ELSE o12 END AS h1, CASE WHEN c1 >= c2 THEN o21 ELSE o22 END AS h2, CASE WHEN c1 >= c2 THEN o12 ELSE o11 END AS l1, CASE WHEN c1 >= c2 THEN o22 ELSE o21 END AS l2 FROM o)
+ SELECT frame, round(hi, 6) AS confidence, greatest(h1, h2) >= 0.5 AS tp FROM s UNION ALL SELECT frame, round(lo, 6), CASE WHEN greatest(h1, h2) < 0.5 THEN greatest(l1, l2) WHEN h1 >= h2 THEN l2 ELSE l1 END >= 0.5 FROM s""")
+def detection_hits_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions that overlap both true boxes: the more confident takes its best, the other has what is left."""
+    return _rounded(evaluation.greedy_matches(*_near(spark, sf_dir)), "confidence")
+
+
 @query(f"""WITH {_MATCHED}, a AS (SELECT frame, id, CASE WHEN max(iou) >= 0.5 THEN arg_max(id * 10 + (pid % 10), iou) END AS got FROM o GROUP BY 1, 2), s AS (SELECT *, lag(got) OVER (PARTITION BY id ORDER BY frame) AS before, row_number() OVER (PARTITION BY id ORDER BY frame) AS r FROM a),
  m AS (SELECT count(*)::BIGINT AS n, count(got)::BIGINT AS hit, count(*) FILTER (WHERE r > 1 AND got IS NOT NULL AND before IS DISTINCT FROM got)::BIGINT AS sw FROM s), h AS (SELECT id, avg((got IS NOT NULL)::INT) AS share FROM a GROUP BY 1)
  SELECT n AS n_truth, 3 * n - hit AS fp, n - hit AS fn, sw AS switches, round(1 - (3 * n - hit + n - hit + sw) / n, 9) AS mota, (SELECT count(*) FILTER (WHERE share >= 0.8) FROM h)::BIGINT AS mostly_tracked, (SELECT count(*) FILTER (WHERE share < 0.2) FROM h)::BIGINT AS mostly_lost FROM m""")
