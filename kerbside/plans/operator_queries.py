@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import service, sinks
 from ..functions import geodesy, geometry
-from ..operators import align, calibrate, evaluation, lane_graph, masks, matching, motion_field, pipelines, sequences, spatial_join, summaries, taxonomy
+from ..operators import align, calibrate, evaluation, lane_graph, masks, matching, motion_field, paint, pipelines, sequences, spatial_join, summaries, taxonomy
 from ..operators.graph import shared_dir
 from ..sources import calibration, datasets, replay, roads
 from ..sources import cameras as directories
@@ -489,6 +489,36 @@ def rounded_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.round_coordinates(s).select("id", p[0].alias("x"), p[1].alias("y"), F.size(p).alias("n"))
 
 
+# events as images of 40 x 25 pixels with two bright lines on a noisy ground
+_PIXELS = "SELECT event_id // 1000 AS image, (event_id % 40)::INT AS x, (event_id // 40 % 25)::INT AS y, (floor(value * 7)::BIGINT % 90 + CASE WHEN event_id % 40 IN (11, 12) OR event_id // 40 % 25 IN (17, 18) THEN 100 + event_id // 1000 % 50 ELSE 0 END)::INT AS gray, event_id % 40 > 2 AS inside FROM events"
+_PAINT = f"""v AS MATERIALIZED ({_PIXELS}), k AS (SELECT unnest(range(-3, 4)) AS dy), disc AS MATERIALIZED (SELECT dy, dx FROM k, (SELECT unnest(range(-3, 4)) AS dx) WHERE abs(dx) <= round(sqrt(9 - dy * dy))),
+ er AS MATERIALIZED (SELECT v.image, v.x, v.y, min(n.gray) AS g FROM v JOIN disc ON true JOIN v n ON n.image = v.image AND n.x = v.x + dx AND n.y = v.y + dy GROUP BY 1, 2, 3), op AS MATERIALIZED (SELECT er.image, er.x, er.y, max(n.g) AS g FROM er JOIN disc ON true JOIN er n ON n.image = er.image AND n.x = er.x + dx AND n.y = er.y + dy GROUP BY 1, 2, 3),
+ th AS (SELECT v.*, (v.gray - op.g)::DOUBLE AS top_hat, inside AND gray > 0 AS ok FROM v JOIN op USING (image, x, y)), dk AS (SELECT image, quantile_cont(gray, 0.4) AS dark FROM th WHERE ok GROUP BY 1), sel AS (SELECT th.*, ok AND gray >= dark AS chosen FROM th JOIN dk USING (image)),
+ lv AS (SELECT image, greatest(quantile_cont(top_hat, 0.92), 6) AS level FROM sel WHERE chosen GROUP BY 1), m AS MATERIALIZED (SELECT image, x, y, top_hat, chosen AND top_hat >= level AS p FROM sel JOIN lv USING (image)),
+ full_ AS (SELECT a.image, a.x, a.y FROM m a JOIN m b ON b.image = a.image AND b.x = a.x + 1 AND b.y = a.y JOIN m c ON c.image = a.image AND c.x = a.x AND c.y = a.y + 1 JOIN m d ON d.image = a.image AND d.x = a.x + 1 AND d.y = a.y + 1 WHERE a.p AND b.p AND c.p AND d.p),
+ q AS MATERIALIZED (SELECT m.image, m.x, m.y, top_hat, EXISTS (SELECT 1 FROM full_ f WHERE f.image = m.image AND f.x IN (m.x, m.x - 1) AND f.y IN (m.y, m.y - 1)) AS paint FROM m)"""
+
+
+def _painted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    x, y = (k % 40).cast("int"), (F.floor(k / 40) % 25).cast("int")
+    line = F.when(x.isin(11, 12) | y.isin(17, 18), 100 + F.floor(k / 1000) % 50).otherwise(0)
+    e = read(spark, sf_dir, "events").select(F.floor(k / 1000).alias("image"), x.alias("x"), y.alias("y"), (F.floor(F.col("value") * 7) % 90 + line).cast("int").alias("gray"), (x > 2).alias("inside"))
+    return paint.paint_mask(e, radius=3)
+
+
+@query(f"WITH {_PAINT} SELECT image, x, y, top_hat, paint FROM q")
+def paint_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thin bright structures of every image."""
+    return _painted(spark, sf_dir)
+
+
+@query(f"WITH {_PAINT} SELECT q.image, q.x, q.y, round(min(sqrt(power(q.x - p.x, 2) + power(q.y - p.y, 2))), 6) AS distance FROM q LEFT JOIN q p ON p.image = q.image AND p.paint GROUP BY 1, 2, 3")
+def paint_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way from every pixel to the nearest paint of its image."""
+    return _rounded(paint.distance_field(_painted(spark, sf_dir)), "distance")
+
+
 # maps, tracks, evaluation
 
 
