@@ -109,12 +109,6 @@ def chunked(order: str, length: float) -> Column:
     return F.floor(F.col(order) / F.lit(length)).cast("long")
 
 
-def have_long(rows: DataFrame, by: list[str]) -> bool:
-    """Whether any track has more than one _chunk."""
-    spans = rows.groupBy(*by).agg((F.min("_chunk") < F.max("_chunk")).alias("several"))
-    return bool(spans.where("several").limit(1).count())
-
-
 def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join by keys, nulls being equal; the keys are those of `left`."""
     r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
