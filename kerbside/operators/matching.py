@@ -207,7 +207,8 @@ def lane_lock(ways: Ways, points: np.ndarray, link: np.ndarray, s: np.ndarray, d
     best = np.lexsort((away, np.abs(lateral).round(6)), axis=0)[0]
     row = np.arange(len(points))
     along = smooth_progress(isotonic(offset[best] + np.array([f[0] for f in feet])[best, row]), width)
-    at = np.searchsorted(offset[1:-1], along, side="left")
+    # to nine digits, so that the last bit doesn't move a row over a junction
+    at = np.searchsorted(offset[1:-1].round(9), along.round(9), side="left")
     return np.array(chain)[at], (along - offset[at]).clip(0.0, ways.length[chain][at]), lateral[best, row]
 
 
@@ -399,7 +400,7 @@ def _long_locks(path: DataFrame, links: DataFrame, by: list[str], known: DataFra
     def place(part: pa.Table, near: pa.Table) -> pa.Table:
         _, offset_, names, length = chained(near)
         along = part.column("_along").to_numpy()
-        at = np.searchsorted(offset_[1:-1], along, side="left")
+        at = np.searchsorted(offset_[1:-1].round(9), along.round(9), side="left")
         values = {"link_id": pa.array([names[i] for i in at], pa.string()), "s": pa.array((along - offset_[at]).clip(0.0, length[at])), "d": part.column("_lateral")}
         return pa.table({c: values.get(c, part.column(c)) for c in part.column_names if c not in ("_along", "_lateral")})
 

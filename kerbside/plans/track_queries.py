@@ -141,6 +141,28 @@ _VITERBI = f"""WITH RECURSIVE {_DIRECTED}, k AS (SELECT *, row_number() OVER (PA
  SELECT m.event_id, o.link_id, round(o.s, 6) AS s, round(o.d, 6) AS d FROM m LEFT JOIN p ON p.event_id = m.event_id LEFT JOIN b ON b.track_id = p.track_id AND b.n = p.n LEFT JOIN o ON o.event_id = p.event_id AND o.r = b.pick"""
 
 
+# That path kept to its longest chain: chains by running counts of breaks, the non-decreasing fit by its max-min formula, progress by windows.
+_LOCK = (
+    _VITERBI[: _VITERBI.index(" SELECT m.event_id, o.link_id, round(o.s, 6)")]
+    + """,
+ v AS MATERIALIZED (SELECT p.track_id, p.n, p.event_id, p.x, p.y, o.link_id, o.s, o.d, count(*) OVER (PARTITION BY p.track_id) AS rows_ FROM p JOIN b ON b.track_id = p.track_id AND b.n = p.n JOIN o ON o.event_id = p.event_id AND o.r = b.pick),
+ pa AS (SELECT *, lag(link_id) OVER (PARTITION BY track_id ORDER BY n) AS was FROM v WHERE rows_ > 1), pc AS (SELECT pa.*, sum((was IS NOT NULL AND gaps.gap IS NULL)::INT) OVER (PARTITION BY track_id ORDER BY n) AS piece FROM pa LEFT JOIN gaps ON src = was AND dst = link_id WHERE was IS NULL OR was <> link_id),
+ pn AS (SELECT *, count(*) OVER (PARTITION BY track_id, piece) AS c FROM pc), pb AS (SELECT *, first_value(piece) OVER (PARTITION BY track_id ORDER BY c DESC, piece) AS best FROM pn),
+ ch AS MATERIALIZED (SELECT *, coalesce(sum(len) OVER (PARTITION BY track_id ORDER BY first_n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM (SELECT track_id, link_id, min(n) AS first_n FROM pb WHERE piece = best GROUP BY 1, 2) JOIN l USING (link_id)),
+ ft AS (SELECT v.track_id, v.n, first_n, off, len, least(1.0, greatest(0.0, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / (len * len))) AS t, ((bx - ax) * (y - ay) - (b_y - ay) * (x - ax)) / len AS lat, x, y, ax, ay, bx, b_y FROM v JOIN ch USING (track_id) WHERE rows_ > 1),
+ fo AS (SELECT *, row_number() OVER (PARTITION BY track_id, n ORDER BY round(abs(lat), 6), sqrt(power(x - ax - t * (bx - ax), 2) + power(y - ay - t * (b_y - ay), 2)), first_n) AS z FROM ft),
+ al AS MATERIALIZED (SELECT track_id, n, off + t * len AS a, lat, sum(off + t * len) OVER (PARTITION BY track_id ORDER BY n) AS total FROM fo WHERE z = 1),
+ me AS (SELECT i.track_id, i.n AS i, j.n AS j, (j.total - i.total + i.a) / (j.n - i.n + 1) AS mean FROM al i JOIN al j ON j.track_id = i.track_id AND j.n >= i.n),
+ mi AS (SELECT track_id, i, j, min(mean) OVER (PARTITION BY track_id, i ORDER BY j DESC) AS low FROM me), iso AS MATERIALIZED (SELECT track_id, j AS n, max(low) AS a FROM mi GROUP BY 1, 2),
+ st AS (SELECT *, CASE WHEN n > min(n) OVER (PARTITION BY track_id) THEN greatest(0.0, a - lag(a) OVER (PARTITION BY track_id ORDER BY n)) END AS step, count(*) OVER (PARTITION BY track_id) AS c, first_value(a) OVER (PARTITION BY track_id ORDER BY n) AS a0 FROM iso),
+ sm AS (SELECT *, (sum(step) OVER (PARTITION BY track_id ORDER BY n ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) + greatest(0, 6 - n) * min_by(step, n) OVER t + greatest(0, n + 4 - c) * max_by(step, n) OVER t) / 9 AS smooth FROM st WHERE step IS NOT NULL WINDOW t AS (PARTITION BY track_id)),
+ sc AS (SELECT *, CASE WHEN sum(step) OVER t > 1e-9 AND sum(smooth) OVER t > 1e-9 THEN sum(step) OVER t / sum(smooth) OVER t ELSE 1.0 END AS scale, sum(smooth) OVER (PARTITION BY track_id ORDER BY n) AS run FROM sm WINDOW t AS (PARTITION BY track_id)),
+ pr AS MATERIALIZED (SELECT st.track_id, st.n, CASE WHEN st.c < 3 THEN st.a ELSE st.a0 + coalesce(run * scale, 0) END AS a FROM st LEFT JOIN sc ON sc.track_id = st.track_id AND sc.n = st.n),
+ pl AS (SELECT pr.track_id, pr.n, arg_max(link_id, first_n) AS link_id, max_by(greatest(0.0, least(len, a - off)), first_n) AS s FROM pr JOIN ch ON ch.track_id = pr.track_id AND (off = 0 OR round(off, 9) < round(a, 9)) GROUP BY 1, 2)
+ SELECT m.event_id, coalesce(pl.link_id, v.link_id) AS link_id, round(coalesce(pl.s, v.s), 6) AS s, round(coalesce(al.lat, v.d), 6) AS d FROM m LEFT JOIN v ON v.event_id = m.event_id LEFT JOIN pl ON pl.track_id = v.track_id AND pl.n = v.n LEFT JOIN al ON al.track_id = v.track_id AND al.n = v.n"""
+)
+
+
 def _path(spark: SparkSession, sf_dir: str, method: str, chunk: int | None = matching.CHUNK) -> DataFrame:
     out = matching.match_tracks(tables.drives(spark, sf_dir), tables.roads(spark, sf_dir), ["track_id"], method, chunk=chunk)
     return out.select("event_id", "link_id", F.round("s", 6).alias("s"), F.round("d", 6).alias("d"))
@@ -157,12 +179,12 @@ def viterbi_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _path(spark, sf_dir, "viterbi", 10)
 
 
-@query
+@query(_LOCK)
 def lane_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _path(spark, sf_dir, "lock")
 
 
-@query
+@query(_LOCK)
 def lane_lock_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`lane_lock` with tracks cut in stretches of ten frames, as those are that exceed a task."""
     return _path(spark, sf_dir, "lock", 10)
