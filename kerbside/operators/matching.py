@@ -10,7 +10,7 @@ from . import long_tracks
 from .graph import cut
 from .lane_graph import BACK_M, LIMIT_M, ends, gaps, topology
 from .long_tracks import backward, forward, whole
-from .sequences import deal
+from .sequences import deal, whole_groups, with_column
 from .spatial_join import candidates, project_onto
 
 # Noise across the lane and along routes in metres, reach, links kept, weight of a wrong direction, least speed whose heading is trusted.
@@ -43,21 +43,20 @@ def smooth_progress(s: np.ndarray, width: int = 9) -> np.ndarray:
 
 def _along(rows: DataFrame, by: list[str], order: str, value: str, smooth) -> DataFrame:
     """`rows` with `value` replaced by what `smooth` makes of a track's values in order."""
-    import pandas as pd
 
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(order, kind="stable")
-        return track.assign(**{value: smooth(track[value].to_numpy(float))})
+    def run(tracks, starts: np.ndarray):
+        values = tracks[value].to_numpy()
+        return with_column(tracks, value, np.concatenate([smooth(v) for v in np.split(values, starts[1:])]))
 
-    return deal(rows, *by).groupBy(*by).applyInPandas(run, rows.schema)
+    return whole_groups(rows, by, [order], run, rows.schema)
 
 
 def _any_length(rows: DataFrame, by: list[str], order: str, chunk: float | None, short, long) -> DataFrame:
-    """`short` of the tracks within one stretch of `chunk` (all if that is None), `long` of the others."""
+    """`short` of the tracks of at most `chunk` rows or within one stretch of `chunk` (all if that is None), `long` of the others."""
     if chunk is None:
         return short(rows)
     parted = rows.withColumn("_chunk", long_tracks.chunked(order, chunk))
-    spans = parted.groupBy(*by).agg((F.min("_chunk") < F.max("_chunk")).alias("_several"))
+    spans = parted.groupBy(*by).agg(((F.min("_chunk") < F.max("_chunk")) & (F.count(F.lit(1)) > chunk)).alias("_several"))
     if not spans.where("_several").limit(1).count():
         return short(rows)
     told = long_tracks.joined(parted, spans, by)
@@ -67,7 +66,7 @@ def _any_length(rows: DataFrame, by: list[str], order: str, chunk: float | None,
 def monotone(rows: DataFrame, by: list[str], order: str, value: str, chunk: float | None = CHUNK) -> DataFrame:
     """`rows` with `value` (a double) made non-decreasing along each track, see `isotonic`.
 
-    A track that spans more than one stretch of `chunk` of its order is handled in stretches.
+    A track of more than `chunk` rows that spans more than one stretch of `chunk` of its order is handled in stretches.
     """
     return _any_length(rows, by, order, chunk, lambda r: _along(r, by, order, value, isotonic), lambda r: long_tracks.monotone(r, by, order, value))
 
@@ -75,7 +74,7 @@ def monotone(rows: DataFrame, by: list[str], order: str, value: str, chunk: floa
 def progress(rows: DataFrame, by: list[str], order: str, value: str, width: int = 9, chunk: float | None = CHUNK) -> DataFrame:
     """`rows` with positions (a double) of a smoothed speed along each track, see `smooth_progress`.
 
-    A track that spans more than one stretch of `chunk` of its order is handled in stretches.
+    A track of more than `chunk` rows that spans more than one stretch of `chunk` of its order is handled in stretches.
     """
     return _any_length(rows, by, order, chunk, lambda r: _along(r, by, order, value, lambda s: smooth_progress(s, width)), lambda r: long_tracks.progress(r, by, order, value, max(3, width | 1)))
 
