@@ -16,6 +16,8 @@ from ..sources import cameras as directories
 from . import tables
 from .tables import BOXES, DRIVES, ROADS, read
 
+#: Keys whose rows go to one written document.
+STRETCH = 20_000
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -164,23 +166,25 @@ def csv_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT 'L' || cctv_id AS loc, l_orderkey::INT AS frame, l_linenumber::INT AS track_id, 'car' AS class, x1, y1, x2, y2 FROM ({BOXES})")
 def label_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each camera and stretch of frames, so that none grows with the table."""
     b = tables.boxes(spark, sf_dir)
     box = F.struct(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("track_id"), F.lit("car").alias("class"), F.array("x1", "y1", "x2", "y2").alias("bbox"))
     frame = F.struct(F.col("l_orderkey").alias("index"))
-    docs = b.groupBy(F.concat(F.lit("L"), "cctv_id").alias("loc")).agg(F.collect_list(box).alias("boxes"), F.collect_set(frame).alias("frames"))
+    docs = b.groupBy(F.concat(F.lit("L"), "cctv_id").alias("loc"), F.floor(F.col("l_orderkey") / STRETCH).alias("stretch")).agg(F.collect_list(box).alias("boxes"), F.collect_set(frame).alias("frames"))
     path = _fresh(spark)
-    docs.repartition("loc").write.option("maxRecordsPerFile", 1).json(path)
+    docs.drop("stretch").write.option("maxRecordsPerFile", 1).json(path)
     return datasets.read_labels(spark, path)[0]
 
 
 @query(f"""WITH b AS (SELECT l_orderkey % 40 AS num, l_linenumber::INT AS id, cctv_id AS class, x1, y1, x2, y2 FROM ({BOXES}) WHERE l_orderkey % 40 > 0) SELECT num::INT AS frame, id AS track_id, class, x1, y1, x2, y2 FROM b WHERE (num - 1) % 4 = 0""")
 def xml_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file of frames in XML; every fourth frame is read."""
-    b = tables.boxes(spark, sf_dir).withColumn("num", F.col("l_orderkey") % 40).where("num > 0")
+    """Files of frames in XML, one for each stretch of orders; every fourth frame is read."""
+    b = tables.boxes(spark, sf_dir).withColumns({"num": F.col("l_orderkey") % 40, "stretch": F.floor(F.col("l_orderkey") / STRETCH)}).where("num > 0")
     target = F.format_string('<target id="%d"><box left="%s" top="%s" width="%s" height="%s"/><attribute vehicle_type="%s"/></target>', F.col("l_linenumber").cast("int"), F.col("x1").cast("string"), F.col("y1").cast("string"), (F.col("x2") - F.col("x1")).cast("string"), (F.col("y2") - F.col("y1")).cast("string"), F.col("cctv_id"))
-    frames = b.groupBy("num").agg(F.array_join(F.collect_list(target), "").alias("t")).select(F.format_string('<frame num="%d"><target_list>%s</target_list></frame>', F.col("num").cast("int"), F.col("t")).alias("value"))
+    frames = b.groupBy("stretch", "num").agg(F.array_join(F.collect_list(target), "").alias("t")).select("stretch", F.format_string('<frame num="%d"><target_list>%s</target_list></frame>', F.col("num").cast("int"), F.col("t")).alias("value"))
     path = _fresh(spark)
-    frames.agg(F.concat(F.lit("<sequence>"), F.array_join(F.collect_list("value"), ""), F.lit("</sequence>")).alias("value")).write.text(path)
+    files = frames.groupBy("stretch").agg(F.concat(F.lit("<sequence>"), F.array_join(F.collect_list("value"), ""), F.lit("</sequence>")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return datasets.read_xml_frames(spark, f"{path}/*.txt", 4)[0].select("frame", "track_id", "class", "x1", "y1", "x2", "y2")
 
 
@@ -528,7 +532,7 @@ def road_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lane_graph.topology(tables.roads(spark, sf_dir))
 
 
-@query(f"""WITH d AS ({DRIVES}), g AS (SELECT 'g' || n_nationkey AS g, n_regionkey AS cam, n_nationkey * 20.0 + 5 AS gx, n_nationkey % 7 * 40.0 + 10 AS gy, (n_nationkey * 10.0)::DOUBLE AS gh FROM nation) SELECT event_id, arg_min(gh, (power(x - gx, 2) + power(y - gy, 2)) * 1000 + gh / 1e6) AS guide FROM d JOIN g ON cam = track_id % 5 GROUP BY 1""")
+@query(f"""WITH d AS ({DRIVES}), g AS (SELECT 'g' || n_nationkey AS g, n_regionkey AS cam, n_nationkey * 20.0 + 5 AS gx, n_nationkey % 7 * 40.0 + 10 AS gy, (n_nationkey * 10.0)::DOUBLE AS gh FROM nation) SELECT event_id, gh AS guide FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY (x - gx) * (x - gx) + (y - gy) * (y - gy), gh) AS r FROM d JOIN g ON cam = track_id % 5) WHERE r = 1""")
 def guide_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     g = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("cctv_id"), (k * 20.0).alias("x1"), (k % 7 * 40.0).alias("y1"), (k * 20.0 + 10.0).alias("x2"), (k % 7 * 40.0 + 20.0).alias("y2"), (k * 10.0).alias("heading_deg"))
@@ -602,9 +606,13 @@ def smooth_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matching.progress(_runs(spark, sf_dir), ["track_id", "kind"], "frame", "s", 5).withColumn("s", F.col("s") + 1e-9), "s").select("track_id", "kind", "frame", "s")
 
 
-@query(f"""WITH d AS ({DRIVES}), w AS (SELECT *, coalesce(lag(x) OVER t, x) AS x0, coalesce(lag(y) OVER t, y) AS y0, coalesce(lead(x) OVER t, x) AS x1, coalesce(lead(y) OVER t, y) AS y1 FROM d WINDOW t AS (PARTITION BY track_id ORDER BY frame)) SELECT event_id, round(CASE WHEN frame % 4 = 0 THEN heading ELSE degrees(atan2(y1 - y0, x1 - x0)) END, 6) AS heading FROM w""")
+@query(f"""WITH d AS ({DRIVES}), w AS (SELECT *, row_number() OVER t AS i, count(*) OVER (PARTITION BY track_id) AS n, coalesce(lag(x) OVER t, x) AS x0, coalesce(lag(y) OVER t, y) AS y0, coalesce(lead(x) OVER t, x) AS x1, coalesce(lead(y) OVER t, y) AS y1 FROM d WINDOW t AS (PARTITION BY track_id ORDER BY frame)),
+ c AS (SELECT *, CASE WHEN frame % 4 = 0 THEN heading WHEN sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) >= 0.6 THEN degrees(atan2(y1 - y0, x1 - x0)) END AS near FROM w),
+ q AS (SELECT event_id, track_id, i, n, unnest(range(2, n)) AS k FROM c WHERE near IS NULL), p AS (SELECT q.event_id, q.k, b.x - a.x AS dx, b.y - a.y AS dy FROM q JOIN w a ON a.track_id = q.track_id AND a.i = greatest(1, q.i - q.k) JOIN w b ON b.track_id = q.track_id AND b.i = least(q.n, q.i + q.k)),
+ f AS (SELECT event_id, arg_min(degrees(atan2(dy, dx)), k) AS far FROM p WHERE sqrt(dx * dx + dy * dy) >= 0.6 GROUP BY 1), v AS (SELECT c.*, coalesce(near, far) AS h FROM c LEFT JOIN f USING (event_id)), m AS (SELECT track_id, degrees(atan2(sum(sin(radians(h))), sum(cos(radians(h))))) AS mean FROM v GROUP BY 1)
+ SELECT event_id, round(coalesce(h, mean), 6) AS heading FROM v JOIN m USING (track_id)""")
 def heading_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing headings of tracks whose neighbouring rows are far enough apart."""
+    """Missing headings by the chord of the rows around, as many as make it long enough; else the track's mean direction."""
     d = tables.drives(spark, sf_dir).select("event_id", "track_id", "frame", "x", "y", F.when(F.col("frame") % 4 == 0, F.col("heading")).alias("heading"))
     return _rounded(sequences.headings(d, ["track_id"], ["frame"]).select("event_id", "heading"), "heading")
 
@@ -794,7 +802,7 @@ def map_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.struct(F.lit("LineString").alias("type"), F.array(F.array("lon", "lat"), F.array("lon2", "lat2")).alias("coordinates"))
     feature = F.struct(F.concat(F.lit("E"), name).alias("id"), F.when(k % 5 == 0, "B1").otherwise("A2_LINK").alias("layer"), properties.alias("properties"), shape.alias("geometry"))
     path = _fresh(spark)
-    _routes(spark, sf_dir).groupBy((k % 4).alias("part")).agg(F.collect_list(feature).alias("features")).select("features").write.option("maxRecordsPerFile", 1).json(path)
+    _routes(spark, sf_dir).groupBy((k % 4).alias("part"), F.floor(k / STRETCH).alias("stretch")).agg(F.collect_list(feature).alias("features")).select("features").write.option("maxRecordsPerFile", 1).json(path)
     links = roads.lines(roads.read_features(spark, path), "A2_LINK", 52, (300000.0, 4000000.0))
     return _degrees(links).select("link_id", "lane_no", "from_node", "lon", "lat", "lon2", "lat2")
 
