@@ -20,12 +20,17 @@ def fit_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     src, dst = np.asarray(src, float), np.asarray(dst, float)
     if len(src) < 4:
         raise ValueError("four points are needed")
+    a, target, scale = _equations(src, dst)
+    h, *_ = np.linalg.lstsq(a / scale, target, rcond=None)
+    return np.append(h / scale, 1.0).reshape(3, 3)
+
+
+def _equations(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two rows for each point (those of x first) of a linear system for a homography, what they should give, and the size of its columns."""
     u, v, x, y = src[:, 0], src[:, 1], dst[:, 0], dst[:, 1]
     zero, one = np.zeros(len(u)), np.ones(len(u))
     a = np.vstack([np.column_stack([u, v, one, zero, zero, zero, -u * x, -v * x]), np.column_stack([zero, zero, zero, u, v, one, -u * y, -v * y])])
-    scale = np.maximum(np.abs(a).max(0), 1e-12)
-    h, *_ = np.linalg.lstsq(a / scale, np.concatenate([x, y]), rcond=None)
-    return np.append(h / scale, 1.0).reshape(3, 3)
+    return a, np.concatenate([x, y]), np.maximum(np.abs(a).max(0), 1e-12)
 
 
 def apply_homography(h: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -34,11 +39,37 @@ def apply_homography(h: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 
 def leave_one_out(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    """Error of each point under the fit of all others; None for fewer than five."""
+    """Error of each point under the fit of all others; None for fewer than five.
+
+    One decomposition for all: without a point's two rows the least-squares fit moves by its residuals, through
+    what the rows have in common with the others.  Points that the fit hangs on are left out in full.
+    """
     if len(src) < 5:
         return None
-    keep = ~np.eye(len(src), dtype=bool)
-    return np.array([float(np.hypot(*(apply_homography(fit_homography(src[k], dst[k]), src[i : i + 1])[0] - dst[i]))) for i, k in enumerate(keep)])
+    src, dst = np.asarray(src, float), np.asarray(dst, float)
+
+    def plain(i: int) -> float:
+        keep = np.arange(len(src)) != i
+        return float(np.hypot(*(apply_homography(fit_homography(src[keep], dst[keep]), src[i : i + 1])[0] - dst[i])))
+
+    a, target, scale = _equations(src, dst)
+    q, r = np.linalg.qr(a / scale)
+    size = np.abs(np.diag(r))
+    if size.min() <= 1e-10 * size.max():
+        return np.array([plain(i) for i in range(len(src))])
+    h = np.linalg.solve(r, q.T @ target)
+    left = (target - a / scale @ h).reshape(2, -1).T
+    rows = q.reshape(2, len(src), 8).transpose(1, 0, 2)
+    free = np.eye(2) - rows @ rows.transpose(0, 2, 1)
+    hangs = np.linalg.det(free) <= 1e-6
+    free[hangs] = np.eye(2)
+    moved = np.linalg.solve(r, np.einsum("nij,ni->jn", rows, np.linalg.solve(free, left[:, :, None])[:, :, 0]))
+    fits = np.column_stack([(h[:, None] - moved).T / scale, np.ones(len(src))]).reshape(-1, 3, 3)
+    p = np.einsum("nij,nj->ni", fits, np.column_stack([src, np.ones(len(src))]))
+    out = np.hypot(*(p[:, :2] / p[:, 2:] - dst).T)
+    for i in np.flatnonzero(hangs):
+        out[i] = plain(i)
+    return out
 
 
 def homographies(points: DataFrame) -> DataFrame:
@@ -269,11 +300,24 @@ def spread_pick(candidates: pd.DataFrame, width: float, height: float, n: int, c
 
 
 def crossings(segments: DataFrame, key: str = "seg_id", reach: float = 12.0) -> DataFrame:
-    """Rows (a, b, x, y): where segments (key, ax, ay, bx, by) whose middles are within `reach` cross."""
+    """Rows (a, b, x, y): where segments (key, ax, ay, bx, by) whose middles are within `reach` cross.
+
+    Segments meet in cells that their boxes lie over; a pair is formed in the one cell where its common box begins,
+    so that pairs follow the crossings, not the segments within reach.
+    """
     from ..functions.geometry import crossing
-    from .spatial_join import neighbours
 
-    middle = segments.withColumn("x", (F.col("ax") + F.col("bx")) / 2.0).withColumn("y", (F.col("ay") + F.col("by")) / 2.0)
-    pairs = neighbours(middle, key, reach)
-    c = crossing((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), (F.col("r_ax"), F.col("r_ay")), (F.col("r_bx"), F.col("r_by")))
-    return pairs.select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), c.alias("c")).where("c is not null").select("a", "b", "c.x", "c.y")
+    size = reach / 4.0
+    sides = {f"_{f}{c}": g(f"a{c}", f"b{c}") for c in "xy" for f, g in (("l", F.least), ("h", F.greatest))}
+    boxed = segments.select(F.col(key).alias("k"), "ax", "ay", "bx", "by").where("ax is not null and ay is not null and bx is not null and by is not null").withColumns(sides)
+    for c in "xy":
+        boxed = boxed.withColumn(f"_c{c}", F.explode(F.sequence(F.floor(F.col(f"_l{c}") / size).cast("long"), F.floor(F.col(f"_h{c}") / size).cast("long"))))
+    other = boxed.select("_cx", "_cy", *(F.col(c).alias(f"r{c}") for c in boxed.columns if c not in ("_cx", "_cy")))
+    both = boxed.join(other, ["_cx", "_cy"]).where(F.col("k") < F.col("rk"))
+    for c in "xy":
+        low = F.greatest(f"_l{c}", f"r_l{c}")
+        both = both.where((low <= F.least(f"_h{c}", f"r_h{c}")) & (F.floor(low / size).cast("long") == F.col(f"_c{c}")))
+    middle = {c: (F.col(f"a{c}") + F.col(f"b{c}")) / 2.0 - (F.col(f"ra{c}") + F.col(f"rb{c}")) / 2.0 for c in "xy"}
+    near = both.where(F.hypot(middle["x"], middle["y"]) <= reach)
+    c = crossing((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), (F.col("rax"), F.col("ray")), (F.col("rbx"), F.col("rby")))
+    return near.select(F.col("k").alias("a"), F.col("rk").alias("b"), c.alias("c")).where("c is not null").select("a", "b", "c.x", "c.y")

@@ -71,13 +71,44 @@ def top_k(pairs: DataFrame, key: str, order: list, k: int) -> DataFrame:
 
 
 def nearest_k(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, distance: float) -> DataFrame:
-    """Up to k neighbours within `distance`, nearest first, then by right key."""
-    return top_k(within_distance(left, right, distance), key, ["distance", f"r_{right_key}"], k)
+    """Up to k neighbours within `distance`, nearest first, then by right key.
+
+    Rings grow fourfold, up to `distance`, for the rows that have fewer than k yet, from the reach in which
+    points spread evenly over their box would have some k: pairs follow the results, not the density.
+    """
+
+    def best(rows: DataFrame, reach: float) -> DataFrame:
+        return top_k(within_distance(rows, right, reach), key, ["distance", f"r_{right_key}"], k)
+
+    box = right.agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    reach = max((k * float(box.w) * float(box.h) / box.n) ** 0.5, k * max(float(box.w), float(box.h)) / box.n, 1e-6) if box.n else distance
+    found, rest = None, left
+    while reach < distance:
+        part = cut(best(rest, reach))
+        full = part.where(F.col("rank") == k).select(key)
+        done = part.join(full, key, "left_semi")
+        found = done if found is None else found.unionByName(done)
+        rest = cut(rest.join(full, key, "left_anti"))
+        if not rest.limit(1).count():
+            return found
+        reach *= 4.0
+    last = best(rest, distance)
+    return last if found is None else found.unionByName(last)
 
 
 def without_neighbours(left: DataFrame, right: DataFrame, key: str, distance: float, *, inclusive: bool = False) -> DataFrame:
-    """Rows of `left` that have no row of `right` nearer than (or at) `distance`."""
-    near = within_distance(left.select(key, "x", "y"), right.select("x", "y"), distance, inclusive=inclusive).select(key).distinct()
+    """Rows of `left` that have no row of `right` nearer than (or at) `distance`.
+
+    Two points in one cell half as wide are surely near, so that cells do for most rows; those of cells
+    without a right point meet the different right points around.
+    """
+    half = distance / 2.0
+    points = left.select(key, "x", "y").where("x is not null and y is not null").withColumns({"_hx": _cell(F.col("x"), half), "_hy": _cell(F.col("y"), half)})
+    places = right.select("x", "y").where("x is not null and y is not null").distinct()
+    cells = places.select(_cell(F.col("x"), half).alias("_hx"), _cell(F.col("y"), half).alias("_hy")).distinct()
+    same = points.join(cells, ["_hx", "_hy"], "left_semi").select(key)
+    rest = points.join(cells, ["_hx", "_hy"], "left_anti").select(key, "x", "y")
+    near = same.unionByName(within_distance(rest, places, distance, inclusive=inclusive).select(key)).distinct()
     return left.join(near, key, "left_anti")
 
 

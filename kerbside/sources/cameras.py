@@ -111,14 +111,13 @@ def refresh(known: DataFrame, found: DataFrame, metres: float = 250.0) -> DataFr
     Cameras meet in square cells of at least `metres`, so that no pair farther
     than a neighbouring cell is compared.
     """
-    from ..operators.spatial_join import within_distance
+    from ..operators.spatial_join import without_neighbours
 
     keep = known.where("has_replay")
     names = keep.select("name").where("name is not null").distinct()
     fresh = found.join(names, "name", "left_anti").withColumn("x", F.col("lon") * 88800.0).withColumn("y", F.col("lat") * 111000.0)
     placed = keep.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).withColumn("x", F.col("_lon") * 88800.0).withColumn("y", F.col("_lat") * 111000.0)
-    close = within_distance(fresh.select("cctv_id", "x", "y"), placed.select("x", "y"), metres).where(F.col("distance") < metres).select("cctv_id").distinct()
-    return keep.unionByName(fresh.drop("x", "y").join(close, "cctv_id", "left_anti"), allowMissingColumns=True)
+    return keep.unionByName(without_neighbours(fresh, placed, "cctv_id", metres).drop("x", "y"), allowMissingColumns=True)
 
 
 def unique_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
