@@ -69,7 +69,8 @@ def unlabelled_regions(images: DataFrame, boxes: DataFrame, mapping: DataFrame)
 def build_counts(images: DataFrame, boxes: DataFrame, mapping: DataFrame) -> DataFrame:
     """One row: images, boxes kept, dropped by class, too small, and images without a box."""
     m = mapping.select(F.col("class").alias("_class"), F.col("target").alias("_target"))
-    rows = boxes.join(m, boxes["class"] == F.col("_class"), "left").join(images, "image")
+    # a mapping has a row for each class, of which there are few; joined by them, all boxes of a class would be one task's
+    rows = boxes.join(F.broadcast(m), boxes["class"] == F.col("_class"), "left").join(images, "image")
     good = valid(clip(tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.col("width").cast("double"), F.col("height").cast("double")))
     known = F.coalesce(F.col("_target"), F.lit(DROP)) != DROP
     per = rows.groupBy("image").agg(F.count_if(known & good).alias("kept"), F.count_if(~known).alias("dropped"), F.count_if(known & ~good).alias("bad"))
