@@ -22,10 +22,10 @@ def deal(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def whole_groups(rows: DataFrame, by: list[str], order: list[str], run, schema) -> DataFrame:
+def whole_groups(rows: DataFrame, by: list[str], order: list[str], run, schema, least: int = 1) -> DataFrame:
     """`run` on Arrow tables of whole groups in order, many to a table, and the places in it where groups begin.
 
-    A task sorts its rows and holds one batch and one group of them, so that small groups cost no call each.
+    A task sorts its rows and holds one batch, one group and `least` of them, so that small groups cost no call each.
     """
     numbered = deal(rows, *by).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*(F.col(c).asc_nulls_last() for c in order))))
 
@@ -38,7 +38,7 @@ def whole_groups(rows: DataFrame, by: list[str], order: list[str], run, schema)
 
         for batch in arrived:
             first = np.flatnonzero(batch.column(batch.schema.get_field_index("_k")).to_numpy() == 1)
-            if len(first) and (held or first[-1] > 0):
+            if len(first) and (held or first[-1] > 0) and sum(map(len, held)) + first[-1] >= least:
                 held.append(batch.slice(0, first[-1]))
                 yield from done()
                 held, batch = [], batch.slice(first[-1])

@@ -11,14 +11,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .assignment import assign_within
+from .fleet import Lanes, track_groups
 from .lane_graph import Graph
-from .sequences import deal, islands
+from .sequences import deal, islands, whole_groups
 
 GATE = 1e6
+COVARIANCE = ("c_xx", "c_xy", "c_yy")
+#: Rows of small cameras that are tracked at once.
+AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
@@ -233,21 +239,32 @@ def track(rows: DataFrame, fps: float, settings: Settings | None = None, graph:
     Detections without a ground point keep a null id.
     """
     s = settings or Settings()
-    pieces = cut_at_gaps(rows.drop("track_id"), by, s.max_age)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["frame", "x", "y"], kind="stable").reset_index(drop=True)
-        tracker, ids = Tracker(1.0 / fps, s, graph), [None] * len(part)
-        placed = part[part.x.notna() & part.y.notna()]
-        for frame, now in placed.groupby("frame", sort=True):
-            for at, ident in zip(now.index, tracker.step(int(frame), _detections(now, s.noise)), strict=True):
-                ids[at] = ident
-        part["track_id"] = [None if i is None else f"{part._piece.iloc[0]}-{i}" for i in ids]
-        return part.drop(columns="_piece")
-
     kept = rows.drop("track_id")
+    lanes = Lanes(graph, s.lane_limit) if graph is not None and graph.ids else None
+
+    def run(part: pa.Table, starts: np.ndarray) -> pa.Table:
+        piece = np.zeros(len(part), np.int64)
+        piece[starts] = 1
+        column = {c: part[c].to_numpy(zero_copy_only=False) for c in part.column_names if c in ("frame", "x", "y", "confidence", *COVARIANCE)}
+        z = np.column_stack([column["x"], column["y"]]).astype(float)
+        placed = np.flatnonzero(~np.isnan(z).any(axis=1))
+        placed = placed[part["frame"].is_valid().to_numpy()[placed]]
+        now = {"frame": column["frame"][placed].astype(np.int64), "z": z[placed], "confidence": column["confidence"][placed].astype(float)}
+        cov = np.column_stack([column[c] for c in COVARIANCE]).astype(float)[placed] if COVARIANCE[0] in column else np.full((len(placed), 3), np.nan)
+        now["known"] = np.isfinite(cov).all(axis=1)
+        now["r"] = np.where(now["known"][:, None, None], cov[:, [0, 1, 1, 2]].reshape(-1, 2, 2), np.eye(2) * s.noise)
+        kinds = part["class"].combine_chunks().dictionary_encode()
+        code = kinds.indices.fill_null(-1).to_numpy(zero_copy_only=False)[placed].astype(np.int64)
+        empty = [k for k, name in enumerate(kinds.dictionary.to_pylist()) if not name]
+        now["kind"] = np.where(np.isin(code, empty), -1, code)
+        ids = np.zeros(len(part), np.int64)
+        ids[placed] = track_groups((np.cumsum(piece) - 1)[placed], now, 1.0 / fps, s, lanes, GATE)
+        name = pc.binary_join_element_wise(part["_piece"].cast(pa.string()), pa.array(ids).cast(pa.string()), "-")
+        name = pc.if_else(pa.array(ids > 0), name, pa.scalar(None, pa.string()))
+        return part.drop_columns(["_piece"]).append_column("track_id", name)
+
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return deal(pieces, by, "_piece").groupBy(by, "_piece").applyInPandas(run, f"{fields}, track_id string")
+    return whole_groups(cut_at_gaps(kept, by, s.max_age), [by, "_piece"], ["frame", "x", "y"], run, f"{fields}, track_id string", AT_ONCE)
 
 
 def track_by_overlap(rows: DataFrame, threshold: float = 0.3, max_age: int = 30, by: str = "cctv_id") -> DataFrame:
