@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +43,27 @@ def multiply3(p: Sequence[float], q: Sequence[float]) -> list[float]:
 
 
 def undistort(k: Sequence[float], d: Sequence[float], u: Column, v: Column, rounds: int = 8) -> Point:
-    """Pixel without lens distortion (k1, k2, p1, p2, k3), by fixed-point rounds; the pixel itself where all of d is 0."""
+    """Pixel without lens distortion (k1, k2, p1, p2, k3), by fixed-point rounds; the pixel itself where all of d is 0, null where a round divides by 0."""
     if not any(d):
         return u, v
     d = [*d, 0.0, 0.0, 0.0, 0.0, 0.0][:5]
     x0, y0 = (u - k[2]) / k[0], (v - k[5]) / k[4]
 
-    def step(q: Column, _: Column) -> Column:
-        x, y = q["x"], q["y"]
-        r = x * x + y * y
-        radial = 1.0 + r * (d[0] + r * (d[1] + r * d[4]))
-        return F.struct(((x0 - (2.0 * d[2] * x * y + d[3] * (r + 2.0 * x * x))) / radial).alias("x"), ((y0 - (d[2] * (r + 2.0 * y * y) + 2.0 * d[3] * x * y)) / radial).alias("y"))
-
-    # a fold, as an unrolled expression would double with each round
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(x0.alias("x"), y0.alias("y")), step)
+    @F.arrow_udf("struct<x:double,y:double>")
+    def fixed(x0: pa.Array, y0: pa.Array) -> pa.Array:
+        # on arrays: an unrolled expression would double with each round, and a fold is interpreted row by row
+        none = ~(x0.is_valid().to_numpy(zero_copy_only=False) & y0.is_valid().to_numpy(zero_copy_only=False))
+        u0, v0 = (np.where(none, 0.0, c.to_numpy(zero_copy_only=False)) for c in (x0, y0))
+        x, y = u0, v0
+        with np.errstate(all="ignore"):
+            for _ in range(rounds):
+                r = x * x + y * y
+                radial = 1.0 + r * (d[0] + r * (d[1] + r * d[4]))
+                none |= radial == 0.0
+                x, y = (u0 - (2.0 * d[2] * x * y + d[3] * (r + 2.0 * x * x))) / radial, (v0 - (d[2] * (r + 2.0 * y * y) + 2.0 * d[3] * x * y)) / radial
+        return pa.StructArray.from_arrays([pa.array(x, mask=none), pa.array(y, mask=none)], ["x", "y"])
+
+    out = fixed(x0, y0)
     return out["x"] * k[0] + k[2], out["y"] * k[4] + k[5]
 
 
@@ -123,7 +132,8 @@ def box_3d(floor: Column, height: Column, h_inverse: Matrix, cx, cy, z) -> Colum
         u, v = ground_to_pixel(h_inverse, p[0], p[1], height if top else F.lit(0.0), cx, cy, z)
         return F.array(u, v)
 
-    return F.concat(F.transform(floor, lambda p: lift(p, False)), F.transform(floor, lambda p: lift(p, True)))
+    # written out, as functions of arrays are interpreted row by row
+    return F.when(floor.isNotNull(), F.array(*(lift(F.get(floor, F.lit(k)), top) for top in (False, True) for k in range(4))))
 
 
 def with_ground_covariance(rows: DataFrame, h: Matrix, u: Column, v: Column, height: Column, cx, cy, z, sigma: float = 3.0) -> DataFrame:

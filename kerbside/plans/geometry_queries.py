@@ -80,7 +80,8 @@ def _box_pixels() -> str:
 @query(_box_pixels())
 def box_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight pixels of each box, one a row."""
-    each = box_3d(spark, sf_dir).select("l_orderkey", "l_linenumber", F.posexplode("pixels").alias("n", "p"))
+    # outer, as each box has eight; else a filter on their number is pushed below, which computes the box again for each use of its floor
+    each = box_3d(spark, sf_dir).select("l_orderkey", "l_linenumber", F.posexplode_outer("pixels").alias("n", "p"))
     return each.select("l_orderkey", "l_linenumber", "n", F.round(F.col("p")[0], 4).alias("u"), F.round(F.col("p")[1], 4).alias("v"))
 
 

@@ -76,3 +76,32 @@ def test_crossing(spark):
     assert (hit.x, hit.y) == pytest.approx((1, 1))
     assert value(spark, geometry.crossing(p(0, 0), p(2, 0), p(0, 1), p(2, 1)))[0] is None
     assert value(spark, geometry.crossing(p(0, 0), p(10, 1), p(0, 1), p(10, 0)))[0] is None  # too flat
+
+
+def test_undistort_of_many_rows(spark):
+    """Rounds on arrays: nulls stay null, NaN stays NaN, and a pixel is as before alone."""
+    k, d = [800.0, 0.0, 500.0, 0.0, 820.0, 350.0, 0.0, 0.0, 1.0], [-0.2, 0.05, 0.001, -0.002, 0.01]
+    rows = spark.createDataFrame([(0, 900.0, 200.0), (1, None, 3.0), (2, float("nan"), 3.0)], "i int, u double, v double")
+    u, v = geometry.undistort(k, d, *geometry.distort(k, d, F.col("u"), F.col("v")), 30)
+    plan = rows.select("i", u.alias("a"), v.alias("b"))
+    got = sorted(plan.collect())
+    assert (got[0].a, got[0].b) == (pytest.approx(900.0, abs=1e-6), pytest.approx(200.0, abs=1e-6)) and got[1].a is None and math.isnan(got[2].a)
+    assert "aggregate(" not in plan._jdf.queryExecution().toString().lower()
+
+
+def test_box_3d_is_compiled(spark):
+    floor = geometry.floor_box(F.col("id") * 1.0 + 20.0, F.lit(25.0), F.lit(30.0), F.lit(4.0), F.lit(1.8))
+    h = geometry.inverse3([0.05, 0.001, -20.0, 0.002, 0.08, 5.0, 0.0, 0.0005, 1.0])
+    plan = spark.range(3).withColumn("f", floor).select(geometry.box_3d(F.col("f"), F.lit(1.5), h, 0.0, -10.0, 8.0).alias("p"))
+    assert "transform(" not in plan._jdf.queryExecution().toString().lower()
+    for i, r in enumerate(plan.collect()):
+        assert len(r.p) == 8 and all(len(q) == 2 for q in r.p), i
+    none = spark.range(1).select(geometry.box_3d(F.lit(None).cast("array<array<double>>"), F.lit(1.5), h, 0.0, -10.0, 8.0).alias("p"))
+    assert none.first().p is None
+
+
+def test_box_pixels_computes_a_box_once(spark):
+    from kerbside import plans
+
+    plan = plans.QUERIES["box_pixels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("cos(") <= 8 and "filter" not in plan.lower()
