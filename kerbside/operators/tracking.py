@@ -16,10 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import overlap
 from .assignment import assign_within
 from .fleet import Lanes, track_groups
 from .lane_graph import Graph
-from .sequences import deal, islands, whole_groups
+from .sequences import islands, whole_groups
 
 GATE = 1e6
 COVARIANCE = ("c_xx", "c_xy", "c_yy")
@@ -271,38 +272,10 @@ def track_by_overlap(rows: DataFrame, threshold: float = 0.3, max_age: int = 30,
     """A plain baseline in the image: each frame's boxes go to the tracks whose last box they overlap most, the best pair first.
 
     A camera's frames are cut where no box comes for longer than `max_age`
-    frames, as in `track`; track_id is a text unique for the camera.
+    frames, as in `track`, and where no box before overlaps one behind enough
+    (see `overlap`); track_id is a text unique for the camera.
     """
-    from .evaluation import BOX, _iou_matrix
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["frame", *BOX], kind="stable").reset_index(drop=True)
-        last: dict[int, tuple[int, np.ndarray]] = {}
-        ids, fresh = [], 1
-        for frame, now in part.groupby("frame", sort=True):
-            last = {k: v for k, v in last.items() if frame - v[0] <= max_age}
-            keys, boxes = list(last), now[list(BOX)].to_numpy(float)
-            got: dict[int, int] = {}
-            if keys:
-                over = _iou_matrix(np.array([last[k][1] for k in keys]), boxes)
-                for flat in np.argsort(-over, axis=None, kind="stable"):
-                    i, j = divmod(int(flat), len(boxes))
-                    if over[i, j] < threshold:
-                        break
-                    if j not in got and keys[i] not in got.values():
-                        got[j] = keys[i]
-            for j in range(len(boxes)):
-                if j not in got:
-                    got[j], fresh = fresh, fresh + 1
-                last[got[j]] = (int(frame), boxes[j])
-                ids.append(got[j])
-        part["track_id"] = [f"{part._piece.iloc[0]}-{i}" for i in ids]
-        return part.drop(columns="_piece")
-
-    kept = rows.drop("track_id")
-    pieces = cut_at_gaps(kept, by, max_age)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return deal(pieces, by, "_piece").groupBy(by, "_piece").applyInPandas(run, f"{fields}, track_id string")
+    return overlap.track(rows.drop("track_id"), threshold, max_age, by)
 
 
 def simulate(seed: int, frames: int = 150, fps: float = 30.0, lanes: int = 2, vehicles: int = 3, jitter: float = 0.3, dropout: float = 0.2, false_rate: float = 0.05) -> tuple[pd.DataFrame, pd.DataFrame]:
