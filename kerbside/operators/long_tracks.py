@@ -1,7 +1,8 @@
 """Order-dependent algorithms on tracks longer than a task: stretches of frames are worked on apart and put together.
 
 A stretch (`_chunk`) holds the rows whose order, divided by a length, has the
-same floor.  What joins the stretches of a track is small: a matrix or a few
+same floor.  Many stretches go to a call, their k-th rows being one step on
+arrays, so that small ones cost no call each.  What joins the stretches of a track is small: a matrix or a few
 numbers for each, combined track by track; rows are never gathered.
 
 * Most likely path: a stretch is a max-plus matrix from the options of the row
@@ -17,15 +18,13 @@ numbers for each, combined track by track; rows are never gathered.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut
-from .sequences import deal
+from .sequences import grid, lists, whole_groups, whole_pairs, with_column
 
 #: No score; the sum of two is still a number.
 NONE = -(1 << 61)
@@ -42,35 +41,86 @@ def _kept(total: np.ndarray) -> np.ndarray:
     return np.where(total < NONE // 2, NONE, total)
 
 
-def forward(start: np.ndarray, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, back): best score of each option of each row and its option in the row before, -1 where none leads there.
+def ranks(size: np.ndarray, begin: int = 0):
+    """(t, the groups that have a t-th row), so that many groups take a step at once."""
+    order = np.argsort(-size, kind="stable")
+    falling = -size[order]
+    for t in range(begin, int(size.max(initial=0))):
+        yield t, order[: np.searchsorted(falling, -t)]
+
 
-    start: scores of the first row; emit [n, k] of all rows (the first is not
-    used); move [n - 1, k, k].  Where no option is reached the path begins anew.
+def forwards(start: np.ndarray, emit: np.ndarray, move: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, back) of many paths at once: best score of each option of each row and its option in the row before, -1 where none leads there.
+
+    Rows lie path after path, `size` of them from `first` on.  start [paths, k]:
+    scores of the first rows; emit [n, k]; move [n, k, k]: scores of the steps
+    to a row (those of first rows are not used).  Where no option is reached the
+    path begins anew.
     """
     scores, back = np.empty(emit.shape, np.int64), np.full(emit.shape, -1)
-    scores[0] = score = start
-    for t in range(1, len(emit)):
-        total = _kept(score[:, None] + move[t - 1])
-        best = total.max(axis=0)
-        found = _kept(np.where(best > NONE, best + emit[t], NONE))
+    scores[first] = start
+    for t, g in ranks(size, 1):
+        i = first[g] + t
+        total = _kept(scores[i - 1][:, :, None] + move[i])
+        best = total.max(axis=1)
+        found = _kept(np.where(best > NONE, best + emit[i], NONE))
         reached = found > NONE
-        if reached.any():
-            back[t] = np.where(reached, total.argmax(axis=0), -1)
-            score = found
-        else:
-            score = emit[t]
-        scores[t] = score
+        back[i] = np.where(reached, total.argmax(axis=1), -1)
+        scores[i] = np.where(reached.any(axis=1)[:, None], found, emit[i])
     return scores, back
 
 
+def backwards(scores: np.ndarray, back: np.ndarray, last: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The options [n, m] of the best paths that end in the options `last` [paths, m]."""
+    out, pick = np.empty((len(scores), last.shape[1]), int), last.copy()
+    for t, g in ranks(size):
+        i = first[g] + size[g] - 1 - t
+        out[i] = np.where(pick[g] >= 0, pick[g], np.argmax(scores[i], axis=1)[:, None])
+        pick[g] = np.take_along_axis(back[i], out[i], axis=1)
+    return out
+
+
+def passages(emit: np.ndarray, move: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state, dies) of the rows behind the first ones of many paths, see `passage`: state is `through` where dies is -1, else `anew`."""
+    k = emit.shape[1]
+    state = np.where(np.eye(k, dtype=bool), 0, NONE)[None].repeat(len(size), axis=0)
+    dies = np.full((len(size), k), -1)
+    for t, g in ranks(size, 1):
+        i = first[g] + t
+        best = _kept(state[g][:, :, :, None] + move[i][:, None]).max(axis=2)
+        found = _kept(np.where(best > NONE, best + emit[i][:, None], NONE))
+        gone = found.max(axis=2) == NONE
+        state[g] = np.where(gone[:, :, None], emit[i][:, None], found)
+        dies[g] = np.where(gone & (dies[g] < 0), t, dies[g])
+    return state, dies
+
+
+def carries(entry: np.ndarray, state: np.ndarray, dies: np.ndarray) -> np.ndarray:
+    """Scores of the last rows of many stretches from those of the rows before them."""
+    live = entry > NONE
+    stays = live & (dies < 0)
+    best = np.where(stays[:, :, None], _kept(entry[:, :, None] + state), NONE).max(axis=1)
+    anew = state[np.arange(len(state)), np.argmax(np.where(live, dies, -1), axis=1)]
+    return np.where(stays.any(axis=1)[:, None], best, anew)
+
+
+def _one(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(1, int), np.array([n])
+
+
+def _onto(move: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Steps between rows as steps to rows."""
+    return np.concatenate([np.zeros((1, emit.shape[1], emit.shape[1]), np.int64), move])
+
+
+def forward(start: np.ndarray, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`forwards` of one path; move [n - 1, k, k]."""
+    return forwards(start[None], emit, _onto(move, emit), *_one(len(emit)))
+
+
 def backward(scores: np.ndarray, back: np.ndarray, last: int) -> np.ndarray:
     """The options of the best path that ends in option `last`."""
-    out, pick = np.empty(len(scores), int), last
-    for t in range(len(scores) - 1, -1, -1):
-        out[t] = pick if pick >= 0 else int(np.argmax(scores[t]))
-        pick = back[t, out[t]]
-    return out
+    return backwards(scores, back, np.array([[last]]), *_one(len(scores)))[:, 0]
 
 
 def passage(emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,28 +131,13 @@ def passage(emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     reached from i any more, -1 if there is none.  anew[i]: scores of the last
     row if the path begins anew in that row.
     """
-    k = emit.shape[1]
-    state = np.where(np.eye(k, dtype=bool), 0, NONE)
-    dies = np.full(k, -1)
-    for t in range(1, len(emit)):
-        best = _kept(state[:, :, None] + move[t - 1][None]).max(axis=1)
-        state = _kept(np.where(best > NONE, best + emit[t], NONE))
-        gone = (dies < 0) & (state.max(axis=1) == NONE)
-        dies[gone] = t
-        if (dies >= 0).all():
-            break
-    anew = np.full((k, k), NONE)
-    for t in set(dies[dies >= 0].tolist()):
-        anew[dies == t] = forward(emit[t], emit[t:], move[t:])[0][-1]
-    return state, dies, anew
+    state, dies = (x[0] for x in passages(emit, _onto(move, emit), *_one(len(emit))))
+    return np.where(dies[:, None] < 0, state, NONE), dies, np.where(dies[:, None] < 0, NONE, state)
 
 
 def carried(entry: np.ndarray, through: np.ndarray, dies: np.ndarray, anew: np.ndarray) -> np.ndarray:
     """Scores of a stretch's last row from those of the row before it."""
-    live = entry > NONE
-    if (live & (dies < 0)).any():
-        return _kept(np.where(live[:, None], entry[:, None], NONE) + through).max(axis=0)
-    return anew[int(np.argmax(np.where(live, dies, -1)))]
+    return carries(entry[None], np.where(dies[:, None] < 0, through, anew)[None], dies[None])[0]
 
 
 def chunked(order: str, length: float) -> Column:
@@ -119,67 +154,72 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return left.join(r, condition, how).drop(*(f"_r_{k}" for k in keys))
 
 
-def with_leads(rows: DataFrame, by: list[str], order: str, seen: Column) -> DataFrame:
+def ordered(*columns: str) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in columns]
+
+
+def with_leads(rows: DataFrame, by: list[str], order: list[str], seen: Column) -> DataFrame:
     """`rows` (with _chunk) and _lead false, and for each stretch but a track's first the last row of those before that is `seen`, with _lead true."""
     row = F.struct(*(c for c in rows.columns if c not in by and c != "_chunk"))
-    last = rows.groupBy(*by, "_chunk").agg(F.max_by(F.when(seen, row), F.when(seen, F.col(order))).alias("_row"))
-    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy(*by, "_chunk").agg(F.max_by(F.when(seen, row), F.when(seen, F.struct(*order))).alias("_row"))
+    before = Window.partitionBy(*by).orderBy(*ordered("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     leads = last.withColumn("_row", F.last("_row", ignorenulls=True).over(before)).where("_row is not null")
     leads = leads.select(*((F.col(c) if c in by or c == "_chunk" else F.col(f"_row.{c}").alias(c)) for c in rows.columns), F.lit(True).alias("_lead"))
     return rows.withColumn("_lead", F.lit(False)).unionByName(leads)
 
 
-def _per_track(rows: DataFrame, by: list[str], step: Callable[[pd.DataFrame], pd.DataFrame], columns: str) -> DataFrame:
-    """`step` on the few rows (one for each stretch) of each track, in order."""
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
-
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        return step(track.sort_values("_chunk"))
+def kinds_of(rows: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
 
-    return deal(rows, *by).groupBy(*by).applyInPandas(run, f"{kinds}_chunk long, {columns}")
 
-
-def entries(summaries: DataFrame, by: list[str]) -> DataFrame:
+def entries(summaries: DataFrame, by: list[str], k: int) -> DataFrame:
     """Rows (by, _chunk, entry, last): the scores before each stretch, and the best option of a track's last row on its last stretch.
 
-    `summaries` has for each stretch through, dies and anew (flat), or, for a
-    track's first, `start`, the scores of its last row; null for a stretch
-    without options.
+    `summaries` has for each stretch state (flat) and dies, see `passages`, or,
+    for a track's first, `start`, the scores of its last row; null for a stretch
+    without options.  Rows have k options.
     """
+    keys = [*by, "_chunk"]
 
-    def step(track: pd.DataFrame) -> pd.DataFrame:
-        out, score = [], None
-        for r in track.itertuples():
-            out.append([None if score is None else score.tolist(), None])
-            if r.start is not None:
-                score = np.asarray(r.start, np.int64)
-            elif r.dies is not None:
-                k = len(r.dies)
-                score = carried(score, np.asarray(r.through, np.int64).reshape(k, -1), np.asarray(r.dies), np.asarray(r.anew, np.int64).reshape(k, -1))
-        if score is not None:
-            out[-1][1] = int(np.argmax(score))
-        return track[[*by, "_chunk"]].assign(entry=[o[0] for o in out], last=pd.array([o[1] for o in out], "Int64"))
-
-    return _per_track(summaries, by, step, "entry array<long>, last long")
-
-
-def exits(maps: DataFrame, by: list[str]) -> DataFrame:
+    def run(table: pa.Table, first: np.ndarray) -> pa.Table:
+        size = np.diff([*first, len(table)])
+        (start, begins), (state, _), (dies, goes) = (grid(table[c], w, NONE, np.int64) for c, w in (("start", k), ("state", k * k), ("dies", k)))
+        state = state.reshape(-1, k, k)
+        entry, known = np.full((len(table), k), NONE), np.zeros(len(table), bool)
+        score, any_ = np.full((len(size), k), NONE), np.zeros(len(size), bool)
+        for t, g in ranks(size):
+            i = first[g] + t
+            entry[i], known[i] = score[g], any_[g]
+            a, b = begins[i] > 0, goes[i] > 0
+            score[g[b]] = carries(score[g[b]], state[i[b]], dies[i[b]])
+            score[g[a]], any_[g[a]] = start[i[a]], True
+        last = np.full(len(table), -1)
+        last[first + size - 1] = np.where(any_, np.argmax(score, axis=1), -1)
+        return table.select(keys).append_column("entry", lists(entry[known].ravel(), known * k, known)).append_column("last", pa.array(last, mask=last < 0))
+
+    return whole_groups(summaries, by, ["_chunk"], run, f"{kinds_of(summaries, keys)}, entry array<long>, last long")
+
+
+def exits(maps: DataFrame, by: list[str], k: int) -> DataFrame:
     """Rows (by, _chunk, exit): the option of each stretch's last row on the best path.
 
     `maps` has for each stretch `to`, the option of the row before it for each
-    option of its last row (null for a track's first), and `last`.
+    of the k options of its last row (null for a track's first), and `last`.
     """
+    keys = [*by, "_chunk"]
 
-    def step(track: pd.DataFrame) -> pd.DataFrame:
-        at = next((int(x) for x in track["last"][::-1] if pd.notna(x)), None)
-        out = []
-        for to in track["to"].iloc[::-1]:
-            out.append(at)
-            if to is not None and at is not None:
-                at = int(to[at])
-        return track[[*by, "_chunk"]].assign(exit=pd.array(out[::-1], "Int64"))
+    def run(table: pa.Table, first: np.ndarray) -> pa.Table:
+        size = np.diff([*first, len(table)])
+        to, goes = grid(table["to"], k, -1, np.int64)
+        at, out = table["last"].fill_null(-1).to_numpy()[first + size - 1].copy(), np.empty(len(table), np.int64)
+        for t, g in ranks(size):
+            i = first[g] + size[g] - 1 - t
+            out[i] = at[g]
+            go = (goes[i] > 0) & (at[g] >= 0)
+            at[g[go]] = to[i[go], at[g[go]]]
+        return table.select(keys).append_column("exit", pa.array(out, mask=out < 0))
 
-    return _per_track(maps, by, step, "exit long")
+    return whole_groups(maps, by, ["_chunk"], run, f"{kinds_of(maps, keys)}, exit long")
 
 
 def pools(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,96 +243,98 @@ def pooled(levels: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def monotone(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """`rows` (with _chunk) with `value` made non-decreasing along each track, however long."""
-    keys = [*by, "_chunk"]
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
-
-    def stack(chunk: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return pools(chunk.sort_values(order, kind="stable")[value].to_numpy(float))
-
-    def bounds(chunk: pd.DataFrame) -> pd.DataFrame:
-        level, _ = stack(chunk)
-        return chunk[keys].head(1).assign(least=level[0], most=level[-1])
-
-    ends = cut(deal(rows, *keys).groupBy(*keys).applyInPandas(bounds, f"{kinds}_chunk long, least double, most double"))
-    track = Window.partitionBy(*by).orderBy("_chunk")
-    before = F.max("most").over(track.rowsBetween(Window.unboundedPreceding, -1))
-    behind = F.min("least").over(track.rowsBetween(1, Window.unboundedFollowing))
-    ends = ends.select(*keys, F.coalesce(before, F.lit(float("-inf"))).alias("_before"), F.coalesce(behind, F.lit(float("inf"))).alias("_behind"))
-    bounded = joined(rows, ends, keys)
-
-    def open_(level: np.ndarray, chunk: pd.DataFrame) -> np.ndarray:
-        return (level < chunk._before.iloc[0]) | (level > chunk._behind.iloc[0])
-
-    def loose(chunk: pd.DataFrame) -> pd.DataFrame:
-        level, size = stack(chunk)
-        some = open_(level, chunk)
-        return chunk[keys].head(1).assign(levels=[level[some].tolist()], sizes=[size[some].tolist()])
-
-    rest = deal(bounded, *keys).groupBy(*keys).applyInPandas(loose, f"{kinds}_chunk long, levels array<double>, sizes array<long>")
-
-    def step(track_: pd.DataFrame) -> pd.DataFrame:
-        levels, sizes = np.concatenate([np.asarray(x, float) for x in track_.levels]), np.concatenate([np.asarray(x, np.int64) for x in track_.sizes])
-        level, size = pooled(levels, sizes)
-        # the pool that each of the stretches' pools is in
-        at = np.searchsorted(np.cumsum(size), np.cumsum(sizes))
-        parts = np.split(level[at], np.cumsum([len(x) for x in track_.levels])[:-1])
-        return track_[keys].assign(fits=[x.tolist() for x in parts])
-
-    fits = cut(_per_track(rest.where("size(levels) > 0"), by, step, "fits array<double>"))
-
-    def fill(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values(order, kind="stable")
-        level, size = stack(chunk)
-        fit = chunk._fits.iloc[0]
-        if fit is not None:
-            level[open_(level, chunk)] = fit
-        return chunk.assign(**{value: np.repeat(level, size)}).drop(columns=["_before", "_behind", "_fits"])
-
-    filled = joined(bounded, fits.withColumnRenamed("fits", "_fits"), keys, "left")
-    return deal(filled, *keys).groupBy(*keys).applyInPandas(fill, rows.schema)
+    keys, columns = [*by, "_chunk"], rows.columns
+    kinds = kinds_of(rows, keys)
+
+    def stacks(part: pa.Table, first: np.ndarray) -> pa.Table:
+        found = [pools(v) for v in np.split(part[value].to_numpy(), first[1:])]
+        size = np.array([len(f[0]) for f in found])
+        out = part.select(keys).take(first)
+        return out.append_column("levels", lists(np.concatenate([f[0] for f in found]), size)).append_column("sizes", lists(np.concatenate([f[1] for f in found]), size))
+
+    found = cut(whole_groups(rows.select(*keys, order, value), keys, [order], stacks, f"{kinds}, levels array<double>, sizes array<long>"))
+    track = Window.partitionBy(*by).orderBy(*ordered("_chunk"))
+    before = F.coalesce(F.max(F.element_at("levels", -1)).over(track.rowsBetween(Window.unboundedPreceding, -1)), F.lit(float("-inf")))
+    behind = F.coalesce(F.min(F.element_at("levels", 1)).over(track.rowsBetween(1, Window.unboundedFollowing)), F.lit(float("inf")))
+    found = found.withColumns({"_before": before, "_behind": behind}).withColumn("_open", F.transform("levels", lambda v: (v < F.col("_before")) | (v > F.col("_behind")))).drop("_before", "_behind")
+    some = {c: F.filter(c, lambda _, i: F.get("_open", i)).alias(c) for c in ("levels", "sizes")}
+
+    def pool(part: pa.Table, first: np.ndarray) -> pa.Table:
+        of = part["levels"].combine_chunks()
+        ends = of.offsets.to_numpy()
+        level, size = of.flatten().to_numpy(), part["sizes"].combine_chunks().flatten().to_numpy()
+        cuts = (ends - ends[0])[first[1:]]
+        fits = []
+        for v, n in zip(np.split(level, cuts), np.split(size, cuts), strict=True):
+            fit, wide = pooled(v, n)
+            # the pool that each of the stretches' pools is in
+            fits.append(fit[np.searchsorted(np.cumsum(wide), np.cumsum(n))])
+        return part.select(keys).append_column("fits", lists(np.concatenate(fits), np.diff(ends)))
+
+    fits = cut(whole_groups(found.select(*keys, *some.values()).where("size(levels) > 0"), by, ["_chunk"], pool, f"{kinds}, fits array<double>"))
+
+    def fill(part: pa.Table, n: np.ndarray, of: pa.Table, m: np.ndarray) -> pa.Table:
+        level, size, open_, fit = (of[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("levels", "sizes", "_open", "fits"))
+        level = level.copy()
+        level[open_.astype(bool)] = fit
+        return with_column(part, value, np.repeat(level, size)).select(columns)
+
+    return whole_pairs(rows, joined(found, fits, keys, "left"), keys, [order], [], fill, rows.schema)
 
 
 def progress(rows: DataFrame, by: list[str], order: str, value: str, width: int) -> DataFrame:
     """`rows` (with _chunk) with positions of a smoothed speed along each track, however long; `width` is odd and 3 or more."""
-    keys, half = [*by, "_chunk"], width // 2
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
-
-    def edges(chunk: pd.DataFrame) -> pd.DataFrame:
-        s = chunk.sort_values(order, kind="stable")[value].to_numpy(float)
-        return chunk[keys].head(1).assign(n=len(s), head=[s[: half + 1].tolist()], tail=[s[-half - 1 :].tolist()])
-
-    def halo(track: pd.DataFrame) -> pd.DataFrame:
-        left, right = [], []
-        near: list[float] = []
-        for tail in track.tail_:
-            left.append(near)
-            near = [*near, *tail][-half - 1 :]
-        near = []
-        for head in track["head_"].iloc[::-1]:
-            right.append(near)
-            near = [*head, *near][: half + 1]
-        return track[keys].assign(left=left, right=right[::-1], rows=int(track.n.sum()), origin=float(track["head_"].iloc[0][0]))
-
-    ends = deal(rows, *keys).groupBy(*keys).applyInPandas(edges, f"{kinds}_chunk long, n long, head array<double>, tail array<double>")
-    around = cut(_per_track(ends.withColumnsRenamed({"head": "head_", "tail": "tail_"}), by, halo, "left array<double>, right array<double>, rows long, origin double"))
-
-    def smooth(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values(order, kind="stable")
-        s, left, right = chunk[value].to_numpy(float), np.asarray(chunk._left.iloc[0], float), np.asarray(chunk._right.iloc[0], float)
-        step = np.clip(np.diff(np.concatenate([left, s, right])), 0.0, None)
-        out, own = np.zeros(len(s)), np.zeros(len(s))
-        if len(step):
-            # the step to each row of this stretch; a track's first row has none
-            at = np.arange(len(s)) + len(left) - 1
-            around_ = (at[:, None] + np.arange(-half, half + 1)).clip(0, len(step) - 1)
-            real = at >= 0
-            out, own = np.where(real, step[around_].mean(axis=1), 0.0), np.where(real, step[at.clip(0)], 0.0)
-        return chunk.assign(_sum=np.cumsum(out), _step=own).drop(columns=["_left", "_right"])
-
-    wide = joined(rows, around.select(*keys, F.col("left").alias("_left"), F.col("right").alias("_right")), keys)
-    stepped = cut(deal(wide, *keys).groupBy(*keys).applyInPandas(smooth, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", _sum double, _step double"))
+    keys, columns, half = [*by, "_chunk"], rows.columns, width // 2
+    kinds = kinds_of(rows, keys)
+
+    def edges(part: pa.Table, first: np.ndarray) -> pa.Table:
+        tracks = [v.tolist() for v in np.split(part[value].to_numpy(), first[1:])]
+        out = part.select(keys).take(first)
+        for name, values, kind in (("n", [len(v) for v in tracks], pa.int64()), ("head", [v[: half + 1] for v in tracks], pa.list_(pa.float64())), ("tail", [v[-half - 1 :] for v in tracks], pa.list_(pa.float64()))):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
+
+    def halo(part: pa.Table, first: np.ndarray) -> pa.Table:
+        heads, tails, n = part["head"].to_pylist(), part["tail"].to_pylist(), part["n"].to_numpy()
+        left: list = []
+        right: list = [None] * len(part)
+        ends = [*first[1:].tolist(), len(part)]
+        for a, b in zip(first.tolist(), ends, strict=True):
+            near: list[float] = []
+            for tail in tails[a:b]:
+                left.append(near)
+                near = [*near, *tail][-half - 1 :]
+            near = []
+            for i in range(b - 1, a - 1, -1):
+                right[i] = near
+                near = [*heads[i], *near][: half + 1]
+        size = np.diff([*first, len(part)])
+        out = part.select(keys)
+        for name, values, kind in (("left", left, pa.list_(pa.float64())), ("right", right, pa.list_(pa.float64())), ("rows", np.repeat(np.add.reduceat(n, first), size), pa.int64()), ("origin", np.repeat([heads[a][0] for a in first], size), pa.float64())):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
+
+    ends = whole_groups(rows.select(*keys, order, value), keys, [order], edges, f"{kinds}, n long, head array<double>, tail array<double>")
+    around = cut(whole_groups(ends, by, ["_chunk"], halo, f"{kinds}, left array<double>, right array<double>, rows long, origin double"))
+
+    def smooth(part: pa.Table, n: np.ndarray, of: pa.Table, m: np.ndarray) -> pa.Table:
+        sums, own = [], []
+        for s, left, right in zip(np.split(part[value].to_numpy(), np.cumsum(n)[:-1]), of["left"].to_pylist(), of["right"].to_pylist(), strict=True):
+            step = np.clip(np.diff(np.concatenate([left, s, right])), 0.0, None)
+            out = mine = np.zeros(len(s))
+            if len(step):
+                # the step to each row of this stretch; a track's first row has none
+                at = np.arange(len(s)) + len(left) - 1
+                near = (at[:, None] + np.arange(-half, half + 1)).clip(0, len(step) - 1)
+                real = at >= 0
+                out, mine = np.where(real, step[near].mean(axis=1), 0.0), np.where(real, step[at.clip(0)], 0.0)
+            sums.append(np.cumsum(out))
+            own.append(mine)
+        return part.select(columns).append_column("_sum", pa.array(np.concatenate(sums))).append_column("_step", pa.array(np.concatenate(own)))
+
+    stepped = cut(whole_pairs(rows, around.select(*keys, "left", "right"), keys, [order], [], smooth, f"{kinds_of(rows, rows.columns)}, _sum double, _step double"))
     sums = stepped.groupBy(*keys).agg(F.max("_sum").alias("sum"), F.sum("_step").alias("step"))
-    track, earlier = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    track, earlier = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(*ordered("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     total, steps = F.sum("sum").over(track), F.sum("step").over(track)
     scaled = sums.select(*keys, F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)).alias("_offset"), F.when((total > 1e-9) & (steps > 1e-9), steps / total).otherwise(1.0).alias("_scale"))
     whole_ = joined(scaled, around.select(*keys, F.col("rows").alias("_rows"), F.col("origin").alias("_origin")), keys)

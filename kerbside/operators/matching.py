@@ -10,7 +10,7 @@ from . import long_tracks
 from .graph import cut
 from .lane_graph import BACK_M, LIMIT_M, ends, gaps, topology
 from .long_tracks import backward, forward, whole
-from .sequences import deal, whole_groups, with_column
+from .sequences import deal, grid, lists, whole_groups, whole_pairs, with_column
 from .spatial_join import candidates, project_onto
 
 # Noise across the lane and along routes in metres, reach, links kept, weight of a wrong direction, least speed whose heading is trusted.
@@ -18,6 +18,10 @@ SIGMA, BETA, REACH, KEEP, WEIGHT, TRUST_KMH = 2.0, 4.0, 25.0, 6, 2.0, 5.0
 STATE = "link_id string, s double, d double"
 #: Frames of a track that one task handles; longer tracks are many tasks.
 CHUNK = 20_000
+#: Pairs of lists of options up to which their gaps are sent to all tasks.
+FEW = 20_000
+#: Pairs of a row and a piece of its chain that are held at once.
+PAIRS = 1_000_000
 
 
 def isotonic(y: np.ndarray) -> np.ndarray:
@@ -242,26 +246,26 @@ def match_tracks(rows: DataFrame, links: DataFrame, by: list[str], method: str =
     chain; `greedy` needs no path, see there.  Links are found by cells and
     routes by joins of the whole map.  A track within `chunk` frames is one
     task, which gets its own rows, their options and the gaps between them only;
-    a longer one is a task for each stretch of `chunk` frames (None: never),
-    with the same result.
+    a longer one is cut in stretches of `chunk` frames (None: never), which are
+    dealt over tasks, with the same result.
     """
     if method == "greedy":
         return greedy(rows, links, by, reach=reach, k=k, trust_kmh=trust_kmh)
     plain = rows.drop("link_id", "s", "d")
     options = with_options(directions(plain, by, trust_kmh), links, reach, k)
     emit = F.transform("options", lambda o: -0.5 * F.pow(o["d"] / sigma, F.lit(2.0)) - float(np.log(np.sqrt(2 * np.pi) * sigma)) - weight * wrongness(o["bearing"], F.col("_dir"), o["directed"]))
-    flat = options.select(*plain.columns, *(F.col(f"options.{c}").alias(f"_{c}") for c in ("link_id", "s", "d")), emit.alias("_emit"))
+    flat = options.select(*plain.columns, *(F.col(f"options.{c}").alias(f"_{c}") for c in ("link_id", "s", "d", "length")), emit.alias("_emit"))
     known = gaps(topology(links) if edges is None else edges, ends(links).select("link_id", "length"), limit).where("src <> dst")
-    short = lambda r: _whole_tracks(r, links, by, method, known, beta, k, plain)
+    short = lambda r: _whole_tracks(r.drop("_length"), links, by, method, known, beta, k, plain)
     if chunk is None:
         return short(flat)
     spans = plain.groupBy(*by).agg((F.floor(F.min("frame") / chunk) < F.floor(F.max("frame") / chunk)).alias("_several"))
     if not spans.where("_several").limit(1).count():
         return short(flat)
-    told = long_tracks.joined(flat, spans, by)
+    told = cut(long_tracks.joined(flat, spans, by))
     parted = told.where("_several").drop("_several").withColumn("_chunk", long_tracks.chunked("frame", chunk))
     known = cut(known)
-    path = _long_paths(parted, links, by, known, beta, k)
+    path = _long_paths(parted, by, known, beta, k)
     if method == "lock":
         path = _long_locks(cut(path), links, by, known)
     return short(told.where("_several is null or not _several").drop("_several")).unionByName(path.select(*plain.columns, "link_id", "s", "d"))
@@ -301,58 +305,136 @@ def _whole_tracks(flat: DataFrame, links: DataFrame, by: list[str], method: str,
     return _matched(flat, _ways(flat, links, by, known), by, run, f"{fields}, {STATE}")
 
 
-def _long_paths(rows: DataFrame, links: DataFrame, by: list[str], known: DataFrame, beta: float, k: int) -> DataFrame:
+def _with_gaps(led: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
+    """`led` with _gap: metres between each option of the row before in its stretch and each of its own, in their order, -1 for the same link.
+
+    Rows of many tracks have the same options, so each pair of lists is looked up once.
+    """
+    before = Window.partitionBy(*keys).orderBy(*long_tracks.ordered("frame", "x", "y")).rowsBetween(Window.unboundedPreceding, -1)
+    led = cut(led.withColumn("_from", F.when(F.col("_link_id").isNotNull(), F.last("_link_id", True).over(before))))
+    pairs = led.where("_from is not null").select("_from", F.col("_link_id").alias("_to")).distinct()
+    cells = pairs.select("*", F.posexplode("_from").alias("_i", "src")).select("*", F.posexplode("_to").alias("_j", "dst")).join(known, ["src", "dst"], "left")
+    gap = F.when(F.col("src") == F.col("dst"), F.lit(-1.0)).otherwise(F.coalesce("gap", F.lit(float("inf"))))
+    listed = cells.groupBy("_from", "_to").agg(F.sort_array(F.collect_list(F.struct("_i", "_j", gap.alias("gap")))).alias("_cells"))
+    listed = cut(listed.select(F.col("_from").alias("_a"), F.col("_to").alias("_b"), F.col("_cells.gap").alias("_gap")))
+    near = F.broadcast(listed) if listed.count() <= FEW else listed
+    return led.join(near, (F.col("_from") == F.col("_a")) & (F.col("_link_id") == F.col("_b")), "left").drop("_from", "_a", "_b")
+
+
+class _Stretches:
+    """Rows with options of many stretches that lie one after the other, `n` rows each."""
+
+    def __init__(self, part, n: np.ndarray, k: int, beta: float) -> None:
+        (s, size), (length, _), (emit, _) = (grid(part[c], k, empty, float) for c, empty in (("_s", 0.0), ("_length", 0.0), ("_emit", -np.inf)))
+        self.seen = np.flatnonzero(size)
+        #: how many rows with options each stretch has; of those that have some: their numbers, and where their rows begin
+        self.many = np.bincount(np.repeat(np.arange(len(n)), n)[self.seen], minlength=len(n))
+        self.some = np.flatnonzero(self.many)
+        self.size = self.many[self.some]
+        self.first = np.cumsum(self.size) - self.size
+        lead = part["_lead"].to_numpy()[self.seen[self.first]].astype(bool)
+        self.led, self.emit = lead, whole(emit[self.seen])
+        s, length, size = s[self.seen], length[self.seen], size[self.seen]
+        points = np.column_stack([part[c].to_numpy() for c in ("x", "y")]).astype(float)[self.seen]
+        inner = np.ones(len(size), bool)
+        inner[self.first] = False
+        was = np.where(inner, np.arange(len(size)) - 1, 0)
+        filled = (np.arange(k)[:, None] < np.where(inner, size[was], 0)[:, None, None]) & (np.arange(k) < size[:, None, None])
+        gap = np.full(filled.shape, np.inf)
+        gap[filled] = part["_gap"].combine_chunks().flatten().to_numpy()
+        straight = np.hypot(*(points - points[was]).T)[:, None, None]
+        ahead = s[:, None, :] - s[was][:, :, None]
+        route = np.maximum(0.0, length[was] - s[was])[:, :, None] + gap + s[:, None, :]
+        route = np.where(filled & (gap < 0), np.where(ahead >= -BACK_M, np.abs(ahead), np.inf), route)
+        self.move = whole(np.where(~np.isfinite(route), -np.inf, -np.abs(straight - np.where(np.isfinite(route), route, 0.0)) / beta - np.log(beta)))
+
+
+def _long_paths(rows: DataFrame, by: list[str], known: DataFrame, beta: float, k: int) -> DataFrame:
     """`rows` (with _chunk and options) with link_id, s, d of the most likely path, see `long_tracks`."""
     import pyarrow as pa
 
-    keys = [*by, "_chunk"]
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
-    led = cut(long_tracks.with_leads(rows, by, "frame", F.col("_link_id").isNotNull()))
-    ways = cut(_ways(led, links, keys, known))
-
-    def ordered(part: pa.Table) -> pa.Table:
-        return part.sort_by([("_lead", "descending"), *((c, "ascending") for c in ("frame", "x", "y"))]).combine_chunks()
-
-    def summary(part: pa.Table, near: pa.Table) -> pa.Table:
-        part = ordered(part)
-        o = _Options(part, near, k)
-        start = through = dies = anew = None
-        if len(o.seen):
-            emit, move = whole(o.emit), moves(o.ways, o.points, o.link, o.s, beta)
-            if part.column("_lead")[0].as_py():
-                through, dies, anew = (x.ravel().tolist() for x in long_tracks.passage(emit, move))
-            else:
-                start = forward(emit[0], emit, move)[0][-1].tolist()
-        out = part.select(keys).slice(0, 1)
-        for name, value in (("start", start), ("through", through), ("dies", dies), ("anew", anew)):
-            out = out.append_column(name, pa.array([value], pa.list_(pa.int64())))
+    keys, order = [*by, "_chunk"], ["frame", "x", "y"]
+    kinds = long_tracks.kinds_of(rows, keys)
+    led = _with_gaps(long_tracks.with_leads(rows, by, order, F.col("_link_id").isNotNull()), keys, known)
+
+    def summary(part: pa.Table, first: np.ndarray) -> pa.Table:
+        o = _Stretches(part, np.diff([*first, len(part)]), k, beta)
+        out = part.select(keys).take(first)
+        begins, goes = (np.isin(np.arange(len(first)), o.some[w]) for w in (~o.led, o.led))
+        scores, _ = long_tracks.forwards(o.emit[o.first], o.emit, o.move, o.first, np.where(o.led, 1, o.size))
+        state, dies = long_tracks.passages(o.emit, o.move, o.first[o.led], o.size[o.led])
+        last = o.first + o.size - 1
+        for name, values, some, width in (("start", scores[last[~o.led]], begins, k), ("state", state, goes, k * k), ("dies", dies, goes, k)):
+            out = out.append_column(name, lists(values.ravel().astype(np.int64), some * width, some))
         return out
 
-    numbers = ", ".join(f"{c} array<long>" for c in ("start", "through", "dies", "anew"))
-    entries = cut(long_tracks.entries(_matched(led, ways, keys, summary, f"{kinds}_chunk long, {numbers}"), by))
-
-    def paths(part: pa.Table, near: pa.Table) -> pa.Table:
-        part = ordered(part)
-        o = _Options(part, near, k)
-        picks = [None] * len(part)
-        if len(o.seen):
-            emit = whole(o.emit)
-            entry = part.column("_entry")[0].as_py() if part.column("_lead")[0].as_py() else emit[0]
-            scores, back = forward(np.asarray(entry, np.int64), emit, moves(o.ways, o.points, o.link, o.s, beta))
-            ways_to = np.column_stack([backward(scores, back, j) if scores[-1, j] > long_tracks.NONE else np.zeros(len(scores), int) for j in range(k)])
-            for i, p in zip(o.seen.tolist(), ways_to.tolist(), strict=True):
-                picks[i] = p
-        return part.drop_columns(["_emit", "_entry"]).append_column("_picks", pa.array(picks, pa.list_(pa.int64())))
-
-    entered = long_tracks.joined(led, entries.select(*keys, F.col("entry").alias("_entry")), keys)
-    kept = [f for f in led.schema.fields if f.name != "_emit"]
-    picked = cut(_matched(entered, ways, keys, paths, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", _picks array<long>"))
+    needed = [*keys, *order, "_lead", "_s", "_length", "_emit", "_gap"]
+    numbers = ", ".join(f"{c} array<long>" for c in ("start", "state", "dies"))
+    entries = cut(long_tracks.entries(whole_groups(led.select(*needed), keys, order, summary, f"{kinds}, {numbers}"), by, k))
+    kept = [c for c in led.columns if c not in ("_emit", "_length", "_gap")]
+
+    def paths(part: pa.Table, n: np.ndarray, of: pa.Table, m: np.ndarray) -> pa.Table:
+        o = _Stretches(part, n, k, beta)
+        entry, _ = grid(of["entry"], k, long_tracks.NONE, np.int64)
+        start = np.where(o.led[:, None], entry[o.some], o.emit[o.first])
+        scores, back = long_tracks.forwards(start, o.emit, o.move, o.first, o.size)
+        picks = long_tracks.backwards(scores, back, np.arange(k)[None].repeat(len(o.size), axis=0), o.first, o.size)
+        # an option that is not reached has no path
+        picks[np.repeat(scores[o.first + o.size - 1], o.size, axis=0) == long_tracks.NONE] = 0
+        some = np.isin(np.arange(len(part)), o.seen)
+        return part.select(kept).append_column("_picks", lists(picks.ravel(), some * k, some))
+
+    picked = cut(whole_pairs(led, entries.select(*keys, "entry"), keys, order, [], paths, f"{long_tracks.kinds_of(led, kept)}, _picks array<long>"))
     to = picked.where("_lead").select(*keys, F.col("_picks").alias("to"))
-    exits = long_tracks.exits(long_tracks.joined(entries.select(*keys, "last"), to, keys, "left"), by)
+    exits = long_tracks.exits(long_tracks.joined(entries.select(*keys, "last"), to, keys, "left"), by, k)
     out = long_tracks.joined(picked.where("not _lead"), cut(exits).select(*keys, F.col("exit").alias("_exit")), keys)
     pick = F.get("_picks", F.col("_exit").cast("int")).cast("int")
     state = [F.get(f"_{c}", pick).alias(c) for c in ("link_id", "s", "d")]
-    return out.select(*(c for c in rows.columns if c not in ("_link_id", "_s", "_d", "_emit")), *state)
+    return out.select(*(c for c in rows.columns if c not in ("_link_id", "_s", "_d", "_length", "_emit")), *state)
+
+
+class _Chains:
+    """The pieces of the chains of many stretches; `near` lies stretch by stretch in the order of the chain, `m` links each."""
+
+    def __init__(self, near, m: np.ndarray) -> None:
+        self.offset, self.length = near["offset"].to_numpy(), near["length"].to_numpy()
+        px, py = (near[c].combine_chunks() for c in ("px", "py"))
+        x, y, ends = px.flatten().to_numpy(), py.flatten().to_numpy(), px.offsets.to_numpy()
+        link = np.repeat(np.arange(len(px)), np.diff(ends))
+        piece = np.flatnonzero(link[1:] == link[:-1])
+        self.a, self.v = np.column_stack([x, y])[piece], np.column_stack([np.diff(x), np.diff(y)])[piece]
+        self.link, self.wide = link[piece], np.hypot(*self.v.T)
+        new = np.concatenate([[True], self.link[1:] != self.link[:-1]])
+        total = [np.concatenate([[0.0], np.cumsum(w)[:-1]]) for w in np.split(self.wide, np.flatnonzero(new)[1:])]
+        self.before = np.concatenate(total)
+        # where the pieces of a stretch's chain begin, and how many there are
+        self.many = np.bincount(np.repeat(np.arange(len(m)), m)[self.link], minlength=len(m))
+        self.first = np.cumsum(self.many) - self.many
+
+    def nearest(self, points: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(along, lateral) of the place on its stretch's chain for each point: the least lateral offset; of links in line, which share it, the nearest."""
+        many = self.many[stretch]
+        row = np.repeat(np.arange(len(points)), many)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[stretch], many)
+        v, w, q = self.v[at], self.wide[at], points[row] - self.a[at]
+        t = ((q * v).sum(axis=1) / np.maximum(w**2, 1e-12)).clip(0.0, 1.0)
+        off = q - t[:, None] * v
+        away = np.hypot(off[:, 0], off[:, 1])
+        n = v / np.maximum(w, 1e-12)[:, None]
+        lateral, along = n[:, 0] * off[:, 1] - n[:, 1] * off[:, 0], self.before[at] + t * w
+        # of the pieces of a link the nearest, then of the links
+        order = np.lexsort((away, self.link[at], row))
+        order = order[_first(row[order], self.link[at][order])]
+        order = order[np.lexsort((away[order], np.abs(lateral[order]).round(6), row[order]))]
+        best = order[_first(row[order])]
+        return self.offset[self.link[at[best]]] + along[best], lateral[best]
+
+
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """Where the values of sorted columns change."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
 
 
 def _long_locks(path: DataFrame, links: DataFrame, by: list[str], known: DataFrame, width: int = 9) -> DataFrame:
@@ -361,7 +443,7 @@ def _long_locks(path: DataFrame, links: DataFrame, by: list[str], known: DataFra
 
     keys = [*by, "_chunk"]
     seen = path.where("link_id is not null")
-    led = long_tracks.with_leads(seen, by, "frame", F.col("link_id").isNotNull())
+    led = long_tracks.with_leads(seen, by, ["frame", "x", "y"], F.col("link_id").isNotNull())
     before = F.lag("link_id").over(Window.partitionBy(*keys).orderBy(F.desc("_lead"), "frame", "x", "y"))
     passes = led.withColumn("_was", before).where("not _lead and (_was is null or _was <> link_id)").select(*by, "frame", "link_id", "_was")
     routes = known.select(F.col("src").alias("_was"), F.col("dst").alias("link_id"), F.lit(True).alias("_on"))
@@ -377,33 +459,31 @@ def _long_locks(path: DataFrame, links: DataFrame, by: list[str], known: DataFra
     several = seen.groupBy(*by).agg((F.count(F.lit(1)) > 1).alias("_two"))
     locked = long_tracks.joined(seen, several, by)
     of = long_tracks.joined(seen.select(*keys).distinct(), chain, by)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in locked.schema.fields)
-
-    def chained(near: pa.Table) -> tuple[Ways, np.ndarray, list[str], np.ndarray]:
-        near = near.sort_by("_at")
-        names, length = near.column("link_id").to_pylist(), near.column("length").to_numpy()
-        ways = Ways(names, names, np.zeros(len(names)), near.column("px").to_pylist(), near.column("py").to_pylist())
-        return ways, np.concatenate([near.column("offset").to_numpy(), [near.column("offset").to_numpy()[-1] + length[-1]]]), names, length
-
-    def project(part: pa.Table, near: pa.Table) -> pa.Table:
-        ways, offset_, names, _ = chained(near)
-        points = np.column_stack([part.column(c).to_numpy() for c in ("x", "y")]).astype(float)
-        feet = [ways.onto(ways.code[n], points) for n in names]
-        lateral, away = np.array([f[1] for f in feet]), np.array([f[2] for f in feet])
-        pick = np.lexsort((away, np.abs(lateral).round(6)), axis=0)[0], np.arange(len(points))
-        return part.append_column("_along", pa.array(offset_[pick[0]] + np.array([f[0] for f in feet])[pick])).append_column("_lateral", pa.array(lateral[pick]))
-
-    on = cut(_matched(locked.where("_two"), of, keys, project, f"{fields}, _along double, _lateral double"))
+    columns = locked.columns
+    fields = long_tracks.kinds_of(locked, columns)
+
+    def project(part: pa.Table, n: np.ndarray, near: pa.Table, m: np.ndarray) -> pa.Table:
+        chains = _Chains(near, m)
+        points, stretch = np.column_stack([part[c].to_numpy() for c in ("x", "y")]).astype(float), np.repeat(np.arange(len(n)), n)
+        # as many rows at a time as have PAIRS pieces to look at
+        sliced = np.flatnonzero(np.diff(np.cumsum(chains.many[stretch]) // PAIRS)) + 1
+        found = [chains.nearest(p, g) for p, g in zip(np.split(points, sliced), np.split(stretch, sliced), strict=True)]
+        for name, values in zip(("_along", "_lateral"), zip(*found, strict=True), strict=True):
+            part = part.append_column(name, pa.array(np.concatenate(values)))
+        return part.select([*columns, "_along", "_lateral"])
+
+    on = cut(whole_pairs(locked.where("_two"), of, keys, ["frame", "x", "y"], ["_at"], project, f"{fields}, _along double, _lateral double"))
     smooth = long_tracks.progress(long_tracks.monotone(on, by, "frame", "_along"), by, "frame", "_along", width)
 
-    def place(part: pa.Table, near: pa.Table) -> pa.Table:
-        _, offset_, names, length = chained(near)
-        along = part.column("_along").to_numpy()
-        at = np.searchsorted(offset_[1:-1].round(9), along.round(9), side="left")
-        values = {"link_id": pa.array([names[i] for i in at], pa.string()), "s": pa.array((along - offset_[at]).clip(0.0, length[at])), "d": part.column("_lateral")}
-        return pa.table({c: values.get(c, part.column(c)) for c in part.column_names if c not in ("_along", "_lateral")})
+    def place(part: pa.Table, n: np.ndarray, near: pa.Table, m: np.ndarray) -> pa.Table:
+        offset_, length = near["offset"].to_numpy(), near["length"].to_numpy()
+        along, first = part["_along"].to_numpy(), np.cumsum(m) - m
+        at = [a + np.searchsorted(o[1:].round(9), v.round(9), side="left") for a, o, v in zip(first, np.split(offset_, first[1:]), np.split(along, np.cumsum(n)[:-1]), strict=True)]
+        at = np.concatenate(at)
+        values = {"link_id": near["link_id"].take(at), "s": pa.array((along - offset_[at]).clip(0.0, length[at])), "d": part["_lateral"]}
+        return pa.table({c: values.get(c, part[c]) for c in columns})
 
-    kept = _matched(smooth, of, keys, place, fields)
+    kept = whole_pairs(smooth, of, keys, ["frame", "x", "y"], ["_at"], place, fields)
     rest = locked.where("not _two").unionByName(path.where("link_id is null").withColumn("_two", F.lit(False)))
     return kept.unionByName(rest).drop("_two")
 

@@ -49,6 +49,49 @@ def whole_groups(rows: DataFrame, by: list[str], order: list[str], run, schema,
     return numbered.mapInArrow(batches, schema)
 
 
+def whole_pairs(rows: DataFrame, others: DataFrame, by: list[str], order: list[str], of: list[str], run, schema) -> DataFrame:
+    """`run` on Arrow tables of whole groups of `rows` and of the `others` of the same groups, in order (`order` and `of`), many groups at a time: run(rows, how many of each group, others, how many of each).
+
+    A cogroup without a call for each group.  Groups without rows are left out.
+    """
+    sides = []
+    for side, (df, name) in enumerate(((others, "_other"), (rows, "_row"))):
+        packed = df.select(*by, F.lit(side).alias("_side"), F.struct(*(c for c in df.columns if c not in by)).alias(name))
+        sides.append((packed, name))
+    (second, other), (first, row) = sides
+    both = first.withColumn(other, F.lit(None).cast(second.schema[other].dataType)).unionByName(second.withColumn(row, F.lit(None).cast(first.schema[row].dataType)))
+
+    def unpacked(table: pa.Table, name: str, some: np.ndarray) -> pa.Table:
+        table = table.take(np.flatnonzero(some)).combine_chunks()
+        kind, columns = table.schema.field(name).type, {c: table[c] for c in by}
+        parts = table[name].combine_chunks() if len(table) else pa.array([], kind)
+        return pa.table(columns | {kind.field(i).name: v for i, v in enumerate(parts.flatten())})
+
+    def split(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        side = table["_side"].to_numpy() == 1
+        group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(table)]))
+        n, m = (np.bincount(group[s], minlength=len(starts)) for s in (side, ~side))
+        return run(unpacked(table, row, side), n[n > 0], unpacked(table, other, ~side & (n[group] > 0)), m[n > 0])
+
+    return whole_groups(both, by, ["_side", *(f"_row.{c}" for c in order), *(f"_other.{c}" for c in of)], split, schema)
+
+
+def grid(column: pa.ChunkedArray, width: int, empty: float, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(a list in a row, filled up with `empty`; its length, 0 for null)."""
+    lists = column.combine_chunks()
+    size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
+    size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0)
+    out = np.full((len(lists), width), empty, kind)
+    out[np.arange(width) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out, size
+
+
+def lists(values: np.ndarray, size: np.ndarray, some: np.ndarray | None = None) -> pa.Array:
+    """`values` as lists of these lengths; null where not `some`, whose lengths are 0."""
+    mask = None if some is None else pa.array(~some)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values), mask=mask)
+
+
 def with_column(table: pa.Table, name: str, values: np.ndarray) -> pa.Table:
     """`table` with a column's values replaced, of the type it has."""
     at = table.schema.get_field_index(name)

@@ -102,3 +102,41 @@ def test_a_long_link_is_no_end(spark):
     rows = spark.createDataFrame([("t", 0, 20.0, 0.5, 0.0, 50.0), ("t", 1, 420.0, 0.5, 0.0, 50.0)], "track string, frame long, x double, y double, heading double, speed_kmh double")
     assert [r.link_id for r in matching.match_tracks(rows, links, ["track"], "viterbi", edges=edges).orderBy("frame").collect()] == ["a", "b"]
     assert long_tracks.NONE + long_tracks.NONE >= np.iinfo(np.int64).min
+
+
+def test_many_paths_at_once_are_those_of_each():
+    """Paths of different lengths side by side have the scores, ways back and passages that each has alone."""
+    paths = [random_steps(seed, n=1 + seed % 9, lost=0.8) for seed in range(60)]
+    size = np.array([len(e) for e, _ in paths])
+    first = np.cumsum(size) - size
+    emit = np.concatenate([e for e, _ in paths])
+    move = np.concatenate([np.concatenate([np.zeros((1, 3, 3), np.int64), m]) for _, m in paths])
+    scores, back = long_tracks.forwards(emit[first], emit, move, first, size)
+    ways = long_tracks.backwards(scores, back, np.arange(3)[None].repeat(len(size), axis=0), first, size)
+    state, dies = long_tracks.passages(emit, move, first, size)
+    for i, (e, m) in enumerate(paths):
+        here = slice(first[i], first[i] + size[i])
+        one = forward(e[0], e, m)
+        assert (scores[here] == one[0]).all() and (back[here] == one[1]).all()
+        assert all((ways[here, j] == backward(*one, j)).all() for j in range(3))
+        through, gone, anew = passage(e, m)
+        assert (dies[i] == gone).all() and (state[i] == np.where(gone[:, None] < 0, through, anew)).all()
+
+
+@pytest.mark.parametrize("method", ["viterbi", "lock"])
+def test_small_stretches_cost_no_call_each(spark, monkeypatch, method):
+    """No step of matching in stretches calls Python for each stretch or track."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(matching, "cut", seen)
+    monkeypatch.setattr(long_tracks, "cut", seen)
+    links = spark.createDataFrame([("a", [(0.0, 0.0), (400.0, 0.0)], True), ("b", [(400.0, 0.0), (800.0, 0.0)], True)], "link_id string, pts array<struct<x:double,y:double>>, directed boolean")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    rows = spark.createDataFrame([(t, f, 20.0 + 60.0 * f, 0.5, 0.0, 50.0) for t in range(3) for f in range(12)], "track long, frame long, x double, y double, heading double, speed_kmh double")
+    got = matching.match_tracks(rows, links, ["track"], method, edges=edges, chunk=4).collect()
+    assert sorted((r.track, r.frame) for r in got if r.link_id == "b") == [(t, f) for t in range(3) for f in range(7, 12)]
+    assert any("MapInArrow" in p for p in plans) and not any("FlatMapGroups" in p or "FlatMapCoGroups" in p for p in plans)
