@@ -91,10 +91,15 @@ class Lanes:
         return row[some], link[some], s[some], d[some]
 
 
+#: What a prediction changes.
+MARKED = ("x", "p", "age", "link", "pos", "d")
+
+
 class Fleet:
     """All objects of many cameras, as flat arrays with `group`, the number of the camera."""
 
-    def __init__(self, groups: int, dt: float, settings: Settings, lanes: Lanes | None) -> None:
+    def __init__(self, groups: int, dt: float, settings: Settings, lanes: Lanes | None, marks: bool = False) -> None:
+        self.marks = marks
         self.dt, self.settings, self.lanes = dt, settings, lanes
         self.next = np.ones(groups, np.int64)
         self.back = max(1, min(4, settings.history))
@@ -103,7 +108,14 @@ class Fleet:
 
     def _empty(self, n: int) -> dict[str, np.ndarray]:
         whole = {c: np.zeros(n, np.int64) for c in ("group", "ident", "kind", "frame", "hits", "age", "missed", "kept", "link")}
-        return whole | {"x": np.zeros((n, 4)), "p": np.zeros((n, 4, 4)), "seen": np.zeros((n, self.back, 2)), "pos": np.zeros(n), "d": np.zeros(n)}
+        out = whole | {"x": np.zeros((n, 4)), "p": np.zeros((n, 4, 4)), "seen": np.zeros((n, self.back, 2)), "pos": np.zeros(n), "d": np.zeros(n)}
+        return out | ({f"at_{c}": out[c].copy() for c in MARKED} if self.marks else {})
+
+    def _mark(self, i: np.ndarray) -> None:
+        """Keeps objects as they are at their last detection."""
+        if self.marks:
+            for c in MARKED:
+                self.state[f"at_{c}"][i] = self.state[c][i]
 
     def predict(self, some: np.ndarray) -> None:
         """One step on, see `Track.predict`."""
@@ -191,6 +203,7 @@ class Fleet:
         t["frame"][i] = frame
         t["kind"][i] = np.where(now["kind"][j] >= 0, now["kind"][j], t["kind"][i])
         self._on_lane(i, z)
+        self._mark(i)
 
     def _on_lane(self, i: np.ndarray, z: np.ndarray, k: int = 4) -> None:
         if self.lanes is None or not len(i):
@@ -240,6 +253,7 @@ class Fleet:
             owner[fresh] = len(taken) + np.arange(len(fresh))
             self.state = t = {c: np.concatenate([t[c], new[c]]) for c in t}
             self._on_lane(owner[fresh], now["z"][fresh])
+            self._mark(owner[fresh])
         told = owner >= 0
         at = owner[told]
         out = np.zeros(n, np.int64)
@@ -255,8 +269,11 @@ class Fleet:
         self.state = {c: v[stay] for c, v in self.state.items()}
 
 
-def track_groups(group: np.ndarray, rows: dict[str, np.ndarray], dt: float, settings: Settings, lanes: Lanes | None, gate: float) -> np.ndarray:
-    """Track numbers, 0 for none, of rows (frame, z, r, known, confidence, kind) that lie by group, frame."""
+def track_groups(group: np.ndarray, rows: dict[str, np.ndarray], dt: float, settings: Settings, lanes: Lanes | None, gate: float, going: tuple[Fleet, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Track numbers, 0 for none, of rows (frame, z, r, known, confidence, kind) that lie by group, frame.
+
+    going: a fleet, the last frame of each group, and whether it had one; all three go on from there and stay.
+    """
     frame = rows["frame"]
     if not len(frame):
         return np.zeros(0, np.int64)
@@ -264,10 +281,9 @@ def track_groups(group: np.ndarray, rows: dict[str, np.ndarray], dt: float, sett
     tick = new | np.concatenate([[True], frame[1:] != frame[:-1]])
     first = np.maximum.accumulate(np.where(new, np.cumsum(tick), 0))
     turn = np.cumsum(tick) - first  # the number of the row's frame in its group
-    groups = int(group.max()) + 1
-    fleet = Fleet(groups, dt, settings, lanes)
-    out, last, seen = np.zeros(len(frame), np.int64), np.zeros(groups, np.int64), np.zeros(groups, bool)
-    ends = np.zeros(groups, np.int64)
+    groups = int(group.max()) + 1 if going is None else len(going[1])
+    fleet, last, seen = going or (Fleet(groups, dt, settings, lanes), np.zeros(groups, np.int64), np.zeros(groups, bool))
+    out, ends = np.zeros(len(frame), np.int64), np.zeros(groups, np.int64)
     np.maximum.at(ends, group, turn)
     order = np.argsort(turn, kind="stable")
     for k, some in enumerate(np.split(order, np.flatnonzero(np.diff(turn[order])) + 1)):
@@ -276,6 +292,6 @@ def track_groups(group: np.ndarray, rows: dict[str, np.ndarray], dt: float, sett
         steps[g] = np.where(seen[g], np.maximum(1, f - last[g]), 1)
         out[some] = fleet.step({"group": g} | {c: v[some] for c, v in rows.items()}, steps, gate)
         last[g], seen[g] = f, True
-        if (ends == k).any():
+        if going is None and (ends == k).any():
             fleet.leave(ends <= k)
     return out

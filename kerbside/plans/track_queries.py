@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, lane_graph, matching, sequences, smoother, tracking
-from ..operators.graph import shared_dir
+from ..operators.graph import cut, shared_dir
 from . import tables
 from .tables import DRIVES, ROADS, read
 
@@ -69,16 +69,16 @@ def ground_tracker_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, job, batches: int = 3) -> DataFrame:
-    """What `job` makes of `rows` as a stream: their frames in so many files, one a micro-batch, drained to a table."""
+    """What `job` makes of `rows` as a stream: their frames come in so many parts, each written by all tasks and then drained as one micro-batch."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = cut(rows)
     last = rows.agg(F.max("frame")).first()[0] or 0
     for k in range(batches):
         low, high = k * (last + 1) // batches, (k + 1) * (last + 1) // batches
-        rows.where((F.col("frame") >= low) & (F.col("frame") < high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    out = job(arriving)
-    run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    run.awaitTermination()
+        rows.where((F.col("frame") >= low) & (F.col("frame") < high)).write.mode("append").parquet(f"{folder}/in")
+        out = job(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 

@@ -1,11 +1,13 @@
 """Structured Streaming: the smoother and the tracker with keyed state, time windows and sessions.
 
-State is kept by transformWithStateInPandas on RocksDB, as typed values: one
-value for each track of the smoother; for the tracker one value for each camera
-and a map with one entry for each live track.  An entry holds a track as it was
-at its last detection and is written only then: in later batches it is
-predicted from there, step by step, as a batch would.  So what a batch writes
-follows the tracks it touches, not those a camera holds.
+State is kept by transformWithStateInPandas on RocksDB, in maps of typed values:
+one entry for each track of the smoother; for the tracker one for each camera
+and one for each live track.  Tracks and cameras are dealt to GROUPS groups by a
+hash, so that a call takes many; a stream's checkpoint holds for one number of
+groups.  An entry holds a track as it was at its last detection and is written
+only then: in later batches it is predicted from there, step by step, as a batch
+would.  So what a batch writes follows the tracks it touches, not those a camera
+holds.
 
 A stream and a batch of the same rows give the same results.  Rows of a
 micro-batch are ordered by frame; frames that come again, or after a later one
@@ -17,6 +19,7 @@ depend on the load; without, timers follow the clock.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,21 +29,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import smoother, tracking
+from ..operators.fleet import Fleet, Lanes, track_groups
 from ..operators.lane_graph import Graph
 
 #: The state store that keyed state with timers and maps needs.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: The worker's rows are named tuples, in which `class` is no name.
 RENAMED = {"class": "kind"}
+#: Groups that tracks or cameras are dealt to.
+GROUPS = 256
 
 
-def _keyed(rows: DataFrame, keys: tuple[str, ...], processor: _Keyed, schema: str, late: str | None) -> DataFrame:
-    """The stream of what `processor` makes of the rows of each key; sets the session's state store provider.
-
-    The worker's rows are named tuples, in which `class` and names with an
-    underscore in front are no names, so they go in under others.
-    """
-    wanted = [F.col(c).alias(RENAMED.get(c, c)) for c in (*keys, *processor.reads) if c in rows.columns]
+def _keyed(rows: DataFrame, processor: _Keyed, schema: str, late: str | None) -> DataFrame:
+    """The stream of what `processor` makes of the rows of each key; sets the session's state store provider."""
+    wanted = [*(F.col(c).cast("string").alias(c) for c in processor.keys), *(c for c in processor.reads if c in rows.columns)]
     if late is None:
         timed, mode = rows.select(*wanted), "ProcessingTime" if processor.idle_ms else "None"
     elif not processor.idle_ms:
@@ -48,7 +51,8 @@ def _keyed(rows: DataFrame, keys: tuple[str, ...], processor: _Keyed, schema: st
     else:
         timed, mode = event_time(rows).withWatermark("ts", late).select(*wanted, "ts", F.unix_millis("ts").alias("event_ms")), "EventTime"
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", mode)
+    dealt = timed.withColumn("dealt", F.pmod(F.xxhash64(*processor.keys), F.lit(GROUPS))).withColumnsRenamed(RENAMED)
+    return dealt.groupBy("dealt").transformWithStateInPandas(processor, schema, "Append", mode)
 
 
 def event_time(rows: DataFrame, column: str = "ts") -> DataFrame:
@@ -57,7 +61,9 @@ def event_time(rows: DataFrame, column: str = "ts") -> DataFrame:
 
 
 class _Keyed(StatefulProcessor):
-    """State that goes `idle_ms` after the newest row of its key."""
+    """State of each key, which goes `idle_ms` after its newest row: a group's timer goes off at the earliest of its keys' times."""
+
+    keys: tuple[str, ...] = ()
 
     def __init__(self, idle_ms: int | None, by_event: bool) -> None:
         self.idle_ms, self.by_event = idle_ms, by_event
@@ -65,32 +71,64 @@ class _Keyed(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.timer = handle.getValueState("timer", "at long")
+        self.until = handle.getMapState("until", self.kinds(), "at long")
 
-    def _wind(self, timers, newest: float) -> None:
-        """Puts off the key's timer."""
-        if not self.idle_ms:
-            return
-        if self.by_event:
-            now = timers.getCurrentWatermarkInMs()
-            at = max((now if np.isnan(newest) else int(newest)) + self.idle_ms, now + 1)
-        else:
-            at = timers.getCurrentProcessingTimeInMs() + self.idle_ms
+    def kinds(self) -> str:
+        return ", ".join(f"{c} string" for c in self.keys)
+
+    def coded(self, rows: pd.DataFrame) -> tuple[np.ndarray, list[tuple]]:
+        """(the number of each row's key, the keys)."""
+        columns = [[None if v is None or v != v else v for v in rows[c].tolist()] for c in self.keys]
+        number: dict[tuple, int] = {}
+        codes = np.array([number.setdefault(key, len(number)) for key in zip(*columns, strict=True)], np.int64)
+        return codes, list(number)
+
+    def _clock(self, timers) -> int:
+        return timers.getCurrentWatermarkInMs() if self.by_event else timers.getCurrentProcessingTimeInMs()
+
+    def _ring(self, at: int) -> None:
+        """Sees to it that the timer goes off at that time or before."""
         if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
+            was = self.timer.get()[0]
+            if was <= at:
+                return
+            self.handle.deleteTimer(was)
         self.handle.registerTimer(at)
         self.timer.update((at,))
 
+    def _wind(self, timers, rows: pd.DataFrame) -> None:
+        """Puts off the times of the rows' keys."""
+        if not self.idle_ms:
+            return
+        now = self._clock(timers)
+        codes, names = self.coded(rows)
+        newest = rows.event_ms.groupby(codes).max() if self.by_event else pd.Series(np.nan, range(len(names)))
+        times = [max((now if np.isnan(v) else int(v)) + self.idle_ms, now + 1) for v in newest]
+        for name, at in zip(names, times, strict=True):
+            self.until.updateValue(name, (at,))
+        self._ring(min(times))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = pd.concat(list(rows), ignore_index=True)
-        self._wind(timerValues, now.event_ms.max() if self.by_event else np.nan)
+        self._wind(timerValues, now)
         placed = now[["frame", "x", "y"]].notna().all(axis=1)
-        yield from self.take(key, now[placed].astype({"frame": "int64", "x": float, "y": float}))
+        yield from self.take(now[placed].astype({"frame": "int64", "x": float, "y": float}))
         if not placed.all():
-            yield self.unplaced(key, now[~placed])
+            yield self.unplaced(now[~placed])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for state in (self.timer, *self.states()):
-            state.clear()
+        now, gone, rest = self._clock(timerValues), set(), []
+        for name, (at,) in list(self.until.iterator()):
+            if at <= now:
+                gone.add(tuple(name))
+            else:
+                rest.append(at)
+        for name in gone:
+            self.until.removeKey(name)
+        self.forget(gone)
+        self.timer.clear()
+        if rest:
+            self._ring(min(rest))
         return iter(())
 
     def close(self) -> None:
@@ -101,7 +139,12 @@ def _column(values: list, dtype: str) -> pd.Series:
     return pd.Series(values, dtype=dtype)
 
 
+def _nulls(n: int, dtype: str) -> pd.Series:
+    return _column([None] * n, dtype)
+
+
 class _Smooth(_Keyed):
+    keys = ("cctv_id", "track_id")
     reads = ("frame", "x", "y")
 
     def __init__(self, fps: float, settings: smoother.Settings, idle_ms: int | None, by_event: bool) -> None:
@@ -110,31 +153,50 @@ class _Smooth(_Keyed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.track = handle.getValueState("track", "frame long, x array<double>, y array<double>, speed double, heading double, direction array<double>")
-
-    def states(self) -> tuple:
-        return (self.track,)
-
-    def take(self, key, now: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        last, state = None, None
-        if self.track.exists():
-            last, x, y, speed, heading, direction = self.track.get()
-            state = {"history": [list(p) for p in zip(x, y, strict=True)], "speed": speed, "heading": heading, "direction": list(direction) if direction is not None else None}
-            now = now[now.frame > last]
-        if not len(now) or key[1] is None:
-            if len(now):
-                yield self.unplaced(key, now)
-            return
-        machine = smoother.Smoother(self.settings, state)
-        now = now.sort_values("frame", kind="stable")
-        out = list(smoother.smooth_rows(((int(f), float(x), float(y), None) for f, x, y in zip(now.frame, now.x, now.y, strict=True)), self.fps, machine, last))
-        s = machine.state
-        self.track.update((int(out[-1][2]), [p[0] for p in s["history"]], [p[1] for p in s["history"]], s["speed"], s["heading"], s["direction"]))
-        yield pd.DataFrame({"cctv_id": key[0], "track_id": key[1], "frame": now.frame.to_numpy(), "x": now.x.to_numpy(), "y": now.y.to_numpy(), "speed_kmh": _column([o[0] for o in out], "float64"), "heading": _column([o[1] for o in out], "float64")})
+        self.track = handle.getMapState("track", self.kinds(), "frame long, x array<double>, y array<double>, speed double, heading double, direction array<double>")
 
-    def unplaced(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        none = _column([None] * len(rows), "float64")
-        return pd.DataFrame({"cctv_id": [key[0]] * len(rows), "track_id": [key[1]] * len(rows), "frame": rows.frame.astype("Int64").to_numpy(), "x": rows.x.to_numpy(float), "y": rows.y.to_numpy(float), "speed_kmh": none, "heading": none})
+    def forget(self, names: set[tuple]) -> None:
+        for name in names:
+            if self.track.containsKey(name):
+                self.track.removeKey(name)
+
+    def take(self, now: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(now):
+            return
+        codes, names = self.coded(now)
+        order = np.lexsort((now.frame.to_numpy(), codes))
+        now, codes = now.iloc[order], codes[order]
+        held = {tuple(name): value for name, value in self.track.iterator()}
+        frames, xs, ys = (now[c].tolist() for c in ("frame", "x", "y"))
+        kept = np.ones(len(now), bool)
+        speeds: list[float | None] = [None] * len(now)
+        headings = speeds.copy()
+        ends = np.searchsorted(codes, np.arange(len(names)), side="right").tolist()
+        for name, a, b in zip(names, [0, *ends[:-1]], ends, strict=True):
+            if name[1] is None:
+                continue
+            last, state = None, None
+            if name in held:
+                last, x, y, speed, heading, direction = held[name]
+                state = {"history": [list(p) for p in zip(x, y, strict=True)], "speed": speed, "heading": heading, "direction": list(direction) if direction is not None else None}
+                old = sum(f <= last for f in frames[a:b])
+                kept[a : a + old] = False
+                a += old
+            if a == b:
+                continue
+            machine = smoother.Smoother(self.settings, state)
+            out = list(smoother.smooth_rows(zip(frames[a:b], xs[a:b], ys[a:b], itertools.repeat(None)), self.fps, machine, last))
+            speeds[a:b], headings[a:b] = [o[0] for o in out], [o[1] for o in out]
+            s = machine.state
+            self.track.updateValue(name, (frames[b - 1], [p[0] for p in s["history"]], [p[1] for p in s["history"]], s["speed"], s["heading"], s["direction"]))
+        out = now[["cctv_id", "track_id", "frame", "x", "y"]].reset_index(drop=True)
+        out = out.assign(speed_kmh=_column(speeds, "float64"), heading=_column(headings, "float64"))[kept]
+        if len(out):
+            yield out
+
+    def unplaced(self, rows: pd.DataFrame) -> pd.DataFrame:
+        none = _nulls(len(rows), "float64")
+        return pd.DataFrame({"cctv_id": rows.cctv_id.to_numpy(), "track_id": rows.track_id.to_numpy(), "frame": rows.frame.astype("Int64").to_numpy(), "x": rows.x.to_numpy(float), "y": rows.y.to_numpy(float), "speed_kmh": none, "heading": none})
 
 
 def smooth(rows: DataFrame, fps: float, settings: smoother.Settings | None = None, idle_ms: int | None = 60_000, late: str | None = None) -> DataFrame:
@@ -144,63 +206,95 @@ def smooth(rows: DataFrame, fps: float, settings: smoother.Settings | None = Non
     None.  Rows without a point, a frame or a track have nulls.
     """
     schema = "cctv_id string, track_id string, frame long, x double, y double, speed_kmh double, heading double"
-    return _keyed(rows, ("cctv_id", "track_id"), _Smooth(fps, settings or smoother.Settings(), idle_ms, late is not None), schema, late)
+    return _keyed(rows, _Smooth(fps, settings or smoother.Settings(), idle_ms, late is not None), schema, late)
 
 
 class _Track(_Keyed):
-    reads = ("frame", "x", "y", "confidence", "class", "c_xx", "c_xy", "c_yy")
+    keys = ("cctv_id",)
+    reads = ("frame", "x", "y", "confidence", "class", *tracking.COVARIANCE)
 
     def __init__(self, fps: float, settings: tracking.Settings, idle_ms: int | None, by_event: bool, graph: Graph | None) -> None:
         super().__init__(idle_ms, by_event)
-        self.fps, self.settings, self.graph = fps, settings, graph
+        self.fps, self.settings = fps, settings
+        self.ids = graph.ids if graph is not None else []
+        self.lanes = Lanes(graph, settings.lane_limit) if self.ids else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.camera = handle.getValueState("camera", "began long, next long, frame long")
-        self.live = handle.getMapState("tracks", "ident long", "x array<double>, p array<double>, frame long, kind string, confidence double, hits long, age long, frames array<long>, xs array<double>, ys array<double>, link string, s double, d double")
-
-    def states(self) -> tuple:
-        return self.camera, self.live
-
-    def _thaw(self, machine: tracking.Tracker) -> None:
-        """Puts the live tracks back, each predicted from its last detection to the camera's last frame."""
-        for (ident,), (x, p, frame, kind, confidence, hits, age, frames, xs, ys, link, s, d) in self.live.iterator():
-            lane = None if link is None else (link, s, d)
-            t = tracking.Track(ident, np.array(x, float), np.array(p, float).reshape(4, 4), frame, kind, confidence, hits, age, 0, list(zip(frames, xs, ys, strict=True)), lane)
-            t.mark()
-            for _ in range(machine.frame - frame):
-                t.predict(machine.dt, self.settings, self.graph)
-            machine.tracks.append(t)
-        machine.tracks.sort(key=lambda t: t.ident)
-
-    def take(self, key, now: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        self.camera = handle.getMapState("camera", self.kinds(), "began long, next long, frame long")
+        self.live = handle.getMapState("tracks", f"{self.kinds()}, ident long", "x array<double>, p array<double>, frame long, kind string, hits long, age long, xs array<double>, ys array<double>, link string, s double, d double")
+
+    def forget(self, names: set[tuple]) -> None:
+        gone = [tuple(k) for k, _ in self.live.iterator() if (k[0],) in names]
+        for key in gone:
+            self.live.removeKey(key)
+        for name in names:
+            if self.camera.containsKey(name):
+                self.camera.removeKey(name)
+
+    def _thaw(self, fleet: Fleet, code: dict[tuple, int], last: np.ndarray, kinds: dict[str, int]) -> list[tuple]:
+        """Puts the live tracks of the cameras back, each predicted from its last detection to its camera's last frame; their keys."""
+        held = sorted(((code[name], ident, value) for (camera, ident), value in self.live.iterator() if (name := (camera,)) in code), key=lambda h: h[:2])
+        if not held:
+            return []
+        t, links = fleet._empty(len(held)), {link: i for i, link in enumerate(self.ids)}
+        for i, (group, ident, (x, p, frame, kind, hits, age, xs, ys, link, s, d)) in enumerate(held):
+            n = min(len(xs), fleet.back)
+            t["group"][i], t["ident"][i], t["frame"][i], t["hits"][i], t["age"][i], t["kept"][i] = group, ident, frame, hits, age, n
+            t["x"][i], t["p"][i] = x, np.reshape(p, (4, 4))
+            t["kind"][i] = kinds.setdefault(kind, len(kinds)) if kind else -1
+            t["seen"][i, :n] = np.column_stack([xs, ys])[:n]
+            t["link"][i], t["pos"][i], t["d"][i] = (-1, 0.0, 0.0) if link is None else (links[link], s, d)
+        fleet.state = t
+        fleet._mark(np.arange(len(held)))
+        steps = last[t["group"]] - t["frame"]
+        for k in range(int(steps.max(initial=0))):
+            fleet.predict(np.flatnonzero(steps > k))
+        return [(group, ident) for group, ident, _ in held]
+
+    def _freeze(self, fleet: Fleet, names: list[tuple], before: np.ndarray, seen: np.ndarray, held: list[tuple], kinds: dict[str, int]) -> None:
+        """Writes the tracks with detections in this batch, and removes those that are gone."""
+        t, kind = fleet.state, [*kinds]
+        for i in np.flatnonzero(~seen[t["group"]] | (t["frame"] > before[t["group"]])):
+            n, link = t["kept"][i], t["at_link"][i]
+            lane = (None, None, None) if link < 0 else (self.ids[link], float(t["at_pos"][i]), float(t["at_d"][i]))
+            value = (t["at_x"][i].tolist(), t["at_p"][i].ravel().tolist(), int(t["frame"][i]), None if t["kind"][i] < 0 else kind[t["kind"][i]], int(t["hits"][i]), int(t["at_age"][i]), *t["seen"][i, :n].T.tolist(), *lane)
+            self.live.updateValue((*names[t["group"][i]], int(t["ident"][i])), value)
+        for group, ident in set(held) - set(zip(t["group"].tolist(), t["ident"].tolist(), strict=True)):
+            self.live.removeKey((*names[group], ident))
+
+    def take(self, now: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        known = {tuple(name): value for name, value in self.camera.iterator()} if len(now) else {}
+        codes, names = self.coded(now)
+        old = np.array([known[n][2] if n in known else np.iinfo(np.int64).min for n in names], np.int64)
+        now = now[now.frame.to_numpy() > old[codes]]
         if not len(now):
             return
-        machine = tracking.Tracker(1.0 / self.fps, self.settings, self.graph)
-        began = int(now.frame.min())
-        if self.camera.exists():
-            began, machine.next, machine.frame = self.camera.get()
-            now = now[now.frame > machine.frame]
-            if not len(now):
-                return
-            self._thaw(machine)
-        held, before = {t.ident for t in machine.tracks}, machine.frame
-        now = now.rename(columns={v: k for k, v in RENAMED.items()}).sort_values(["frame", "x", "y"], kind="stable")
-        ids: list[int | None] = []
-        for frame, some in now.groupby("frame", sort=True):
-            ids += machine.step(int(frame), tracking._detections(some, self.settings.noise))
-        for t in machine.tracks:
-            if before is None or t.frame > before:
-                x, p, lane, age = t.marked
-                frames, xs, ys = zip(*t.seen, strict=True)
-                self.live.updateValue((t.ident,), (x.tolist(), p.ravel().tolist(), t.frame, t.kind, t.confidence, t.hits, age, list(frames), list(xs), list(ys), *(lane or (None, None, None))))
-        for ident in held - {t.ident for t in machine.tracks}:
-            self.live.removeKey((ident,))
-        self.camera.update((began, machine.next, machine.frame))
-        yield pd.DataFrame({"cctv_id": [key[0]] * len(now), "frame": now.frame.to_numpy(), "x": now.x.to_numpy(), "y": now.y.to_numpy(), "track_id": [None if i is None else f"{began}-{i}" for i in ids]})
-
-    def unplaced(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cctv_id": [key[0]] * len(rows), "frame": rows.frame.astype("Int64").to_numpy(), "x": rows.x.to_numpy(float), "y": rows.y.to_numpy(float), "track_id": [None] * len(rows)})
+        codes, names = self.coded(now)
+        order = np.lexsort((now.y.to_numpy(), now.x.to_numpy(), now.frame.to_numpy(), codes))
+        now, codes = now.iloc[order], codes[order]
+        frame, first = now.frame.to_numpy(), np.searchsorted(codes, np.arange(len(names)))
+        seen = np.array([n in known for n in names])
+        began = [known[n][0] if n in known else int(frame[a]) for n, a in zip(names, first, strict=True)]
+        before = np.array([known[n][2] if n in known else 0 for n in names], np.int64)
+        fleet = Fleet(len(names), 1.0 / self.fps, self.settings, self.lanes, marks=True)
+        fleet.next = np.array([known[n][1] if n in known else 1 for n in names], np.int64)
+        kinds: dict[str, int] = {}
+        held = self._thaw(fleet, {n: i for i, n in enumerate(names)}, before, kinds)
+        cov = now[list(tracking.COVARIANCE)].to_numpy(float) if tracking.COVARIANCE[0] in now else np.full((len(now), 3), np.nan)
+        sure = np.isfinite(cov).all(axis=1)
+        rows = {"frame": frame, "z": now[["x", "y"]].to_numpy(float), "confidence": now.confidence.to_numpy(float), "known": sure}
+        rows["r"] = np.where(sure[:, None, None], cov[:, [0, 1, 1, 2]].reshape(-1, 2, 2), np.eye(2) * self.settings.noise)
+        rows["kind"] = np.array([kinds.setdefault(k, len(kinds)) if isinstance(k, str) and k else -1 for k in now.kind.tolist()], np.int64)
+        last, had = before.copy(), seen.copy()
+        ids = track_groups(codes, rows, 1.0 / self.fps, self.settings, self.lanes, tracking.GATE, (fleet, last, had))
+        self._freeze(fleet, names, before, seen, held, kinds)
+        for name, start, number, end in zip(names, began, fleet.next.tolist(), last.tolist(), strict=True):
+            self.camera.updateValue(name, (start, number, end))
+        yield pd.DataFrame({"cctv_id": now.cctv_id.to_numpy(), "frame": frame, "x": now.x.to_numpy(), "y": now.y.to_numpy(), "track_id": [f"{began[c]}-{i}" if i else None for c, i in zip(codes.tolist(), ids.tolist(), strict=True)]})
+
+    def unplaced(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cctv_id": rows.cctv_id.to_numpy(), "frame": rows.frame.astype("Int64").to_numpy(), "x": rows.x.to_numpy(float), "y": rows.y.to_numpy(float), "track_id": [None] * len(rows)})
 
 
 def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None, idle_ms: int | None = 60_000, graph: Graph | None = None, late: str | None = None) -> DataFrame:
@@ -213,7 +307,7 @@ def track(rows: DataFrame, fps: float, settings: tracking.Settings | None = None
     null track_id.
     """
     schema = "cctv_id string, frame long, x double, y double, track_id string"
-    return _keyed(rows, ("cctv_id",), _Track(fps, settings or tracking.Settings(), idle_ms, late is not None, graph), schema, late)
+    return _keyed(rows, _Track(fps, settings or tracking.Settings(), idle_ms, late is not None, graph), schema, late)
 
 
 def counts(rows: DataFrame, length: str = "1 minute", late: str = "10 minutes", by: str = "class") -> DataFrame:
