@@ -26,7 +26,7 @@ class Handle:
     def getValueState(self, name, schema):
         return None
 
-    def getMapState(self, name, schema):
+    def getMapState(self, name, keys, values):
         return Entries()
 
 
