@@ -158,16 +158,6 @@ def ordered(*columns: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in columns]
 
 
-def with_leads(rows: DataFrame, by: list[str], order: list[str], seen: Column) -> DataFrame:
-    """`rows` (with _chunk) and _lead false, and for each stretch but a track's first the last row of those before that is `seen`, with _lead true."""
-    row = F.struct(*(c for c in rows.columns if c not in by and c != "_chunk"))
-    last = rows.groupBy(*by, "_chunk").agg(F.max_by(F.when(seen, row), F.when(seen, F.struct(*order))).alias("_row"))
-    before = Window.partitionBy(*by).orderBy(*ordered("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    leads = last.withColumn("_row", F.last("_row", ignorenulls=True).over(before)).where("_row is not null")
-    leads = leads.select(*((F.col(c) if c in by or c == "_chunk" else F.col(f"_row.{c}").alias(c)) for c in rows.columns), F.lit(True).alias("_lead"))
-    return rows.withColumn("_lead", F.lit(False)).unionByName(leads)
-
-
 def kinds_of(rows: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -241,18 +231,23 @@ def pooled(levels: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array(level), np.array(size, np.int64)
 
 
-def monotone(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """`rows` (with _chunk) with `value` made non-decreasing along each track, however long."""
-    keys, columns = [*by, "_chunk"], rows.columns
-    kinds = kinds_of(rows, keys)
+def at_firsts(values: pa.Array, first: np.ndarray, n: int) -> pa.Array:
+    """A value for each stretch as a column of `n` rows: on the first row of the stretch, null on the others."""
+    at = np.full(n, -1)
+    at[first] = np.arange(len(first))
+    return values.take(pa.array(at, mask=at < 0))
 
-    def stacks(part: pa.Table, first: np.ndarray) -> pa.Table:
-        found = [pools(v) for v in np.split(part[value].to_numpy(), first[1:])]
-        size = np.array([len(f[0]) for f in found])
-        out = part.select(keys).take(first)
-        return out.append_column("levels", lists(np.concatenate([f[0] for f in found]), size)).append_column("sizes", lists(np.concatenate([f[1] for f in found]), size))
 
-    found = cut(whole_groups(rows.select(*keys, order, value), keys, [order], stacks, f"{kinds}, levels array<double>, sizes array<long>"))
+def stacks(values: np.ndarray, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Levels and sizes of the pools of each stretch."""
+    found = [pools(v) for v in np.split(values, first[1:])]
+    size = np.array([len(f[0]) for f in found])
+    return lists(np.concatenate([f[0] for f in found]), size), lists(np.concatenate([f[1] for f in found]), size)
+
+
+def fits(found: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, _chunk, levels, sizes, _open, fits) of stacks (by, _chunk, levels, sizes): which pools are not final, and the levels of the pools that those are in."""
+    keys = [*by, "_chunk"]
     track = Window.partitionBy(*by).orderBy(*ordered("_chunk"))
     before = F.coalesce(F.max(F.element_at("levels", -1)).over(track.rowsBetween(Window.unboundedPreceding, -1)), F.lit(float("-inf")))
     behind = F.coalesce(F.min(F.element_at("levels", 1)).over(track.rowsBetween(1, Window.unboundedFollowing)), F.lit(float("inf")))
@@ -264,35 +259,76 @@ def monotone(rows: DataFrame, by: list[str], order: str, value: str) -> DataFram
         ends = of.offsets.to_numpy()
         level, size = of.flatten().to_numpy(), part["sizes"].combine_chunks().flatten().to_numpy()
         cuts = (ends - ends[0])[first[1:]]
-        fits = []
+        found = []
         for v, n in zip(np.split(level, cuts), np.split(size, cuts), strict=True):
             fit, wide = pooled(v, n)
             # the pool that each of the stretches' pools is in
-            fits.append(fit[np.searchsorted(np.cumsum(wide), np.cumsum(n))])
-        return part.select(keys).append_column("fits", lists(np.concatenate(fits), np.diff(ends)))
+            found.append(fit[np.searchsorted(np.cumsum(wide), np.cumsum(n))])
+        return part.select(keys).append_column("fits", lists(np.concatenate(found), np.diff(ends)))
+
+    fitted = cut(whole_groups(found.select(*keys, *some.values()).where("size(levels) > 0"), by, ["_chunk"], pool, f"{kinds_of(found, keys)}, fits array<double>"))
+    return joined(found, fitted, keys, "left")
+
+
+def fitted(of: pa.Table) -> np.ndarray:
+    """The values of the rows of stretches from their `fits`."""
+    level, size, open_, fit = (of[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("levels", "sizes", "_open", "fits"))
+    level = level.copy()
+    level[open_.astype(bool)] = fit
+    return np.repeat(level, size)
 
-    fits = cut(whole_groups(found.select(*keys, *some.values()).where("size(levels) > 0"), by, ["_chunk"], pool, f"{kinds}, fits array<double>"))
+
+def monotone(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """`rows` (with _chunk) with `value` made non-decreasing along each track, however long."""
+    keys, columns = [*by, "_chunk"], rows.columns
+
+    def stack(part: pa.Table, first: np.ndarray) -> pa.Table:
+        levels, sizes = stacks(part[value].to_numpy(), first)
+        return part.select(keys).take(first).append_column("levels", levels).append_column("sizes", sizes)
 
     def fill(part: pa.Table, n: np.ndarray, of: pa.Table, m: np.ndarray) -> pa.Table:
-        level, size, open_, fit = (of[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("levels", "sizes", "_open", "fits"))
-        level = level.copy()
-        level[open_.astype(bool)] = fit
-        return with_column(part, value, np.repeat(level, size)).select(columns)
+        return with_column(part, value, fitted(of)).select(columns)
 
-    return whole_pairs(rows, joined(found, fits, keys, "left"), keys, [order], [], fill, rows.schema)
+    found = cut(whole_groups(rows.select(*keys, order, value), keys, [order], stack, f"{kinds_of(rows, keys)}, levels array<double>, sizes array<long>"))
+    return whole_pairs(rows, fits(found, by), keys, [order], [], fill, rows.schema)
 
 
-def progress(rows: DataFrame, by: list[str], order: str, value: str, width: int) -> DataFrame:
-    """`rows` (with _chunk) with positions of a smoothed speed along each track, however long; `width` is odd and 3 or more."""
-    keys, columns, half = [*by, "_chunk"], rows.columns, width // 2
-    kinds = kinds_of(rows, keys)
+#: What smoothed progress needs of a stretch's neighbours.
+EDGES = "n long, head array<double>, tail array<double>"
 
-    def edges(part: pa.Table, first: np.ndarray) -> pa.Table:
-        tracks = [v.tolist() for v in np.split(part[value].to_numpy(), first[1:])]
-        out = part.select(keys).take(first)
-        for name, values, kind in (("n", [len(v) for v in tracks], pa.int64()), ("head", [v[: half + 1] for v in tracks], pa.list_(pa.float64())), ("tail", [v[-half - 1 :] for v in tracks], pa.list_(pa.float64()))):
-            out = out.append_column(name, pa.array(values, kind))
-        return out
+
+def edges(values: np.ndarray, first: np.ndarray, half: int) -> dict[str, pa.Array]:
+    """EDGES of each stretch: how many rows it has, its first values and its last."""
+    size = np.diff([*first, len(values)])
+    wide = np.minimum(size, half + 1)
+    inside = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+    head, tail = (values[np.repeat(a, wide) + inside] for a in (first, first + size - wide))
+    return {"n": pa.array(size, pa.int64()), "head": lists(head, wide), "tail": lists(tail, wide)}
+
+
+def fitted_edges(fits: DataFrame, by: list[str], half: int) -> DataFrame:
+    """Rows (by, _chunk) with the EDGES of stretches after the fit: no look at their rows is needed."""
+    keys = [*by, "_chunk"]
+
+    def edge(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            part = pa.Table.from_batches([batch])
+            of = part["sizes"].combine_chunks()
+            ends = of.offsets.to_numpy()
+            size = np.add.reduceat(of.flatten().to_numpy(), ends[:-1] - ends[0])
+            out = part.select(keys)
+            for name, values in edges(fitted(part), np.cumsum(size) - size, half).items():
+                out = out.append_column(name, values)
+            yield from out.to_batches()
+
+    return fits.mapInArrow(edge, f"{kinds_of(fits, keys)}, {EDGES}")
+
+
+def halos(ends: DataFrame, by: list[str], half: int) -> DataFrame:
+    """Rows (by, _chunk, left, right, rows, origin) of the EDGES of stretches: the values before and behind each, the track's number of rows and its first value."""
+    keys = [*by, "_chunk"]
 
     def halo(part: pa.Table, first: np.ndarray) -> pa.Table:
         heads, tails, n = part["head"].to_pylist(), part["tail"].to_pylist(), part["n"].to_numpy()
@@ -314,30 +350,64 @@ def progress(rows: DataFrame, by: list[str], order: str, value: str, width: int)
             out = out.append_column(name, pa.array(values, kind))
         return out
 
-    ends = whole_groups(rows.select(*keys, order, value), keys, [order], edges, f"{kinds}, n long, head array<double>, tail array<double>")
-    around = cut(whole_groups(ends, by, ["_chunk"], halo, f"{kinds}, left array<double>, right array<double>, rows long, origin double"))
+    return cut(whole_groups(ends, by, ["_chunk"], halo, f"{kinds_of(ends, keys)}, left array<double>, right array<double>, rows long, origin double"))
+
+
+#: A row's smoothed way from the start of its stretch; on a stretch's first row the whole, and what was gone before smoothing.
+SUMS = "_sum double, _total double, _gone double"
+
+
+def smoothed(values: np.ndarray, n: np.ndarray, of: pa.Table, half: int) -> dict[str, pa.Array]:
+    """SUMS of the rows of stretches, `n` each, from their `halos`."""
+    (left, before), (right, behind) = ((c.flatten().to_numpy(), np.diff(c.offsets.to_numpy())) for c in (of[name].combine_chunks() for name in ("left", "right")))
+    # stretch after stretch: what is before, its own rows, what is behind
+    wide = before + n + behind
+    begin = np.cumsum(wide) - wide
+    inside = lambda size: np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    around = np.empty(wide.sum())
+    own = np.repeat(begin + before, n) + inside(n)
+    for at, some in ((np.repeat(begin, before) + inside(before), left), (own, values), (np.repeat(begin + before + n, behind) + inside(behind), right)):
+        around[at] = some
+    step = np.clip(np.diff(around, append=0.0), 0.0, None)
+    # the step to each row; a track's first row has none, nor has its only one
+    real = own > np.repeat(begin, n)
+    least, most = np.repeat(begin, n), np.repeat(np.maximum(begin, begin + wide - 2), n)
+    near = ((own - 1)[:, None] + np.arange(-half, half + 1)).clip(least[:, None], most[:, None])
+    out, mine = np.where(real, step[near].mean(axis=1), 0.0), np.where(real, step[own - 1], 0.0)
+    first = np.cumsum(n) - n
+    sums = np.concatenate([np.cumsum(v) for v in np.split(out, first[1:])])
+    once = {"_total": sums[first + n - 1], "_gone": np.add.reduceat(mine, first)}
+    return {"_sum": pa.array(sums)} | {c: at_firsts(pa.array(v), first, len(values)) for c, v in once.items()}
+
+
+def scales(stepped: DataFrame, around: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, _chunk, _offset, _scale, _rows, _origin) of SUMS and `halos`: what makes of a row's sum its place."""
+    keys = [*by, "_chunk"]
+    sums = stepped.where("_total is not null").select(*keys, "_total", "_gone")
+    track, earlier = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(*ordered("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    total, gone = F.sum("_total").over(track), F.sum("_gone").over(track)
+    scaled = sums.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_offset"), F.when((total > 1e-9) & (gone > 1e-9), gone / total).otherwise(1.0).alias("_scale"))
+    return joined(scaled, around.select(*keys, F.col("rows").alias("_rows"), F.col("origin").alias("_origin")), keys)
+
+
+def progress(rows: DataFrame, by: list[str], order: str, value: str, width: int) -> DataFrame:
+    """`rows` (with _chunk) with positions of a smoothed speed along each track, however long; `width` is odd and 3 or more."""
+    keys, columns, half = [*by, "_chunk"], rows.columns, width // 2
+
+    def edge(part: pa.Table, first: np.ndarray) -> pa.Table:
+        out = part.select(keys).take(first)
+        for name, values in edges(part[value].to_numpy(), first, half).items():
+            out = out.append_column(name, values)
+        return out
 
     def smooth(part: pa.Table, n: np.ndarray, of: pa.Table, m: np.ndarray) -> pa.Table:
-        sums, own = [], []
-        for s, left, right in zip(np.split(part[value].to_numpy(), np.cumsum(n)[:-1]), of["left"].to_pylist(), of["right"].to_pylist(), strict=True):
-            step = np.clip(np.diff(np.concatenate([left, s, right])), 0.0, None)
-            out = mine = np.zeros(len(s))
-            if len(step):
-                # the step to each row of this stretch; a track's first row has none
-                at = np.arange(len(s)) + len(left) - 1
-                near = (at[:, None] + np.arange(-half, half + 1)).clip(0, len(step) - 1)
-                real = at >= 0
-                out, mine = np.where(real, step[near].mean(axis=1), 0.0), np.where(real, step[at.clip(0)], 0.0)
-            sums.append(np.cumsum(out))
-            own.append(mine)
-        return part.select(columns).append_column("_sum", pa.array(np.concatenate(sums))).append_column("_step", pa.array(np.concatenate(own)))
-
-    stepped = cut(whole_pairs(rows, around.select(*keys, "left", "right"), keys, [order], [], smooth, f"{kinds_of(rows, rows.columns)}, _sum double, _step double"))
-    sums = stepped.groupBy(*keys).agg(F.max("_sum").alias("sum"), F.sum("_step").alias("step"))
-    track, earlier = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(*ordered("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    total, steps = F.sum("sum").over(track), F.sum("step").over(track)
-    scaled = sums.select(*keys, F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)).alias("_offset"), F.when((total > 1e-9) & (steps > 1e-9), steps / total).otherwise(1.0).alias("_scale"))
-    whole_ = joined(scaled, around.select(*keys, F.col("rows").alias("_rows"), F.col("origin").alias("_origin")), keys)
-    out = joined(stepped, whole_, keys)
+        out = part.select(columns)
+        for name, values in smoothed(part[value].to_numpy(), n, of, half).items():
+            out = out.append_column(name, values)
+        return out
+
+    around = halos(whole_groups(rows.select(*keys, order, value), keys, [order], edge, f"{kinds_of(rows, keys)}, {EDGES}"), by, half)
+    stepped = cut(whole_pairs(rows, around.select(*keys, "left", "right"), keys, [order], [], smooth, f"{kinds_of(rows, columns)}, {SUMS}"))
+    out = joined(stepped, scales(stepped, around, by), keys)
     moved = F.col("_origin") + (F.col("_offset") + F.col("_sum")) * F.col("_scale")
-    return out.withColumn(value, F.when(F.col("_rows") < 3, F.col(value)).otherwise(moved)).select(*rows.columns)
+    return out.withColumn(value, F.when(F.col("_rows") < 3, F.col(value)).otherwise(moved)).select(*columns)

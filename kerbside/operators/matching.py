@@ -252,20 +252,22 @@ def match_tracks(rows: DataFrame, links: DataFrame, by: list[str], method: str =
     if method == "greedy":
         return greedy(rows, links, by, reach=reach, k=k, trust_kmh=trust_kmh)
     plain = rows.drop("link_id", "s", "d")
-    options = with_options(directions(plain, by, trust_kmh), links, reach, k)
-    emit = F.transform("options", lambda o: -0.5 * F.pow(o["d"] / sigma, F.lit(2.0)) - float(np.log(np.sqrt(2 * np.pi) * sigma)) - weight * wrongness(o["bearing"], F.col("_dir"), o["directed"]))
-    flat = options.select(*plain.columns, *(F.col(f"options.{c}").alias(f"_{c}") for c in ("link_id", "s", "d", "length")), emit.alias("_emit"))
+
+    def optioned(told: DataFrame) -> DataFrame:
+        options = with_options(told, links, reach, k)
+        emit = F.transform("options", lambda o: -0.5 * F.pow(o["d"] / sigma, F.lit(2.0)) - float(np.log(np.sqrt(2 * np.pi) * sigma)) - weight * wrongness(o["bearing"], F.col("_dir"), o["directed"]))
+        return options.select(*(c for c in told.columns if c != "_dir"), *(F.col(f"options.{c}").alias(f"_{c}") for c in ("link_id", "s", "d", "length")), emit.alias("_emit"))
+
     known = gaps(topology(links) if edges is None else edges, ends(links).select("link_id", "length"), limit).where("src <> dst")
     short = lambda r: _whole_tracks(r.drop("_length"), links, by, method, known, beta, k, plain)
-    if chunk is None:
-        return short(flat)
-    spans = plain.groupBy(*by).agg((F.floor(F.min("frame") / chunk) < F.floor(F.max("frame") / chunk)).alias("_several"))
-    if not spans.where("_several").limit(1).count():
-        return short(flat)
-    told = cut(long_tracks.joined(flat, spans, by))
-    parted = told.where("_several").drop("_several").withColumn("_chunk", long_tracks.chunked("frame", chunk))
+    several = lambda least, most: F.floor(least / chunk) < F.floor(most / chunk)
+    if chunk is None or not plain.groupBy(*by).agg(several(F.min("frame"), F.max("frame")).alias("_several")).where("_several").limit(1).count():
+        return short(optioned(directions(plain, by, trust_kmh)))
+    track = Window.partitionBy(*by)
+    told = cut(directions(plain, by, trust_kmh).withColumn("_several", several(F.min("frame").over(track), F.max("frame").over(track))))
+    told = cut(optioned(told))
     known = cut(known)
-    path = _long_paths(parted, by, known, beta, k)
+    path = _long_paths(told.where("_several").drop("_several").withColumn("_chunk", long_tracks.chunked("frame", chunk)), by, known, beta, k)
     if method == "lock":
         path = _long_locks(cut(path), links, by, known)
     return short(told.where("_several is null or not _several").drop("_several")).unionByName(path.select(*plain.columns, "link_id", "s", "d"))
@@ -305,13 +307,29 @@ def _whole_tracks(flat: DataFrame, links: DataFrame, by: list[str], method: str,
     return _matched(flat, _ways(flat, links, by, known), by, run, f"{fields}, {STATE}")
 
 
-def _with_gaps(led: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
-    """`led` with _gap: metres between each option of the row before in its stretch and each of its own, in their order, -1 for the same link.
+def _with_leads(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`rows` (with _chunk and options) and, for each stretch with options but a track's first, the row with options before it: both with _from, the options of the row before, and _lead, which is true for the latter.
+
+    One sort of the rows by stretches; what comes from the stretch before is joined to a stretch's first row only.
+    """
+    keys = [*by, "_chunk"]
+    stretch = Window.partitionBy(*keys).orderBy(*long_tracks.ordered("frame", "x", "y"))
+    before, until, whole_ = (stretch.rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0, Window.unboundedFollowing))
+    seen = F.col("_link_id").isNotNull()
+    inner = cut(rows.withColumns({"_from": F.when(seen, F.last("_link_id", True).over(before)), "_end": seen & (F.count("_link_id").over(until) == F.count("_link_id").over(whole_))}))
+    behind = F.lead(F.struct("_chunk")).over(Window.partitionBy(*by).orderBy(*long_tracks.ordered("_chunk")))
+    leads = cut(inner.where("_end").withColumn("_next", behind).where("_next is not null").withColumn("_chunk", F.col("_next._chunk")).select(*rows.columns))
+    first = seen & F.col("_from").isNull()
+    firsts = long_tracks.joined(inner.where(first).drop("_from"), leads.select(*keys, F.col("_link_id").alias("_from")), keys, "left")
+    led = inner.where(~first).unionByName(firsts).drop("_end").withColumn("_lead", F.lit(False))
+    return led, leads.withColumns({"_from": F.lit(None).cast(led.schema["_from"].dataType), "_lead": F.lit(True)})
+
+
+def _with_gaps(led: DataFrame, known: DataFrame) -> DataFrame:
+    """`led` with _gap: metres between each option of the row before and each of its own, in their order, -1 for the same link.
 
     Rows of many tracks have the same options, so each pair of lists is looked up once.
     """
-    before = Window.partitionBy(*keys).orderBy(*long_tracks.ordered("frame", "x", "y")).rowsBetween(Window.unboundedPreceding, -1)
-    led = cut(led.withColumn("_from", F.when(F.col("_link_id").isNotNull(), F.last("_link_id", True).over(before))))
     pairs = led.where("_from is not null").select("_from", F.col("_link_id").alias("_to")).distinct()
     cells = pairs.select("*", F.posexplode("_from").alias("_i", "src")).select("*", F.posexplode("_to").alias("_j", "dst")).join(known, ["src", "dst"], "left")
     gap = F.when(F.col("src") == F.col("dst"), F.lit(-1.0)).otherwise(F.coalesce("gap", F.lit(float("inf"))))
@@ -350,12 +368,16 @@ class _Stretches:
 
 
 def _long_paths(rows: DataFrame, by: list[str], known: DataFrame, beta: float, k: int) -> DataFrame:
-    """`rows` (with _chunk and options) with link_id, s, d of the most likely path, see `long_tracks`."""
+    """`rows` (with _chunk and options) with link_id, s, d of the most likely path, see `long_tracks`.
+
+    Also _was, the link of the row with one before in the stretch, and whether a row is the stretch's first (_begins) or last (_ends) with a link.
+    """
     import pyarrow as pa
 
     keys, order = [*by, "_chunk"], ["frame", "x", "y"]
     kinds = long_tracks.kinds_of(rows, keys)
-    led = _with_gaps(long_tracks.with_leads(rows, by, order, F.col("_link_id").isNotNull()), keys, known)
+    own, leads = _with_leads(rows, by)
+    led = _with_gaps(own.unionByName(leads), known)
 
     def summary(part: pa.Table, first: np.ndarray) -> pa.Table:
         o = _Stretches(part, np.diff([*first, len(part)]), k, beta)
@@ -386,11 +408,30 @@ def _long_paths(rows: DataFrame, by: list[str], known: DataFrame, beta: float, k
 
     picked = cut(whole_pairs(led, entries.select(*keys, "entry"), keys, order, [], paths, f"{long_tracks.kinds_of(led, kept)}, _picks array<long>"))
     to = picked.where("_lead").select(*keys, F.col("_picks").alias("to"))
-    exits = long_tracks.exits(long_tracks.joined(entries.select(*keys, "last"), to, keys, "left"), by, k)
-    out = long_tracks.joined(picked.where("not _lead"), cut(exits).select(*keys, F.col("exit").alias("_exit")), keys)
-    pick = F.get("_picks", F.col("_exit").cast("int")).cast("int")
-    state = [F.get(f"_{c}", pick).alias(c) for c in ("link_id", "s", "d")]
-    return out.select(*(c for c in rows.columns if c not in ("_link_id", "_s", "_d", "_length", "_emit")), *state)
+    exits = cut(long_tracks.exits(long_tracks.joined(entries.select(*keys, "last"), to, keys, "left"), by, k))
+    columns = [c for c in rows.columns if c not in ("_link_id", "_s", "_d", "_length", "_emit")]
+
+    def chosen(part: pa.Table, n: np.ndarray, of: pa.Table, m: np.ndarray) -> pa.Table:
+        picks, size = grid(part["_picks"], k, -1, np.int64)
+        leaves = np.repeat(of["exit"].fill_null(-1).to_numpy(), n)
+        some = np.flatnonzero((size > 0) & (leaves >= 0))
+        _, options = grid(part["_s"], k, 0.0, float)
+        at = (np.cumsum(options) - options)[some] + picks[some, leaves[some]]
+        rows_ = np.full(len(part), -1)
+        rows_[some] = at
+        at = pa.array(rows_, mask=rows_ < 0)
+        out = part.select(columns)
+        for c in ("link_id", "s", "d"):
+            out = out.append_column(c, part[f"_{c}"].combine_chunks().flatten().take(at))
+        new = _first(np.repeat(np.arange(len(n)), n)[some])
+        was, begins, ends_ = np.full(len(part), -1), np.zeros(len(part), bool), np.zeros(len(part), bool)
+        was[some[~new]] = some[np.flatnonzero(~new) - 1]
+        begins[some], ends_[some] = new, np.concatenate([new[1:], [True]])[: len(some)]
+        out = out.append_column("_was", out["link_id"].combine_chunks().take(pa.array(was, mask=was < 0)))
+        return out.append_column("_begins", pa.array(begins)).append_column("_ends", pa.array(ends_))
+
+    options = ["_picks", *(f"_{c}" for c in ("link_id", "s", "d"))]
+    return whole_pairs(picked.where("not _lead").select(*columns, *options), exits, keys, order, [], chosen, f"{long_tracks.kinds_of(rows, columns)}, {STATE}, _was string, _begins boolean, _ends boolean")
 
 
 class _Chains:
@@ -438,14 +479,18 @@ def _first(*columns: np.ndarray) -> np.ndarray:
 
 
 def _long_locks(path: DataFrame, links: DataFrame, by: list[str], known: DataFrame, width: int = 9) -> DataFrame:
-    """`path` (with _chunk) kept to the longest chain of each track, as `lane_lock` does."""
+    """`path` (see `_long_paths`) kept to the longest chain of each track, as `lane_lock` does.
+
+    Three passes over the rows of stretches: onto the chain, with each stretch's stack of pools; smoothed
+    progress of the non-decreasing fit; onto the links.  What joins stretches is made of their stacks.
+    """
     import pyarrow as pa
 
-    keys = [*by, "_chunk"]
-    seen = path.where("link_id is not null")
-    led = long_tracks.with_leads(seen, by, ["frame", "x", "y"], F.col("link_id").isNotNull())
-    before = F.lag("link_id").over(Window.partitionBy(*keys).orderBy(F.desc("_lead"), "frame", "x", "y"))
-    passes = led.withColumn("_was", before).where("not _lead and (_was is null or _was <> link_id)").select(*by, "frame", "link_id", "_was")
+    keys, order, half = [*by, "_chunk"], ["frame", "x", "y"], width // 2
+    begins = path.where("_begins")
+    carried = path.where("_ends").select(*keys, F.lag("link_id").over(Window.partitionBy(*by).orderBy(*long_tracks.ordered("_chunk"))).alias("_was"))
+    starts = long_tracks.joined(begins.select(*keys, "frame", "link_id"), carried, keys)
+    passes = path.where("not _begins").select(*keys, "frame", "link_id", "_was").where("_was <> link_id").unionByName(starts.where("_was is null or _was <> link_id")).drop("_chunk")
     routes = known.select(F.col("src").alias("_was"), F.col("dst").alias("link_id"), F.lit(True).alias("_on"))
     # the links passed, one row each: few against a track's rows
     track = Window.partitionBy(*by)
@@ -456,11 +501,15 @@ def _long_locks(path: DataFrame, links: DataFrame, by: list[str], known: DataFra
     chain = chain.join(ends(links).select("link_id", "length"), "link_id").join(links.select("link_id", "pts"), "link_id")
     offset = F.coalesce(F.sum("length").over(track.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     chain = cut(chain.select(*by, "_at", "link_id", "length", offset.alias("offset"), F.col("pts.x").alias("px"), F.col("pts.y").alias("py")))
-    several = seen.groupBy(*by).agg((F.count(F.lit(1)) > 1).alias("_two"))
-    locked = long_tracks.joined(seen, several, by)
-    of = long_tracks.joined(seen.select(*keys).distinct(), chain, by)
+    # a track's only row with a link stays where it is
+    marks = ("_was", "_begins", "_ends")
+    ones = begins.where("_ends").drop(*marks)
+    alone = begins.groupBy(*by).agg((F.count(F.lit(1)) == 1).alias("_alone"))
+    ones = long_tracks.joined(ones, alone, by)
+    locked = path.where("link_id is not null and not (_begins and _ends)").drop(*marks).unionByName(ones.where("not _alone").drop("_alone"))
+    of = cut(long_tracks.joined(begins.select(*keys), chain, by))
     columns = locked.columns
-    fields = long_tracks.kinds_of(locked, columns)
+    fields, lying = long_tracks.kinds_of(locked, columns), [*columns, "_along", "_lateral"]
 
     def project(part: pa.Table, n: np.ndarray, near: pa.Table, m: np.ndarray) -> pa.Table:
         chains = _Chains(near, m)
@@ -468,24 +517,40 @@ def _long_locks(path: DataFrame, links: DataFrame, by: list[str], known: DataFra
         # as many rows at a time as have PAIRS pieces to look at
         sliced = np.flatnonzero(np.diff(np.cumsum(chains.many[stretch]) // PAIRS)) + 1
         found = [chains.nearest(p, g) for p, g in zip(np.split(points, sliced), np.split(stretch, sliced), strict=True)]
-        for name, values in zip(("_along", "_lateral"), zip(*found, strict=True), strict=True):
-            part = part.append_column(name, pa.array(np.concatenate(values)))
-        return part.select([*columns, "_along", "_lateral"])
-
-    on = cut(whole_pairs(locked.where("_two"), of, keys, ["frame", "x", "y"], ["_at"], project, f"{fields}, _along double, _lateral double"))
-    smooth = long_tracks.progress(long_tracks.monotone(on, by, "frame", "_along"), by, "frame", "_along", width)
+        along, lateral = (np.concatenate(values) for values in zip(*found, strict=True))
+        first = np.cumsum(n) - n
+        part = part.select(columns).append_column("_along", pa.array(along)).append_column("_lateral", pa.array(lateral))
+        for name, values in zip(("levels", "sizes"), long_tracks.stacks(along, first), strict=True):
+            part = part.append_column(name, long_tracks.at_firsts(values, first, len(part)))
+        return part
+
+    def smooth(part: pa.Table, n: np.ndarray, near: pa.Table, m: np.ndarray) -> pa.Table:
+        along = long_tracks.fitted(near)
+        part = with_column(part.select(lying), "_along", along)
+        for name, values in long_tracks.smoothed(along, n, near, half).items():
+            part = part.append_column(name, values)
+        return part
 
     def place(part: pa.Table, n: np.ndarray, near: pa.Table, m: np.ndarray) -> pa.Table:
+        first = np.cumsum(m) - m
+        past, scale, rows, origin = (np.repeat(near[c].to_numpy()[first], n) for c in ("_offset", "_scale", "_rows", "_origin"))
+        along = np.where(rows < 3, part["_along"].to_numpy(), origin + (past + part["_sum"].to_numpy()) * scale)
         offset_, length = near["offset"].to_numpy(), near["length"].to_numpy()
-        along, first = part["_along"].to_numpy(), np.cumsum(m) - m
         at = [a + np.searchsorted(o[1:].round(9), v.round(9), side="left") for a, o, v in zip(first, np.split(offset_, first[1:]), np.split(along, np.cumsum(n)[:-1]), strict=True)]
         at = np.concatenate(at)
         values = {"link_id": near["link_id"].take(at), "s": pa.array((along - offset_[at]).clip(0.0, length[at])), "d": part["_lateral"]}
-        return pa.table({c: values.get(c, part[c]) for c in columns})
-
-    kept = whole_pairs(smooth, of, keys, ["frame", "x", "y"], ["_at"], place, fields)
-    rest = locked.where("not _two").unionByName(path.where("link_id is null").withColumn("_two", F.lit(False)))
-    return kept.unionByName(rest).drop("_two")
+        return pa.table({c: values[c] if c in values else part[c] for c in columns})
+
+    fields_on = f"{fields}, _along double, _lateral double"
+    on = cut(whole_pairs(locked, of, keys, order, ["_at"], project, f"{fields_on}, levels array<double>, sizes array<long>"))
+    fits = cut(long_tracks.fits(on.where("levels is not null").select(*keys, "levels", "sizes"), by))
+    around = long_tracks.halos(long_tracks.fitted_edges(fits, by, half), by, half)
+    near = long_tracks.joined(fits, around.select(*keys, "left", "right"), keys)
+    stepped = cut(whole_pairs(on.select(lying), near, keys, order, [], smooth, f"{fields_on}, {long_tracks.SUMS}"))
+    placed = long_tracks.joined(of.drop("px", "py"), long_tracks.scales(stepped, around, by), keys)
+    kept = whole_pairs(stepped.drop("_total", "_gone"), placed, keys, order, ["_at"], place, fields)
+    rest = ones.where("_alone").drop("_alone").unionByName(path.where("link_id is null").drop(*marks))
+    return kept.unionByName(rest)
 
 
 def snap(rows: DataFrame, links: DataFrame, by: list[str], *, reach: float = 20.0, k: int = 6, weight: float = 8.0, lane_width: float = 0.0, lanes_per_side: int = 4, wrong_cos: float = -0.3, trust_kmh: float = TRUST_KMH) -> DataFrame:

@@ -140,3 +140,27 @@ def test_small_stretches_cost_no_call_each(spark, monkeypatch, method):
     got = matching.match_tracks(rows, links, ["track"], method, edges=edges, chunk=4).collect()
     assert sorted((r.track, r.frame) for r in got if r.link_id == "b") == [(t, f) for t in range(3) for f in range(7, 12)]
     assert any("MapInArrow" in p for p in plans) and not any("FlatMapGroups" in p or "FlatMapCoGroups" in p for p in plans)
+
+
+def test_rows_of_stretches_are_dealt_few_times(spark, monkeypatch):
+    """Rows go through Python by stretches as often as the method needs: summaries, paths and picks, then chain, progress and links."""
+    passes = []
+
+    def counted(real):
+        def run(*args):
+            # by stretches and in order: of a table of rows, not of stretches
+            passes.append(any(a == ["track", "_chunk"] for a in args) and any(isinstance(a, list) and "frame" in a for a in args))
+            return real(*args)
+
+        return run
+
+    groups, pairs = counted(matching.whole_groups), counted(matching.whole_pairs)
+    for module in (matching, long_tracks):
+        monkeypatch.setattr(module, "whole_groups", groups)
+        monkeypatch.setattr(module, "whole_pairs", pairs)
+        monkeypatch.setattr(module, "cut", lambda df: df.localCheckpoint())
+    links = spark.createDataFrame([("a", [(0.0, 0.0), (400.0, 0.0)], True), ("b", [(400.0, 0.0), (800.0, 0.0)], True)], "link_id string, pts array<struct<x:double,y:double>>, directed boolean")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    rows = spark.createDataFrame([(t, f, 20.0 + 60.0 * f, 0.5, 0.0, 50.0) for t in range(3) for f in range(12)], "track long, frame long, x double, y double, heading double, speed_kmh double")
+    matching.match_tracks(rows, links, ["track"], "lock", edges=edges, chunk=4)
+    assert sum(passes) == 6
