@@ -6,11 +6,21 @@ tens of points, so each fit is one group.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sequences
+
+#: Segments of a cell that meet all others there in one group.
+MEMBERS = 5000
+
 MATRIX = ", ".join(f"h{r}{c} double" for r in range(3) for c in range(3))
 _KEYS = [f"h{r}{c}" for r in range(3) for c in range(3)]
 
@@ -299,25 +309,69 @@ def spread_pick(candidates: pd.DataFrame, width: float, height: float, n: int, c
     return candidates.loc[chosen]
 
 
-def crossings(segments: DataFrame, key: str = "seg_id", reach: float = 12.0) -> DataFrame:
+def crossings(segments: DataFrame, key: str = "seg_id", reach: float = 12.0, margin: float = 0.02, least_degrees: float = 30.0) -> DataFrame:
     """Rows (a, b, x, y): where segments (key, ax, ay, bx, by) whose middles are within `reach` cross.
 
-    Segments meet in cells that their boxes lie over; a pair is formed in the one cell where its common box begins,
-    so that pairs follow the crossings, not the segments within reach.
+    Segments meet in the small cells that they pass through, and a pair counts in the cell of its crossing alone,
+    so that pairs follow the crossings, not the segments within reach.  A crossing is no farther from both middles
+    than `reach` over the sine of the least angle (above 0), so long segments are cut to that.
     """
-    from ..functions.geometry import crossing
-
-    size = reach / 4.0
-    sides = {f"_{f}{c}": g(f"a{c}", f"b{c}") for c in "xy" for f, g in (("l", F.least), ("h", F.greatest))}
-    boxed = segments.select(F.col(key).alias("k"), "ax", "ay", "bx", "by").where("ax is not null and ay is not null and bx is not null and by is not null").withColumns(sides)
-    for c in "xy":
-        boxed = boxed.withColumn(f"_c{c}", F.explode(F.sequence(F.floor(F.col(f"_l{c}") / size).cast("long"), F.floor(F.col(f"_h{c}") / size).cast("long"))))
-    other = boxed.select("_cx", "_cy", *(F.col(c).alias(f"r{c}") for c in boxed.columns if c not in ("_cx", "_cy")))
-    both = boxed.join(other, ["_cx", "_cy"]).where(F.col("k") < F.col("rk"))
-    for c in "xy":
-        low = F.greatest(f"_l{c}", f"r_l{c}")
-        both = both.where((low <= F.least(f"_h{c}", f"r_h{c}")) & (F.floor(low / size).cast("long") == F.col(f"_c{c}")))
-    middle = {c: (F.col(f"a{c}") + F.col(f"b{c}")) / 2.0 - (F.col(f"ra{c}") + F.col(f"rb{c}")) / 2.0 for c in "xy"}
-    near = both.where(F.hypot(middle["x"], middle["y"]) <= reach)
-    c = crossing((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), (F.col("rax"), F.col("ray")), (F.col("rbx"), F.col("rby")))
-    return near.select(F.col("k").alias("a"), F.col("rk").alias("b"), c.alias("c")).where("c is not null").select("a", "b", "c.x", "c.y")
+    least_sine = math.sin(math.radians(least_degrees))
+    size, around = reach / 24.0, reach / least_sine
+    d = {c: F.col(f"b{c}") - F.col(f"a{c}") for c in "xy"}
+    m = {c: (F.col(f"a{c}") + F.col(f"b{c}")) / 2.0 for c in "xy"}
+    rows = segments.select(F.col(key).alias("k"), *(F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by"))).withColumn("_length", F.hypot(d["x"], d["y"])).where(F.col("k").isNotNull() & (F.col("_length") > 0.0) & (F.col("_length") < float("inf")))
+    # u is the coordinate that a segment runs along more, v the other; slack is far above what rounding moves a crossing by
+    steep = F.abs(d["y"]) > F.abs(d["x"])
+    u, v, du, dv = (F.when(steep, p).otherwise(q) for p, q in ((m["y"], m["x"]), (m["x"], m["y"]), (d["y"], d["x"]), (d["x"], d["y"])))
+    slack = size * 1e-6 + (F.abs(m["x"]) + F.abs(m["y"])) * 1e-12
+    half = F.least(F.lit(0.5 - margin), around / F.col("_length")) * F.abs(du)
+    walks = sequences.deal(rows, "k").select("k", "ax", "ay", "bx", "by", steep.alias("_steep"), u.alias("_u"), v.alias("_v"), (dv / du).alias("_slope"), slack.alias("_e"), (half + 2.0 * slack).alias("_half"))
+    low, high = F.col("_u") - F.col("_half"), F.col("_u") + F.col("_half")
+    walks = walks.withColumn("_cu", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+    ends = [F.col("_v") + (end - F.col("_u")) * F.col("_slope") for end in (F.greatest(low, F.col("_cu") * size - F.col("_e")), F.least(high, (F.col("_cu") + 1) * size + F.col("_e")))]
+    walks = walks.withColumn("_cv", F.explode(F.sequence(F.floor((F.least(*ends) - F.col("_e")) / size), F.floor((F.greatest(*ends) + F.col("_e")) / size))))
+    cells = walks.select("k", "ax", "ay", "bx", "by", *(F.when(F.col("_steep"), F.col(p)).otherwise(F.col(q)).alias(c) for c, p, q in (("_cx", "_cv", "_cu"), ("_cy", "_cu", "_cv"))))
+    # a full cell is many groups, each with some members that meet all others
+    full = cells.groupBy("_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("_pieces")).where("_pieces > 1")
+    cells = cells.join(F.broadcast(full), ["_cx", "_cy"], "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+    cells = cells.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)))
+    cells = cells.withColumn("_meets", F.pmod(F.xxhash64("k"), "_pieces") == F.col("_piece")).drop("_pieces")
+
+    def run(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        n, keys = len(table), table["k"].combine_chunks()
+        cx, cy, ax, ay, bx, by = (table[c].to_numpy() for c in ("_cx", "_cy", "ax", "ay", "bx", "by"))
+        dx, dy = bx - ax, by - ay
+        mx, my, length = (ax + bx) / 2.0, (ay + by) / 2.0, np.hypot(dx, dy)
+        # rows are in the order of their keys: those after a row begin where its key ends
+        new = np.append(True, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))
+        new[starts] = True
+        places, end = np.append(np.flatnonzero(new), n), np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+        after = places[np.searchsorted(places, np.arange(n), "right")]
+        many = np.where(table["_meets"].to_numpy(), end - after, 0)
+        for i, j in _later(after, many):
+            det = dx[i] * dy[j] - dy[i] * dx[j]
+            some = np.abs(det) >= least_sine * (1 - 1e-9) * (length[i] * length[j])
+            i, j, det = i[some], j[some], det[some]
+            x, y = ax[j] - ax[i], ay[j] - ay[i]
+            t, s = (x * dy[j] - y * dx[j]) / det, (x * dy[i] - y * dx[i]) / det
+            sine = np.abs(det) / (length[i] * length[j])
+            some = (t >= margin) & (t <= 1 - margin) & (s >= margin) & (s <= 1 - margin) & (np.degrees(np.arcsin(np.minimum(1.0, sine))) >= least_degrees)
+            i, j, t = i[some], j[some], t[some]
+            x, y = ax[i] + t * dx[i], ay[i] + t * dy[i]
+            some = (np.floor(x / size) == cx[i]) & (np.floor(y / size) == cy[i]) & (np.hypot(mx[i] - mx[j], my[i] - my[j]) <= reach)
+            yield pa.table({"a": keys.take(pa.array(i[some])), "b": keys.take(pa.array(j[some])), "x": x[some], "y": y[some]})
+
+    kind = segments.schema[key].dataType.simpleString()
+    return sequences.whole_groups(cells, ["_cx", "_cy", "_piece"], ["k"], run, f"a {kind}, b {kind}, x double, y double")
+
+
+def _later(after: np.ndarray, many: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each row i with `many` rows from after[i] on, some `most` at a time."""
+    total, low = np.cumsum(many), 0
+    while low < len(many):
+        done = total[low] - many[low]
+        high = max(low + 1, np.searchsorted(total, done + most, "right"))
+        i = np.repeat(np.arange(low, high), many[low:high])
+        yield i, np.arange(len(i)) - (total - many)[i] + done + after[i]
+        low = high

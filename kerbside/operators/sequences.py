@@ -26,7 +26,7 @@ def deal(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def whole_groups(rows: DataFrame, by: list[str], order: list[str], run, schema, least: int = 1) -> DataFrame:
-    """`run` on Arrow tables of whole groups in order, many to a table, and the places in it where groups begin.
+    """`run` on Arrow tables of whole groups in order, many to a table, and the places in it where groups begin; it returns a table, or yields several.
 
     A task sorts its rows and holds one batch, one group and `least` of them, so that small groups cost no call each.
     """
@@ -37,7 +37,9 @@ def whole_groups(rows: DataFrame, by: list[str], order: list[str], run, schema,
 
         def done():
             table = pa.Table.from_batches(held).combine_chunks()
-            yield from run(table.drop_columns(["_k"]), np.flatnonzero(table["_k"].to_numpy() == 1)).to_batches()
+            out = run(table.drop_columns(["_k"]), np.flatnonzero(table["_k"].to_numpy() == 1))
+            for part in [out] if isinstance(out, pa.Table) else out:
+                yield from part.to_batches()
 
         for batch in arrived:
             first = np.flatnonzero(batch.column(batch.schema.get_field_index("_k")).to_numpy() == 1)
